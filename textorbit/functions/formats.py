@@ -97,3 +97,9 @@ def estimate_parameters(vocab: Column, hidden: Column, layers: Column) -> Column
 def round6(value: Column) -> Column:
     """Six decimals by floor(x * 1e6 + 0.5), the same arithmetic in every engine."""
     return F.floor(value * 1e6 + 0.5) / F.lit(1e6)
+
+
+def micros(ts: Column | str) -> Column:
+    """Microseconds since the epoch, with or without a time zone on the column."""
+    column = F.col(ts) if isinstance(ts, str) else ts
+    return F.unix_micros(column.cast("timestamp"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from textorbit.functions.formats import micros
 from textorbit.operators.scan import CHUNK, running, step_chunks
 from textorbit.session import cut
 
@@ -13,8 +14,8 @@ STATUSES = ["starting", "running", "stopping", "stopped", "failed"]
 
 def instance_info(instances: DataFrame, now: Column) -> DataFrame:
     """Public view of an instance; uptime in whole seconds, null if never started."""
-    micros = F.unix_micros(now) - F.unix_micros("started_at")
-    return instances.withColumn("uptime_secs", F.floor(micros / 1_000_000).cast("long"))
+    age = micros(now) - micros("started_at")
+    return instances.withColumn("uptime_secs", F.floor(age / 1_000_000).cast("long"))
 
 
 def failure_streaks(
@@ -207,7 +208,7 @@ def instance_status(events: DataFrame, instance: str = "instance", seq: str = "s
 
 def start_timeout(instances: DataFrame, now: Column, default_secs: int = 300) -> DataFrame:
     """Instances still starting after their timeout become failed."""
-    age = (F.unix_micros(now) - F.unix_micros("started_at")) / 1_000_000
+    age = (micros(now) - micros("started_at")) / 1_000_000
     limit = F.coalesce(F.col("startup_timeout_secs"), F.lit(default_secs)) if (
         "startup_timeout_secs" in instances.columns
     ) else F.lit(default_secs)
@@ -227,7 +228,7 @@ def fleet_state(events: DataFrame, name: str = "name", seq: str = "seq") -> Data
 
 def idle(conns: DataFrame, now: Column, max_idle: int = 600) -> DataFrame:
     """Connections unused for strictly more than ``max_idle`` seconds."""
-    gap = F.unix_micros(now) - F.unix_micros("last_used")
+    gap = micros(now) - micros("last_used")
     return conns.filter(gap > max_idle * 1_000_000).withColumn(
         "idle_secs", F.floor(gap / 1_000_000).cast("long")
     )

@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textorbit.functions.formats import fixed, humanize_ms, humanize_params, number_or, short_name
+from textorbit.functions.formats import fixed, humanize_ms, humanize_params, micros, number_or, short_name
+from textorbit.session import cut
 
 CONFIG = ["model", "size", "query_length"]
 
@@ -52,57 +53,79 @@ def _ordinal(label: Column, table: dict[str, int], otherwise: int | None) -> Col
 
 # --- exact order statistics -------------------------------------------------
 
+_EPS = 2e-4  # half width of a split around a wanted probability
+_ACCURACY = 10000
+
+
+def _marks(probabilities: Sequence[float]) -> list[float]:
+    return sorted({min(max(p + d, 0.0), 1.0) for p in probabilities for d in (-_EPS, _EPS)})
+
+
+def splits_of(value: str, probabilities: Sequence[float]) -> Column:
+    """Aggregate: approximate quantiles just below and above each probability."""
+    return F.percentile_approx(value, _marks(probabilities), _ACCURACY)
+
 
 def rank_values(
-    samples: DataFrame, keys: Sequence[str], value: str, ranks: DataFrame, probabilities: Sequence[float]
+    samples: DataFrame, plan: DataFrame, keys: Sequence[str], value: str, splits: int
 ) -> DataFrame:
-    """Exact values at given ranks: ``ranks`` has (keys, rank), 1 is the smallest.
-
-    No group is ever sorted whole.  Approximate quantiles around the wanted
-    ``probabilities`` split each group's value range; exact counts per split
-    tell which split holds a rank and at which place; only those splits are
-    counted by value and scanned.  The splits steer the work, not the result:
-    bad ones make a larger piece, never a wrong value.
+    """Exact values at given ranks, as (keys, rank, value); rank 1 is the smallest.
+
+    ``plan`` has one row per group: keys, ``_splits`` (``splits_of``) and
+    ``_ranks``, the wanted ranks.  No group is ever sorted whole.  The splits
+    cut each group's value range; exact counts per piece tell which piece holds
+    a rank and at which place; only those pieces are counted by value and
+    scanned.  The splits steer the work, not the result: bad ones make a larger
+    piece, never a wrong value.
     """
-    eps = 2e-4
-    marks = sorted({min(max(p + d, 0.0), 1.0) for p in probabilities for d in (-eps, eps)})
-    splits = samples.groupBy(*keys).agg(
-        F.percentile_approx(value, [float(m) for m in marks], 10000).alias("_splits")
-    )
     v = F.col(value)
-    # Values equal to a split form a region of their own: a mass of ties stays one value.
-    split = [F.get("_splits", F.lit(i)) for i in range(len(marks))]
-    region = sum((v > x).cast("int") + (v >= x).cast("int") for x in split)
-    parted = samples.select(*keys, value).join(splits, list(keys)).select(
-        *keys, value, region.alias("_region")
+    # Values equal to a split form a piece of their own: a mass of ties stays one value.
+    bounds = [F.get("_splits", F.lit(i)) for i in range(splits)]
+    piece = sum((v > x).cast("int") + (v >= x).cast("int") for x in bounds)
+    parted = samples.select(*keys, value).join(plan.select(*keys, "_splits"), list(keys)).select(
+        *keys, value, piece.alias("_piece")
+    )
+    upto_piece = Window.partitionBy(*keys).orderBy("_piece")  # at most 2 * splits + 1 rows
+    ends = (
+        parted.groupBy(*keys, "_piece")
+        .agg(F.count("*").alias("_n"))
+        .withColumn("_end", F.sum("_n").over(upto_piece))
+        .withColumn("_start", F.col("_end") - F.col("_n"))
     )
-    sizes = parted.groupBy(*keys, "_region").agg(F.count("*").alias("_n"))
-    over = Window.partitionBy(*keys).orderBy("_region")  # at most 2 * len(marks) + 1 rows
-    ends = sizes.withColumn("_end", F.sum("_n").over(over))
-    wanted = (
-        ranks.join(ends, list(keys))
-        .filter((F.col("rank") <= F.col("_end")) & (F.col("rank") > F.col("_end") - F.col("_n")))
-        .withColumn("_place", F.col("rank") - (F.col("_end") - F.col("_n")))
-        .select(*keys, "_region", "rank", "_place")
+    inside = F.filter("_ranks", lambda r: (r > F.col("_start")) & (r <= F.col("_end")))
+    wanted = cut(
+        ends.join(plan.select(*keys, "_ranks"), list(keys))
+        .select(*keys, "_piece", "_start", inside.alias("_in"))
+        .filter(F.size("_in") > 0)
     )
-    hit = wanted.select(*keys, "_region").distinct()
     counted = (
-        parted.join(hit, [*keys, "_region"], "left_semi")
-        .groupBy(*keys, "_region", value)
+        parted.join(wanted, [*keys, "_piece"])
+        .groupBy(*keys, "_piece", "_start", "_in", value)
         .agg(F.count("*").alias("_n"))
     )
-    upto = Window.partitionBy(*keys, "_region").orderBy(value)
-    placed = counted.withColumn("_end", F.sum("_n").over(upto))
-    return (
-        wanted.join(placed, [*keys, "_region"])
-        .filter((F.col("_place") <= F.col("_end")) & (F.col("_place") > F.col("_end") - F.col("_n")))
-        .select(*keys, "rank", F.col(value).alias("value"))
-    )
+    upto_value = Window.partitionBy(*keys, "_piece").orderBy(value)
+    placed = counted.withColumn("_end", F.col("_start") + F.sum("_n").over(upto_value))
+    found = F.filter("_in", lambda r: (r > F.col("_end") - F.col("_n")) & (r <= F.col("_end")))
+    return placed.select(*keys, F.explode(found).alias("rank"), F.col(value).alias("value"))
+
+
+def _by_rank(found: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, _at): the few found ranks of a group as a map."""
+    return found.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("rank", "value"))).alias("_at"))
+
+
+def _at(rank: Column) -> Column:
+    return F.try_element_at(F.col("_at"), rank)
 
 
 def _exclusive_rank(n: Column, i: int, q: int) -> Column:
     """Lower rank of the i-th of q exclusive quantiles, kept inside the data."""
-    return F.greatest(F.lit(1), F.least(F.floor((n + 1) * i / q).cast("long"), n - 1))
+    return F.greatest(F.lit(1).cast("long"), F.least(F.floor((n + 1) * i / q).cast("long"), n - 1))
+
+
+def _between(n: Column, j: Column, i: int, q: int) -> Column:
+    delta = (n + 1) * i - j * q
+    return (_at(j) * (q - delta) + _at(j + 1) * delta) / q
 
 
 def percentile_exclusive(
@@ -112,71 +135,66 @@ def percentile_exclusive(
 
     Groups with one sample have no such quantile and give null.
     """
-    n = samples.groupBy(*keys).agg(F.count(value).alias("n"))
-    low = n.withColumn("_j", _exclusive_rank(F.col("n"), i, q))
-    ranks = low.filter(F.col("n") > 1).select(
-        *keys, F.explode(F.array(F.col("_j"), F.col("_j") + 1)).alias("rank")
-    )
-    found = rank_values(samples.filter(F.col(value).isNotNull()), keys, value, ranks, [i / q])
-    joined = low.join(found, list(keys), "left").groupBy(*keys, "n", "_j").agg(
-        F.max(F.when(F.col("rank") == F.col("_j"), F.col("value"))).alias("_lo"),
-        F.max(F.when(F.col("rank") == F.col("_j") + 1, F.col("value"))).alias("_hi"),
+    rows = samples.filter(F.col(value).isNotNull())
+    n, j = F.col("n"), F.col("_j")
+    plan = rows.groupBy(*keys).agg(F.count(value).alias("n"), splits_of(value, [i / q]).alias("_splits"))
+    plan = cut(
+        plan.withColumn("_j", _exclusive_rank(n, i, q)).withColumn("_ranks", F.when(n > 1, F.array(j, j + 1)))
     )
-    return joined.select(*keys, "n", _between(F.col("_lo"), F.col("_hi"), F.col("n"), F.col("_j"), i, q).alias(out))
-
-
-def _between(lo: Column, hi: Column, n: Column, j: Column, i: int, q: int) -> Column:
-    delta = (n + 1) * i - j * q
-    return (lo * (q - delta) + hi * delta) / q
+    at = _by_rank(rank_values(rows, plan, keys, value, 2), keys)
+    return plan.join(at, list(keys), "left").select(*keys, "n", _between(n, j, i, q).alias(out))
 
 
 def timing_stats(samples: DataFrame, keys: Sequence[str], value: str = "ms") -> DataFrame:
     """Mean, sample deviation (0 for one sample), median, p95 and p99 per group.
 
     p95 is the 19th of 20 exclusive quantiles from 20 samples on, p99 the 99th
-    of 100 from 100 samples on; below that both are the maximum.
+    of 100 from 100 samples on; below that both are the maximum.  Three scans
+    of the samples, each combined map-side; shuffled are group rows and the
+    values next to the wanted ranks.
     """
     rows = samples.filter(F.col(value).isNotNull())
-    base = rows.groupBy(*keys).agg(
-        F.count(value).alias("n"),
-        F.avg(value).alias("mean_ms"),
-        F.coalesce(F.stddev_samp(value), F.lit(0.0)).alias("std_ms"),
-        F.max(value).alias("max_ms"),
-    )
+    targets = [0.5, 0.95, 0.99]
     n = F.col("n")
-    j95, j99 = _exclusive_rank(n, 19, 20), _exclusive_rank(n, 99, 100)
-    half = F.floor((n + 1) / 2).cast("long")
-    other = F.floor(n / 2).cast("long") + 1
-    planned = base.withColumns({"_h": half, "_o": other, "_j95": j95, "_j99": j99})
-    ranks = planned.select(
-        *keys,
-        F.explode(
+    none = F.array().cast("array<bigint>")
+    low, high, j95, j99 = F.col("_low"), F.col("_high"), F.col("_j95"), F.col("_j99")
+    plan = cut(
+        rows.groupBy(*keys)
+        .agg(
+            F.count(value).alias("n"),
+            F.avg(value).alias("mean_ms"),
+            F.coalesce(F.stddev_samp(value), F.lit(0.0)).alias("std_ms"),
+            F.max(value).alias("max_ms"),
+            splits_of(value, targets).alias("_splits"),
+        )
+        .withColumns(
+            {
+                "_low": F.floor((n + 1) / 2).cast("long"),
+                "_high": F.floor(n / 2).cast("long") + 1,
+                "_j95": _exclusive_rank(n, 19, 20),
+                "_j99": _exclusive_rank(n, 99, 100),
+            }
+        )
+        .withColumn(
+            "_ranks",
             F.array_distinct(
                 F.concat(
-                    F.array("_h", "_o"),
-                    F.when(n >= 20, F.array(F.col("_j95"), F.col("_j95") + 1)).otherwise(F.array().cast("array<bigint>")),
-                    F.when(n >= 100, F.array(F.col("_j99"), F.col("_j99") + 1)).otherwise(F.array().cast("array<bigint>")),
+                    F.array(low, high),
+                    F.when(n >= 20, F.array(j95, j95 + 1)).otherwise(none),
+                    F.when(n >= 100, F.array(j99, j99 + 1)).otherwise(none),
                 )
-            )
-        ).alias("rank"),
-    )
-    found = rank_values(rows, keys, value, ranks, [0.5, 0.95, 0.99])
-    by_rank = found.groupBy(*keys).agg(
-        F.map_from_entries(F.collect_list(F.struct("rank", "value"))).alias("_at")  # <= 6 ranks
+            ),
+        )
     )
-    at = lambda r: F.try_element_at(F.col("_at"), r)
-    return planned.join(by_rank, list(keys)).select(
+    at = _by_rank(rank_values(rows, plan, keys, value, 2 * len(targets)), keys)
+    return plan.join(at, list(keys)).select(
         *keys,
         "n",
         "mean_ms",
         "std_ms",
-        ((at(F.col("_h")) + at(F.col("_o"))) / 2).alias("p50_ms"),
-        F.when(n >= 20, _between(at(F.col("_j95")), at(F.col("_j95") + 1), n, F.col("_j95"), 19, 20))
-        .otherwise(F.col("max_ms"))
-        .alias("p95_ms"),
-        F.when(n >= 100, _between(at(F.col("_j99")), at(F.col("_j99") + 1), n, F.col("_j99"), 99, 100))
-        .otherwise(F.col("max_ms"))
-        .alias("p99_ms"),
+        ((_at(low) + _at(high)) / 2).alias("p50_ms"),
+        F.when(n >= 20, _between(n, j95, 19, 20)).otherwise(F.col("max_ms")).alias("p95_ms"),
+        F.when(n >= 100, _between(n, j99, 99, 100)).otherwise(F.col("max_ms")).alias("p99_ms"),
     )
 
 
@@ -194,25 +212,29 @@ def compare_devices(stats: DataFrame, run_order: str = "run_order") -> DataFrame
     """CPU rows with their GPU side; every device that is not ``cpu`` is a GPU.
 
     A configuration measured twice keeps its last run.  Model facts come from
-    the CPU side; configurations without a CPU row vanish.
+    the CPU side; configurations without a CPU row vanish.  Both sides come out
+    of one aggregation per configuration instead of a self-join.
     """
     columns = [*STATS, "load_time_ms", *INFO]
     for c in columns:
         if c not in stats.columns:
             stats = stats.withColumn(c, F.lit(None).cast("string" if c == "model_type" else "double"))
 
-    def side(condition: Column, wanted: list[str], prefix: str) -> DataFrame:
-        last = stats.filter(condition).groupBy(*CONFIG).agg(
-            F.max_by(F.struct(*wanted), run_order).alias("_r")
-        )
-        return last.select(
-            *CONFIG, *[F.col(f"_r.{c}").alias(c if c in INFO else f"{prefix}_{c}") for c in wanted]
-        )
+    def side(condition: Column, wanted: list[str]) -> Column:
+        return F.max_by(F.when(condition, F.struct(*wanted)), F.when(condition, F.col(run_order)))
 
-    cpu = side(F.col("device") == "cpu", columns, "cpu")
-    gpu = side(F.col("device") != "cpu", [*STATS, "load_time_ms"], "gpu")
-    return cpu.join(gpu, CONFIG, "left").withColumn(
-        "speedup", speedup(F.col("cpu_mean_ms"), F.col("gpu_mean_ms"))
+    on_cpu = F.col("device") == "cpu"
+    timed = [*STATS, "load_time_ms"]
+    sides = stats.groupBy(*CONFIG).agg(side(on_cpu, columns).alias("_c"), side(~on_cpu, timed).alias("_g"))
+    return (
+        sides.filter(F.col("_c").isNotNull())
+        .select(
+            *CONFIG,
+            *[F.col(f"_c.{c}").alias(f"cpu_{c}") for c in timed],
+            *[F.col(f"_c.{c}").alias(c) for c in INFO],
+            *[F.col(f"_g.{c}").alias(f"gpu_{c}") for c in timed],
+        )
+        .withColumn("speedup", speedup(F.col("cpu_mean_ms"), F.col("gpu_mean_ms")))
     )
 
 
@@ -274,7 +296,7 @@ def throughput(requests: DataFrame, run: str = "run_id", unit: str = "texts") ->
     """
     ok = F.col("ok")
     texts = F.col("n_texts") if unit == "batches" else F.lit(1)
-    elapsed = F.max(F.unix_micros("end_ts")) - F.min(F.unix_micros("start_ts"))
+    elapsed = F.max(micros("end_ts")) - F.min(micros("start_ts"))
     runs = requests.groupBy(run).agg(
         F.count("*").alias("num_requests"),
         F.coalesce(F.sum(texts), F.lit(0)).cast("long").alias("num_texts"),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textorbit.functions.formats import micros
 from textorbit.operators.latency import timing_stats
 
 LABELS = ["l1", "l2"]
@@ -51,7 +52,7 @@ def histograms(events: DataFrame) -> DataFrame:
 
 def failure_rate(events: DataFrame, window: str = "5 minutes", slide: str = "1 minute", ts: str = "ts") -> DataFrame:
     """Failures per second in sliding windows per instance; on streams use a watermark."""
-    seconds = F.unix_seconds("w.end") - F.unix_seconds("w.start")
+    seconds = (micros("w.end") - micros("w.start")) / 1_000_000
     return (
         events.groupBy("instance", F.window(ts, window, slide).alias("w"))
         .agg(F.count("*").alias("failures"))
@@ -78,7 +79,7 @@ def connection_stats(
     """Connections, oldest age (null if none), largest idle time (0 if none), in seconds."""
 
     def age(column: str) -> Column:
-        return F.floor((F.unix_micros(now) - F.unix_micros(F.col(column))) / 1_000_000).cast("long")
+        return F.floor((micros(now) - micros(column)) / 1_000_000).cast("long")
 
     return conns.agg(
         F.count("*").alias("active_connections"),

@@ -1,6 +1,6 @@
 """Named queries over the given tables, by family."""
 
-from textorbit.plans import text  # noqa: F401
+from textorbit.plans import catalog, fleet, latency, text  # noqa: F401
 from textorbit.plans.registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
