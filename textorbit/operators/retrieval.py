@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from textorbit.functions import vectors as vec
 from textorbit.functions.formats import round6
+from textorbit.session import cut
 
 # Queries up to this many bytes (rows x width x 8) are sent to every task.
 QUERY_BYTES = 64 << 20
@@ -258,7 +259,7 @@ def similarity_join(
     compares two blocks, however large the cell.
     """
     spark = df.sparkSession
-    distinct = vector_groups(df.filter(F.col(vector_col).isNotNull()), id_col, vector_col)
+    distinct = cut(vector_groups(df.filter(F.col(vector_col).isNotNull()), id_col, vector_col))
     if pivots is None:
         pivots = int(min(max(math.isqrt(distinct.count()) // 4, 1), 1024))
     chosen = distinct.orderBy(F.xxhash64("id"), "id").limit(pivots).select("vec").toArrow()

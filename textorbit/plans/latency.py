@@ -186,19 +186,13 @@ _QUERY_ORD = "CASE query_length WHEN 'short' THEN 0 WHEN 'medium' THEN 1 WHEN 'l
 @query(
     f"""
     WITH {_COMPARE_SQL}
-    SELECT model, size, query_length, {_SIZE_ORD}::INTEGER AS size_ord, {_QUERY_ORD}::INTEGER AS query_ord,
-           row_number() OVER (ORDER BY {_SIZE_ORD}, {_QUERY_ORD}, model) AS line_no
-    FROM cmp
+    SELECT model, size, query_length, {_SIZE_ORD}::INTEGER AS size_ord, {_QUERY_ORD}::INTEGER AS query_ord
+    FROM cmp ORDER BY 4, 5, 1
     """
 )
 def report_order(t: Tables):
-    from pyspark.sql import Window
-
-    # One row per configuration: numbering the report's lines is small by construction.
-    line = F.row_number().over(Window.orderBy("size_ord", "query_ord", "model")).cast("long")
-    return lt.report_order(comparison(t)).select(
-        "model", "size", "query_length", "size_ord", "query_ord", line.alias("line_no")
-    )
+    ordered = lt.report_order(comparison(t)).orderBy("size_ord", "query_ord", "model")
+    return ordered.select("model", "size", "query_length", "size_ord", "query_ord")
 
 
 _SIDES = [f"{d}_{s}" for d in ("cpu", "gpu") for s in lt.STATS[:3]]

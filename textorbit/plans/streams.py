@@ -167,21 +167,21 @@ def stream_counters(t: Tables):
 _SESSIONS = """
     WITH e AS (SELECT user_id AS instance, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS p FROM events),
     s AS (SELECT instance, ts, sum((p IS NULL OR epoch_us(ts) - epoch_us(p) >= 36000000000)::INT) OVER (PARTITION BY instance ORDER BY ts) AS n FROM e)
-    SELECT instance, min(ts) AS session_start, max(ts) + INTERVAL 36000 SECOND AS idle_since_end, count(*) AS uses FROM s GROUP BY instance, n
+    SELECT instance, min(ts) AS session_start, max(ts) + INTERVAL 36000 SECOND AS session_end, count(*) AS uses FROM s GROUP BY instance, n
 """
 
 
 @query(_SESSIONS)
 def idle_sessions(t: Tables):
     rows = t.events.select(F.col("user_id").alias("instance"), "ts")
-    return flows.idle_sessions(rows, gap="36000 seconds")
+    return flows.idle_sessions(rows, gap_secs=36000)
 
 
 @query()
 def stream_idle_sessions(t: Tables):
     """Sessions the watermark has closed when the input ends; the open ones stay in the state."""
     rows = stream(t, "events").select(F.col("user_id").alias("instance"), F.col("ts").cast("timestamp").alias("ts"))
-    return table(t, flows.idle_sessions(rows, gap="36000 seconds"))
+    return table(t, flows.idle_sessions(rows, gap_secs=36000))
 
 
 @query()

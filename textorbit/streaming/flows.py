@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from textorbit.functions.formats import micros
 from textorbit.operators import encode, fleet
 from textorbit.operators.metrics import LABELS, failure_rate, series
 from textorbit.session import fresh_dir
@@ -247,16 +248,31 @@ def failure_rate_stream(events: DataFrame, watermark: str = "10 minutes", **wind
 
 
 def idle_sessions(
-    events: DataFrame, key: str = "instance", gap: str = "600 seconds", watermark: str = "10 minutes", ts: str = "ts"
+    events: DataFrame, key: str = "instance", gap_secs: int = 600, watermark: str = "10 minutes", ts: str = "ts"
 ) -> DataFrame:
     """Sessions of use per key, ended by a gap, on tables and streams.
 
-    A session closes at a gap of 600 seconds or more; a pruner that removes
-    entries idle for strictly more than 600 seconds differs at exactly 600.
+    A session closes at a gap of ``gap_secs`` or more; a pruner that removes
+    entries idle for strictly longer differs at exactly the gap.
+
+    On tables, uses within one gap-wide slot belong to one session whatever
+    lies around them, so each slot is folded first (map-side) to its first and
+    last use.  Merging then sees at most one row per key and slot, however
+    busy the key; the slot's own length rides along in the session's gap.
     """
-    rows = events.withWatermark(ts, watermark) if events.isStreaming else events
-    sessions = rows.groupBy(key, F.session_window(ts, gap).alias("s")).agg(F.count("*").alias("uses"))
-    return sessions.select(key, F.col("s.start").alias("session_start"), F.col("s.end").alias("idle_since_end"), "uses")
+    if events.isStreaming:
+        # Fold sessions before the shuffle, for keys with most of the rows.
+        events.sparkSession.conf.set("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
+        window = F.session_window(ts, f"{gap_secs} seconds")
+        sessions = events.withWatermark(ts, watermark).groupBy(key, window.alias("s")).agg(F.count("*").alias("uses"))
+    else:
+        slot = F.floor(micros(ts) / (gap_secs * 1_000_000))
+        slots = events.groupBy(key, slot.alias("_slot")).agg(
+            F.min(ts).alias("_first"), F.max(ts).alias("_last"), F.count("*").alias("_uses")
+        )
+        span = F.make_interval(secs=((micros("_last") - micros("_first")) / 1_000_000 + gap_secs).cast("decimal(18,6)"))
+        sessions = slots.groupBy(key, F.session_window("_first", span).alias("s")).agg(F.sum("_uses").alias("uses"))
+    return sessions.select(key, F.col("s.start").alias("session_start"), F.col("s.end").alias("session_end"), "uses")
 
 
 def split_errors(messages: DataFrame, root: str, valid: Column, trigger: dict | None = None) -> StreamingQuery:
