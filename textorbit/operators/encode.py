@@ -437,9 +437,10 @@ def decode(
     special = df.sparkSession.createDataFrame(
         [(dim + i, t) for i, t in enumerate(SPECIAL_TOKENS) if not skip_special_tokens], "id long, token string"
     )
+    words = known.unionByName(special).withColumnRenamed("id", "_id")
     texts = (
-        df.select(key, F.posexplode(ids_col).alias("_pos", "id"))
-        .join(known.unionByName(special), "id")
+        df.select(key, F.posexplode(ids_col).alias("_pos", "_id"))
+        .join(words, "_id")
         .groupBy(key)
         .agg(F.array_sort(F.collect_list(F.struct("_pos", "token"))).alias("_t"))
         .select(key, F.array_join(F.transform("_t", lambda s: s["token"]), " ").alias(out))

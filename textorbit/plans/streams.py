@@ -166,7 +166,7 @@ def stream_counters(t: Tables):
 
 _SESSIONS = """
     WITH e AS (SELECT user_id AS instance, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS p FROM events),
-    s AS (SELECT instance, ts, sum((p IS NULL OR epoch_us(ts) - epoch_us(p) >= 36000000000)::INT) OVER (PARTITION BY instance ORDER BY ts) AS n FROM e)
+    s AS (SELECT instance, ts, sum((p IS NULL OR epoch_us(ts) - epoch_us(p) > 36000000000)::INT) OVER (PARTITION BY instance ORDER BY ts) AS n FROM e)
     SELECT instance, min(ts) AS session_start, max(ts) + INTERVAL 36000 SECOND AS session_end, count(*) AS uses FROM s GROUP BY instance, n
 """
 

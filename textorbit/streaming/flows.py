@@ -252,8 +252,8 @@ def idle_sessions(
 ) -> DataFrame:
     """Sessions of use per key, ended by a gap, on tables and streams.
 
-    A session closes at a gap of ``gap_secs`` or more; a pruner that removes
-    entries idle for strictly longer differs at exactly the gap.
+    A session closes after a gap strictly longer than ``gap_secs``, as an entry
+    idle for strictly longer than that is pruned.
 
     On tables, uses within one gap-wide slot belong to one session whatever
     lies around them, so each slot is folded first (map-side) to its first and
