@@ -99,28 +99,31 @@ def splade_pool(token_logits: Column, mask: Column) -> Column:
     return let(token_logits, lambda rows: let(mask, lambda m: pooled(rows, m)))
 
 
-def _as_map(sparse: Column) -> Column:
-    return F.map_from_entries(sparse)
+def _meetings(a: Column, b: Column, count: bool = False) -> Column:
+    """Fold over the indices two sparse vectors share: sum of value products, or their count.
+
+    Both vectors are sorted together; a shared index makes two neighbours.
+    Linear in the entries after the sort, where a map would be scanned for
+    every index.
+    """
+
+    def fold(c: Column) -> Column:
+        def meet(i: Column) -> Column:
+            x, y = F.get(c, i - 1), F.get(c, i)
+            gain = F.lit(1.0) if count else x["value"].cast("double") * y["value"].cast("double")
+            return F.when(x["index"] == y["index"], gain).otherwise(0.0)
+
+        pairs = F.sequence(F.lit(1), F.size(c) - 1)
+        return F.when(F.size(c) > 1, F.aggregate(pairs, F.lit(0.0), lambda acc, i: acc + meet(i))).otherwise(0.0)
+
+    return let(F.sort_array(F.concat(a, b)), fold)
 
 
 def sparse_dot(a: Column, b: Column) -> Column:
-    """Dot product of two ``array<struct<index, value>>`` vectors."""
-    return let(
-        _as_map(b),
-        lambda m: F.aggregate(
-            a,
-            F.lit(0.0),
-            lambda acc, s: acc
-            + s["value"].cast("double")
-            * F.coalesce(F.try_element_at(m, s["index"]).cast("double"), F.lit(0.0)),
-        ),
-    )
+    """Dot product of two ``array<struct<index, value>>`` vectors with unique indices."""
+    return _meetings(a, b)
 
 
 def sparse_overlap(a: Column, b: Column) -> Column:
     """Number of indices two sparse vectors share."""
-    return F.size(
-        F.array_intersect(
-            F.transform(a, lambda s: s["index"]), F.transform(b, lambda s: s["index"])
-        )
-    )
+    return _meetings(a, b, count=True).cast("long")

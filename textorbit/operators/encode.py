@@ -349,35 +349,44 @@ def tokenize(
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from hashlib import md5
 
-        ids: dict[str, int] = {}
+        ids: dict[str, int] = {first: dim, last: dim + 1}
 
         def token_id(t: str) -> int:
-            if t not in ids:
-                if len(ids) > 1_000_000:
+            i = ids.get(t)
+            if i is None:
+                if len(ids) > 1_000_000:  # bounded memory of a long-lived worker
                     ids.clear()
-                ids[t] = int(md5(t.encode()).hexdigest()[:8], 16) % dim
-            return ids[t]
-
-        def row(text: str | None) -> list[dict] | None:
-            if text is None:
-                return None
-            found = [
-                {"id": token_id(m.group()), "text": m.group(), "special": False, "start": m.start(), "stop": m.end()}
-                for m in token.finditer(text.lower())
-            ]
-            if add_special_tokens:
-                found.insert(0, {"id": dim, "text": first, "special": True, "start": None, "stop": None})
-                found.append({"id": dim + 1, "text": last, "special": True, "start": None, "stop": None})
-            return found
-
-        token_type = pa.list_(
-            pa.struct(
-                [("id", pa.int64()), ("text", pa.string()), ("special", pa.bool_()), ("start", pa.int64()), ("stop", pa.int64())]
-            )
-        )
+                    ids.update({first: dim, last: dim + 1})
+                i = ids[t] = int(md5(t.encode()).hexdigest()[:8], 16) % dim
+            return i
+
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
-            column = pa.array([row(t) for t in texts], type=token_type)
+            offsets, words, starts, stops = [0], [], [], []
+            empty = []
+            for text in batch.column(batch.schema.get_field_index(text_col)).to_pylist():
+                empty.append(text is None)
+                if text is not None:
+                    found = [(m.group(), *m.span()) for m in token.finditer(text.lower())]
+                    if add_special_tokens:
+                        found = [(first, None, None), *found, (last, None, None)]
+                    if found:
+                        w, a, b = zip(*found, strict=True)
+                        words += w
+                        starts += a
+                        stops += b
+                offsets.append(len(words))
+            special = pa.array([w == first or w == last for w in words], pa.bool_())
+            items = pa.StructArray.from_arrays(
+                [
+                    pa.array([token_id(w) for w in words], pa.int64()),
+                    pa.array(words, pa.string()),
+                    special,
+                    pa.array(starts, pa.int64()),
+                    pa.array(stops, pa.int64()),
+                ],
+                names=["id", "text", "special", "start", "stop"],
+            )
+            column = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), items, mask=pa.array(empty))
             yield pa.RecordBatch.from_arrays([*batch.columns, column], [*batch.schema.names, out])
 
     return df.mapInArrow(split, schema)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textorbit.functions.formats import fixed, humanize_ms, humanize_params, micros, number_or, short_name
-from textorbit.session import cut
+from textorbit.session import cut, small
 
 CONFIG = ["model", "size", "query_length"]
 
@@ -82,7 +82,7 @@ def rank_values(
     # Values equal to a split form a piece of their own: a mass of ties stays one value.
     bounds = [F.get("_splits", F.lit(i)) for i in range(splits)]
     piece = sum((v > x).cast("int") + (v >= x).cast("int") for x in bounds)
-    parted = samples.select(*keys, value).join(plan.select(*keys, "_splits"), list(keys)).select(
+    parted = samples.select(*keys, value).join(small(plan.select(*keys, "_splits")), list(keys)).select(
         *keys, value, piece.alias("_piece")
     )
     upto_piece = Window.partitionBy(*keys).orderBy("_piece")  # at most 2 * splits + 1 rows
@@ -99,7 +99,7 @@ def rank_values(
         .filter(F.size("_in") > 0)
     )
     counted = (
-        parted.join(wanted, [*keys, "_piece"])
+        parted.join(small(wanted), [*keys, "_piece"])
         .groupBy(*keys, "_piece", "_start", "_in", value)
         .agg(F.count("*").alias("_n"))
     )
@@ -149,7 +149,8 @@ def timing_stats(samples: DataFrame, keys: Sequence[str], value: str = "ms") ->
     """Mean, sample deviation (0 for one sample), median, p95 and p99 per group.
 
     p95 is the 19th of 20 exclusive quantiles from 20 samples on, p99 the 99th
-    of 100 from 100 samples on; below that both are the maximum.  Three scans
+    of 100 from 100 samples on; below that both are the maximum.  Keys must not
+    be null, null samples are left out.  Three scans
     of the samples, each combined map-side; shuffled are group rows and the
     values next to the wanted ranks.
     """

@@ -30,16 +30,16 @@ def check_width(df: DataFrame, col: str = "embedding") -> tuple[DataFrame, DataF
     sizes = df.filter(F.col(col).isNotNull()).groupBy(F.size(col).alias("width")).agg(
         F.count("*").alias("n_rows")
     )
-    expected = sizes.agg(F.max(F.struct("n_rows", (-F.col("width")).alias("w"))).alias("m")).select(
-        (-F.col("m.w")).alias("_expected")
-    )
     summary = sizes.agg(
         F.min("width").alias("min_width"),
         F.max("width").alias("max_width"),
         F.sum("n_rows").alias("n_rows"),
     ).withColumn("uniform", F.col("min_width") == F.col("max_width"))
-    widths = sizes.join(F.broadcast(expected), F.col("width") != F.col("_expected"), "left_semi")
-    violators = df.join(widths.select("width"), F.size(col) == F.col("width"), "left_semi")
+    common = F.max_by("width", F.struct("n_rows", (-F.col("width")).alias("low")))
+    odd = sizes.agg(common.alias("_common"), F.collect_list("width").alias("_all")).select(
+        F.explode(F.array_remove("_all", F.col("_common"))).alias("width")
+    )
+    violators = df.join(odd, F.size(col) == F.col("width"), "left_semi")
     return summary, violators
 
 
@@ -70,7 +70,7 @@ def sparse_pairs(pairs: DataFrame, a: DataFrame, b: DataFrame, id_col: str, spar
         .withColumns(
             {
                 "dot": round6(vec.sparse_dot(F.col("_a"), F.col("_b"))),
-                "overlap": F.coalesce(vec.sparse_overlap(F.col("_a"), F.col("_b")), F.lit(0)).cast("long"),
+                "overlap": vec.sparse_overlap(F.col("_a"), F.col("_b")),
             }
         )
         .drop("_a", "_b")

@@ -5,11 +5,12 @@ key into one task.  The scans here work on ``(key, chunk)`` groups instead,
 where ``chunk`` cuts the order of a key into bounded pieces:
 
 1. inside each ``(key, chunk)`` group an ordinary window computes the local part;
-2. one summary row per ``(key, chunk)`` is scanned over the chunks of a key;
+2. one summary row per ``(key, chunk)`` is scanned over the chunks of a key (with
+   no key at all: one row per chunk of a million rows, in one task);
 3. what the earlier chunks contribute is joined back on ``(key, chunk)``, a
    partitioning the rows already have.
 
-Chunks come from the order column (``step_chunks``: no extra job) or, for an
+Keys and orders must not be null.  Chunks come from the order column (``step_chunks``: no extra job) or, for an
 order without a numeric step, from a range partitioning (``range_chunks``).
 """
 
@@ -27,7 +28,7 @@ CHUNK = "_chunk"
 
 def step_chunks(df: DataFrame, column: str, step: int = 1 << 20) -> DataFrame:
     """Cut an integer order column into ranges of ``step`` consecutive values."""
-    return df.withColumn(CHUNK, F.floor(F.col(column) / F.lit(step)).cast("long"))
+    return df.withColumn(CHUNK, F.expr(f"`{column}` div {step}"))
 
 
 def range_chunks(

@@ -105,7 +105,7 @@ _CHECKS = """
     """
 )
 def failure_streaks(t: Tables):
-    return fleet.failure_streaks(checks(t), step=512)
+    return fleet.failure_streaks(checks(t), step=4096)
 
 
 @query(
@@ -118,7 +118,7 @@ def status_transitions(t: Tables):
     history = t.events.select(
         F.col("user_id").alias("instance"), F.col("event_id").alias("seq"), F.col("event_type").alias("status")
     )
-    return fleet.status_transitions(history, step=512)
+    return fleet.status_transitions(history, step=4096)
 
 
 START = ["stopped", "starting", "running", "failed"]
@@ -133,7 +133,7 @@ def replayed(t: Tables):
             "start_failures": F.col("instance") % 3,
         }
     )
-    return fleet.health_reduce(rows, max_failures=3, step=512)
+    return fleet.health_reduce(rows, max_failures=3, step=4096)
 
 
 _REPLAY = f"""

@@ -145,7 +145,7 @@ def stream_health(t: Tables):
     )
     start = F.get(F.array(*[F.lit(s) for s in fleet_queries.START]), (F.col("instance") % 4).cast("int"))
     root = fresh_dir(t.spark, "health")
-    flows.health_monitor(rows, root, initial_status=start, step=512).awaitTermination()
+    flows.health_monitor(rows, root, initial_status=start, step=4096).awaitTermination()
     return flows.read_batches(t.spark, root, flows.HEALTH_STATE).drop("batch")
 
 

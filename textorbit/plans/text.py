@@ -9,6 +9,7 @@ from textorbit.functions import vectors as vec
 from textorbit.functions.formats import round6
 from textorbit.operators import batch, encode, requests, retrieval
 from textorbit.plans.registry import Tables, query
+from textorbit.session import cut
 
 # SQL fragments of the checks.
 TOKENS = "list_filter(regexp_split_to_array(lower({0}), '[^a-zà-ÿß0-9]+'), lambda x: x <> '')"
@@ -152,7 +153,8 @@ _SPARSE = (
     """
 )
 def sparse_pairs(t: Tables):
-    docs = encode.embed_sparse(t.spread("documents").select("doc_id", "text")).drop("text")
+    # Both sides of the join read the encoded table; encode once.
+    docs = cut(encode.embed_sparse(t.spread("documents").select("doc_id", "text")).drop("text"))
     pairs = t.spread("documents").select(F.col("doc_id").alias("id_a"), (F.col("doc_id") + 1).alias("id_b"))
     return retrieval.sparse_pairs(pairs, docs, docs, "doc_id")
 

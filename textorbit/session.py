@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -48,10 +49,19 @@ def spread(df: DataFrame) -> DataFrame:
     """Repartition a scan of less than one full input split per core.
 
     A small file is one row group, hence one task, while tokenizing and hashing
-    its rows costs far more than moving them.  Larger inputs stay as they are.
+    its rows costs far more than moving them.  Four pieces per core even out
+    long texts.  Larger inputs stay as they are.
     """
     spark = df.sparkSession
     cores = spark.sparkContext.defaultParallelism
     size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
-    return df.repartition(cores) if size < cores * split else df
+    return df.repartition(4 * cores) if size < cores * split else df
+
+
+def small(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
+    """Broadcast hint for a written table (``cut``) of at most ``max_rows`` short rows.
+
+    Beyond that the join is left to Spark, which shuffles both sides.
+    """
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from textorbit import schemas
 from textorbit.functions.formats import humanize_params
 from textorbit.operators import latency as lt
+from textorbit.session import cut
 
 
 def write_report_csv(comparison: DataFrame, path: str) -> None:
@@ -19,11 +20,12 @@ def write_report_csv(comparison: DataFrame, path: str) -> None:
 def _section(df: DataFrame, order: list[str], fields: list[Column], name: str) -> DataFrame:
     entry = F.struct(*[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)], F.struct(*fields).alias("row"))
     listed = F.array_sort(F.collect_list(entry))
-    return df.agg(F.transform(listed, lambda e: e["row"]).alias(name)).withColumn("_k", F.lit(1))
+    return df.agg(F.transform(listed, lambda e: e["row"]).alias(name))
 
 
 def report_document(comparison: DataFrame, hardware: dict, config: dict, run: dict) -> DataFrame:
     """One row: run facts, hardware, config, comparison[] and the two summaries."""
+    comparison = cut(comparison)  # read by three sections
     rows = lt.report_order(comparison)
     stats = [F.col(f"{d}_{s}") for d in ("cpu", "gpu") for s in lt.STATS]
     compared = [
@@ -35,20 +37,20 @@ def report_document(comparison: DataFrame, hardware: dict, config: dict, run: di
     sides = [F.col(f"{d}_{s}") for d in ("cpu", "gpu") for s in lt.STATS[:3]] + [F.col("avg_speedup")]
     by_query, by_size = lt.agg_by_query(comparison), lt.agg_by_model(comparison)
     literal = lambda d: F.struct(*[F.lit(v).alias(k) for k, v in d.items()])
-    return (
-        _section(rows, ["size_ord", "query_ord", "model"], compared, "comparison")
-        .join(_section(by_query, ["ord"], [F.col("query_length"), *sides], "aggregations_by_query_size"), "_k")
-        .join(
-            _section(by_size, ["ord"], [F.col("size").alias("model_size"), *sides], "aggregations_by_model_size"), "_k"
-        )
-        .select(
-            *[F.lit(v).alias(k) for k, v in run.items()],
-            literal(hardware).alias("hardware"),
-            literal(config).alias("config"),
-            "comparison",
-            "aggregations_by_query_size",
-            "aggregations_by_model_size",
-        )
+    names = ["comparison", "aggregations_by_query_size", "aggregations_by_model_size"]
+    sections = [
+        _section(rows, ["size_ord", "query_ord", "model"], compared, names[0]),
+        _section(by_query, ["ord"], [F.col("query_length"), *sides], names[1]),
+        _section(by_size, ["ord"], [F.col("size").alias("model_size"), *sides], names[2]),
+    ]
+    rows_of_one = sections[0]
+    for section in sections[1:]:
+        rows_of_one = rows_of_one.unionByName(section, allowMissingColumns=True)
+    return rows_of_one.agg(*[F.first(n, ignorenulls=True).alias(n) for n in names]).select(
+        *[F.lit(v).alias(k) for k, v in run.items()],
+        literal(hardware).alias("hardware"),
+        literal(config).alias("config"),
+        *names,
     )
 
 
@@ -64,6 +66,7 @@ def report_table_lines(comparison: DataFrame, gpu: bool = True) -> DataFrame:
 
     Sections: 0 models, 1 comparison, 2 by query length, 3 by size label.
     """
+    comparison = cut(comparison)  # read by four sections
     none = F.lit("")
     by_query = lt.summary_lines(lt.agg_by_query(comparison), "query_length", gpu)
     by_size = lt.summary_lines(lt.agg_by_model(comparison), "size", gpu)
