@@ -36,7 +36,7 @@ def range_chunks(
 ) -> DataFrame:
     """Cut any order into about equal pieces by sampled range partitioning.
 
-    The partition number becomes the chunk.  The rows are checkpointed because
+    The partition number becomes the chunk.  The rows are written out because
     the sampled bounds must be the same for all later uses.
     """
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -82,11 +82,26 @@ def running(
             {f"_l_{n}": F.last(v, ignorenulls=True).over(upto) for n, v in marks.items()}
         )
 
-    # One row per (key, chunk): its last local values.
-    stamp = F.struct(*order)
-    tails = local.groupBy(*_group(keys)).agg(
+    # One row per (key, chunk), without a window or a shuffle of the rows: sums
+    # and last values are aggregations; the sum after a chunk's last reset takes
+    # a second one, once that reset is known.
+    stamp = F.col(order[0]) if len(order) == 1 else F.struct(*order)
+    source = df
+    if since:
+        resets = df.groupBy(*_group(keys)).agg(
+            *[F.max(F.when(reset, stamp)).alias(f"_r_{n}") for n, (reset, _) in since.items()]
+        )
+        source = df.join(resets, _group(keys))
+    after = {
+        n: F.sum(F.when(stamp > F.col(f"_r_{n}"), value).otherwise(F.lit(0))) for n, (_, value) in since.items()
+    }
+    tails = source.groupBy(*_group(keys)).agg(
         *[F.sum(v).alias(f"_t_{n}") for n, v in sums.items()],
-        *[F.max_by(F.col(f"_l_{n}"), stamp).alias(f"_t_{n}") for n in marks],
+        *[F.max_by(v, F.when(v.isNotNull(), stamp)).alias(f"_t_{n}") for n, v in lasts.items()],
+        *[
+            F.when(F.max(f"_r_{n}").isNotNull(), F.sum(sums[f"_all_{n}"]) - tail).alias(f"_t__at_{n}")
+            for n, tail in after.items()
+        ],
     )
     before = (
         Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)

@@ -6,7 +6,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -36,13 +35,16 @@ def fresh_dir(spark: SparkSession, label: str) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the reliable checkpoint folder and continue from there.
+    """Write ``df`` as a table in the shared folder and continue from there.
 
     Used where two branches must see the very same rows and partition numbers,
-    and between passes that would otherwise double the lineage.
+    and between passes that would otherwise double the lineage.  A columnar
+    table is read column by column, and Spark knows its size when it plans the
+    joins with it.
     """
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    path = fresh_dir(df.sparkSession, "cut")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -58,10 +60,3 @@ def spread(df: DataFrame) -> DataFrame:
     split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
     return df.repartition(4 * cores) if size < cores * split else df
 
-
-def small(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
-    """Broadcast hint for a written table (``cut``) of at most ``max_rows`` short rows.
-
-    Beyond that the join is left to Spark, which shuffles both sides.
-    """
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
