@@ -91,6 +91,25 @@ def test_tokenize_and_decode(spark):
         assert encode.decode(ids, vocab, skip_special_tokens=skip).filter("id = 1").first()["text"] == want
 
 
+def test_token_offsets_point_into_the_lower_cased_text(spark):
+    texts = ["", "...", "ab", "  ab", "ab--", "x😀y z", "Ä 12,Ü" * 40, None]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    plain = {r["text"]: r["tokens"] for r in encode.tokenize(df, offsets=False).collect()}
+    for r in encode.tokenize(df).collect():
+        if r["text"] is None:
+            assert r["tokens"] is None and plain[None] is None
+            continue
+        inner = r["tokens"][1:-1]
+        assert "".join(t["text"] for t in inner) == "".join(c for c in r["text"].lower() if c.isalnum())
+        assert all(r["text"].lower()[t["start"] : t["stop"]] == t["text"] for t in inner)
+        assert [(t["id"], t["text"], t["special"]) for t in plain[r["text"]]] == [(t["id"], t["text"], t["special"]) for t in r["tokens"]]
+
+
+def test_raw_vectors_without_normalizing(spark):
+    df = spark.createDataFrame([("a a b",)], "text string")
+    assert sum(abs(x) for x in encode.embed(df, normalize=False).first()["embedding"]) in (1.0, 3.0)
+
+
 def test_decode_with_a_joined_vocabulary(spark, monkeypatch):
     monkeypatch.setattr(encode, "INLINE_VOCABULARY", 10)
     df = spark.createDataFrame([(1, "one two two"), (2, "")], "id int, text string")

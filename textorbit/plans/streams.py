@@ -93,7 +93,7 @@ def stream_tokenize(t: Tables):
 @query(ORACLE["decode"])
 def stream_decode(t: Tables):
     vocab = encode.vocabulary(t.spread("documents").select("doc_id", "text"))
-    ids = encode.tokenize(documents(t)).select("doc_id", F.transform("tokens", lambda x: x["id"]).alias("ids"))
+    ids = encode.tokenize(documents(t), offsets=False).select("doc_id", F.transform("tokens", lambda x: x["id"]).alias("ids"))
     return table(t, encode.decode(ids, vocab, out="decoded").drop("ids"))
 
 

@@ -585,7 +585,7 @@ def tokenize(t: Tables):
 )
 def decode(t: Tables):
     docs = t.spread("documents").select("doc_id", "text")
-    ids = encode.tokenize(docs).select("doc_id", F.transform("tokens", lambda x: x["id"]).alias("ids"))
+    ids = encode.tokenize(docs, offsets=False).select("doc_id", F.transform("tokens", lambda x: x["id"]).alias("ids"))
     return encode.decode(ids, encode.vocabulary(docs), out="decoded").drop("ids")
 
 
