@@ -416,7 +416,7 @@ def _plain_tokens(text: Column, add_special_tokens: bool, dim: int) -> Column:
 
 def vocabulary(df: DataFrame, text_col: str = "text", dim: int = tx.SPARSE_DIM) -> DataFrame:
     """(id, token) of the tokens in a text column; the smallest token names a shared id."""
-    toks = tx.unroll(df, [], tx.tokens(F.col(text_col)), "token")
+    toks = tx.unroll(df, [], F.array_distinct(tx.tokens(F.col(text_col))), "token")
     return (
         toks.groupBy("token").agg(F.lit(1).alias("_one"))
         .groupBy(tx.token_bucket(F.col("token"), dim).alias("id"))

@@ -51,6 +51,16 @@ def _ordinal(label: Column, table: dict[str, int], otherwise: int | None) -> Col
     return found if otherwise is None else F.coalesce(found, F.lit(otherwise))
 
 
+def steady_mean(value: str, scale: int = 9) -> Column:
+    """Aggregate: mean that does not depend on the order of the rows.
+
+    A sum of doubles changes in its last digits with the order in which tasks
+    finish, and a report rounds such digits; decimals add up the same way always.
+    """
+    total = F.sum(F.col(value).cast(f"decimal(28,{scale})")).cast("double")
+    return total / F.count(value)
+
+
 # --- exact order statistics -------------------------------------------------
 
 _EPS = 2e-4  # half width of a split around a wanted probability
@@ -163,7 +173,7 @@ def timing_stats(samples: DataFrame, keys: Sequence[str], value: str = "ms") ->
         rows.groupBy(*keys)
         .agg(
             F.count(value).alias("n"),
-            F.avg(value).alias("mean_ms"),
+            steady_mean(value).alias("mean_ms"),
             F.coalesce(F.stddev_samp(value), F.lit(0.0)).alias("std_ms"),
             F.max(value).alias("max_ms"),
             splits_of(value, targets).alias("_splits"),
@@ -255,7 +265,7 @@ def _summary(comparison: DataFrame, key: str, table: dict[str, int]) -> DataFram
         comparison.withColumn("ord", _ordinal(F.col(key), table, None))
         .filter(F.col("ord").isNotNull())
         .groupBy(key, "ord")
-        .agg(*[F.avg(c).alias(c) for c in sides])
+        .agg(*[F.when(F.count(c) > 0, steady_mean(c, 12)).alias(c) for c in sides])
         .withColumn("avg_speedup", speedup(F.col("cpu_mean_ms"), F.col("gpu_mean_ms")))
     )
 

@@ -83,7 +83,7 @@ def stats_sql(source: str, keys: str, out: str = "stats", rounded: bool = False)
       SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY ms) AS i, count(*) OVER (PARTITION BY {keys}) AS n
       FROM {source}),
     {out} AS (
-      SELECT {keys}, n, {f("avg(ms)")} AS mean_ms, {f("coalesce(stddev_samp(ms), 0)")} AS std_ms,
+      SELECT {keys}, n, {f("sum(ms::DECIMAL(28,9))::DOUBLE / count(*)")} AS mean_ms, {f("coalesce(stddev_samp(ms), 0)")} AS std_ms,
              {f(f"({at('(n + 1) // 2')} + {at('n // 2 + 1')}) / 2")} AS p50_ms,
              {f(f"CASE WHEN n >= 20 THEN {between(j95, 19, 20)} ELSE max(ms) END")} AS p95_ms,
              {f(f"CASE WHEN n >= 100 THEN {between(j99, 99, 100)} ELSE max(ms) END")} AS p99_ms
@@ -196,7 +196,7 @@ def report_order(t: Tables):
 
 
 _SIDES = [f"{d}_{s}" for d in ("cpu", "gpu") for s in lt.STATS[:3]]
-_SIDE_MEANS = ", ".join(f"avg({c}) AS {c}" for c in _SIDES)
+_SIDE_MEANS = ", ".join(f"sum({c}::DECIMAL(28,12))::DOUBLE / count({c}) AS {c}" for c in _SIDES)
 
 
 def _summary_sql(key: str, where: str, ord_sql: str) -> str:
