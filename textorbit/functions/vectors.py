@@ -99,31 +99,35 @@ def splade_pool(token_logits: Column, mask: Column) -> Column:
     return let(token_logits, lambda rows: let(mask, lambda m: pooled(rows, m)))
 
 
-def _meetings(a: Column, b: Column, count: bool = False) -> Column:
-    """Fold over the indices two sparse vectors share: sum of value products, or their count.
+def sparse_meeting(a: Column, b: Column) -> Column:
+    """``struct<dot, overlap>`` of two ``array<struct<index, value>>`` with unique indices.
 
     Both vectors are sorted together; a shared index makes two neighbours.
     Linear in the entries after the sort, where a map would be scanned for
     every index.
     """
 
+    def result(total: Column, n: Column) -> Column:
+        return F.struct(total.alias("dot"), n.cast("long").alias("overlap"))
+
+    nothing = result(F.lit(0.0), F.lit(0))
+
     def fold(c: Column) -> Column:
-        def meet(i: Column) -> Column:
+        def meet(acc: Column, i: Column) -> Column:
             x, y = F.get(c, i - 1), F.get(c, i)
-            gain = F.lit(1.0) if count else x["value"].cast("double") * y["value"].cast("double")
-            return F.when(x["index"] == y["index"], gain).otherwise(0.0)
+            gain = x["value"].cast("double") * y["value"].cast("double")
+            return F.when(x["index"] == y["index"], result(acc["dot"] + gain, acc["overlap"] + 1)).otherwise(acc)
 
-        pairs = F.sequence(F.lit(1), F.size(c) - 1)
-        return F.when(F.size(c) > 1, F.aggregate(pairs, F.lit(0.0), lambda acc, i: acc + meet(i))).otherwise(0.0)
+        return F.when(
+            F.size(c) > 1, F.aggregate(F.sequence(F.lit(1), F.size(c) - 1), nothing, meet)
+        ).otherwise(nothing)
 
     return let(F.sort_array(F.concat(a, b)), fold)
 
 
 def sparse_dot(a: Column, b: Column) -> Column:
-    """Dot product of two ``array<struct<index, value>>`` vectors with unique indices."""
-    return _meetings(a, b)
+    return sparse_meeting(a, b)["dot"]
 
 
 def sparse_overlap(a: Column, b: Column) -> Column:
-    """Number of indices two sparse vectors share."""
-    return _meetings(a, b, count=True).cast("long")
+    return sparse_meeting(a, b)["overlap"]

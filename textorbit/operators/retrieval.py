@@ -67,13 +67,9 @@ def sparse_pairs(pairs: DataFrame, a: DataFrame, b: DataFrame, id_col: str, spar
     return (
         pairs.join(left, "id_a")
         .join(right, "id_b")
-        .withColumns(
-            {
-                "dot": round6(vec.sparse_dot(F.col("_a"), F.col("_b"))),
-                "overlap": vec.sparse_overlap(F.col("_a"), F.col("_b")),
-            }
-        )
-        .drop("_a", "_b")
+        .withColumn("_m", F.explode_outer(F.array(vec.sparse_meeting(F.col("_a"), F.col("_b")))))
+        .withColumns({"dot": round6(F.col("_m.dot")), "overlap": F.col("_m.overlap")})
+        .drop("_a", "_b", "_m")
     )
 
 

@@ -279,9 +279,6 @@ def truncate_tokens(t: Tables):
     )
 
 
-_UNROLLED = "SELECT vec_id, unnest(range(len(v))) AS d, unnest(v) AS x"
-
-
 @query(
     f"""
     WITH s AS (SELECT vec_id, list_transform(embedding, lambda x: (x * 3)::FLOAT)::DOUBLE[] AS v FROM embeddings),
@@ -448,14 +445,6 @@ def label_weights(labels: int = 3, dim: int = 64) -> dict[str, list[float]]:
 
 
 _LABELS = "lab AS (SELECT unnest(range(3)) AS k)"
-_SOFTMAX = f"""
-    m AS (SELECT key, max(raw) AS top FROM raw GROUP BY 1),
-    z AS (SELECT key, sum(exp(raw - top)) AS total FROM raw JOIN m USING (key) GROUP BY 1)
-    SELECT key AS doc_id, 'label-' || k AS label, {r6("exp(raw - top) / total")} AS score
-    FROM raw JOIN m USING (key) JOIN z USING (key)
-"""
-
-
 def _labelled(rows, key="doc_id"):
     return tx.unroll(rows, [key], "predictions", "p").select(
         key, "p.label", F.round(F.col("p.score").cast("double"), 4).alias("score")

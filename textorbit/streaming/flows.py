@@ -19,7 +19,7 @@ from pyspark.sql.streaming import StreamingQuery
 from textorbit.functions.formats import micros
 from textorbit.operators import encode, fleet
 from textorbit.operators.metrics import LABELS, failure_rate, series
-from textorbit.session import fresh_dir
+from textorbit.session import cut, fresh_dir
 
 
 def file_stream(
@@ -126,7 +126,7 @@ def health_monitor(
             F.coalesce("_status", start).alias("start_status"),
             F.coalesce("_failures", F.lit(0).cast("long")).alias("start_failures"),
         )
-        out = fleet.health_reduce(rows, max_failures, auto_restart, step=step)
+        out = cut(fleet.health_reduce(rows, max_failures, auto_restart, step=step))  # output and new state
         last = fleet.final_health(out).select("instance", "status", "failures", "last_ok_seq")
         merged = last.join(known, "instance", "full_outer").select(
             "instance",
