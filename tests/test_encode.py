@@ -45,6 +45,24 @@ def test_user_models_run_in_workers(spark):
     assert got == [(None, 2.0), ("INVALID_ARGUMENT", None), ("INVALID_ARGUMENT", None)]
 
 
+def test_two_models_of_one_name_do_not_mix(spark):
+    df = spark.createDataFrame([(9007199254740993, "a"), (None, "b")], "key long, text string").coalesce(1)
+    for value in (1.0, 7.0):
+        model = encode.CallableEncoder("same", 1, "dense", lambda value=value: lambda texts: [[value]] * len(texts))
+        got = encode.embed(df, encoder=model, normalize=False).collect()
+        assert [(r["key"], r["embedding"]) for r in got] == [(9007199254740993, [value]), (None, [value])]
+
+
+def test_limits_of_a_model(spark):
+    model = encode.CallableEncoder(
+        "echo", 2, "dense", lambda: lambda ts: [[float(len(t)), float(len(ts))] for t in ts], max_input_length=3, max_batch_tokens=4
+    )
+    texts = ["one two three four", "a b", "c d", "e", ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string").coalesce(1)
+    got = [tuple(r["embedding"]) for r in encode.embed(df, encoder=model, normalize=False).orderBy("id").collect()]
+    assert got == [(13.0, 1.0), (3.0, 2.0), (3.0, 2.0), (1.0, 2.0), (0.0, 2.0)]
+
+
 def test_vectors_are_unit_and_equally_wide_and_related_texts_closer(spark):
     texts = ["the red boat on the bay", "a red boat in the bay", "tax law of the province"]
     df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
@@ -110,13 +128,12 @@ def test_raw_vectors_without_normalizing(spark):
     assert sum(abs(x) for x in encode.embed(df, normalize=False).first()["embedding"]) in (1.0, 3.0)
 
 
-def test_decode_with_a_joined_vocabulary(spark, monkeypatch):
-    monkeypatch.setattr(encode, "INLINE_VOCABULARY", 10)
+def test_decode_with_a_joined_vocabulary(spark):
     df = spark.createDataFrame([(1, "one two two"), (2, "")], "id int, text string")
     ids = encode.tokenize(df).select("id", F.transform("tokens", lambda t: t["id"]).alias("ids"))
-    got = {r["id"]: r["text"] for r in encode.decode(ids, encode.vocabulary(df), key="id").collect()}
+    got = {r["id"]: r["text"] for r in encode.decode(ids, encode.vocabulary(df), key="id", inline_bytes=0).collect()}
     assert got == {1: "one two two", 2: ""}
-    full = encode.decode(ids, encode.vocabulary(df), key="id", skip_special_tokens=False)
+    full = encode.decode(ids, encode.vocabulary(df), key="id", skip_special_tokens=False, inline_bytes=0)
     assert {r["text"] for r in full.collect()} == {"<s> one two two </s>", "<s> </s>"}
 
 
@@ -164,6 +181,32 @@ def test_top_k_sent_and_in_blocks(spark, query_bytes, monkeypatch):
         assert [got[(i, r + 1)][0] for r in range(4)] == order
 
 
+def test_top_k_refuses_another_width_and_can_leave_out_itself(spark):
+    v = vectors(20, seed=9)
+    df = frame(spark, v, "query_id")
+    corpus = frame(spark, v, "corpus_id")
+    got = retrieval.top_k(df, corpus, 3, 8, exclude_self=True).collect()
+    assert len(got) == 60 and all(r["query_id"] != r["corpus_id"] for r in got)
+    odd = corpus.unionByName(spark.createDataFrame([(99, [1.0, 2.0])], "corpus_id long, embedding array<float>"))
+    for size in (1 << 20, 1):
+        with pytest.raises(Exception, match="not 8 wide"):
+            retrieval.top_k(df, odd, 3, 8, query_bytes=size).collect()
+
+
+def test_candidates_are_exact_pairs_and_find_most(spark):
+    rng = np.random.default_rng(12)
+    base = vectors(400, dim=16, seed=11)
+    near = base[:150] + rng.normal(scale=0.05, size=(150, 16))
+    v = np.vstack([base, near / np.linalg.norm(near, axis=1, keepdims=True), np.repeat(base[:1], 30, 0)]).astype(np.float32)
+    df = frame(spark, v, "id")
+    pairs = lambda x: {(r["id_a"], r["id_b"], r["copies_a"], r["copies_b"], r["score"]) for r in x.collect()}
+    exact = pairs(retrieval.similarity_join(df, 0.9, "id"))
+    found = pairs(retrieval.similarity_candidates(df, 0.9, "id"))
+    assert found <= exact and len(found) >= 0.9 * len(exact) > 100
+    assert pairs(retrieval.similarity_candidates(df, 0.9, "id", bucket_rows=1000, block_rows=40)) == exact
+    assert retrieval.similarity_candidates(df.limit(0), 0.9, "id").count() == 0
+
+
 @pytest.mark.parametrize("pivots, block", [(1, 7), (12, 10), (12, 4096)])
 @pytest.mark.parametrize("threshold", [0.5, 0.95])
 def test_similarity_join_is_exact_with_copies(spark, pivots, block, threshold):

@@ -111,3 +111,15 @@ def test_connection_stats_of_nothing(spark):
 
 def test_round6(spark):
     assert spark.range(1).select(round6(F.lit(1 / 3))).first()[0] == 0.333333
+
+
+def test_mean_of_tiny_and_huge_samples(spark):
+    df = spark.createDataFrame([("a", 1e-11), ("a", 3e-11), ("b", 1e20), ("b", 3e20)], "k string, ms double")
+    got = {r["k"]: (r["mean_ms"], r["p50_ms"]) for r in lt.timing_stats(df, ["k"]).collect()}
+    assert got["a"] == pytest.approx((2e-11, 2e-11)) and got["b"] == pytest.approx((2e20, 2e20))
+
+
+def test_two_devices_of_one_run(spark):
+    rows = [("m", "small", "short", d, 1, v) for d, v in (("cpu", 9.0), ("cuda", 1.0), ("mps", 2.0))]
+    for some in (rows, rows[::-1]):
+        assert comparison(spark, some).first()["gpu_mean_ms"] == 2.0

@@ -4,6 +4,7 @@ import pytest
 
 import __spark_entry__ as entry
 import check
+from textorbit import plans
 
 SF = "/root/testdata/sf0.001"
 
@@ -13,7 +14,7 @@ def con():
     return check.duck(SF)
 
 
-@pytest.mark.parametrize("name", list(entry.queries()))
+@pytest.mark.parametrize("name", list(plans.QUERIES))
 def test_query(spark, con, name):
     ok, note = check.compare(spark, con, SF, name)
     assert ok, note

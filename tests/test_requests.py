@@ -133,7 +133,10 @@ def test_batches_and_offsets(spark):
 
 def test_packs_respect_the_budget_and_keep_all_rows(spark):
     df = spark.range(500).select("id", (F.col("id") * 37 % 90 + 1).alias("n_tokens"))
-    rows = batch.pack_by_tokens(df, 100).groupBy("pack_id").agg(F.sum("n_tokens").alias("s"), F.count("*").alias("n")).collect()
+    packs = batch.pack_by_tokens(df, 100, key=df.columns[0], buckets=4)
+    again = batch.pack_by_tokens(df.repartition(7), 100, key=df.columns[0], buckets=4)
+    assert sorted(map(tuple, packs.collect())) == sorted(map(tuple, again.collect()))
+    rows = packs.groupBy("pack_id").agg(F.sum("n_tokens").alias("s"), F.count("*").alias("n")).collect()
     assert sum(r["n"] for r in rows) == 500
     assert max(r["s"] for r in rows) <= 100
 

@@ -182,6 +182,16 @@ def test_logs(spark, tmp_path):
     assert got == {"inst-a": [(0, "one"), (1, "two"), (2, ""), (3, "four")], "inst-b": [(0, "x")]}
 
 
+def test_logs_of_one_name_in_two_folders(spark, tmp_path):
+    for folder in "ab":
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "x.log").write_text(f"{folder}\n")
+    with pytest.raises(ValueError):
+        store.read_logs(spark, f"{tmp_path}/*/*.log")
+    got = {(r["instance"], r["line_no"], r["line"]) for r in store.read_logs(spark, f"{tmp_path}/*/*.log", root=str(tmp_path)).collect()}
+    assert got == {("a/x", 0, "a"), ("b/x", 0, "b")}
+
+
 def test_one_large_log_is_read_in_splits(spark, tmp_path):
     (tmp_path / "big.log").write_text("".join(f"line {i}\n" for i in range(5000)))
     old = spark.conf.get("spark.sql.files.maxPartitionBytes")

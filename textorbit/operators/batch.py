@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,29 +58,46 @@ def batch_outcomes(batches: DataFrame, run: str = "run_id") -> DataFrame:
     )
 
 
-def pack_by_tokens(df: DataFrame, max_batch_tokens: int = 16384, length_col: str = "n_tokens") -> DataFrame:
-    """Greedy token-budget packs inside each partition, longest rows first.
+def pack_by_tokens(
+    df: DataFrame,
+    max_batch_tokens: int = 16384,
+    length_col: str = "n_tokens",
+    key: str = "doc_id",
+    buckets: int | None = None,
+) -> DataFrame:
+    """Greedy token-budget packs, longest rows first, ties by ``key``.
 
-    Adds ``pack_id`` (unique over the table) and ``pack_tokens``.  A row above
-    the budget gets a pack of its own.  Narrow: rows stay in their partition,
-    and only running totals are kept between Arrow batches.
+    Rows are dealt to ``buckets`` (default: one for 100,000 rows) by the hash of their
+    key, and each bucket is packed for itself, so the packs depend on the rows
+    only.  Adds ``pack_id`` ("bucket-number") and ``pack_tokens`` (running total).  A row
+    above the budget gets a pack of its own; a null length counts as 0.
     """
-    base = df.withColumn("_part", F.spark_partition_id()).sortWithinPartitions(F.desc(length_col))
+    if buckets is None:
+        buckets = max(1, df.count() // 100_000)
+    name = F.coalesce(F.col(key).cast("string"), F.lit(""))
+    bucket = F.conv(F.substring(F.md5(name), 1, 8), 16, 10).cast("long") % F.lit(buckets)
+    length = F.coalesce(F.col(length_col), F.lit(0)).cast("long")
+    rows = df.withColumns({"_bucket": bucket, "_length": length}).repartition("_bucket")
+    rows = rows.sortWithinPartitions("_bucket", F.desc("_length"), key)
     schema = df.select("*", F.lit("").alias("pack_id"), F.lit(0).cast("long").alias("pack_tokens")).schema
+    width = len(df.columns)
 
-    def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pack_no, used = 0, 0
-        for frame in frames:
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, pack_no, used = None, 0, 0
+        for batch in batches:
             ids, totals = [], []
-            for part, n in zip(frame["_part"], frame[length_col], strict=True):
+            for bucket, n in zip(*(batch.column(width + i).to_pylist() for i in (0, 1)), strict=True):
+                if bucket != current:
+                    current, pack_no, used = bucket, 0, 0
                 if used and used + n > max_batch_tokens:
                     pack_no, used = pack_no + 1, 0
-                used += int(n)
-                ids.append(f"{part}-{pack_no}")
+                used += n
+                ids.append(f"{bucket}-{pack_no}")
                 totals.append(used)
-            yield frame.drop(columns="_part").assign(pack_id=ids, pack_tokens=totals)
+            added = [pa.array(ids, pa.string()), pa.array(totals, pa.int64())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:width], *added], schema.fieldNames())
 
-    return base.mapInPandas(pack, schema)
+    return rows.mapInArrow(pack, schema)
 
 
 def sparse_offsets(df: DataFrame, sizes: Column, batch: str = "batch_id", order: str = "batch_pos") -> DataFrame:

@@ -105,8 +105,8 @@ def parse_metadata(configs: DataFrame, content: str = "content") -> DataFrame:
     for f in raw.fields[1:-1]:  # counts fit an unsigned 32-bit number
         unsigned = unsigned & (p[f.name].isNull() | p[f.name].between(0, (1 << 32) - 1))
     # The parser turns a number into a text where a text is declared.
-    named = F.get_json_object(text, "$.model_type")
-    quoted = named.isNull() | text.rlike(r'"model_type"\s*:\s*"')
+    named = F.try_variant_get(F.try_parse_json(text), "$.model_type", "variant")
+    quoted = F.coalesce(F.schema_of_variant(named).isin("STRING", "VOID"), F.lit(True))
     valid = p.isNotNull() & p["_corrupt"].isNull() & unsigned & quoted & text.rlike(r"^\s*\{")
     meta = F.struct(
         p["model_type"].alias("model_type"),

@@ -7,13 +7,16 @@ of the user's runs in Python workers, loaded once per worker, on Arrow batches.
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
+from hashlib import sha256
 from typing import Any, Protocol
 
 import pandas as pd
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,6 +24,7 @@ from pyspark.sql import types as T
 from textorbit import schemas
 from textorbit.functions import text as tx
 from textorbit.functions import vectors as vec
+from textorbit.operators import requests
 from textorbit.operators.batch import number_rows
 from textorbit.operators.scan import ranked
 
@@ -92,7 +96,12 @@ class LexicalTokens(_Expression):
 
 @dataclass
 class CallableEncoder:
-    """A user's model.  ``load`` runs once per Python worker and returns list -> list."""
+    """A user's model.  ``load`` runs once per Python worker and returns list -> list.
+
+    A text of more than ``max_input_length`` tokens is cut after so many, and the
+    model gets lists of at most ``max_batch_tokens`` tokens, or one text; ``tokens``
+    is the pattern of one.
+    """
 
     name: str
     dim: int
@@ -100,25 +109,58 @@ class CallableEncoder:
     load: Callable[[], Callable[[list[Any]], list[Any]]]
     max_input_length: int = 512
     max_batch_tokens: int = 16384
-    _fn: Callable | None = field(default=None, repr=False)
+    tokens: str = tx.TOKEN
+    identity: str = field(default="", repr=False)
+
+    def __post_init__(self):
+        # Workers outlive an encoder, and another one may have its name.
+        self.identity = sha256(cloudpickle.dumps(self.load)).hexdigest()
 
     def columns(self, text: Column) -> None:
         return None
 
     def encode_batch(self, texts: list[Any]) -> list[Any]:
-        model = _LOADED.get(self.name)
-        if model is None:
-            model = _LOADED[self.name] = self.load()
+        identity, model = _LOADED.get(self.name, (None, None))
+        if identity != self.identity:
+            model = self.load()
+            _LOADED[self.name] = self.identity, model
         return model(texts)
 
-
-_LOADED: dict[str, Callable] = {}  # per Python worker
+    def fit(self, text: Any) -> tuple[Any, int]:
+        """An input (a text or a list of texts) within the length limit, and its tokens."""
+        if not isinstance(text, str):
+            parts = [self.fit(t) for t in text]
+            return [t for t, _ in parts], sum(n for _, n in parts)
+        count, end = 0, 0
+        for found in re.finditer(self.tokens, text, re.IGNORECASE):
+            if count == self.max_input_length:
+                return text[:end], count
+            count, end = count + 1, found.end()
+        return text, count
+
+    def encode_all(self, texts: list[Any]) -> Iterator[Any]:
+        """Results of any number of inputs, in batches within the token limit."""
+        held, used = [], 0
+        for text, n in map(self.fit, texts):
+            if held and used + n > self.max_batch_tokens:
+                yield from self.encode_batch(held)
+                held, used = [], 0
+            held.append(text)
+            used += n
+        if held:
+            yield from self.encode_batch(held)
+
+
+_LOADED: dict[str, tuple[str, Callable]] = {}  # per Python worker, by name: identity and model
 
 
 def _apply(
     df: DataFrame, encoder: Encoder, inputs: Column, out: str, out_type: T.DataType, null_policy: str
 ) -> DataFrame:
-    """Add ``out`` from the encoder; null inputs keep their row or are dropped."""
+    """Add ``out`` from the encoder; null inputs keep their row or are dropped.
+
+    Only the input column goes through Python.
+    """
     if null_policy not in ("keep", "drop"):
         raise ValueError("null_policy must be 'keep' or 'drop'")
     rows = df.filter(inputs.isNotNull()) if null_policy == "drop" else df
@@ -126,17 +168,16 @@ def _apply(
     if expression is not None:
         return rows.withColumn(out, F.when(inputs.isNotNull(), expression))
 
-    schema = T.StructType([*rows.schema.fields, T.StructField(out, out_type)])
-
-    def encode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            present = frame["_input"].notna()
-            texts = [v if isinstance(v, str) else list(v) for v in frame.loc[present, "_input"]]
-            results = iter(encoder.encode_batch(texts) if texts else [])
-            frame[out] = [next(results) if p else None for p in present]
-            yield frame.drop(columns="_input")
+    @F.pandas_udf(out_type)
+    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        run = getattr(encoder, "encode_all", encoder.encode_batch)
+        for column in batches:
+            present = column.notna()
+            texts = [v if isinstance(v, str) else list(v) for v in column[present]]
+            results = iter(run(texts) if texts else [])
+            yield pd.Series([next(results) if p else None for p in present], index=column.index, dtype=object)
 
-    return rows.withColumn("_input", inputs).mapInPandas(encode, schema)
+    return rows.withColumn(out, encode(inputs))
 
 
 def embed(
@@ -301,7 +342,7 @@ def pair_score(query: Column, text: Column, dim: int = tx.DENSE_DIM) -> Column:
 
 
 def rerank(
-    requests: DataFrame,
+    rows: DataFrame,
     query_id: str = "query_id",
     scorer: Callable[[Column, Column], Column] = pair_score,
     return_text: bool = False,
@@ -312,7 +353,7 @@ def rerank(
     Ranks are numbered over range pieces, so a query with very many texts does
     not become one task.
     """
-    scored = requests.withColumn(
+    scored = rows.withColumn(
         "score", F.floor(scorer(F.col("query"), F.col("text")) * 1e6 + 0.5) / F.lit(1e6)
     )
     kept = [query_id, "index", "score", *(["text"] if return_text else [])]
@@ -424,8 +465,8 @@ def vocabulary(df: DataFrame, text_col: str = "text", dim: int = tx.SPARSE_DIM)
     )
 
 
-# Vocabularies up to this many ids travel inside the plan as one array.
-INLINE_VOCABULARY = 1 << 18
+# Vocabularies up to this many bytes travel inside the plan as one array.
+INLINE_BYTES = 4 << 20
 
 
 def decode(
@@ -436,32 +477,39 @@ def decode(
     skip_special_tokens: bool = True,
     dim: int = tx.SPARSE_DIM,
     out: str = "text",
+    inline_bytes: int = INLINE_BYTES,
 ) -> DataFrame:
     """Token ids back to text through a vocabulary table (id, token).
 
-    Ids that are neither in it nor special are left out.  Ids lie below
-    ``dim``, which bounds the vocabulary: up to ``INLINE_VOCABULARY`` ids it
-    becomes one constant array and decoding is narrow, on streams too.  A
-    larger one is joined per token, then gathered per ``key`` (unique, so a
-    group is one text).
+    Tokens are any texts, empty ones and line feeds included, joined by spaces.
+    Ids that are neither below ``dim`` and in the table nor special are left out; of
+    tokens that share an id the smallest counts.
+
+    A vocabulary of up to ``inline_bytes`` becomes one constant array, and decoding is
+    narrow, on streams too; its size is summed before it is fetched.  A larger one
+    is joined per token, then gathered per ``key``, which must tell the rows apart.
+    Both give the same texts.
     """
     known = (
-        vocab.filter((F.col("id") >= 0) & (F.col("id") < dim)).groupBy("id").agg(F.min("token").alias("token"))
+        vocab.filter((F.col("id") >= 0) & (F.col("id") < dim) & F.col("token").isNotNull())
+        .groupBy("id").agg(F.min("token").alias("token"))
     )
     names = [F.lit(t) for t in SPECIAL_TOKENS]
-    if dim <= INLINE_VOCABULARY:
-        slots = [""] * dim
-        for row in known.collect():  # at most dim rows
-            slots[row["id"]] = row["token"]
-        table = F.split(F.lit("\n".join(slots)), "\n")
+    slots = F.coalesce(F.max("id") + 1, F.lit(0)).alias("slots")
+    size = known.agg(slots, F.coalesce(F.sum(F.octet_length("token") + 3), F.lit(0)).alias("bytes")).first()
+    if 5 * size["slots"] + size["bytes"] <= inline_bytes:
+        held = [None] * size["slots"]
+        for row in known.toLocalIterator():  # inline_bytes at most
+            held[row["id"]] = row["token"]
+        table = F.from_json(F.lit(json.dumps(held)), "array<string>")
 
         def name(i: Column) -> Column:
-            token = F.get(table, i.cast("int"))
+            token = F.get(table, i.try_cast("int"))
             if skip_special_tokens:
                 return token
-            return F.when(i >= dim, F.get(F.array(*names), (i - dim).cast("int"))).otherwise(token)
+            return F.when(i >= dim, F.get(F.array(*names), (i - dim).try_cast("int"))).otherwise(token)
 
-        words = F.filter(F.transform(ids_col, name), lambda t: t.isNotNull() & (t != ""))
+        words = F.filter(F.transform(ids_col, name), lambda t: t.isNotNull())
         return df.withColumn(out, F.array_join(words, " "))
     if key is None:
         raise ValueError("a vocabulary this large needs a unique key column")
@@ -476,7 +524,58 @@ def decode(
         .agg(F.array_sort(F.collect_list(F.struct("_pos", "token"))).alias("_t"))
         .select(key, F.array_join(F.transform("_t", lambda s: s["token"]), " ").alias(out))
     )
-    return df.join(texts, key, "left").withColumn(out, F.coalesce(out, F.lit("")))
+    return df.join(texts, key, "left").withColumn(
+        out, F.when(F.col(ids_col).isNotNull(), F.coalesce(out, F.lit("")))
+    )
+
+
+def embed_requests(
+    df: DataFrame,
+    prompts: dict[str, str],
+    max_len: int,
+    encoder: LexicalDense | None = None,
+    text_col: str = "text",
+    **defaults: Any,
+) -> DataFrame:
+    """Dense vectors with each request's own options.
+
+    Options are the columns of ``request_params`` where the row has them, else
+    ``defaults``: ``prompt_name``, ``truncate``, ``direction``, ``dimensions``, ``normalize``.
+    Adds ``embedding``, ``error_code`` (UNKNOWN_PROMPT; INPUT_TOO_LONG for more than
+    ``max_len`` tokens that may not be cut; INVALID_ARGUMENT for a width the encoder
+    does not have) and ``metadata`` (characters, bytes and tokens of the prompted text).
+    A row with an error, or without a text, has no vector.
+    """
+    encoder = encoder or LexicalDense()
+    asked = requests.apply_prompt(requests.request_params(df, **defaults), prompts, text_col)
+    rows = asked.withColumn("_tokens", tx.tokens(F.col(text_col)))
+    long = F.size("_tokens") > max_len
+    wide = F.col("dimensions").isNotNull() & ~F.col("dimensions").between(1, encoder.dim)
+    error = F.coalesce(
+        F.col("error_code"),
+        F.when(long & ~F.col("truncate"), "INPUT_TOO_LONG").when(wide, "INVALID_ARGUMENT"),
+    )
+    cut = F.when(F.col("direction") == "left", tx.truncate_tokens(F.col("_tokens"), max_len, "left")).otherwise(
+        tx.truncate_tokens(F.col("_tokens"), max_len, "right")
+    )
+    kept = F.when(long, F.array_join(cut, " ")).otherwise(F.col(text_col))
+    rows = rows.withColumn("error_code", error)
+    rows = rows.withColumn("_kept", F.when(F.col("error_code").isNull(), kept))
+
+    def vector(weights: Column) -> Column:
+        head = F.slice(weights, F.lit(1), F.coalesce("dimensions", F.lit(encoder.dim)))
+        plain = F.transform(head, lambda w: w.cast("float"))
+        return F.when(F.col("normalize"), vec.l2_normalize(head)).otherwise(plain)
+
+    costs = F.struct(
+        F.length(text_col).cast("long").alias("compute_chars"),
+        F.octet_length(text_col).cast("long").alias("request_bytes"),
+        F.size("_tokens").cast("long").alias("compute_tokens"),
+    )
+    found = F.when(F.col("_kept").isNotNull(), tx.let(encoder.weights(F.col("_kept")), vector))
+    return rows.withColumn("embedding", found).withColumn(
+        "metadata", F.when(F.col(text_col).isNotNull(), costs)
+    ).drop("_tokens", "_kept")
 
 
 def encoder_info(spark, encoders: Sequence[Encoder], version: str = "1") -> DataFrame:

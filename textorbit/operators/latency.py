@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textorbit.functions.formats import fixed, humanize_ms, humanize_params, micros, number_or, short_name
+from textorbit.functions.formats import fixed, humanize_ms, humanize_params, micros, number_or, round6, short_name
 from textorbit.session import cut
 
 CONFIG = ["model", "size", "query_length"]
@@ -39,9 +39,11 @@ SIZE_ORDER = {
 # Report position of a query length; unknown lengths get 99.
 QUERY_ORDER = {"short": 0, "medium": 1, "long": 2}
 # Order of the labels in the per-size summary.
-SIZE_SUMMARY_ORDER = ["small", "medium", "large"] + [
-    label for label in SIZE_ORDER if label not in ("small", "medium", "large")
-]
+SIZE_SUMMARY_ORDER = [
+    "small", "medium", "large", "tiny-minilm-l6", "tiny-minilm-l3", "small-minilm-l12", "small-bge",
+    "medium-mpnet", "medium-bge", "medium-gte", "medium-e5", "large-bge", "large-gte", "large-e5",
+    "multi-minilm", "multi-e5", "code-jina", "long-jina", "matryoshka-nomic", "sparse-small", "sparse-large",
+]
 UNKNOWN_ORDER = 99
 
 
@@ -51,16 +53,6 @@ def _ordinal(label: Column, table: dict[str, int], otherwise: int | None) -> Col
     return found if otherwise is None else F.coalesce(found, F.lit(otherwise))
 
 
-def steady_mean(value: str, scale: int = 9) -> Column:
-    """Aggregate: mean that does not depend on the order of the rows.
-
-    A sum of doubles changes in its last digits with the order in which tasks
-    finish, and a report rounds such digits; decimals add up the same way always.
-    """
-    total = F.sum(F.col(value).cast(f"decimal(28,{scale})")).cast("double")
-    return total / F.count(value)
-
-
 # --- exact order statistics -------------------------------------------------
 
 _EPS = 2e-4  # half width of a split around a wanted probability
@@ -173,7 +165,7 @@ def timing_stats(samples: DataFrame, keys: Sequence[str], value: str = "ms") ->
         rows.groupBy(*keys)
         .agg(
             F.count(value).alias("n"),
-            steady_mean(value).alias("mean_ms"),
+            F.avg(value).alias("mean_ms"),
             F.coalesce(F.stddev_samp(value), F.lit(0.0)).alias("std_ms"),
             F.max(value).alias("max_ms"),
             splits_of(value, targets).alias("_splits"),
@@ -222,7 +214,8 @@ def speedup(cpu: Column, gpu: Column) -> Column:
 def compare_devices(stats: DataFrame, run_order: str = "run_order") -> DataFrame:
     """CPU rows with their GPU side; every device that is not ``cpu`` is a GPU.
 
-    A configuration measured twice keeps its last run.  Model facts come from
+    A configuration measured twice keeps its last run, of two devices in one run
+    the last by name.  Model facts come from
     the CPU side; configurations without a CPU row vanish.  Both sides come out
     of one aggregation per configuration instead of a self-join.
     """
@@ -232,7 +225,7 @@ def compare_devices(stats: DataFrame, run_order: str = "run_order") -> DataFrame
             stats = stats.withColumn(c, F.lit(None).cast("string" if c == "model_type" else "double"))
 
     def side(condition: Column, wanted: list[str]) -> Column:
-        return F.max_by(F.when(condition, F.struct(*wanted)), F.when(condition, F.col(run_order)))
+        return F.max_by(F.when(condition, F.struct(*wanted)), F.when(condition, F.struct(run_order, "device")))
 
     on_cpu = F.col("device") == "cpu"
     timed = [*STATS, "load_time_ms"]
@@ -260,12 +253,13 @@ def report_order(comparison: DataFrame) -> DataFrame:
 
 
 def _summary(comparison: DataFrame, key: str, table: dict[str, int]) -> DataFrame:
+    """Means to six decimals: which task ends first then never shows in a printed digit."""
     sides = [f"{side}_{s}" for side in ("cpu", "gpu") for s in ("mean_ms", "p50_ms", "p95_ms")]
     return (
         comparison.withColumn("ord", _ordinal(F.col(key), table, None))
         .filter(F.col("ord").isNotNull())
         .groupBy(key, "ord")
-        .agg(*[F.when(F.count(c) > 0, steady_mean(c, 12)).alias(c) for c in sides])
+        .agg(*[round6(F.avg(c)).alias(c) for c in sides])
         .withColumn("avg_speedup", speedup(F.col("cpu_mean_ms"), F.col("gpu_mean_ms")))
     )
 
@@ -341,6 +335,7 @@ def overhead(direct: DataFrame, routed: DataFrame, keys: Sequence[str] = ("workl
 
 # --- report texts --------------------------------------------------------------
 
+# Columns of the report.
 CSV_COLUMNS = [
     "model", "size", "params", "embedding_dim", "max_seq_length", "cpu_load_time_ms", "gpu_load_time_ms",
     "query_length", "cpu_mean_ms", "cpu_p50_ms", "cpu_p95_ms", "cpu_p99_ms",

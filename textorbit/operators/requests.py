@@ -189,7 +189,9 @@ def route(requests: DataFrame, instances: DataFrame) -> DataFrame:
     """Look the target instance up by name; request errors come before NOT_FOUND.
 
     ``requests`` went through ``resolve_target``.  Status is not consulted; a
-    row whose instance has ``reachable = false`` gets UNAVAILABLE.
+    row whose instance has ``reachable = false`` gets UNAVAILABLE.  Requests
+    without an instance are answered before the join, where their null key would
+    bring them all to one task.
     """
     fleet = instances.select(
         F.col("name").alias("instance"),
@@ -201,12 +203,20 @@ def route(requests: DataFrame, instances: DataFrame) -> DataFrame:
         F.col("error_code"),
         F.when(F.col("_known").isNull(), "NOT_FOUND").when(~F.col("_up"), "UNAVAILABLE"),
     )
-    return (
-        requests.join(fleet, "instance", "left")
+    routed = (
+        requests.filter(F.col("instance").isNotNull())
+        .join(fleet, "instance", "left")
         .withColumn("error_code", error)
         .withColumn("port", F.when(F.col("error_code").isNull(), F.col("port")))
         .drop("_up", "_known")
     )
+    refused = requests.filter(F.col("instance").isNull()).withColumns(
+        {
+            "error_code": F.coalesce("error_code", F.lit("NOT_FOUND")),
+            "port": F.lit(None).cast(fleet.schema["port"].dataType),
+        }
+    )
+    return routed.unionByName(refused)
 
 
 def stream_target(df: DataFrame, stream: str = "stream_id", seq: str = "seq", target: str = "target") -> DataFrame:

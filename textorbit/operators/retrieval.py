@@ -16,7 +16,9 @@ from textorbit.functions.formats import round6
 from textorbit.session import cut
 
 # Queries up to this many bytes (rows x width x 8) are sent to every task.
-QUERY_BYTES = 64 << 20
+QUERY_BYTES = 16 << 20
+# Scores of queries x corpus rows that a task holds at once.
+TILE_CELLS = 4 << 20
 # Rows per block where a grid of blocks replaces the sent queries, and in J6.
 BLOCK_ROWS = 4096
 
@@ -80,9 +82,13 @@ def _matrix(column: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
     return flat.reshape(-1, dim)
 
 
-def _wide(rows: pa.RecordBatch | pa.Table, dim: int) -> pa.RecordBatch | pa.Table:
-    """Rows whose vector has ``dim`` entries."""
-    return rows.filter(pc.equal(pc.list_value_length(rows["vec"]), dim))
+def _present(rows: pa.RecordBatch | pa.Table, dim: int) -> pa.RecordBatch | pa.Table:
+    """Rows with a vector; a vector of another width than ``dim`` is an error."""
+    rows = rows.filter(pc.is_valid(rows["vec"]))
+    odd = pc.sum(pc.not_equal(pc.list_value_length(rows["vec"]), dim)).as_py()
+    if odd:
+        raise ValueError(f"{odd} of {rows.num_rows} vectors are not {dim} wide; check_width lists them")
+    return rows
 
 
 def _scores(queries: np.ndarray, corpus: np.ndarray) -> np.ndarray:
@@ -95,19 +101,27 @@ def _scores(queries: np.ndarray, corpus: np.ndarray) -> np.ndarray:
     return scores
 
 
-def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query row, id, score) of the k best ids per query, ties by id."""
-    rows, kept_ids, kept = [], [], []
-    for q, line in enumerate(scores):
-        finite = np.flatnonzero(line > -np.inf)
-        if finite.size > k:  # everything at or above the k-th score, ties included
-            floor = np.partition(line[finite], finite.size - k)[finite.size - k]
-            finite = finite[line[finite] >= floor]
-        order = np.lexsort((ids[finite], -line[finite]))[:k]
-        rows.append(np.full(order.size, q))
-        kept_ids.append(ids[finite][order])
-        kept.append(line[finite][order])
-    return np.concatenate(rows), np.concatenate(kept_ids), np.concatenate(kept)
+def _leading(q: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best rows of each query, ties by id."""
+    order = np.lexsort((ids, -scores, q))
+    q, ids, scores = q[order], ids[order], scores[order]
+    keep = np.arange(q.size) - np.searchsorted(q, q) < k
+    return q[keep], ids[keep], scores[keep]
+
+
+def _best(queries: np.ndarray, corpus: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query row, id, score) of the k best corpus rows per query, tile by tile."""
+    found = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
+    tile = max(1, TILE_CELLS // max(len(corpus), 1))
+    for at in range(0, len(queries), tile):
+        scores = _scores(queries[at : at + tile], corpus)
+        if scores.shape[1] > k:  # everything at or above the k-th score, ties included
+            floor = np.partition(scores, -k, axis=1)[:, -k]
+        else:
+            floor = np.full(len(scores), -np.inf)
+        rows, cols = np.nonzero((scores >= floor[:, None]) & (scores > -np.inf))
+        found.append(_leading(rows + at, ids[cols], scores[rows, cols], k))
+    return tuple(np.concatenate(c) for c in zip(*found, strict=True))
 
 
 def top_k(
@@ -119,25 +133,31 @@ def top_k(
     corpus_id: str = "corpus_id",
     vector_col: str = "embedding",
     query_bytes: int = QUERY_BYTES,
+    exclude_self: bool = False,
 ) -> DataFrame:
     """The ``k`` corpus rows most similar to each query by cosine, exactly.
 
-    Ids are integers; null and zero vectors take no part.  Out:
+    Ids are integers; null and zero vectors take no part, a vector of another
+    width than ``dim`` ends the job with an error (see ``check_width``).  With
+    ``exclude_self`` a corpus row with the query's own id is no answer.  Out:
     (query_id, corpus_id, score, rank), ties by corpus id.  Each task keeps its
-    own k best per query, so only k rows per query and task are shuffled.
-    Queries above ``query_bytes`` are not sent to the tasks; both sides are
-    then cut into blocks of bounded size and compared block by block.
+    own k best per query, so only k rows per query and task are shuffled, and
+    scores a tile of fixed size at a time.  Queries are counted first: above
+    ``query_bytes`` they are not sent to the tasks; both sides are then cut into
+    blocks of bounded size and compared block by block.
     """
     # Width is tested in the tasks: a filter here would be pushed below a
     # computed vector column and compute it a second time.
     q = queries.select(F.col(query_id).cast("long").alias("qid"), F.col(vector_col).alias("vec"))
     c = corpus.select(F.col(corpus_id).cast("long").alias("cid"), F.col(vector_col).alias("vec"))
-    most = max(query_bytes // (8 * dim), 1)
-    small = q.limit(most + 1).toArrow()
-    if small.num_rows <= most:
-        partial = _top_k_sent(small, c, k, dim)
+    wanted = k + 1 if exclude_self else k
+    n_queries = queries.count()
+    if n_queries * 8 * dim <= query_bytes:
+        partial = _top_k_sent(q.toArrow(), c, wanted, dim)
     else:
-        partial = _top_k_grid(q, c, k, dim)
+        partial = _top_k_grid(q, c, n_queries, wanted, dim)
+    if exclude_self:
+        partial = partial.filter("qid != cid")
     best = Window.partitionBy("qid").orderBy(F.desc("score"), F.asc("cid"))
     return (
         partial.withColumn("rank", F.row_number().over(best))
@@ -150,7 +170,7 @@ _HITS = "qid long, cid long, score double"
 
 
 def _top_k_sent(queries: pa.Table, corpus: DataFrame, k: int, dim: int) -> DataFrame:
-    queries = _wide(queries, dim)
+    queries = _present(queries, dim)
     if queries.num_rows == 0:
         return corpus.sparkSession.createDataFrame([], _HITS)
     qids = queries["qid"].to_numpy()
@@ -159,27 +179,20 @@ def _top_k_sent(queries: pa.Table, corpus: DataFrame, k: int, dim: int) -> DataF
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         qids, matrix = sent.value
-        best_q = np.empty(0, np.int64)
-        best_id, best_score = np.empty(0, np.int64), np.empty(0)
+        best = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
         for batch in batches:
-            batch = _wide(batch, dim)
+            batch = _present(batch, dim)
             if batch.num_rows == 0:
                 continue
-            ids = batch.column("cid").to_numpy()
-            q, i, s = _best(_scores(matrix, _matrix(batch.column("vec"), dim)), ids, k)
-            q, i, s = np.append(best_q, q), np.append(best_id, i), np.append(best_score, s)
-            order = np.lexsort((i, -s, q))
-            q, i, s = q[order], i[order], s[order]
-            place = np.arange(q.size) - np.searchsorted(q, q)
-            keep = place < k
-            best_q, best_id, best_score = q[keep], i[keep], s[keep]
-        yield pa.RecordBatch.from_pydict({"qid": qids[best_q.astype(int)], "cid": best_id, "score": best_score})
+            found = _best(matrix, _matrix(batch.column("vec"), dim), batch.column("cid").to_numpy(), k)
+            best = _leading(*(np.append(a, b) for a, b in zip(best, found, strict=True)), k)
+        yield pa.RecordBatch.from_pydict({"qid": qids[best[0]], "cid": best[1], "score": best[2]})
 
     return corpus.mapInArrow(search, _HITS)
 
 
-def _top_k_grid(queries: DataFrame, corpus: DataFrame, k: int, dim: int) -> DataFrame:
-    nq = -(-queries.count() // BLOCK_ROWS)
+def _top_k_grid(queries: DataFrame, corpus: DataFrame, n_queries: int, k: int, dim: int) -> DataFrame:
+    nq = -(-n_queries // BLOCK_ROWS)
     nc = -(-corpus.count() // BLOCK_ROWS)
     left = queries.withColumn("qb", F.pmod(F.xxhash64("qid"), F.lit(nq))).withColumn(
         "cb", F.explode(F.sequence(F.lit(0), F.lit(max(nc - 1, 0))).cast("array<bigint>"))
@@ -189,11 +202,10 @@ def _top_k_grid(queries: DataFrame, corpus: DataFrame, k: int, dim: int) -> Data
     )
 
     def block(qs: pa.Table, cs: pa.Table) -> pa.Table:
-        qs, cs = _wide(qs, dim), _wide(cs, dim)
+        qs, cs = _present(qs, dim), _present(cs, dim)
         if qs.num_rows == 0 or cs.num_rows == 0:
             return pa.table({"qid": pa.array([], pa.int64()), "cid": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-        ids = cs["cid"].to_numpy()
-        q, i, s = _best(_scores(_matrix(qs["vec"], dim), _matrix(cs["vec"], dim)), ids, k)
+        q, i, s = _best(_matrix(qs["vec"], dim), _matrix(cs["vec"], dim), cs["cid"].to_numpy(), k)
         return pa.table({"qid": qs["qid"].to_numpy()[q], "cid": i, "score": s})
 
     return left.groupBy("qb", "cb").cogroup(right.groupBy("qb", "cb")).applyInArrow(block, _HITS)
@@ -208,9 +220,13 @@ def nearest_labelled(
     corpus_id: str = "corpus_id",
     label_col: str = "label",
     vector_col: str = "embedding",
+    exclude_self: bool = False,
 ) -> DataFrame:
-    """Majority label among the k nearest labelled vectors; score = its share, ties by label."""
-    hits = top_k(queries, labelled, k, dim, query_id, corpus_id, vector_col)
+    """Majority label among the k nearest labelled vectors; score = its share, ties by label.
+
+    ``exclude_self``: a labelled row with the query's own id has no vote.
+    """
+    hits = top_k(queries, labelled, k, dim, query_id, corpus_id, vector_col, exclude_self=exclude_self)
     votes = (
         hits.join(labelled.select(corpus_id, label_col), corpus_id)
         .groupBy(query_id, label_col)
@@ -330,3 +346,70 @@ def similarity_join(
     return homes.groupBy(*keys).cogroup(others.groupBy(*keys)).applyInArrow(
         compare, "id_a long, id_b long, copies_a long, copies_b long, score double"
     )
+
+
+def similarity_candidates(
+    df: DataFrame,
+    threshold: float,
+    id_col: str,
+    vector_col: str = "embedding",
+    tables: int = 24,
+    bucket_rows: int = 64,
+    block_rows: int = BLOCK_ROWS,
+    seed: int = 5,
+) -> DataFrame:
+    """Pairs of ``similarity_join`` that meet in a random-hyperplane bucket, re-checked exactly.
+
+    Copies are folded first.  Each vector is listed in ``tables`` buckets by the sides of
+    random planes, as many as give about ``bucket_rows`` vectors a bucket if directions
+    are even.  Vectors of a bucket are compared in blocks, so a crowded bucket is
+    spread over tasks.  At angle a one table keeps a pair with (1 - a / pi) ** planes.
+    """
+    distinct = cut(vector_groups(df.filter(F.col(vector_col).isNotNull()), id_col, vector_col))
+    found = distinct.agg(F.count("*").alias("n"), F.max(F.size("vec")).alias("dim")).first()
+    schema = "id_a long, id_b long, copies_a long, copies_b long, score double"
+    if not found["n"]:
+        return df.sparkSession.createDataFrame([], schema)
+    dim, planes = found["dim"], max(1, math.ceil(math.log2(max(found["n"] / bucket_rows, 2))))
+    normals = np.random.default_rng(seed).normal(size=(dim, tables * planes))
+    powers = 1 << np.arange(planes, dtype=np.int64)
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 2048):
+                batch = _present(whole.slice(at, 2048), dim)
+                if batch.num_rows:
+                    sides = (_matrix(batch.column("vec"), dim) @ normals > 0).reshape(-1, tables, planes)
+                    keys = sides @ powers * tables + np.arange(tables)
+                    out = batch.take(pa.array(np.repeat(np.arange(batch.num_rows), tables)))
+                    yield out.append_column("bucket", pa.array(keys.ravel(), pa.int64()))
+
+    placed = distinct.select("id", "vec", "copies").mapInArrow(
+        place, "id long, vec array<float>, copies long, bucket long"
+    )
+    sizes = placed.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
+    sizes = sizes.select("bucket", F.ceil(F.col("n") / block_rows).alias("blocks"))
+    rows = placed.join(sizes, "bucket").withColumn("block", F.pmod(F.xxhash64("id"), "blocks"))
+    left = rows.withColumn("other", F.expr("explode(sequence(block, blocks - 1))"))
+    own = [F.col(c).alias(c) for c in ("id", "vec", "copies", "bucket")]  # columns of its own for the second side
+    right = rows.select(*own, F.col("block").alias("other"), F.expr("explode(sequence(0L, block))").alias("block"))
+
+    def compare(a: pa.Table, b: pa.Table) -> pa.Table:
+        names = ["id_a", "id_b", "copies_a", "copies_b", "score"]
+        if a.num_rows == 0 or b.num_rows == 0:
+            return pa.Table.from_arrays([pa.array([], pa.int64())] * 4 + [pa.array([], pa.float64())], names)
+        dots = _matrix(a["vec"], dim) @ _matrix(b["vec"], dim).T
+        ids_a, ids_b = a["id"].to_numpy(), b["id"].to_numpy()
+        hit = dots >= threshold
+        if a["block"][0].as_py() == b["other"][0].as_py():
+            hit &= ids_a[:, None] < ids_b[None, :]
+        i, j = np.nonzero(hit)
+        swap = ids_a[i] > ids_b[j]
+        x, y = ids_a[i], ids_b[j]
+        cx, cy = a["copies"].to_numpy()[i], b["copies"].to_numpy()[j]
+        columns = np.where(swap, y, x), np.where(swap, x, y), np.where(swap, cy, cx), np.where(swap, cx, cy)
+        return pa.Table.from_arrays([*map(pa.array, columns), pa.array(np.floor(dots[i, j] * 1e6 + 0.5) / 1e6)], names)
+
+    keys = ["bucket", "block", "other"]
+    pairs = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(compare, schema)
+    return pairs.groupBy("id_a", "id_b").agg(*[F.max(c).alias(c) for c in ("copies_a", "copies_b", "score")])

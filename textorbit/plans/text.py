@@ -69,7 +69,8 @@ _VECTOR_SCORES = f"""
              {r6('''list_dot_product(a.v, b.v) / sqrt(list_dot_product(a.v, a.v) * list_dot_product(b.v, b.v))''')} AS score
       FROM e a CROSS JOIN e b),
     ranked AS (
-      SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, corpus_id) AS rank FROM scored)
+      SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, corpus_id) AS rank FROM scored
+      WHERE query_id <> corpus_id)
 """
 _E = "e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings)"
 
@@ -83,10 +84,35 @@ _E = "e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings)"
 def vector_top_k(t: Tables):
     e = t.embeddings
     return retrieval.top_k(
-        e.withColumnRenamed("vec_id", "query_id"), e.withColumnRenamed("vec_id", "corpus_id"), 3, 64
+        e.withColumnRenamed("vec_id", "query_id"), e.withColumnRenamed("vec_id", "corpus_id"), 3, 64, exclude_self=True
     )
 
 
+def uneven(t: Tables):
+    """Vectors of which every fiftieth lacks its last entry."""
+    v = F.col("embedding")
+    odd = F.col("vec_id") % 50 == 0
+    return t.embeddings.select("vec_id", F.when(odd, F.slice(v, 1, 63)).otherwise(v).alias("embedding"))
+
+
+@query(
+    f"""
+    WITH {_E}, {_VECTOR_SCORES.replace("FROM e a CROSS JOIN e b)", "FROM e a CROSS JOIN e b WHERE a.vec_id % 50 <> 0 AND b.vec_id % 50 <> 0)")}
+    SELECT query_id, corpus_id, score, rank::INTEGER AS rank FROM ranked WHERE rank <= 2
+    UNION ALL SELECT vec_id, NULL, NULL, NULL FROM embeddings WHERE vec_id % 50 = 0
+    """
+)
+def top_k_uneven(t: Tables):
+    """Hits of the vectors of the common width; the others are listed without one."""
+    rows = uneven(t)
+    _, odd = retrieval.check_width(rows)
+    even = rows.join(odd.select("vec_id"), "vec_id", "left_anti")
+    hits = retrieval.top_k(
+        even.withColumnRenamed("vec_id", "query_id"), even.withColumnRenamed("vec_id", "corpus_id"), 2, 64, exclude_self=True
+    )
+    return hits.unionByName(odd.select(F.col("vec_id").alias("query_id")), allowMissingColumns=True)
+
+
 @query(
     f"""
     WITH {_E}, {_VECTOR_SCORES},
@@ -101,7 +127,7 @@ def vector_top_k(t: Tables):
 def nearest_labelled(t: Tables):
     e = t.embeddings
     return retrieval.nearest_labelled(
-        e.withColumnRenamed("vec_id", "query_id"), e.withColumnRenamed("vec_id", "corpus_id"), 5, 64
+        e.withColumnRenamed("vec_id", "query_id"), e.withColumnRenamed("vec_id", "corpus_id"), 5, 64, exclude_self=True
     )
 
 
@@ -119,6 +145,32 @@ def similarity_join(t: Tables):
     return retrieval.similarity_join(t.embeddings, 0.4, "vec_id")
 
 
+_DOC_PAIRS = f"""
+    WITH w AS ({weights("documents", "doc_id")}),
+    n AS (SELECT doc_id, sqrt(sum(w * w)::DOUBLE) AS n FROM w GROUP BY 1),
+    dims AS (SELECT unnest(range(64)) AS d),
+    v AS (
+      SELECT doc_id, list(CASE WHEN n > 0 THEN (coalesce(w, 0) / n)::FLOAT ELSE 0 END ORDER BY d)::DOUBLE[] AS v
+      FROM documents CROSS JOIN dims LEFT JOIN w USING (doc_id, d) LEFT JOIN n USING (doc_id) GROUP BY 1),
+    g AS (SELECT min(doc_id) AS id, count(*) AS copies, v FROM v GROUP BY v)
+    SELECT a.id AS id_a, b.id AS id_b, a.copies AS copies_a, b.copies AS copies_b,
+           {r6("list_dot_product(a.v, b.v)")} AS score
+    FROM g a JOIN g b ON a.id < b.id WHERE list_dot_product(a.v, b.v) >= 0.95
+"""
+
+
+@query(_DOC_PAIRS)
+def similarity_join_documents(t: Tables):
+    """Near copies among the documents, where pivots tell most of them apart."""
+    return retrieval.similarity_join(encode.embed(t.documents.select("doc_id", "text")), 0.95, "doc_id")
+
+
+@query()
+def similarity_candidates(t: Tables):
+    """The same pairs from random planes; some far ones are missed."""
+    return retrieval.similarity_candidates(encode.embed(t.documents.select("doc_id", "text")), 0.95, "doc_id")
+
+
 @query(
     f"""
     WITH {_E}
@@ -142,21 +194,28 @@ _SPARSE = (
 )
 
 
+def neighbours(t: Tables):
+    """Each document with the next one by id, the last one with itself."""
+    placed = batch.number_rows(t.documents.select("doc_id"), ["doc_id"], step=4096)
+    after = placed.select((F.col("position") - 1).alias("position"), F.col("doc_id").alias("next_id"))
+    pairs = placed.join(after, "position", "left")
+    return pairs.select("doc_id", F.coalesce("next_id", "doc_id").alias("next_id"))
+
+
 @query(
     f"""
-    WITH s AS ({_SPARSE}), p AS (SELECT doc_id AS id_a, doc_id + 1 AS id_b FROM documents),
+    WITH s AS ({_SPARSE}), p AS (SELECT doc_id AS id_a, coalesce(lead(doc_id) OVER (ORDER BY doc_id), doc_id) AS id_b FROM documents),
     d AS (
-      SELECT a.doc_id AS id_a, b.doc_id AS id_b, sum(a.value::DOUBLE * b.value::DOUBLE) AS dot, count(*) AS n
-      FROM s a JOIN s b ON a.index = b.index AND b.doc_id = a.doc_id + 1 GROUP BY 1, 2)
+      SELECT p.id_a, p.id_b, sum(a.value::DOUBLE * b.value::DOUBLE) AS dot, count(*) AS n
+      FROM p JOIN s a ON a.doc_id = p.id_a JOIN s b ON b.doc_id = p.id_b AND a.index = b.index GROUP BY 1, 2)
     SELECT p.id_a, p.id_b, {r6("coalesce(dot, 0)")} AS dot, coalesce(n, 0) AS overlap
-    FROM p JOIN documents x ON x.doc_id = p.id_b LEFT JOIN d ON d.id_a = p.id_a AND d.id_b = p.id_b
+    FROM p LEFT JOIN d ON d.id_a = p.id_a AND d.id_b = p.id_b
     """
 )
 def sparse_pairs(t: Tables):
     # Both sides of the join read the encoded table; encode once.
     docs = cut(encode.embed_sparse(t.spread("documents").select("doc_id", "text")).drop("text"))
-    pairs = t.spread("documents").select(F.col("doc_id").alias("id_a"), (F.col("doc_id") + 1).alias("id_b"))
-    return retrieval.sparse_pairs(pairs, docs, docs, "doc_id")
+    return retrieval.sparse_pairs(neighbours(t).withColumnsRenamed({"doc_id": "id_a", "next_id": "id_b"}), docs, docs, "doc_id")
 
 
 @query(
@@ -171,11 +230,7 @@ def vector_width(t: Tables):
 
 @query("SELECT vec_id FROM embeddings WHERE vec_id % 50 = 0")
 def vector_width_violations(t: Tables):
-    v = F.col("embedding")
-    uneven = t.embeddings.select(
-        "vec_id", F.when(F.col("vec_id") % 50 == 0, F.slice(v, 1, 63)).otherwise(v).alias("embedding")
-    )
-    return retrieval.check_width(uneven)[1].select("vec_id")
+    return retrieval.check_width(uneven(t))[1].select("vec_id")
 
 
 # --- request rows --------------------------------------------------------------
@@ -330,7 +385,23 @@ def call_metadata(t: Tables):
     return requests.call_metadata(t.spread("documents").select("doc_id", "text")).drop("text")
 
 
-_KIND_VALUES = ", ".join(f"({i}, '{k}', {s}, '{c}', '{r}')" for i, (k, s, c, r) in enumerate(requests.ERROR_KINDS))
+# Written out, so that a wrong entry of the operator's table shows.
+_KIND_VALUES = """
+  (0, 'InstanceNotFound', 404, 'INSTANCE_NOT_FOUND', 'NOT_FOUND'), (1, 'ModelNotFound', 404, 'MODEL_NOT_FOUND', 'NOT_FOUND'),
+  (2, 'ModelDownloadFailed', 500, 'MODEL_DOWNLOAD_FAILED', 'INTERNAL'), (3, 'ModelLoadFailed', 500, 'MODEL_LOAD_FAILED', 'INTERNAL'),
+  (4, 'ModelBusy', 409, 'MODEL_BUSY', 'ALREADY_EXISTS'), (5, 'InstanceExists', 409, 'INSTANCE_EXISTS', 'ALREADY_EXISTS'),
+  (6, 'PortConflict', 409, 'PORT_CONFLICT', 'ALREADY_EXISTS'),
+  (7, 'MaxInstancesReached', 422, 'MAX_INSTANCES_REACHED', 'RESOURCE_EXHAUSTED'),
+  (8, 'InvalidInstanceState', 400, 'INVALID_INSTANCE_STATE', 'INVALID_ARGUMENT'),
+  (9, 'InvalidConfig', 400, 'INVALID_CONFIG', 'INVALID_ARGUMENT'), (10, 'InvalidPort', 400, 'INVALID_PORT', 'INVALID_ARGUMENT'),
+  (11, 'InvalidGpuId', 400, 'INVALID_GPU_ID', 'INVALID_ARGUMENT'),
+  (12, 'InvalidInstanceName', 400, 'INVALID_INSTANCE_NAME', 'INVALID_ARGUMENT'),
+  (13, 'PortAllocationFailed', 422, 'PORT_ALLOCATION_FAILED', 'RESOURCE_EXHAUSTED'),
+  (14, 'Unauthenticated', 401, 'UNAUTHENTICATED', 'UNAUTHENTICATED'), (15, 'Forbidden', 403, 'FORBIDDEN', 'PERMISSION_DENIED'),
+  (16, 'ValidationError', 400, 'VALIDATION_ERROR', 'INVALID_ARGUMENT'), (17, 'MissingField', 400, 'MISSING_FIELD', 'INVALID_ARGUMENT'),
+  (18, 'BackendUnavailable', 503, 'BACKEND_UNAVAILABLE', 'UNAVAILABLE'), (19, 'Timeout', 504, 'TIMEOUT', 'DEADLINE_EXCEEDED'),
+  (20, 'Internal', 500, 'INTERNAL_ERROR', 'INTERNAL'), (21, 'IoError', 500, 'IO_ERROR', 'INTERNAL')
+"""
 
 
 @query(
@@ -386,6 +457,88 @@ def embed(t: Tables):
     return exploded(encode.embed(t.spread("documents").select("doc_id", "text")), "doc_id", "embedding")
 
 
+def load_hashing():
+    """The lexical vector as a user's model would compute it, in Python."""
+    import re
+    from hashlib import md5
+
+    def encode_texts(texts):
+        out = []
+        for text in texts:
+            weights = [0] * 64
+            for token in re.findall(tx.TOKEN, text.lower()):
+                digest = md5(token.encode()).hexdigest()
+                weights[int(digest[:8], 16) % 64] += 1 - 2 * (int(digest[8], 16) % 2)
+            out.append([float(w) for w in weights])
+        return out
+
+    return encode_texts
+
+
+@query(
+    f"""
+    WITH w AS ({weights("documents", "doc_id")}), {_UNIT}
+    SELECT CASE WHEN doc_id % 50 <> 0 THEN doc_id + 9007199254740993 END AS key, doc_id, d,
+           CASE WHEN doc_id % 7 = 0 THEN NULL WHEN n > 0 THEN {r6("(coalesce(w, 0) / n)::FLOAT::DOUBLE")} ELSE 0.0 END AS x
+    FROM documents CROSS JOIN dims LEFT JOIN w USING (doc_id, d) LEFT JOIN n USING (doc_id)
+    """
+)
+def embed_model(t: Tables):
+    """A Python model beside nullable keys above 2^53; every seventh text is null."""
+    key = F.when(F.col("doc_id") % 50 != 0, F.col("doc_id") + 9007199254740993)
+    text = F.when(F.col("doc_id") % 7 != 0, F.col("text"))
+    model = encode.CallableEncoder("hashing", 64, "dense", load_hashing, max_input_length=1 << 30)
+    rows = encode.embed(t.spread("documents").select(key.alias("key"), "doc_id", text.alias("text")), encoder=model)
+    none = F.array_repeat(F.lit(None).cast("float"), 64)
+    return tx.unroll(rows, ["key", "doc_id"], F.coalesce("embedding", none), "x", "d").withColumn(
+        "x", round6(F.col("x").cast("double"))
+    )
+
+
+@query(
+    f"""
+    WITH r AS (
+      SELECT doc_id, CASE lang WHEN 'en' THEN 'query: ' WHEN 'fr' THEN 'passage: ' WHEN 'de' THEN '' END || text AS text,
+             doc_id % 3 <> 0 AS may_cut, doc_id % 2 = 0 AS from_left, doc_id % 5 <> 0 AS unit,
+             CASE WHEN doc_id % 11 = 0 THEN 65 WHEN doc_id % 4 = 0 THEN 16 ELSE 64 END AS dims
+      FROM documents),
+    l AS (SELECT *, {TOKENS.format("text")} AS l FROM r),
+    e AS (
+      SELECT *, CASE WHEN text IS NULL THEN 'UNKNOWN_PROMPT' WHEN len(l) > 200 AND NOT may_cut THEN 'INPUT_TOO_LONG'
+                     WHEN dims > 64 THEN 'INVALID_ARGUMENT' END AS error_code FROM l),
+    tk AS (
+      SELECT doc_id, unnest(CASE WHEN len(l) <= 200 THEN l WHEN from_left THEN l[len(l) - 199:] ELSE l[1:200] END) AS tok
+      FROM e WHERE error_code IS NULL),
+    w AS (SELECT doc_id, {HASH.format("tok")} % 64 AS d, sum({SIGN.format("tok")})::BIGINT AS w FROM tk GROUP BY ALL),
+    x AS (
+      SELECT e.doc_id, dims.d, coalesce(w, 0) AS w, unit, sqrt(sum(coalesce(w, 0) * coalesce(w, 0)) OVER (PARTITION BY e.doc_id)::DOUBLE) AS n
+      FROM e JOIN (SELECT unnest(range(64)) AS d) dims ON dims.d < e.dims LEFT JOIN w ON w.doc_id = e.doc_id AND w.d = dims.d
+      WHERE error_code IS NULL)
+    SELECT e.doc_id, error_code, len(l)::BIGINT AS compute_tokens, x.d,
+           {r6("(CASE WHEN x.d IS NULL THEN NULL WHEN NOT x.unit THEN w WHEN n > 0 THEN w / n ELSE 0 END)::FLOAT::DOUBLE")} AS x
+    FROM e LEFT JOIN x ON x.doc_id = e.doc_id
+    """
+)
+def embed_request_options(t: Tables):
+    """Requests with prompts, cuts, widths and scaling of their own."""
+    i = F.col("doc_id")
+    rows = t.spread("documents").select(
+        "doc_id",
+        "text",
+        F.when(F.col("lang") == "en", "query").when(F.col("lang") == "fr", "passage").when(F.col("lang") != "de", "none").alias("prompt_name"),
+        F.when(i % 3 == 0, False).alias("truncate"),
+        F.when(i % 2 == 0, "left").alias("direction"),
+        F.when(i % 5 == 0, False).alias("normalize"),
+        F.when(i % 11 == 0, 65).when(i % 4 == 0, 16).alias("dimensions"),
+    )
+    prompts = {"query": "query: ", "passage": "passage: "}
+    found = encode.embed_requests(rows, prompts, 200, truncate=True, direction="right", normalize=True)
+    entries = F.transform("embedding", lambda x, d: F.struct(d.cast("long").alias("d"), x.alias("x")))
+    return found.select(
+        "doc_id", "error_code", F.col("metadata.compute_tokens").alias("compute_tokens"), F.explode_outer(entries).alias("e")
+    ).select("doc_id", "error_code", "compute_tokens", "e.d", round6(F.col("e.x").cast("double")).alias("x"))
+
+
 @query(
     f"""
     WITH w AS ({weights("documents", "doc_id")}), {_UNIT}
@@ -479,7 +632,8 @@ def predict(t: Tables):
 @query(
     _softmax_sql(
         f"""
-    pairs AS (SELECT a.doc_id, a.text AS ta, b.text AS tb FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1),
+    next AS (SELECT doc_id, coalesce(lead(doc_id) OVER (ORDER BY doc_id), doc_id) AS next_id FROM documents),
+    pairs AS (SELECT a.doc_id, a.text AS ta, b.text AS tb FROM documents a JOIN next USING (doc_id) JOIN documents b ON b.doc_id = next_id),
     wa AS ({weights("pairs", "doc_id", "ta")}), wb AS ({weights("pairs", "doc_id", "tb")}),
     na AS (SELECT doc_id, sqrt(sum(w * w)::DOUBLE) AS n FROM wa GROUP BY 1),
     nb AS (SELECT doc_id, sqrt(sum(w * w)::DOUBLE) AS n FROM wb GROUP BY 1), {_LABELS},
@@ -494,8 +648,8 @@ def predict(t: Tables):
 )
 def predict_pair(t: Tables):
     d = t.spread("documents").select("doc_id", "text")
-    nxt = d.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("other"))
-    pairs = d.join(nxt, "doc_id").select("doc_id", F.array("text", "other").alias("texts"))
+    other = d.select(F.col("doc_id").alias("next_id"), F.col("text").alias("other"))
+    pairs = d.join(neighbours(t), "doc_id").join(other, "next_id").select("doc_id", F.array("text", "other").alias("texts"))
     return _labelled(encode.predict_pair(pairs, encode.LinearClassifier(label_weights())))
 
 
@@ -578,6 +732,31 @@ def decode(t: Tables):
     return encode.decode(ids, encode.vocabulary(docs), out="decoded").drop("ids")
 
 
+@query(
+    """
+    WITH v AS (
+      SELECT doc_id AS id, CASE doc_id % 5 WHEN 0 THEN '' WHEN 1 THEN 'a' || chr(10) || 'b' ELSE source END AS token FROM documents),
+    n AS (SELECT max(doc_id) AS n FROM documents),
+    d AS (SELECT doc_id, (SELECT token FROM v WHERE id = doc_id) AS one, (SELECT token FROM v WHERE id = doc_id + 1) AS two FROM documents)
+    SELECT doc_id, form, CASE WHEN doc_id % 9 <> 0 THEN concat_ws(' ', one, two, one) END AS decoded
+    FROM d CROSS JOIN (VALUES ('inline'), ('joined')) f(form)
+    """
+)
+def decode_odd_tokens(t: Tables):
+    """Empty tokens, line feeds and ids beyond any vocabulary, by both ways of decoding."""
+    i = F.col("doc_id")
+    token = F.when(i % 5 == 0, "").when(i % 5 == 1, "a\nb").otherwise(F.col("source"))
+    vocab = t.documents.select(i.alias("id"), token.alias("token"))
+    ids = F.array(i, F.lit(1 << 40), i + 1, F.lit(-3).cast("long"), F.lit(None).cast("long"), i)
+    rows = t.documents.select("doc_id", F.when(i % 9 != 0, ids).alias("ids"))
+    most = (t.documents.agg(F.max("doc_id")).first()[0] or 0) + 1
+    forms = [
+        encode.decode(rows, vocab, "doc_id", dim=most, out="decoded", inline_bytes=size).withColumn("form", F.lit(form))
+        for form, size in (("inline", encode.INLINE_BYTES), ("joined", 0))
+    ]
+    return forms[0].unionByName(forms[1]).drop("ids")
+
+
 @query("SELECT doc_id, 384::BIGINT AS width, 0.0::DOUBLE AS total FROM documents")
 def embed_noop(t: Tables):
     rows = encode.embed(texts_with_nulls(t), noop=True)
@@ -662,10 +841,23 @@ def batch_outcomes(t: Tables):
     return batch.batch_outcomes(rows)
 
 
-@query()
+@query(
+    f"""
+    WITH RECURSIVE n AS (
+      SELECT doc_id, len({_ALL_TOKENS})::INTEGER AS n_tokens, {HASH.format("doc_id::VARCHAR")} % 8 AS bucket FROM documents),
+    o AS (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY n_tokens DESC, doc_id) AS i FROM n),
+    p AS (
+      SELECT o.*, 0 AS pack, n_tokens::BIGINT AS used FROM o WHERE i = 1
+      UNION ALL
+      SELECT o.*, CASE WHEN p.used > 0 AND p.used + o.n_tokens > 16384 THEN p.pack + 1 ELSE p.pack END,
+             CASE WHEN p.used > 0 AND p.used + o.n_tokens > 16384 THEN o.n_tokens ELSE p.used + o.n_tokens END
+      FROM p JOIN o ON o.bucket = p.bucket AND o.i = p.i + 1)
+    SELECT doc_id, n_tokens, bucket || '-' || pack AS pack_id, used AS pack_tokens FROM p
+    """
+)
 def pack_by_tokens(t: Tables):
     rows = t.spread("documents").select("doc_id", F.size(tx.tokens(F.col("text"))).alias("n_tokens"))
-    return batch.pack_by_tokens(rows, 16384)
+    return batch.pack_by_tokens(rows, 16384, buckets=8)
 
 
 @query(

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,15 +47,25 @@ def read_store(spark: SparkSession, root: str) -> DataFrame:
     return snapshots.join(store_size(files), "model_id").join(configs, ["model_id", "path"], "left")
 
 
-def read_logs(spark: SparkSession, path: str) -> DataFrame:
+def read_logs(spark: SparkSession, path: str, root: str | None = None) -> DataFrame:
     """(instance, line_no, line): lines of log files, numbered from 0 per file.
 
+    The instance is the file's name without its ending, or with ``root`` its path
+    below that folder; two files of one instance are an error.
+
     Files are read in splits, so a log of any size is spread over tasks.  A
     split is the chunk of the numbering: its lines come in order inside the
     scan, and the lines of the splits before it are added.
     """
-    lines = spark.read.option("lineSep", "\n").text(path).select(
-        F.regexp_extract("_metadata.file_path", r"([^/]+?)(\.[^./]*)?$", 1).alias("instance"),
+    read = spark.read.option("lineSep", "\n").text(path)
+    below = r"([^/]+?)(\.[^./]*)?$"
+    if root is not None:
+        below = "/" + re.escape(root.rstrip("/").rpartition("/")[2]) + r"/(.+?)(\.[^./]*)?$"
+    names = Counter(m[1] if (m := re.search(below, f)) else f for f in read.inputFiles())
+    if twice := [n for n, count in names.items() if count > 1]:
+        raise ValueError(f"several logs of instance {twice[0]!r}; name the folder they lie in as root")
+    lines = read.select(
+        F.regexp_extract("_metadata.file_path", below, 1).alias("instance"),
         F.col("_metadata.file_block_start").alias(CHUNK),
         F.monotonically_increasing_id().alias("_at"),
         F.regexp_replace("value", "\r$", "").alias("line"),

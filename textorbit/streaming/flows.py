@@ -139,25 +139,33 @@ def health_monitor(
     return fold_stream(checks, advance, state_schema, root, trigger)
 
 
-def lifecycle_apply(events: DataFrame, root: str, trigger: dict | None = None) -> StreamingQuery:
+def lifecycle_apply(
+    events: DataFrame, root: str, trigger: dict | None = None, lateness: int = 1_000_000
+) -> StreamingQuery:
     """Keep the current membership from added / removed / stopped events (name, seq, kind).
 
     The checkpointed source replays what a crash interrupted, so no event is lost.
-    Out: the names that left in this batch.
+    A name that left is remembered until the newest event is more than ``lateness``
+    numbers ahead, so an older ``added`` that comes late does not bring it back.
+    State: (name, seq, member).  Out: the names that left in this batch.
     """
 
     def advance(batch: DataFrame, state: DataFrame) -> tuple[DataFrame, DataFrame]:
         last = batch.filter(F.col("kind").isin("added", "removed", "stopped")).groupBy("name").agg(
             F.max_by("kind", "seq").alias("kind"), F.max("seq").alias("seq")
         )
-        joined = state.withColumnRenamed("seq", "_seq").join(last, "name", "full_outer")
-        newer = F.col("seq") > F.coalesce("_seq", F.lit(-1).cast("long"))
-        gone = F.coalesce(newer & (F.col("kind") != "added"), F.lit(False))
-        left = joined.filter(gone & F.col("_seq").isNotNull()).select("name", "seq")
-        members = joined.filter(~gone).select("name", F.greatest("seq", "_seq").alias("seq"))
-        return left, members
-
-    return fold_stream(events, advance, "name string, seq long", root, trigger)
+        known = state.withColumnsRenamed({"seq": "_seq", "member": "_member"})
+        joined = known.join(last, "name", "full_outer")
+        newer = F.coalesce(F.col("seq") > F.coalesce("_seq", F.lit(-1).cast("long")), F.lit(False))
+        member = F.when(newer, F.col("kind") == "added").otherwise(F.col("_member"))
+        now = cut(
+            joined.select("name", F.greatest("seq", "_seq").alias("seq"), member.alias("member"), F.col("_member").alias("was"))
+        )
+        left = now.filter("was and not member").select("name", "seq")
+        newest = now.agg(F.max("seq")).first()[0] or 0
+        return left, now.filter(F.col("member") | (F.col("seq") >= newest - lateness)).drop("was")
+
+    return fold_stream(events, advance, "name string, seq long, member boolean", root, trigger)
 
 
 def bind_targets(messages: DataFrame, root: str, trigger: dict | None = None) -> StreamingQuery:
