@@ -107,12 +107,12 @@ def test_health_monitor_carries_state_between_batches(spark, tmp_path):
 def test_lifecycle_over_batches(spark, tmp_path):
     rows = [("a", 1, "added"), ("b", 2, "added"), ("a", 3, "removed"), ("c", 4, "added"), ("b", 5, "stopped"), ("a", 6, "added")]
     rows.append(("b", 4, "added"))  # late: b has left since
-    stream = stream_dir(spark, tmp_path, rows, "name string, seq long, kind string", 3)
+    stream = stream_dir(spark, tmp_path, rows, "name string, seq long, kind string", 4)
     root = str(tmp_path / "run")
     flows.lifecycle_apply(stream, root).awaitTermination()
     left = flows.read_batches(spark, root, "name string, seq long")
     assert sorted(r["name"] for r in left.collect()) == ["a", "b"]
-    state = spark.read.parquet(f"{root}/state/batch=2").filter("member")
+    state = spark.read.parquet(f"{root}/state/batch=3").filter("member")
     assert sorted(r["name"] for r in state.collect()) == ["a", "c"]
 
 
