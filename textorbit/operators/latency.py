@@ -349,7 +349,12 @@ def _whole(name: str, missing: str) -> Column:
 
 
 def format_comparison(comparison: DataFrame) -> DataFrame:
-    """The seventeen report columns as text; null and zero are empty on optional ones."""
+    """The seventeen report columns as text; null and zero are empty on optional ones.
+
+    Numbers are taken to six decimals before they are printed with fewer: a mean of
+    doubles changes in its last digits with the order of its rows, and must not
+    fall on either side of a printed half.
+    """
     out = {
         "model": F.col("model"),
         "size": F.col("size"),
@@ -359,9 +364,9 @@ def format_comparison(comparison: DataFrame) -> DataFrame:
         "cpu_load_time_ms": number_or(F.col("cpu_load_time_ms"), 1, ""),
         "gpu_load_time_ms": number_or(F.col("gpu_load_time_ms"), 1, ""),
         "query_length": F.col("query_length"),
-        **{f"cpu_{s}": fixed(F.col(f"cpu_{s}"), 4) for s in STATS},
-        **{f"gpu_{s}": number_or(F.col(f"gpu_{s}"), 4, "") for s in STATS},
-        "speedup": number_or(F.col("speedup"), 2, ""),
+        **{f"cpu_{s}": fixed(round6(F.col(f"cpu_{s}")), 4) for s in STATS},
+        **{f"gpu_{s}": number_or(round6(F.col(f"gpu_{s}")), 4, "") for s in STATS},
+        "speedup": number_or(round6(F.col("speedup")), 2, ""),
     }
     return comparison.select(*[out[c].alias(c) for c in CSV_COLUMNS])
 
@@ -372,10 +377,10 @@ def table_line(cells: Sequence[Column]) -> Column:
 
 def _timing_cells(gpu: bool, rate: str) -> list[Column]:
     stats = STATS[:3]
-    cells = [fixed(F.col(f"cpu_{s}"), 2) for s in stats]
+    cells = [fixed(round6(F.col(f"cpu_{s}")), 2) for s in stats]
     if gpu:
-        cells += [number_or(F.col(f"gpu_{s}"), 2, "N/A") for s in stats]
-        cells.append(number_or(F.col(rate), 1, "N/A", "x"))
+        cells += [number_or(round6(F.col(f"gpu_{s}")), 2, "N/A") for s in stats]
+        cells.append(number_or(round6(F.col(rate)), 1, "N/A", "x"))
     return cells
 
 

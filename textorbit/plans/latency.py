@@ -352,8 +352,8 @@ def _f(column: str, digits: int, missing: str = "") -> str:
     SELECT model, size, {_WHOLE.format("num_parameters", "")} AS params, {_WHOLE.format("embedding_dim", "")} AS embedding_dim,
            {_WHOLE.format("max_seq_length", "")} AS max_seq_length, {_f("cpu_load_time_ms", 1)} AS cpu_load_time_ms,
            {_f("gpu_load_time_ms", 1)} AS gpu_load_time_ms, query_length,
-           {", ".join(f"printf('%.4f', cpu_{s}) AS cpu_{s}" for s in lt.STATS)},
-           {", ".join(f"{_f(f'gpu_{s}', 4)} AS gpu_{s}" for s in lt.STATS)}, {_f("speedup", 2)} AS speedup
+           {", ".join(f"printf('%.4f', {r6(f'cpu_{s}')}) AS cpu_{s}" for s in lt.STATS)},
+           {", ".join(f"{_f(r6(f'gpu_{s}'), 4)} AS gpu_{s}" for s in lt.STATS)}, {_f(r6("speedup"), 2)} AS speedup
     FROM cmp
     """
 )
@@ -368,8 +368,8 @@ _MS = """CASE WHEN {0} IS NULL THEN '?' WHEN {0} >= 1000 THEN printf('%.1f', {0}
 
 
 def _cells(rate: str) -> str:
-    parts = [f"printf('%.2f', cpu_{s})" for s in lt.STATS[:3]] + [_f(f"gpu_{s}", 2, "N/A") for s in lt.STATS[:3]]
-    parts.append(f"CASE WHEN {rate} IS NULL OR {rate} = 0 THEN 'N/A' ELSE printf('%.1f', {rate}) || 'x' END")
+    parts = [f"printf('%.2f', {r6(f'cpu_{s}')})" for s in lt.STATS[:3]] + [_f(r6(f"gpu_{s}"), 2, "N/A") for s in lt.STATS[:3]]
+    parts.append(f"CASE WHEN {rate} IS NULL OR {r6(rate)} = 0 THEN 'N/A' ELSE printf('%.1f', {r6(rate)}) || 'x' END")
     return ", ".join(f"({p})" for p in parts)
 
 
