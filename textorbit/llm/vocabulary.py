@@ -5,7 +5,6 @@ from __future__ import annotations
 import json
 from functools import lru_cache
 
-import numpy as np
 import tiktoken
 
 #: Fixed value: how byte-level vocabularies of this family cut a text.
