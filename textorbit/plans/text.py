@@ -457,6 +457,23 @@ def embed(t: Tables):
     return exploded(encode.embed(t.spread("documents").select("doc_id", "text")), "doc_id", "embedding")
 
 
+_SHORT = "(SELECT conv_id * 1000 + turn AS key, text FROM conversations)"
+
+
+@query(
+    f"""
+    WITH w AS ({weights(_SHORT, "key")}), n AS (SELECT key, sqrt(sum(w * w)::DOUBLE) AS n FROM w GROUP BY 1),
+    dims AS (SELECT unnest(range(64)) AS d)
+    SELECT key, d, CASE WHEN n > 0 THEN {r6("(coalesce(w, 0) / n)::FLOAT::DOUBLE")} ELSE 0.0 END AS x
+    FROM {_SHORT} CROSS JOIN dims LEFT JOIN w USING (key, d) LEFT JOIN n USING (key)
+    """
+)
+def embed_short_texts(t: Tables):
+    """Turns of conversations: texts of a few hundred characters."""
+    key = F.col("conv_id") * 1000 + F.col("turn")
+    return exploded(encode.embed(t.spread("conversations").select(key.alias("key"), "text")), "key", "embedding")
+
+
 def load_hashing():
     """The lexical vector as a user's model would compute it, in Python."""
     import re
