@@ -27,6 +27,7 @@ from textorbit.functions import vectors as vec
 from textorbit.operators import requests
 from textorbit.operators.batch import number_rows
 from textorbit.operators.scan import ranked
+from textorbit.session import cut
 
 NOOP_DIM = 384  # fixed value: vector width of the no-op encoder
 
@@ -490,7 +491,8 @@ def decode(
     is joined per token, then gathered per ``key``, which must tell the rows apart.
     Both give the same texts.
     """
-    known = (
+    # Written once: it is sized, fetched or joined, and mostly costs a pass over a corpus.
+    known = cut(
         vocab.filter((F.col("id") >= 0) & (F.col("id") < dim) & F.col("token").isNotNull())
         .groupBy("id").agg(F.min("token").alias("token"))
     )
@@ -499,7 +501,7 @@ def decode(
     size = known.agg(slots, F.coalesce(F.sum(F.octet_length("token") + 3), F.lit(0)).alias("bytes")).first()
     if 5 * size["slots"] + size["bytes"] <= inline_bytes:
         held = [None] * size["slots"]
-        for row in known.toLocalIterator():  # inline_bytes at most
+        for row in known.collect():  # inline_bytes at most
             held[row["id"]] = row["token"]
         table = F.from_json(F.lit(json.dumps(held)), "array<string>")
 
@@ -555,10 +557,10 @@ def embed_requests(
         F.col("error_code"),
         F.when(long & ~F.col("truncate"), "INPUT_TOO_LONG").when(wide, "INVALID_ARGUMENT"),
     )
-    cut = F.when(F.col("direction") == "left", tx.truncate_tokens(F.col("_tokens"), max_len, "left")).otherwise(
+    shorter = F.when(F.col("direction") == "left", tx.truncate_tokens(F.col("_tokens"), max_len, "left")).otherwise(
         tx.truncate_tokens(F.col("_tokens"), max_len, "right")
     )
-    kept = F.when(long, F.array_join(cut, " ")).otherwise(F.col(text_col))
+    kept = F.when(long, F.array_join(shorter, " ")).otherwise(F.col(text_col))
     rows = rows.withColumn("error_code", error)
     rows = rows.withColumn("_kept", F.when(F.col("error_code").isNull(), kept))
 
