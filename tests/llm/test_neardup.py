@@ -110,25 +110,17 @@ def test_signature_misses_are_rare():
     assert sum(comb(n, k) * p**k * (1 - p) ** (n - k) for k in range(neardup.DISTANCE + 1, n + 1)) < 1e-5
 
 
-def test_long_list_is_united(monkeypatch):
-    monkeypatch.setattr(neardup, "LIST_ROWS", 10)
-    rng = np.random.default_rng(2)
-    marks = [rng.integers(0, 1 << 16, neardup.SLOTS).astype(np.uint16).tobytes() for _ in range(50)]
-    arrays = [pa.array([7] * 50), pa.array(range(50)), pa.array([9] * 50), pa.array(marks, pa.binary())]
-    whole = pa.RecordBatch.from_arrays(arrays, ["key", "id", "n", "mark"])
-    parts = [whole.slice(i, 6) for i in range(0, 50, 6)]
-    edges = pa.Table.from_batches(neardup._candidates(iter(parts)))
-    reached = {0}
-    for a, b in zip(*(edges.column(c).to_pylist() for c in range(2)), strict=True):
-        if a in reached or b in reached:
-            reached |= {a, b}
-    assert reached == set(range(50))
+def test_long_lists_lose_no_link(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "LIST_ROWS", 2)
+    rows = chain(30) + chain(1, start=100) + [(200 + i, f"{chain(1, start=200)[0][1]} end{i}") for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert as_rows(neardup.near_duplicates(docs)) == wanted(rows)
 
 
 def test_whole_runs_cut_no_run():
     keys = [1, 1, 2, 3, 3, 3, 3, 4]
     batches = [pa.RecordBatch.from_arrays([pa.array(keys[i : i + 2])], ["k"]) for i in range(0, 8, 2)]
-    seen = [t.column(0).to_pylist() for t, over in whole_runs(iter(batches), 0) if over is None]
+    seen = [t.column(0).to_pylist() for t in whole_runs(iter(batches), 0)]
     assert [k for part in seen for k in part] == keys
     assert not any(set(a) & set(b) for a, b in zip(seen, seen[1:], strict=False))
 

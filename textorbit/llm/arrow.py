@@ -22,35 +22,24 @@ def matrix(column: pa.Array, width: int, dtype) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype).reshape(-1, width)
 
 
-def whole_runs(batches: Iterator[pa.RecordBatch], key: int, limit: int = 0) -> Iterator[tuple[pa.Table, object]]:
-    """Regroup a stream sorted by column ``key`` so that no run of a key is cut.
-
-    Yields tables and, with a ``limit``, the key whose run was longer and so goes
-    on from one table to the next; the last row of the one opens the other.
-    """
+def whole_runs(batches: Iterator[pa.RecordBatch], key: int) -> Iterator[pa.Table]:
+    """Regroup a stream sorted by column ``key`` into tables that cut no run of a key."""
     held: list[pa.RecordBatch] = []
-    over = None
     for batch in batches:
         if not batch.num_rows:
             continue
         keys = batch.column(key).to_numpy(zero_copy_only=False)
-        last = keys[-1]
-        differs = np.flatnonzero(keys != last)
+        differs = np.flatnonzero(keys != keys[-1])
         cut = int(differs[-1]) + 1 if len(differs) else 0
-        opened = held and held[-1].column(key)[-1].as_py()
-        if held and opened != last and not cut:
-            yield pa.Table.from_batches(held), over
-            held, over = [], None
-        elif cut:
-            yield pa.Table.from_batches([*held, batch.slice(0, cut)]), over
-            held, over = [], None
+        if cut:
+            yield pa.Table.from_batches([*held, batch.slice(0, cut)])
+            held = []
+        elif held and held[-1].column(key)[-1].as_py() != keys[-1]:
+            yield pa.Table.from_batches(held)
+            held = []
         held.append(batch.slice(cut))
-        if limit and sum(b.num_rows for b in held) > limit:
-            over = last
-            yield pa.Table.from_batches(held), over
-            held = [held[-1].slice(held[-1].num_rows - 1)]
     if held:
-        yield pa.Table.from_batches(held), over
+        yield pa.Table.from_batches(held)
 
 
 def bounds(keys: np.ndarray) -> np.ndarray:

@@ -100,8 +100,8 @@ def _forest(ids: np.ndarray, sizes: np.ndarray, marks: np.ndarray) -> list[tuple
 
 
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Edges within each list of a stream sorted by list."""
-    for table, over in whole_runs(batches, 0, LIST_ROWS):
+    """Edges within each list of a stream sorted by list; a list has at most ``LIST_ROWS`` rows."""
+    for table in whole_runs(batches, 0):
         table = table.combine_chunks()
         keys, ids, sizes = (table.column(c).to_numpy() for c in range(3))
         marks = matrix(table.column(3), SLOTS, np.uint16)
@@ -112,10 +112,7 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         left, right = [ids[two[near]]], [ids[two[near] + 1]]
         for start, count in zip(starts[counts > 2], counts[counts > 2], strict=True):
             part = slice(start, start + count)
-            if over is not None and keys[start] == over:
-                edges = [(ids[start], i) for i in ids[start + 1 : start + count]]
-            else:
-                edges = _forest(ids[part], sizes[part], marks[part])
+            edges = _forest(ids[part], sizes[part], marks[part])
             if edges:
                 a, b = np.array(edges, np.int64).T
                 left.append(a)
@@ -157,7 +154,7 @@ def _link(labels: np.ndarray, sets: list[np.ndarray], marks: np.ndarray) -> np.n
 
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Old and new label of documents in a stream sorted by group."""
-    for table, _ in whole_runs(batches, 0):
+    for table in whole_runs(batches, 0):
         groups = table.column(0).to_numpy()
         at = bounds(groups)
         old, new = [], []
@@ -253,9 +250,15 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     folded = cut(folded)
     # a smallest id that stands for two sets (rows that repeat an id) keeps the lists correct by itself
     lists = folded.select("id", "mark").mapInArrow(_lists, "key long, id long")
-    lists = lists.withColumn("members", F.expr("count(*) over (partition by key)")).where("members > 1").drop("members")
-    listed = lists.join(folded.select("id", "n_shingles", "mark"), "id").select("key", "id", "n_shingles", "mark")
+    # Counts combine before the shuffle, and a list that a third of all signatures share is
+    # joined with its one row of counts, which Spark may split; no task gets such a list whole.
+    shared = lists.groupBy("key").agg(F.count("*").alias("members"), F.min("id").alias("head")).where("members > 1")
+    lists = cut(lists.join(shared, "key"))
+    long = lists.where((F.col("members") > LIST_ROWS) & (F.col("id") != F.col("head")))
+    short = lists.where(F.col("members") <= LIST_ROWS).select("key", "id")
+    listed = short.join(folded.select("id", "n_shingles", "mark"), "id").select("key", "id", "n_shingles", "mark")
     edges = listed.repartition("key").sortWithinPartitions("key").mapInArrow(_candidates, "a long, b long")
+    edges = edges.unionByName(long.select(F.col("head").alias("a"), F.col("id").alias("b")))
     groups = components(edges, "a", "b")
     members = groups.withColumnRenamed("component", "group").withColumnRenamed("node", "id").join(folded, "id")
     members = cut(members.withColumn("label", F.col("id")))
