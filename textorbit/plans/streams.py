@@ -177,18 +177,24 @@ def idle_sessions(t: Tables):
     return flows.idle_sessions(rows, gap_secs=36000)
 
 
-@query()
+def _closed(sql: str, end: str, newest: str) -> str:
+    """Rows whose end is not after the newest time, in whole milliseconds, less ten minutes."""
+    return f"SELECT * FROM ({sql}) WHERE epoch_us({end}) <= (SELECT epoch_ms(max(ts)) FROM {newest}) * 1000 - 600000000"
+
+
+@query(_closed(_SESSIONS, "session_end", "events"))
 def stream_idle_sessions(t: Tables):
     """Sessions the watermark has closed when the input ends; the open ones stay in the state."""
     rows = stream(t, "events").select(F.col("user_id").alias("instance"), F.col("ts").cast("timestamp").alias("ts"))
     return table(t, flows.idle_sessions(rows, gap_secs=36000))
 
 
-@query()
+@query(_closed(ORACLE["failure_rate"], "window_end", "(SELECT ts FROM events WHERE event_type = 'error')"))
 def stream_failure_rate(t: Tables):
+    """Windows the watermark has closed when the input ends."""
     failures = stream(t, "events").filter("event_type = 'error'")
     rows = failures.select(F.col("user_id").alias("instance"), F.col("ts").cast("timestamp").alias("ts"))
-    return table(t, flows.failure_rate_stream(rows))
+    return table(t, flows.failure_rate_stream(rows)).withColumn("rate", round6(F.col("rate")))
 
 
 @query(ORACLE["fleet_state"].replace("SELECT name, since_seq", "SELECT name, since_seq AS seq"))
