@@ -112,10 +112,24 @@ def test_lifecycle_over_batches(spark, tmp_path):
     flows.lifecycle_apply(stream, root).awaitTermination()
     left = flows.read_batches(spark, root, "name string, seq long")
     assert sorted(r["name"] for r in left.collect()) == ["a", "b"]
-    state = spark.read.parquet(f"{root}/state/batch=3").filter("member")
+    state = flows.read_state(spark, root, flows.MEMBERS, "name").filter("member")
     assert sorted(r["name"] for r in state.collect()) == ["a", "c"]
 
 
+def test_state_is_folded_and_expires(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(flows, "FOLD_BATCHES", 3)
+    rows = [("keep", 0, "added"), ("gone", 1, "added"), ("gone", 2, "removed")]
+    rows += [(f"n{i}", i, "added") for i in range(3, 11)] + [("n9", 10, "removed"), ("keep", -1, "removed")]
+    stream = stream_dir(spark, tmp_path, rows, "name string, seq long, kind string", len(rows))
+    root = str(tmp_path / "run")
+    flows.lifecycle_apply(stream, root, lateness=4).awaitTermination()
+    state = {r["name"]: r["member"] for r in flows.read_state(spark, root, flows.MEMBERS, "name").collect()}
+    assert state == {"keep": True, "n9": False} | {f"n{i}": True for i in range(3, 11) if i != 9}
+    tables = sorted(p.name for p in (tmp_path / "run" / "state").iterdir())
+    assert tables == ["batch=12", "full=11"]
+    assert spark.read.parquet(f"{root}/state/batch=12").count() <= 1  # the changes only
+
+
 def test_first_target_binds_across_batches(spark, tmp_path):
     rows = [(1, 0, "a"), (2, 0, None), (1, 1, "b"), (2, 1, "x"), (1, 2, None)]
     stream = stream_dir(spark, tmp_path, rows, "stream_id long, seq long, target string", 3)
@@ -126,7 +140,9 @@ def test_first_target_binds_across_batches(spark, tmp_path):
     assert got == {(1, 0): "a", (1, 1): "a", (1, 2): "a", (2, 0): None, (2, 1): None}
 
 
-def test_rerank_stream_waits_for_the_end_and_uses_first_options(spark, tmp_path):
+@pytest.mark.parametrize("fold", [1, 16])
+def test_rerank_stream_waits_for_the_end_and_uses_first_options(spark, tmp_path, monkeypatch, fold):
+    monkeypatch.setattr(flows, "FOLD_BATCHES", fold)
     rows = [
         (7, 0, "red boat", "blue car", True, True, False),
         (8, 0, "red boat", "red boat", True, False, False),

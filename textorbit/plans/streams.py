@@ -207,9 +207,7 @@ def stream_lifecycle(t: Tables):
     )
     root = fresh_dir(t.spark, "lifecycle")
     flows.lifecycle_apply(events, root).awaitTermination()
-    states = flows.read_batches(t.spark, root, "name string, seq long, member boolean", "state")
-    last = states.agg(F.max("batch").alias("batch"))
-    return states.join(last, "batch").filter("member").drop("batch", "member")
+    return flows.read_state(t.spark, root, flows.MEMBERS, "name").filter("member").drop("member")
 
 
 @query(ORACLE["stream_target"].replace("conv_id, turn, bound", "conv_id AS stream_id, turn AS seq, bound"))

@@ -6,10 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+from textorbit.session import exists
 
 
 def save_snapshot(df: DataFrame, path: str, version: int, last_updated: str) -> None:
@@ -28,7 +25,7 @@ def save_snapshot(df: DataFrame, path: str, version: int, last_updated: str) ->
 def snapshot_versions(spark: SparkSession, path: str) -> DataFrame:
     """Committed (version, last_updated)."""
     schema = "version long, last_updated timestamp"
-    if not _exists(spark, f"{path}/commits"):
+    if not exists(spark, f"{path}/commits"):
         return spark.createDataFrame([], schema)
     return spark.read.schema(schema).parquet(f"{path}/commits").select("version", "last_updated")
 

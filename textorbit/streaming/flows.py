@@ -19,7 +19,7 @@ from pyspark.sql.streaming import StreamingQuery
 from textorbit.functions.formats import micros
 from textorbit.operators import encode, fleet
 from textorbit.operators.metrics import LABELS, failure_rate, series
-from textorbit.session import cut, fresh_dir
+from textorbit.session import cut, exists, fresh_dir, matching, passing_cuts, remove
 
 
 def file_stream(
@@ -69,27 +69,74 @@ def read_batches(spark: SparkSession, root: str, schema: T.StructType | str, nam
     return found
 
 
+#: After so many batches the changes since the last full state are folded into one.
+FOLD_BATCHES = 16
+
+
+def _folded(batch_id: int) -> int:
+    """First batch whose changes are not in the full state that batch ``batch_id`` starts from."""
+    return batch_id // FOLD_BATCHES * FOLD_BATCHES
+
+
+def _latest(rows: DataFrame, key: str) -> DataFrame:
+    """The row of the newest batch for each key."""
+    return rows.groupBy(key).agg(F.max_by(F.struct(*rows.columns), "batch").alias("_row")).select("_row.*").drop("batch")
+
+
+def _state_before(spark: SparkSession, root: str, schema: str, key: str, batch_id: int, start: int) -> DataFrame:
+    """State that the batches below ``batch_id`` left: a full one below ``start`` and the changes since."""
+    at = lambda path, n: spark.read.schema(schema).parquet(path).withColumn("batch", F.lit(n))
+    rows = at(f"{root}/state/full={start - 1}", start - 1) if start else None
+    for n in range(start, batch_id):  # FOLD_BATCHES at most
+        changes = at(f"{root}/state/batch={n}", n)
+        rows = changes if rows is None else rows.unionByName(changes)
+    return spark.createDataFrame([], schema) if rows is None else _latest(rows, key)
+
+
+def read_state(spark: SparkSession, root: str, schema: str, key: str) -> DataFrame:
+    """State of a flow after all batches that have ended."""
+    done = [int(p.rpartition("batch=")[2].partition("/")[0]) for p in matching(spark, f"{root}/state/batch=*/_SUCCESS")]
+    if not done:
+        return spark.createDataFrame([], schema)
+    newest = max(done)
+    return _state_before(spark, root, schema, key, newest + 1, _folded(newest))
+
+
 def fold_stream(
     stream: DataFrame,
     step: Callable[[DataFrame, DataFrame], tuple[DataFrame, DataFrame]],
-    state_schema: T.StructType | str,
+    state_schema: str,
+    key: str,
     root: str,
     trigger: dict | None = None,
+    keep: Callable[[DataFrame], DataFrame] = lambda state: state,
 ) -> StreamingQuery:
-    """Run ``step(batch, state) -> (rows out, new state)`` on every micro-batch.
+    """Run ``step(batch, state) -> (rows out, changed state rows)`` on every micro-batch.
 
-    State and output of batch n are tables ``state/batch=n`` and ``out/batch=n``.
+    A batch writes its output and the state of the keys that it changed, one row each.  Each
+    ``FOLD_BATCHES`` batches all changes are folded into one full state, ``keep`` drops what
+    has expired, and the folded tables are removed.  Only batches that have ended are
+    folded, so a batch that is repeated finds the state that it began with.
     """
 
+    def fold(spark: SparkSession, batch_id: int) -> None:
+        whole = keep(_state_before(spark, root, state_schema, key, batch_id, batch_id - FOLD_BATCHES))
+        whole.write.mode("overwrite").parquet(f"{root}/state/full={batch_id - 1}")
+
     def each(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        if batch_id == 0:
-            state = spark.createDataFrame([], state_schema)
-        else:
-            state = spark.read.schema(state_schema).parquet(f"{root}/state/batch={batch_id - 1}")
-        out, new_state = step(batch, state)
-        out.write.mode("overwrite").parquet(f"{root}/out/batch={batch_id}")
-        new_state.write.mode("overwrite").parquet(f"{root}/state/batch={batch_id}")
+        start = _folded(batch_id)
+        if batch_id and batch_id == start and not exists(spark, f"{root}/state/full={batch_id - 1}/_SUCCESS"):
+            fold(spark, batch_id)
+        if batch_id and batch_id == start:
+            for n in range(batch_id - FOLD_BATCHES, batch_id):
+                remove(spark, f"{root}/state/batch={n}")
+            remove(spark, f"{root}/state/full={batch_id - FOLD_BATCHES - 1}")
+        with passing_cuts(spark):
+            state = _state_before(spark, root, state_schema, key, batch_id, start)
+            out, changed = step(batch, state)
+            changed.write.mode("overwrite").parquet(f"{root}/state/batch={batch_id}")
+            out.write.mode("overwrite").parquet(f"{root}/out/batch={batch_id}")
 
     return _each_batch(stream, each, f"{root}/checkpoint", trigger)
 
@@ -128,15 +175,13 @@ def health_monitor(
         )
         out = cut(fleet.health_reduce(rows, max_failures, auto_restart, step=step))  # output and new state
         last = fleet.final_health(out).select("instance", "status", "failures", "last_ok_seq")
-        merged = last.join(known, "instance", "full_outer").select(
-            "instance",
-            F.coalesce("status", "_status").alias("status"),
-            F.coalesce("failures", "_failures").alias("failures"),
-            F.coalesce("last_ok_seq", "_ok").alias("last_ok_seq"),
-        )
-        return out, merged
+        merged = last.join(known.select("instance", "_ok"), "instance", "left")
+        return out, merged.withColumn("last_ok_seq", F.coalesce("last_ok_seq", "_ok")).drop("_ok")
+
+    return fold_stream(checks, advance, state_schema, "instance", root, trigger)
+
 
-    return fold_stream(checks, advance, state_schema, root, trigger)
+MEMBERS = "name string, seq long, member boolean"
 
 
 def lifecycle_apply(
@@ -155,17 +200,15 @@ def lifecycle_apply(
             F.max_by("kind", "seq").alias("kind"), F.max("seq").alias("seq")
         )
         known = state.withColumnsRenamed({"seq": "_seq", "member": "_member"})
-        joined = known.join(last, "name", "full_outer")
-        newer = F.coalesce(F.col("seq") > F.coalesce("_seq", F.lit(-1).cast("long")), F.lit(False))
-        member = F.when(newer, F.col("kind") == "added").otherwise(F.col("_member"))
-        now = cut(
-            joined.select("name", F.greatest("seq", "_seq").alias("seq"), member.alias("member"), F.col("_member").alias("was"))
-        )
-        left = now.filter("was and not member").select("name", "seq")
-        newest = now.agg(F.max("seq")).first()[0] or 0
-        return left, now.filter(F.col("member") | (F.col("seq") >= newest - lateness)).drop("was")
+        newer = last.join(known, "name", "left").filter(F.col("_seq").isNull() | (F.col("seq") > F.col("_seq")))
+        now = cut(newer.select("name", "seq", (F.col("kind") == "added").alias("member"), F.col("_member").alias("was")))
+        return now.filter("was and not member").select("name", "seq"), now.drop("was")
+
+    def keep(state: DataFrame) -> DataFrame:
+        newest = state.agg(F.max("seq").alias("s")).first()["s"] or 0
+        return state.filter(F.col("member") | (F.col("seq") >= newest - lateness))
 
-    return fold_stream(events, advance, "name string, seq long, member boolean", root, trigger)
+    return fold_stream(events, advance, MEMBERS, "name", root, trigger, keep)
 
 
 def bind_targets(messages: DataFrame, root: str, trigger: dict | None = None) -> StreamingQuery:
@@ -177,13 +220,13 @@ def bind_targets(messages: DataFrame, root: str, trigger: dict | None = None) ->
     def advance(batch: DataFrame, state: DataFrame) -> tuple[DataFrame, DataFrame]:
         known = state.select("stream_id", F.struct("target").alias("_old"))
         first = batch.groupBy("stream_id").agg(F.min_by(F.struct("target"), "seq").alias("_new"))
-        bound = first.join(known, "stream_id", "full_outer").select(
+        bound = first.join(known, "stream_id", "left").select(
             "stream_id", F.coalesce("_old", "_new").getField("target").alias("target")
         )
         out = batch.join(bound.withColumnRenamed("target", "bound_target"), "stream_id")
         return out, bound
 
-    return fold_stream(messages, advance, "stream_id long, target string", root, trigger)
+    return fold_stream(messages, advance, "stream_id long, target string", "stream_id", root, trigger)
 
 
 RANKS = "query_id long, rank long, index long, score double, text string"
@@ -198,35 +241,55 @@ def rerank_stream(
     options of the first message (lowest seq) hold for the whole query.  Scores
     that are not raw are moved from [-1, 1] to [0, 1].
 
-    Every batch appends its scored rows; a query that ends in this batch is
-    ranked from all of its rows.  Open queries cost no rewriting.
+    Every batch appends its scored rows; a query that ends in this batch is ranked from
+    all of its rows.  Each ``FOLD_BATCHES`` batches the rows of open queries move to one
+    table and those of ended ones are removed, so no row is read for ever.
     """
-    kept = T._parse_datatype_string(
-        "query_id long, seq long, text string, score double, raw_scores boolean, return_text boolean"
-    )
+    kept = "query_id long, seq long, text string, score double, raw_scores boolean, return_text boolean"
+
+    def rows_before(spark: SparkSession, start: int, stop: int, name: str = "rows", schema: str = kept) -> DataFrame:
+        paths = [f"{root}/{name}/batch={n}" for n in range(start, stop)]
+        if start and name == "rows":  # what open queries had before
+            paths.append(f"{root}/open/batch={start - 1}")
+        return spark.read.schema(schema).parquet(*paths)
+
+    def fold(spark: SparkSession, batch_id: int) -> None:
+        start = batch_id - FOLD_BATCHES
+        if not exists(spark, f"{root}/open/batch={batch_id - 1}/_SUCCESS"):
+            ended = rows_before(spark, start, batch_id, "ended", "query_id long")
+            left = rows_before(spark, start, batch_id).join(ended, "query_id", "left_anti")
+            left.write.mode("overwrite").parquet(f"{root}/open/batch={batch_id - 1}")
+        for n in range(start, batch_id):
+            remove(spark, f"{root}/rows/batch={n}")
+            remove(spark, f"{root}/ended/batch={n}")
+        remove(spark, f"{root}/open/batch={start - 1}")
 
     def each(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
+        start = _folded(batch_id)
+        if batch_id and batch_id == start:
+            fold(spark, batch_id)
         score = F.floor(encode.pair_score(F.col("query"), F.col("text")) * 1e6 + 0.5) / F.lit(1e6)
         scored = batch.select(
             "query_id", "seq", "text", score.alias("score"), F.col(raw_scores_column).alias("raw_scores"), "return_text"
         )
         scored.write.mode("overwrite").parquet(f"{root}/rows/batch={batch_id}")
-        ended = batch.filter("is_last").select("query_id").distinct()
-        rows = read_batches(spark, root, kept, "rows").filter(F.col("batch") <= batch_id)
-        mine = rows.join(ended, "query_id", "left_semi")
-        options = mine.groupBy("query_id").agg(F.min_by(F.struct("raw_scores", "return_text"), "seq").alias("_o"))
-        placed = encode.ranked(mine.select("query_id", "seq", "text", "score"), ["query_id"], [F.col("seq")], "index")
-        placed = placed.withColumn("_down", -F.col("score"))
-        ranked = encode.ranked(placed, ["query_id"], [F.col("_down"), F.col("index")], "rank")
-        final = ranked.join(options, "query_id").select(
-            "query_id",
-            (F.col("rank") + 1).alias("rank"),
-            "index",
-            F.when(F.col("_o.raw_scores"), F.col("score")).otherwise((F.col("score") + 1) / 2).alias("score"),
-            F.when(F.col("_o.return_text"), F.col("text")).alias("text"),
-        )
-        final.write.mode("overwrite").parquet(f"{root}/out/batch={batch_id}")
+        batch.filter("is_last").select("query_id").distinct().write.mode("overwrite").parquet(f"{root}/ended/batch={batch_id}")
+        with passing_cuts(spark):
+            ended = rows_before(spark, batch_id, batch_id + 1, "ended", "query_id long")
+            mine = rows_before(spark, start, batch_id + 1).join(ended, "query_id", "left_semi")
+            options = mine.groupBy("query_id").agg(F.min_by(F.struct("raw_scores", "return_text"), "seq").alias("_o"))
+            placed = encode.ranked(mine.select("query_id", "seq", "text", "score"), ["query_id"], [F.col("seq")], "index")
+            placed = placed.withColumn("_down", -F.col("score"))
+            ranked = encode.ranked(placed, ["query_id"], [F.col("_down"), F.col("index")], "rank")
+            final = ranked.join(options, "query_id").select(
+                "query_id",
+                (F.col("rank") + 1).alias("rank"),
+                "index",
+                F.when(F.col("_o.raw_scores"), F.col("score")).otherwise((F.col("score") + 1) / 2).alias("score"),
+                F.when(F.col("_o.return_text"), F.col("text")).alias("text"),
+            )
+            final.write.mode("overwrite").parquet(f"{root}/out/batch={batch_id}")
 
     return _each_batch(rows, each, f"{root}/checkpoint", trigger)
 
