@@ -36,6 +36,24 @@ def test_running(rows, step):
         assert got[seq] == state[k], (seq, k)
 
 
+@pytest.mark.parametrize("timed", [True, False])
+@pytest.mark.parametrize("keys", [["k"], []])
+def test_even_chunks_hold_few_rows_of_any_order(rows, monkeypatch, timed, keys):
+    """Minutes as microseconds neither make a chunk a row nor one chunk of all."""
+    data, df = rows
+    at = F.timestamp_micros(F.col("seq") * 60_000_000) if timed else F.col("seq") * 1000
+    cut = scan.even_chunks(df.withColumn("at", at), "at", keys, rows=50)
+    assert cut.columns == [*df.columns, "at", scan.CHUNK]
+    sizes = [r["count"] for r in cut.groupBy(*keys, scan.CHUNK).count().collect()]
+    assert max(sizes) <= 100 and len(sizes) <= 2 * len(data) / 50 + 6
+    got = {r["seq"]: r["total"] for r in scan.running(cut, keys, ["at"], sums={"total": F.col("v")}).collect()}
+    totals = {}
+    for k, seq, _, v, _ in data:
+        name = k if keys else ""
+        totals[name] = totals.get(name, 0) + v
+        assert got[seq] == totals[name]
+
+
 def test_positions_by_any_order(rows):
     data, df = rows
     got = {r["seq"]: r["position"] for r in scan.ranked(df, ["k"], [F.col("v"), F.col("seq")]).collect()}

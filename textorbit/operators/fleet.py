@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textorbit.functions.formats import micros
-from textorbit.operators.scan import CHUNK, running, step_chunks
+from textorbit.operators.scan import CHUNK, chunks, running
 from textorbit.session import cut
 
 STATUSES = ["starting", "running", "stopping", "stopped", "failed"]
@@ -19,29 +19,30 @@ def instance_info(instances: DataFrame, now: Column) -> DataFrame:
 
 
 def failure_streaks(
-    checks: DataFrame, instance: str = "instance", seq: str = "seq", step: int = 1 << 20
+    checks: DataFrame, instance: str = "instance", seq: str = "seq", step: int | None = None
 ) -> DataFrame:
     """Consecutive failures after every check; rows while starting do not count.
 
     A failure adds one, a success sets zero.  ``checks`` has (instance, seq,
-    healthy, status); successes while starting do reset.
+    healthy, status); successes while starting do reset.  ``seq`` is an integer or a
+    time; ``step``, if given, is the number of its values that make one chunk.
     """
     counted = checks.filter(F.col("healthy") | (F.col("status") != "starting"))
     failed = F.when(F.col("healthy"), 0).otherwise(1)
     return running(
-        step_chunks(counted, seq, step), [instance], [seq], since={"failures": (F.col("healthy"), failed)}
+        chunks(counted, seq, [instance], step), [instance], [seq], since={"failures": (F.col("healthy"), failed)}
     ).drop(CHUNK)
 
 
 def status_transitions(
-    history: DataFrame, instance: str = "instance", seq: str = "seq", step: int = 1 << 20
+    history: DataFrame, instance: str = "instance", seq: str = "seq", step: int | None = None
 ) -> DataFrame:
     """Rows where the status differs from the previous one: (instance, seq, from, to).
 
     Inside a chunk this is ``lag``; a chunk's first row looks at the last
     status of the chunks before it.
     """
-    chunked = step_chunks(history.select(instance, seq, "status"), seq, step)
+    chunked = chunks(history.select(instance, seq, "status"), seq, [instance], step)
     here = Window.partitionBy(instance, CHUNK).orderBy(seq)
     tails = chunked.groupBy(instance, CHUNK).agg(F.max_by("status", seq).alias("_tail"))
     before = Window.partitionBy(instance).orderBy(CHUNK)
@@ -59,7 +60,7 @@ def health_reduce(
     auto_restart: bool = True,
     instance: str = "instance",
     seq: str = "seq",
-    step: int = 1 << 20,
+    step: int | None = None,
 ) -> DataFrame:
     """Replay health checks through the restart rules, state after every check.
 
@@ -81,7 +82,7 @@ def health_reduce(
     good = F.col("healthy")
     zero = F.lit(0).cast("long")
     fail = F.when(good, zero).otherwise(F.lit(1).cast("long"))
-    first = step_chunks(checks, seq, step)
+    first = chunks(checks, seq, [instance], step)
     counted = cut(
         running(
             first,

@@ -10,8 +10,10 @@ where ``chunk`` cuts the order of a key into bounded pieces:
 3. what the earlier chunks contribute is joined back on ``(key, chunk)``, a
    partitioning the rows already have.
 
-Keys and orders must not be null.  Chunks come from the order column (``step_chunks``: no extra job) or, for an
-order without a numeric step, from a range partitioning (``range_chunks``).
+Keys and orders must not be null.  Chunks are ranges of a known step of the order
+column (``step_chunks``: no extra job), ranges as wide as each key's own rows need
+(``even_chunks``: one aggregation, any integer or time order), or pieces of a range
+partitioning (``range_chunks``: any order).
 """
 
 from __future__ import annotations
@@ -21,9 +23,12 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from textorbit.functions.formats import micros
 from textorbit.session import cut
 
 CHUNK = "_chunk"
+#: Rows of one key that a chunk should hold.
+CHUNK_ROWS = 1 << 20
 
 
 def step_chunks(df: DataFrame, column: str, step: int = 1 << 20) -> DataFrame:
@@ -31,15 +36,40 @@ def step_chunks(df: DataFrame, column: str, step: int = 1 << 20) -> DataFrame:
     return df.withColumn(CHUNK, F.expr(f"`{column}` div {step}"))
 
 
+def even_chunks(df: DataFrame, column: str, keys: Sequence[str] = (), rows: int | None = None) -> DataFrame:
+    """Cut an integer or time order into ranges with about ``rows`` rows of a key each.
+
+    The width of a key's ranges comes from its own first and last value and its
+    number of rows, so it holds for dense numbers and for microseconds alike; where the
+    values of a key bunch up, a range holds more.  Few rows make one chunk.
+    """
+    timed = df.schema[column].dataType.typeName().startswith("timestamp")
+    at = micros(column) if timed else F.col(column).cast("long")
+    spans = df.groupBy(*keys).agg(F.min(at).alias("_low"), F.max(at).alias("_high"), F.count("*").alias("_rows"))
+    pieces = F.ceil(F.col("_rows") / (rows or CHUNK_ROWS))
+    width = F.greatest(F.lit(1), F.ceil((F.col("_high") - F.col("_low") + 1) / pieces)).cast("long")
+    spans = spans.select(*keys, "_low", width.alias("_width"))
+    joined = df.join(spans, list(keys)) if keys else df.join(F.broadcast(spans))  # without a key, one row
+    chunked = joined.withColumns({"_at": at - F.col("_low")}).withColumn(CHUNK, F.expr("_at div _width"))
+    return chunked.select(*[F.col(f"`{c}`") for c in df.columns], CHUNK)
+
+
+def chunks(df: DataFrame, column: str, keys: Sequence[str], step: int | None) -> DataFrame:
+    """Ranges of ``step`` values, or without a step as wide as each key needs."""
+    return even_chunks(df, column, keys) if step is None else step_chunks(df, column, step)
+
+
 def range_chunks(
     df: DataFrame, order: Sequence[Column], keys: Sequence[str] = (), partitions: int | None = None
 ) -> DataFrame:
     """Cut any order into about equal pieces by sampled range partitioning.
 
-    The partition number becomes the chunk.  The rows are written out because
-    the sampled bounds must be the same for all later uses.
+    The partition number becomes the chunk.  There are as many as the session has
+    shuffle partitions, or more where a piece would exceed ``CHUNK_ROWS``.  The rows are
+    written out because the sampled bounds must be the same for all later uses.
     """
-    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = partitions or max(least, -(-df.count() // CHUNK_ROWS))
     ranged = df.repartitionByRange(n, *keys, *order)
     return cut(ranged.withColumn(CHUNK, F.spark_partition_id().cast("long")))
 

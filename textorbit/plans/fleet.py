@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from textorbit.functions import text as tx
 from textorbit.functions.formats import round6
 from textorbit.operators import batch, fleet, logs, metrics, requests
-from textorbit.plans.registry import Tables, query
+from textorbit.plans.registry import ORACLE, Tables, query
 from textorbit.plans.text import ROUTED, r6, routed_requests
 
 NOW = "2024-02-01 00:00:00"
@@ -79,10 +79,10 @@ def stream_target(t: Tables):
 # --- health ----------------------------------------------------------------------
 
 
-def checks(t: Tables):
+def checks(t: Tables, seq: str = "event_id"):
     return t.events.select(
         F.col("user_id").alias("instance"),
-        F.col("event_id").alias("seq"),
+        F.col(seq).alias("seq"),
         F.col("event_type").isin("click", "view").alias("healthy"),
         F.when(F.col("event_id") < 400, "starting").otherwise("running").alias("status"),
     )
@@ -121,6 +121,20 @@ def status_transitions(t: Tables):
     return fleet.status_transitions(history, step=4096)
 
 
+@query(ORACLE["failure_streaks"].replace("event_id AS seq", "ts AS seq"))
+def failure_streaks_by_time(t: Tables):
+    """Ordered by time stamps in microseconds; chunks are as wide as each instance needs."""
+    return fleet.failure_streaks(checks(t, "ts"))
+
+
+@query(ORACLE["status_transitions"].replace("event_id", "ts"))
+def status_transitions_by_time(t: Tables):
+    history = t.events.select(
+        F.col("user_id").alias("instance"), F.col("ts").alias("seq"), F.col("event_type").alias("status")
+    )
+    return fleet.status_transitions(history)
+
+
 START = ["stopped", "starting", "running", "failed"]
 
 
