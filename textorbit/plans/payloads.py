@@ -69,3 +69,17 @@ def report_document(t: Tables):
     config = {"iterations": 30, "warmup": 10, "gpu_available": True}
     run = {"run_timestamp": "2024-01-01T00:00:00", "total_runtime_seconds": 1.0}
     return report.report_document(latency_queries.comparison(t), {"cpu_cores": 8}, config, run)
+
+
+@query(
+    f"""
+    WITH {latency_queries._COMPARE_SQL}
+    SELECT model, size, query_length, embedding_dim, model_type, {", ".join(f"{r6(c)} AS {c}" for c in [*latency_queries._NUMBERS, "speedup"])}
+    FROM cmp
+    """
+)
+def report_document_rows(t: Tables):
+    """The comparison inside the document, taken apart again."""
+    rows = report_document(t).select(F.explode("comparison").alias("c")).select("c.*")
+    numbers = [round6(F.col(c)).alias(c) for c in [*latency_queries._NUMBERS, "speedup"]]
+    return rows.select("model", "size", "query_length", "embedding_dim", "model_type", *numbers)
