@@ -139,3 +139,37 @@ def test_pieces_of_long_texts(monkeypatch):
     monkeypatch.setattr(words, "PIECE", 16)
     assert (words.word_hashes(text, lower=True) == whole).all()
     assert len(words.word_hashes(b"x" * 100)) == 1
+
+
+def test_percent_sets_the_links_and_how_they_are_found(spark):
+    from math import comb
+
+    import pytest
+
+    for percent, distance in ((85, 23), (80, None)):
+        links = neardup.Links(percent)
+        assert distance in (None, links.distance)
+        assert links.distance // links.chunks <= 1
+        p, n = 1 - percent / 100, neardup.SLOTS
+        assert sum(comb(n, k) * p**k * (1 - p) ** (n - k) for k in range(links.distance + 1, n + 1)) < 1e-5
+    with pytest.raises(ValueError):
+        neardup.Links(40)
+    # 8 new words in 100 leave 88 of 104 shingles (0.846), 11 leave 85 of 107 (0.794)
+    docs = spark.createDataFrame(chain(2, step=8) + chain(2, step=11, start=100), "doc_id long, text string")
+    at = {p: {r.doc_id: r.component_id for r in neardup.near_duplicates(docs, percent=p).collect()} for p in (85, 80)}
+    assert at == {85: {0: 0, 1: 1, 100: 100, 101: 101}, 80: {0: 0, 1: 0, 100: 100, 101: 101}}
+
+
+def test_lists_reach_every_pair_at_80():
+    links = neardup.Links(80)
+    rng = np.random.default_rng(2)
+    for distance in (1, 24, links.distance):
+        a = rng.integers(0, 1 << 16, neardup.SLOTS).astype(np.uint16)
+        b = a.copy()
+        b[rng.choice(neardup.SLOTS, distance, replace=False)] ^= 1
+        batch = pa.RecordBatch.from_arrays(
+            [pa.array([1, 2]), pa.array([a.tobytes(), b.tobytes()], pa.binary())], ["id", "mark"]
+        )
+        (out,) = neardup._lists(iter([batch]), links)
+        keys = out.column(0).to_numpy().reshape(2, -1)
+        assert set(keys[0]) & set(keys[1])
