@@ -1,3 +1,4 @@
+import base64
 import random
 import re
 from collections import Counter
@@ -81,3 +82,29 @@ def test_empty_table_and_bands(no_docs):
     assert quality.keep_quality(no_docs).columns == no_docs.columns
     with pytest.raises(ValueError):
         quality.quality(no_docs, rules=quality.Rules(bands=(quality.Band(10, 0, 1),)))
+
+
+def test_bands_part_prose_from_repeats_and_encodings(spark):
+    rng = random.Random(6)
+    letters = "etaoinshrdlucmfwyp"
+    vocabulary = ["".join(rng.choice(letters) for _ in range(rng.randrange(2, 10))) for _ in range(3000)]
+
+    def prose(n):
+        return " ".join(rng.choice(vocabulary) for _ in range(n))
+
+    def repeats(n):  # 45 in 100 words stand in repeated lines
+        line = prose(30)
+        return "\n".join([prose(n - n * 9 // 20), *[line] * (n * 9 // 20 // 30)])
+
+    def encoded(n):
+        return " ".join(base64.b64encode(rng.randbytes(12)).decode() for _ in range(n))
+
+    rows, want = [], {}
+    for n in (200, 800, 3000, 20_000):
+        for text, reasons in ((prose(n), {None}), (repeats(n), {"repetitive", "chunks"}), (encoded(n), {"incompressible"})):
+            want[len(rows)] = reasons
+            rows.append((len(rows), text))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for r in quality.quality(docs).collect():
+        assert not r.base_failed
+        assert r.reason in want[r.doc_id], (r.doc_id, r.n_bytes, r.ratio, r.reason)
