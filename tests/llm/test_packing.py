@@ -31,6 +31,32 @@ def test_vocabulary(library):
         assert np.frombuffer(load(PATH).encode(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
 
 
+def ours(text):
+    return np.frombuffer(load(PATH).encode(text), "<u4").tolist()
+
+
+def test_white_space_of_millions(library):
+    for run in (" " * 2_000_000, "\n" * 2_000_000, "\u3000" * 1_100_000, " \n\t" * 700_000):
+        for text in (run, f"a{run}b", f"it's {run}\n", f"x{run}<|endoftext|>y"):
+            assert ours(text) == library.encode(text, add_special_tokens=False).ids
+
+
+def test_cut_runs_change_no_id(library, monkeypatch):
+    monkeypatch.setattr("textorbit.llm.vocabulary.LONG_RUN", 2)
+    rng = random.Random(4)
+    parts = ["a", "it's", "9", "=", " ", "  ", "\n", "\t", "\r", "\u3000", "\x85", "\x1c", "\u200b", "é", "<|endoftext|>"]
+    for _ in range(3000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randrange(25)))
+        assert ours(text) == library.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+def test_long_white_space_ends_no_job(spark):
+    docs = spark.createDataFrame([(1, "a" + " " * 2_000_000 + "b"), (2, "two words")], "doc_id long, text string")
+    assert {r.doc_id for r in plans.packed_pieces(docs).select("doc_id").collect()} == {1, 2}
+    rows = token_output.packed_matrices(docs, PATH).select("doc_ids").collect()
+    assert {d for r in rows for d in r.doc_ids} == {1, 2}
+
+
 def itemwise(lengths, window):
     """Windows and their free places by best fit decreasing, one piece after another."""
     free = []
