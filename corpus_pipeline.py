@@ -12,35 +12,60 @@ from textorbit.session import cut
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
+#: Stages decide by row; this column numbers the rows within a stage.
+ROW = "pipeline_row"
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and the compression bands."""
+    """Documents that pass the base rules and the compression bands, each row by its text."""
     return quality.keep_quality(docs)
 
 
+def _numbered(docs: DataFrame) -> DataFrame:
+    """The rows with a number each, written once, so that every reader sees the same numbers."""
+    return cut(docs.withColumn(ROW, F.monotonically_increasing_id()))
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, the one with the smallest id.
+    """One row of each group of near duplicates, the one with the smallest id.
 
-    Links are those of op10_near_duplicates, from 85 per cent; copies less alike stay.
+    Links are those of op10_near_duplicates, from 85 per cent; copies less alike stay.  Each
+    row is judged by its own text, whatever rows share its id.  A row without an id is linked
+    like others and is kept if no row of its group has one.  Of rows equal in id and text one
+    stays.  Texts without words have no links.
     """
-    found = neardup.near_duplicates(docs)
-    return docs.join(found.where("not kept").select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    rows = _numbered(docs)
+    found = neardup.near_duplicates(rows, doc_id=ROW).select(F.col("doc_id").alias(ROW), "component_id")
+    blank = ~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    known = rows.select(ROW, "doc_id", blank.alias("blank"), F.when(blank, F.md5("text")).alias("blank_md5"))
+    group = {
+        "linked": F.when(~F.col("blank"), F.col("component_id")),
+        "blank_id": F.when(F.col("blank"), F.col("doc_id")),
+    }
+    judged = cut(known.join(found, ROW).withColumns(group).select(ROW, "doc_id", "blank_md5", *group))
+    by = ["linked", "blank_id", "blank_md5"]
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", ROW))[ROW]
+    many = judged.groupBy(*by).agg(first.alias("first"), F.count("*").alias("members")).where("members > 1")
+    same = [judged[c].eqNullSafe(many[c]) for c in by]
+    dropped = judged.join(many, same).where(F.col(ROW) != F.col("first")).select(ROW)
+    return rows.join(dropped, ROW, "left_anti").select(docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents by the weights of the tree, as many tokens as there are, each twice at most.
 
-    A document that is taken twice has two rows.
+    A document that is taken twice has two rows.  Each row is taken by itself, also where
+    rows share an id; rows without an id are ordered by their numbers.
     """
-    taken = mixing.mix(plans.with_leaves(docs), plans.TREE).where("copies > 0")
-    taken = taken.groupBy("doc_id").agg(F.max("copies").alias("copies"))
-    rows = docs.join(taken.withColumnRenamed("copies", "mixed_copies"), "doc_id")
-    again = F.explode(F.sequence(F.lit(1), F.col("mixed_copies"))).alias("mixed_copy")
+    rows = _numbered(docs)
+    taken = mixing.mix(plans.with_leaves(rows, ROW), plans.TREE, row=ROW).where("copies > 0")
+    rows = rows.join(taken.select(ROW, F.col("copies").alias("mixed_copies")), ROW)
+    again = F.explode(F.sequence(F.lit(1), F.col("mixed_copies").cast("int"))).alias("mixed_copy")
     return rows.select("*", again).select(docs.columns)
 
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents and their places in the packed windows."""
+    """Pieces of the documents and their places in the packed windows; rows without an id too."""
     return plans.packed_pieces(docs)
 
 

@@ -9,6 +9,7 @@ import check
 import corpus_pipeline
 from textorbit.llm import plans
 
+from .conftest import PROSE
 from .test_mixing import plain as plain_mix
 from .test_neardup import plain_components
 from .test_quality import plain_kept
@@ -71,3 +72,43 @@ def test_stages_take_odd_rows(spark, odd_docs):
         last = stage(spark, docs, SF)
         assert last.count() > 0
         docs = last if last.columns == docs.columns else docs
+
+
+def words_from(at, n=100):
+    return " ".join(f"w{k}" for k in range(at, at + n))
+
+
+def test_near_dedup_decides_by_row(spark):
+    rows = [(1, words_from(0)), (1, words_from(0)), (None, words_from(0))]  # a repeat, and a copy without an id
+    rows += [(2, words_from(1000)), (3, words_from(2000, 101)), (3, words_from(1000, 101)), (0, words_from(3000))]
+    rows += [(None, words_from(4000)), (None, words_from(4000)), (None, words_from(5000))]
+    rows += [(7, None), (7, None), (7, ""), (8, None), (None, " "), (None, " ")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = Counter(tuple(r) for r in corpus_pipeline.near_dedup(spark, docs, SF).collect())
+    want = [rows[i] for i in (0, 3, 4, 6, 7, 9, 10, 12, 13, 14)]
+    assert kept == Counter(want)
+
+
+def test_mixing_decides_by_row(spark):
+    rows = [(i, words_from(i), "en", "src0") for i in range(3)]
+    rows += [(7, words_from(100 + i, 80 + i), "en", "src5") for i in range(20)]
+    rows += [(None, words_from(900 + i), "en", "src5") for i in range(20)] + [(None, words_from(0), None, "src0")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(3)
+    got = [tuple(r) for r in corpus_pipeline.mix_sources(spark, docs, SF).collect()]
+    assert set(got) <= set(rows)
+    assert Counter(got)[rows[-1]] == 2
+    size = lambda some: sum(-(-len(r[1]) // 4) for r in some)
+    forum = [r for r in rows if r[3] == "src5"]
+    taken = [r for r in got if r[3] == "src5"]
+    assert {r[0] for r in taken} == {7, None}
+    budget = size(rows) - 2 * size(rows[:3] + rows[-1:])
+    assert budget - max(size([r]) for r in forum) < size(taken) <= budget < size(forum)
+
+
+def test_rows_without_ids_reach_the_windows(spark):
+    rows = [(None, PROSE), (4, " ".join(PROSE.split()[::-1]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    docs = docs.selectExpr("*", "'en' as lang", "'src0' as source")
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, SF)
+    assert {r.doc_id for r in docs.collect()} == {None, 4}

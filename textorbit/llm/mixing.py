@@ -71,6 +71,7 @@ def mix(
     budget: Column | None = None,
     epochs: int = 2,
     seed: int = 7,
+    row: str | None = None,
 ) -> DataFrame:
     """How often each document is taken so that token weights follow the tree.
 
@@ -83,7 +84,8 @@ def mix(
     Returns a row for each row of ``docs``: ``doc_id``, the levels, ``tokens`` and ``copies``
     (0: not taken).  A null level is the empty name; null or negative tokens are 0, and
     documents without tokens are taken with full epochs only.  Rows equal in id and leaf
-    follow one another in the order.  An empty table gives an empty result.
+    follow one another in the order.  An empty table gives an empty result.  ``row`` names a
+    column that is unique by row: it is returned too, and orders rows without an id and equal ones.
 
     Only sums by leaf, and by leaf and hash bucket, are shuffled for all rows; documents
     are ordered in the one bucket of a leaf in which its prefix ends.
@@ -91,7 +93,8 @@ def mix(
     levels = list(levels)
     size = F.greatest(F.coalesce(F.col(tokens).cast("long"), F.lit(0)), F.lit(0))
     names = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in levels]
-    rows = cut(docs.select(F.col(doc_id).alias("doc_id"), *names, size.cast("long").alias("tokens")))
+    carried = [] if row is None else [row]
+    rows = cut(docs.select(F.col(doc_id).alias("doc_id"), *carried, *names, size.cast("long").alias("tokens")))
     leaves = rows.groupBy(*levels).agg(F.sum("tokens").alias("total"), F.count("*").alias("docs"))
     leaves = cut(leaves.withColumn("capacity", F.col("total") * F.lit(epochs)))
     asked = F.sum("total") if budget is None else budget
@@ -104,7 +107,10 @@ def mix(
     plan = leaves.select(*levels, "total").join(granted.select(*levels, "budget"), levels, "left")
     plan = plan.withColumn("budget", F.coalesce("budget", F.lit(0))).withColumn("whole", whole)
     plan = cut(plan.withColumn("rest", F.col("budget") - F.col("whole") * F.col("total")).drop("budget"))
-    rank = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("whole").cast("string"), F.col("doc_id").cast("string")))
+    own = F.col("doc_id").cast("string")
+    if row is not None:
+        own = F.coalesce(own, F.concat(F.lit("row "), F.col(row).cast("string")))
+    rank = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("whole").cast("string"), own))
     rows = rows.join(plan, levels).withColumn("rank", rank).withColumn("bucket", F.substring("rank", 1, digits))
     buckets = rows.where("rest > 0").groupBy(*levels, "bucket", "rest").agg(F.sum("tokens").alias("held"))
     running = Window.partitionBy(*levels).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -114,8 +120,8 @@ def mix(
     rows = rows.join(last, levels, "left")
     inside = F.expr("int(rest > 0 and bucket < edge)")
     plain = rows.where("edge is null or bucket != edge").withColumn("part", F.coalesce(inside, F.lit(0)))
-    order = Window.partitionBy(*levels).orderBy("rank", "doc_id", "tokens")
+    order = Window.partitionBy(*levels).orderBy("rank", "doc_id", "tokens", *carried)
     reached = F.col("before") + F.sum("tokens").over(order.rowsBetween(Window.unboundedPreceding, 0))
     edge = rows.where("bucket = edge").withColumn("part", (reached <= F.col("rest")).cast("int"))
     out = plain.unionByName(edge)
-    return out.select("doc_id", *levels, "tokens", (F.col("whole") + F.col("part")).cast("long").alias("copies"))
+    return out.select("doc_id", *carried, *levels, "tokens", (F.col("whole") + F.col("part")).cast("long").alias("copies"))

@@ -89,14 +89,14 @@ TREE = {
 }
 
 
-def with_leaves(docs: DataFrame) -> DataFrame:
-    """Domain by number of the source, and tokens as four bytes each."""
+def with_leaves(docs: DataFrame, *carried: str) -> DataFrame:
+    """Domain by number of the source, and tokens as four bytes each; ``carried`` columns stay."""
     number = F.regexp_extract("source", "([0-9]+)$", 1)
     place = F.when(number == "", F.lit(0)).otherwise((number.cast("long") / 5).cast("long") % 4)
     domain = F.element_at(F.array(*[F.lit(d) for d in ("web", "forum", "books", "code")]), (place + 1).cast("int"))
     size = F.ceil(F.octet_length(F.coalesce("text", F.lit(""))) / 4).cast("long")
     leaves = docs.withColumn("domain", F.coalesce(domain, F.lit("web"))).withColumn("tokens", size)
-    return leaves.select("doc_id", "domain", "lang", "source", "tokens")
+    return leaves.select("doc_id", *carried, "domain", "lang", "source", "tokens")
 
 
 @query(checks.MIXING)
