@@ -41,3 +41,25 @@ def test_odd_rows(odd_docs, no_docs):
 def test_no_python_in_the_plan(documents):
     plan = licenses.scan_licenses(documents)._jdf.queryExecution().toString()
     assert not any(word in plan for word in ("Python", "Pandas", "Arrow", "ExistingRDD"))
+
+
+def test_common_licenses_and_their_usual_forms(spark):
+    from pathlib import Path
+
+    names = {"Apache-2.0": "Apache-2.0", "BSD": "BSD-3-Clause", "CC0-1.0": "CC0-1.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0"}
+    names |= {"LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-2.0": "MPL-2.0"}
+    files = {name: Path("/usr/share/common-licenses", name) for name in names}
+    rows = [(f.read_text(), names[n], "", 0) for n, f in files.items() if f.exists()]
+    if rows and files["Apache-2.0"].exists():  # its appendix holds the header line
+        rows[0] = (rows[0][0], "Apache-2.0", "Apache-2.0", 1)
+    for i, text in licenses.LICENSES.items():
+        body = text.removeprefix("MIT License\n")
+        rows += [(f"{title}\n\n{body}", i, "", 0) for title in ("", *licenses.TITLES[i])]
+    rows += [(f"// SPDX-License-Identifier: {i}\nx", None, i, 1) for i in licenses.SPDX]
+    rows += [("SPDX-License-Identifier: GPL-2.0-or-later\nx", None, "GPL-2.0", 1)]
+    rows += [('# Licensed under the Apache License, Version 2.0 (the "License");\n# you may not', None, "Apache-2.0", 1)]
+    docs = spark.createDataFrame([(i, r[0]) for i, r in enumerate(rows)], "doc_id long, text string")
+    got = {r.doc_id: (r.license_id, r.notices, r.n_notices) for r in licenses.scan_licenses(docs).collect()}
+    assert got == {i: r[1:] for i, r in enumerate(rows)}
+    known = [tuple(r) for r in licenses.known_digests(spark, licenses.LICENSES, licenses.NOTICES).collect()]
+    assert len(known) == len(set(known))
