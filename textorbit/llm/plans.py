@@ -18,6 +18,7 @@ from textorbit.llm import (
     packing,
     quality,
     revisits,
+    runs,
     token_output,
     tokens,
 )
@@ -196,3 +197,23 @@ def op9_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Component of each document under near-duplicate links."""
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def with_periods(docs: DataFrame) -> DataFrame:
+    """Documents of which a tenth, by the checksum of the id, repeat a stretch of words to their end."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    chosen = docs.select("doc_id", "text", h.alias("h"))
+    words = F.when(F.col("h") % 10 == 0, F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)))
+    chosen = chosen.withColumn("w", words).withColumn("n", F.size("w"))
+    chosen = chosen.withColumn("g", F.expr("h div 10")).withColumn("a", F.expr("if(n > 0, g % n, 0)"))
+    period = F.expr("slice(w, int(a + 1), int(1 + (n - a) div (3 + g % 8)))")
+    chosen = chosen.withColumn("period", F.when(F.col("n") > 0, period))
+    again = "flatten(array_repeat(period, int((n - a) div size(period) + 1)))"
+    text = F.expr(f"concat_ws(' ', slice(w, 1, int(a)), slice({again}, 1, int(n - a)))")
+    return chosen.select("doc_id", F.when(F.col("n") > 0, text).otherwise(F.col("text")).alias("text"))
+
+
+@query()
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of each document, after a tenth of them were made periodic."""
+    return runs.periodic_runs(with_periods(table(spark, sf_dir, "documents")))
