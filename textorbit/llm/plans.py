@@ -14,6 +14,7 @@ from textorbit.llm import (
     licenses,
     mixing,
     neardup,
+    negatives,
     neighbours,
     packing,
     quality,
@@ -199,6 +200,18 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+@query(checks.NEGATIVES)
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three negatives for each of five positives of every fiftieth vector, whose labels are partly wrong."""
+    rows = table(spark, sf_dir, "embeddings")
+    odd = F.exists("embedding", lambda x: F.isnull(x) | F.isnan(x) | (F.abs(x) == float("inf")))
+    rows = rows.where("label is not null and embedding is not null").where(~odd)
+    label = F.expr("if(vec_id % 7 = 0, (label + 1) % 10, label)")
+    whole = F.transform("embedding", lambda x: F.floor(x.cast("double") * 256))
+    rows = rows.select("vec_id", label.alias("label"), whole.alias("embedding"))
+    return negatives.mine_negatives(rows, F.col("vec_id") % 50 == 0)
+
+
 def with_periods(docs: DataFrame) -> DataFrame:
     """Documents of which a tenth, by the checksum of the id, repeat a stretch of words to their end."""
     h = F.crc32(F.col("doc_id").cast("string"))
