@@ -233,3 +233,26 @@ FROM positives p JOIN scores n ON n.anchor_id = p.anchor_id AND NOT n.same
   AND 50 * positive_score <= 100 * n.score AND 100 * n.score <= 95 * positive_score
 QUALIFY rank <= 3
 """
+
+REPEATS = r"""
+WITH texts AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), windows AS (
+  SELECT doc_id, i, md5_number(array_to_string(w[i:i + 49], ' ')) AS key
+  FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 49)) AS i FROM texts WHERE len(w) >= 50)
+), least AS (SELECT key, min(doc_id) AS least FROM windows GROUP BY key HAVING count(DISTINCT doc_id) > 1
+), repeated AS (SELECT doc_id, i FROM windows JOIN least USING (key) WHERE doc_id > least
+), positions AS (
+  SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM texts
+), covered AS (
+  SELECT p.doc_id, p.i, p.word,
+    coalesce(max(r.i) OVER (PARTITION BY p.doc_id ORDER BY p.i ROWS UNBOUNDED PRECEDING) >= p.i - 49, FALSE) AS gone
+  FROM positions p LEFT JOIN repeated r ON r.doc_id = p.doc_id AND r.i = p.i
+), kept AS (
+  SELECT doc_id, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (NOT gone) AS kept
+  FROM covered GROUP BY doc_id
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed,
+  sha256(coalesce(kept, '')) AS kept_sha256
+FROM texts LEFT JOIN kept USING (doc_id)
+"""

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from textorbit.llm import (
     chat,
     checks,
+    factors,
     licenses,
     mixing,
     neardup,
@@ -200,6 +201,12 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+@query(checks.REPEATS)
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of each document without passages of 50 words that a smaller one has as well."""
+    return factors.drop_repeats(table(spark, sf_dir, "documents"))
+
+
 @query(checks.NEGATIVES)
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three negatives for each of five positives of every fiftieth vector, whose labels are partly wrong."""
