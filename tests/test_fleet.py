@@ -1,4 +1,6 @@
+import datetime as dt
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -112,22 +114,112 @@ def test_lifecycle_over_batches(spark, tmp_path):
     flows.lifecycle_apply(stream, root).awaitTermination()
     left = flows.read_batches(spark, root, "name string, seq long")
     assert sorted(r["name"] for r in left.collect()) == ["a", "b"]
-    state = flows.read_state(spark, root, flows.MEMBERS, "name").filter("member")
-    assert sorted(r["name"] for r in state.collect()) == ["a", "c"]
+    assert sorted(tuple(r) for r in flows.read_members(spark, root).collect()) == [("a", 6), ("c", 4)]
 
 
-def test_state_is_folded_and_expires(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(flows, "FOLD_BATCHES", 3)
-    rows = [("keep", 0, "added"), ("gone", 1, "added"), ("gone", 2, "removed")]
-    rows += [(f"n{i}", i, "added") for i in range(3, 11)] + [("n9", 10, "removed"), ("keep", -1, "removed")]
-    stream = stream_dir(spark, tmp_path, rows, "name string, seq long, kind string", len(rows))
+def until(query, done, seconds=60):
+    """Wait for a query that runs until it is stopped, then stop it."""
+    end = time.time() + seconds
+
+    def settled():
+        try:
+            return done()
+        except Exception:  # a table that is being written
+            return False
+
+    while not settled() and time.time() < end:
+        assert query.exception() is None
+        time.sleep(0.3)
+    query.stop()
+    assert done()
+
+
+def test_late_checks_end_as_the_table_does(spark, tmp_path):
+    """Ten is known when five to seven come; they are given out as late and change nothing."""
+    rows = [(1, n, True, True) for n in (1, 2, 10)] + [(1, n, False, True) for n in (5, 6, 7)] + [(1, 11, False, True)] * 3
+    schema = "instance long, seq long, healthy boolean, restart_ok boolean"
+    stream = stream_dir(spark, tmp_path, rows, schema, 3)
+    flows.health_monitor(stream, str(tmp_path / "run"), initial_status=F.lit("starting")).awaitTermination()
+    out = flows.read_batches(spark, str(tmp_path / "run"), flows.HEALTH_STATE).collect()
+    late = sorted((r["seq"], r["status"], r["failures"], r["restarted"]) for r in out if r["late"])
+    assert late == [(5, "running", 0, False), (6, "running", 0, False), (7, "running", 0, False)] + [(11, "running", 1, False)] * 2
+    last = max((r["seq"], not r["late"], r["status"], r["failures"], r["last_ok_seq"]) for r in out)
+    assert last == (11, True, "running", 1, 10)
+
+
+def test_names_that_left_are_forgotten_in_time(spark, tmp_path):
+    schema = "name string, seq long, kind string"
+    root, folder = str(tmp_path / "run"), str(tmp_path / "in")
+    add = lambda *rows: spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(folder)
+    add(("a", 1, "added"), ("a", 5, "removed"), ("b", 2, "added"))
+    query = flows.lifecycle_apply(flows.file_stream(spark, folder, schema), root, {"processingTime": "1 second"}, remember_secs=4)
+    forgotten = lambda: query.lastProgress and query.lastProgress["stateOperators"][0]["numRowsRemoved"] == 1
+    end = time.time() + 60
+    while not forgotten() and time.time() < end:
+        time.sleep(0.3)
+    add(("a", 3, "added"))
+    members = lambda: sorted(r["name"] for r in flows.read_members(spark, root).collect()) == ["a", "b"]
+    until(query, members)
+
+
+def test_targets_may_be_forgotten(spark, tmp_path):
+    schema = "stream_id long, seq long, target string"
+    root, folder = str(tmp_path / "run"), str(tmp_path / "in")
+    add = lambda *rows: spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(folder)
+    add((1, 0, "a"))
+    query = flows.bind_targets(flows.file_stream(spark, folder, schema), root, {"processingTime": "1 second"}, remember_secs=3)
+    end = time.time() + 60
+    seen = lambda: query.lastProgress and query.lastProgress["stateOperators"][0]["numRowsRemoved"] > 0
+    while not seen() and time.time() < end:
+        time.sleep(0.2)
+    add((1, 1, "b"))
+    got = lambda: flows.read_batches(spark, root, f"{schema}, bound_target string").filter("bound_target = 'b'").count() == 1
+    until(query, got)
+
+
+def test_bound_messages_keep_their_values(spark, tmp_path):
+    big = 9007199254740993
+    stamp = dt.datetime(2024, 1, 1, 0, 0, 0, 123456)
+    rows = [(big, 0, "a", None, big, stamp), (big, 1, None, 0.1, None, None), (big, 2, "c", float("inf"), big + 1, stamp)]
+    schema = "stream_id long, seq long, target string, weight double, number long, ts timestamp_ntz"
+    root = str(tmp_path / "run")
+    flows.bind_targets(stream_dir(spark, tmp_path, rows, schema, 2), root).awaitTermination()
+    out = flows.read_batches(spark, root, f"{schema}, bound_target string").drop("batch")
+    assert sorted(map(tuple, out.collect()), key=lambda r: r[1]) == [(*r, "a") for r in rows]
+
+
+def at(seconds):
+    return dt.datetime(2024, 1, 1) + dt.timedelta(seconds=seconds)
+
+
+def test_start_timeouts(spark, tmp_path):
+    rows = [
+        ("quick", at(0), "start"), ("slow", at(0), "start"), ("quick", at(200), "check_ok"), ("again", at(10), "start"),
+        ("slow", at(301), "check_ok"), ("again", at(250), "restart"), ("other", at(20), "check_failed"),
+        ("again", at(551), "stop"), ("open", at(400), "start"), ("edge", at(100), "start"), ("edge", at(400), "check_ok"),
+        ("clock", at(4200), "check_ok"),
+    ]
+    stream = stream_dir(spark, tmp_path, rows, "instance string, ts timestamp, kind string", 4)
     root = str(tmp_path / "run")
-    flows.lifecycle_apply(stream, root, lateness=4).awaitTermination()
-    state = {r["name"]: r["member"] for r in flows.read_state(spark, root, flows.MEMBERS, "name").collect()}
-    assert state == {"keep": True, "n9": False} | {f"n{i}": True for i in range(3, 11) if i != 9}
-    tables = sorted(p.name for p in (tmp_path / "run" / "state").iterdir())
-    assert tables == ["batch=12", "full=11"]
-    assert spark.read.parquet(f"{root}/state/batch=12").count() <= 1  # the changes only
+    flows.start_timeouts(stream, root, 300, "1 hour").awaitTermination()
+    out = flows.read_batches(spark, root, "instance string, started_at timestamp, failed_at timestamp")
+    got = sorted((r["instance"], r["started_at"], r["failed_at"]) for r in out.collect())
+    # "again" was stopped one second past its limit, "open" and its timer lie beyond the watermark
+    assert got == [("again", at(250), at(550)), ("slow", at(0), at(300))]
+
+
+def test_start_timeouts_by_the_clock(spark, tmp_path):
+    schema = "instance string, ts timestamp, kind string, startup_timeout_secs int"
+    rows = [("a", at(0), "start", 2), ("b", at(0), "start", None), ("b", at(5), "check_ok", None)]
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in"))
+    root = str(tmp_path / "run")
+    stream = flows.file_stream(spark, str(tmp_path / "in"), schema)
+    query = flows.start_timeouts(stream, root, 300, None, {"processingTime": "1 second"})
+    out = lambda: [
+        (r["instance"], r["failed_at"])
+        for r in flows.read_batches(spark, root, "instance string, started_at timestamp, failed_at timestamp").collect()
+    ]
+    until(query, lambda: out() == [("a", at(2))])
 
 
 def test_first_target_binds_across_batches(spark, tmp_path):
@@ -140,9 +232,7 @@ def test_first_target_binds_across_batches(spark, tmp_path):
     assert got == {(1, 0): "a", (1, 1): "a", (1, 2): "a", (2, 0): None, (2, 1): None}
 
 
-@pytest.mark.parametrize("fold", [1, 16])
-def test_rerank_stream_waits_for_the_end_and_uses_first_options(spark, tmp_path, monkeypatch, fold):
-    monkeypatch.setattr(flows, "FOLD_BATCHES", fold)
+def test_rerank_stream_waits_for_the_end_and_uses_first_options(spark, tmp_path):
     rows = [
         (7, 0, "red boat", "blue car", True, True, False),
         (8, 0, "red boat", "red boat", True, False, False),
@@ -158,6 +248,36 @@ def test_rerank_stream_waits_for_the_end_and_uses_first_options(spark, tmp_path,
     assert len(out) == 3 and all(r["text"] is not None for r in out)
 
 
+TEXTS = "query_id long, seq long, query string, text string, raw_scores boolean, return_text boolean, is_last boolean"
+
+
+def test_texts_after_the_end_are_reported(spark, tmp_path):
+    rows = [
+        (1, 0, "red boat", "boat", True, True, False), (1, 2, "red boat", "red", True, True, True),
+        (1, 1, "red boat", "red boat", True, True, False), (2, 0, "x", "y", True, True, False),
+    ]
+    root = str(tmp_path / "run")
+    flows.rerank_stream(stream_dir(spark, tmp_path, rows, TEXTS, 2), root).awaitTermination()
+    assert {(r["query_id"], r["index"]) for r in flows.read_batches(spark, root, flows.RANKS).collect()} == {(1, 0), (1, 1)}
+    late = flows.read_batches(spark, root, flows.LATE_TEXTS, "errors").drop("batch")
+    assert [tuple(r) for r in late.collect()] == [(1, 1, "red boat")]
+
+
+def test_texts_within_the_delay_are_ranked_and_idle_queries_end(spark, tmp_path):
+    root, folder = str(tmp_path / "run"), str(tmp_path / "in")
+    add = lambda *rows: spark.createDataFrame(rows, TEXTS).coalesce(1).write.mode("append").parquet(folder)
+    add((1, 0, "a", "a", True, True, False), (1, 2, "a", "b", True, True, True), (2, 0, "a", "a", True, True, False))
+    query = flows.rerank_stream(
+        flows.file_stream(spark, folder, TEXTS), root, trigger={"processingTime": "1 second"}, delay_secs=12, idle_secs=8
+    )
+    end = time.time() + 60
+    while not query.recentProgress and time.time() < end:
+        time.sleep(0.2)
+    add((1, 1, "a", "a b", True, True, False))
+    ranks = lambda: sorted((r["query_id"], r["index"]) for r in flows.read_batches(spark, root, flows.RANKS).collect())
+    until(query, lambda: ranks() == [(1, 0), (1, 1), (1, 2), (2, 0)])
+
+
 def test_empty_stream_gives_nothing(spark, tmp_path):
     spark.createDataFrame([], "event_id long, request string").write.parquet(str(tmp_path / "in"))
     stream = flows.file_stream(spark, str(tmp_path / "in"), "event_id long, request string")

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from textorbit.functions import text as tx
 from textorbit.functions import vectors as vec
@@ -11,7 +15,7 @@ from textorbit.operators import encode
 from textorbit.plans import fleet as fleet_queries
 from textorbit.plans import text as text_queries
 from textorbit.plans.registry import ORACLE, Tables, query
-from textorbit.plans.text import _RERANK_ROWS, exploded, label_weights, r6, weights
+from textorbit.plans.text import exploded, label_weights, r6, weights
 from textorbit.session import fresh_dir
 from textorbit.streaming import flows
 
@@ -26,6 +30,35 @@ def documents(t: Tables):
     return stream(t, "documents").select("doc_id", "text").repartition(t.spark.sparkContext.defaultParallelism)
 
 
+#: Runs of the flows with memory: each gets a part of a table and goes on from the last one's checkpoint.
+RUNS = 5
+
+
+def in_runs(t: Tables, rows, part: Column, run: Callable[[DataFrame], StreamingQuery]) -> None:
+    """Add the rows of one ``part`` after the other to a folder, and run the flow over what is new."""
+    folder = fresh_dir(t.spark, "input")
+    rows = rows.withColumn("_part", part)
+    for n in range(RUNS):
+        rows.filter(F.col("_part") == n).drop("_part").write.mode("append").parquet(folder)
+        run(flows.file_stream(t.spark, folder, rows.drop("_part").schema)).awaitTermination()
+
+
+def _event_part(t: Tables) -> Column:
+    """Events in order of their numbers, but for each 97th, which comes a run late."""
+    width = t.events.agg(F.max("event_id")).first()[0] // RUNS + 1
+    return F.least(F.lit(RUNS - 1), F.expr(f"event_id div {width}") + F.when(F.col("event_id") % 97 == 0, 1).otherwise(0))
+
+
+_EVENT_PARTS = f"""
+    parted AS (
+      SELECT *, least({RUNS - 1}, event_id // ((SELECT max(event_id) FROM events) // {RUNS} + 1)
+        + CASE WHEN event_id % 97 = 0 THEN 1 ELSE 0 END) AS part FROM events),
+    placed AS (
+      SELECT *, coalesce(event_id < max(event_id) OVER (PARTITION BY user_id ORDER BY part
+        RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS late FROM parted)
+"""
+
+
 def table(t: Tables, rows):
     return t.spark.read.parquet(flows.run_to_table(rows))
 
@@ -97,10 +130,43 @@ def stream_decode(t: Tables):
     return table(t, encode.decode(ids, vocab, out="decoded").drop("ids"))
 
 
+def _rerank_texts(t: Tables):
+    """Texts of each query with the run that they come in: three turns a run, and of each fifth query
+    the last but one text after all others."""
+    c = t.conversations
+    first = c.filter("turn = 0").select("conv_id", F.col("text").alias("query"))
+    last = c.groupBy("conv_id").agg(F.max("turn").alias("_last"))
+    rows = c.filter("turn > 0").join(first, "conv_id").join(last, "conv_id").select(
+        F.col("conv_id").alias("query_id"), F.col("turn").alias("seq"), "query", "text",
+        # Only the first message's options count.
+        F.when(F.col("turn") == 1, F.col("conv_id") % 2 == 0).otherwise(F.col("conv_id") % 2 != 0).alias("raw_scores"),
+        F.when(F.col("turn") == 1, F.col("conv_id") % 3 == 0).otherwise(F.col("conv_id") % 3 != 0).alias("return_text"),
+        (F.col("turn") == F.col("_last")).alias("is_last"), "_last",
+    )
+    behind = (F.col("query_id") % 5 == 0) & (F.col("seq") == F.col("_last") - 1)
+    return rows, F.when(behind, RUNS - 1).otherwise(F.least(F.lit(RUNS - 2), F.expr("seq div 3")))
+
+
+_RERANK_PARTS = f"""
+    lasts AS (SELECT conv_id, max(turn) - 1 AS final FROM conversations GROUP BY 1),
+    req AS (
+      SELECT a.conv_id, a.text AS query, b.turn - 1 AS index, b.text,
+             CASE WHEN a.conv_id % 5 = 0 AND b.turn = final THEN {RUNS - 1} ELSE least({RUNS - 2}, b.turn // 3) END AS part,
+             least({RUNS - 2}, (final + 1) // 3) AS final_part
+      FROM conversations a JOIN conversations b ON b.conv_id = a.conv_id AND a.turn = 0 AND b.turn > 0
+      JOIN lasts ON lasts.conv_id = a.conv_id)
+"""
+
+
 @query(
     f"""
-    WITH {_RERANK_ROWS},
-    k AS (SELECT conv_id || '/' || index AS key, * FROM req),
+    WITH {_RERANK_PARTS},
+    k AS (
+      SELECT conv_id || '/' || index AS key, conv_id, query, text, index AS turn,
+             row_number() OVER (PARTITION BY conv_id ORDER BY index) - 1 AS index
+      FROM req WHERE part <= final_part),
+    opt AS (
+      SELECT conv_id, min(turn) = 0 AS own FROM k GROUP BY 1),
     q AS ({weights("k", "key", "query")}), c AS ({weights("k", "key", "text")}),
     qn AS (SELECT key, sum(w * w) AS n FROM q GROUP BY 1), cn AS (SELECT key, sum(w * w) AS n FROM c GROUP BY 1),
     dots AS (SELECT key, sum(q.w * c.w) AS s FROM q JOIN c USING (key, d) GROUP BY 1),
@@ -108,36 +174,50 @@ def stream_decode(t: Tables):
       SELECT conv_id, index, text, coalesce({r6("s::DOUBLE / sqrt(qn.n::DOUBLE * cn.n::DOUBLE)")}, 0) AS score
       FROM k LEFT JOIN qn USING (key) LEFT JOIN cn USING (key) LEFT JOIN dots USING (key))
     SELECT conv_id AS query_id, row_number() OVER (PARTITION BY conv_id ORDER BY score DESC, index) AS rank, index,
-           {r6("CASE WHEN conv_id % 2 = 0 THEN score ELSE (score + 1) / 2 END")} AS score, CASE WHEN conv_id % 3 = 0 THEN text END AS text
-    FROM scored
+           {r6("CASE WHEN (conv_id % 2 = 0) = own THEN score ELSE (score + 1) / 2 END")} AS score,
+           CASE WHEN (conv_id % 3 = 0) = own THEN text END AS text
+    FROM scored JOIN opt USING (conv_id)
     """
 )
 def stream_rerank(t: Tables):
-    c = t.conversations
-    first = c.filter("turn = 0").select("conv_id", F.col("text").alias("query"))
-    last = c.groupBy("conv_id").agg(F.max("turn").alias("_last"))
-    rows = (
-        stream(t, "conversations")
-        .filter("turn > 0")
-        .join(first, "conv_id")
-        .join(last, "conv_id")
-        .select(
-            F.col("conv_id").alias("query_id"), F.col("turn").alias("seq"), "query", "text",
-            # Only the first message's options count.
-            F.when(F.col("turn") == 1, F.col("conv_id") % 2 == 0).otherwise(F.col("conv_id") % 2 != 0).alias("raw_scores"),
-            F.when(F.col("turn") == 1, F.col("conv_id") % 3 == 0).otherwise(F.col("conv_id") % 3 != 0).alias("return_text"),
-            (F.col("turn") == F.col("_last")).alias("is_last"),
-        )
-    )
+    """Ranks of the texts that came before their query had ended."""
+    rows, part = _rerank_texts(t)
     root = fresh_dir(t.spark, "rerank")
-    flows.rerank_stream(rows, root).awaitTermination()
+    in_runs(t, rows, part, lambda stream: flows.rerank_stream(stream.drop("_last"), root))
     out = flows.read_batches(t.spark, root, flows.RANKS).drop("batch")
     return out.withColumn("score", round6(F.col("score")))
 
 
-@query(ORACLE["health_reduce"].replace("(instance % 3)::BIGINT AS failures", "0::BIGINT AS failures"))
+@query(f"WITH {_RERANK_PARTS} SELECT conv_id AS query_id, index + 1 AS seq, text FROM req WHERE part > final_part")
+def stream_rerank_late(t: Tables):
+    """Texts that came after their query had ended."""
+    rows, part = _rerank_texts(t)
+    root = fresh_dir(t.spark, "rerank")
+    in_runs(t, rows, part, lambda stream: flows.rerank_stream(stream.drop("_last"), root))
+    return flows.read_batches(t.spark, root, flows.LATE_TEXTS, "errors").drop("batch")
+
+
+_ON_TIME = (
+    ORACLE["health_reduce"]
+    .replace("(instance % 3)::BIGINT AS failures", "0::BIGINT AS failures")
+    .replace("FROM events", "FROM placed WHERE NOT late")
+    .replace("WITH RECURSIVE", f"WITH RECURSIVE {_EVENT_PARTS},")
+)
+
+
+@query(
+    f"""
+    {_ON_TIME.replace("SELECT * EXCLUDE (rn) FROM st", "SELECT * EXCLUDE (rn), false AS late FROM st")}
+    UNION ALL BY NAME
+    SELECT user_id AS instance, event_id AS seq, event_type IN ('click', 'view') AS healthy,
+           false AS check_failed, false AS restarted, false AS restart_failed, true AS late
+    FROM placed WHERE late
+    """
+)
 def stream_health(t: Tables):
-    rows = stream(t, "events").select(
+    """State after each check that came in order; late checks, which change nothing, without a state."""
+    rows = t.events.select(
+        "event_id",
         F.col("user_id").alias("instance"),
         F.col("event_id").alias("seq"),
         F.col("event_type").isin("click", "view").alias("healthy"),
@@ -145,8 +225,44 @@ def stream_health(t: Tables):
     )
     start = F.get(F.array(*[F.lit(s) for s in fleet_queries.START]), (F.col("instance") % 4).cast("int"))
     root = fresh_dir(t.spark, "health")
-    flows.health_monitor(rows, root, initial_status=start, step=4096).awaitTermination()
-    return flows.read_batches(t.spark, root, flows.HEALTH_STATE).drop("batch")
+    in_runs(t, rows, _event_part(t), lambda stream: flows.health_monitor(stream, root, initial_status=start))
+    out = flows.read_batches(t.spark, root, flows.HEALTH_STATE).drop("batch")
+    return out.withColumns({c: F.when(~F.col("late"), F.col(c)) for c in ("failures", "status", "last_ok_seq")})
+
+
+#: Kinds of events of a fleet's starts, by the events of the given table.
+_START_KINDS = {"signup": "start", "error": "restart", "click": "check_ok", "purchase": "stop"}
+_START_LIMIT = 3600 * 24
+
+
+@query(
+    f"""
+    WITH kinds AS (
+      SELECT user_id AS instance, ts, event_id, CASE event_type WHEN 'signup' THEN 'start' WHEN 'error' THEN 'start'
+        WHEN 'click' THEN 'end' WHEN 'purchase' THEN 'end' END AS kind
+      FROM events),
+    relevant AS (SELECT * FROM kinds WHERE kind IS NOT NULL),
+    nexts AS (SELECT *, lead(ts) OVER (PARTITION BY instance ORDER BY ts, event_id) AS next FROM relevant)
+    SELECT instance, ts AS started_at, ts + INTERVAL {_START_LIMIT} SECOND AS failed_at FROM nexts
+    WHERE kind = 'start' AND (epoch_us(next) > epoch_us(ts) + {_START_LIMIT}000000 OR (next IS NULL
+      AND (epoch_us(ts) + {_START_LIMIT}000000) // 1000 + 1
+        <= (SELECT epoch_ms(max(ts)) FROM relevant) - 600000))
+    """
+)
+def stream_start_timeout(t: Tables):
+    """Starts that nothing ended within a day, as far as the watermark tells when the input ends."""
+    pairs = [F.lit(x) for pair in _START_KINDS.items() for x in pair]
+    rows = t.events.select(
+        "event_id",
+        F.col("user_id").alias("instance"),
+        F.col("ts").cast("timestamp").alias("ts"),
+        F.element_at(F.create_map(*pairs), F.col("event_type")).alias("kind"),
+    )
+    width = t.events.agg(F.max("event_id")).first()[0] // RUNS + 1
+    root = fresh_dir(t.spark, "starts")
+    in_runs(t, rows, F.expr(f"event_id div {width}"), lambda stream: flows.start_timeouts(stream, root, _START_LIMIT))
+    out = flows.read_batches(t.spark, root, "instance long, started_at timestamp, failed_at timestamp").drop("batch")
+    return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("started_at", "failed_at")})
 
 
 @query(ORACLE["counters"])
@@ -199,25 +315,40 @@ def stream_failure_rate(t: Tables):
 
 @query(ORACLE["fleet_state"].replace("SELECT name, since_seq", "SELECT name, since_seq AS seq"))
 def stream_lifecycle(t: Tables):
+    """Members after all runs; events that come late change nothing if a later one of the name is known."""
     kind = F.when(F.col("event_type") == "signup", "added").when(F.col("event_type") == "error", "removed").otherwise("started")
-    events = stream(t, "events").select(
+    events = t.events.select(
+        "event_id",
         F.concat_ws("/", F.col("user_id").cast("string"), (F.col("event_id") % 3).cast("string")).alias("name"),
         F.col("event_id").alias("seq"),
         kind.alias("kind"),
     )
     root = fresh_dir(t.spark, "lifecycle")
-    flows.lifecycle_apply(events, root).awaitTermination()
-    return flows.read_state(t.spark, root, flows.MEMBERS, "name").filter("member").drop("member")
+    in_runs(t, events, _event_part(t), lambda stream: flows.lifecycle_apply(stream, root))
+    return flows.read_members(t.spark, root)
 
 
-@query(ORACLE["stream_target"].replace("conv_id, turn, bound", "conv_id AS stream_id, turn AS seq, bound"))
+@query(
+    f"""
+    WITH rows AS (
+      SELECT conv_id AS stream_id, turn AS seq, role || length(text) AS target,
+             CASE WHEN conv_id % 7 = 0 AND turn = 0 THEN {RUNS - 1} ELSE least({RUNS - 1}, turn // 2) END AS part
+      FROM conversations),
+    f AS (SELECT stream_id, min(part) AS part FROM rows GROUP BY 1),
+    b AS (SELECT stream_id, arg_min(target, seq) AS bound_target FROM rows JOIN f USING (stream_id, part) GROUP BY 1)
+    SELECT stream_id, seq, bound_target FROM rows JOIN b USING (stream_id)
+    """
+)
 def stream_bound_target(t: Tables):
-    rows = stream(t, "conversations").select(
+    """Targets by the first run that has a message of the stream; of each seventh its first message comes last."""
+    rows = t.conversations.select(
         F.col("conv_id").alias("stream_id"), F.col("turn").alias("seq"),
         F.concat("role", F.length("text").cast("string")).alias("target"),
     )
+    behind = (F.col("stream_id") % 7 == 0) & (F.col("seq") == 0)
+    part = F.when(behind, RUNS - 1).otherwise(F.least(F.lit(RUNS - 1), F.expr("seq div 2")))
     root = fresh_dir(t.spark, "targets")
-    flows.bind_targets(rows, root).awaitTermination()
+    in_runs(t, rows, part, lambda stream: flows.bind_targets(stream, root))
     out = flows.read_batches(t.spark, root, "stream_id long, seq long, bound_target string")
     return out.select("stream_id", "seq", "bound_target")
 

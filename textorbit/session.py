@@ -45,13 +45,6 @@ def exists(spark: SparkSession, path: str) -> bool:
     return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
 
 
-def matching(spark: SparkSession, pattern: str) -> list[str]:
-    """Paths that fit a pattern; for listings of a bounded length."""
-    target = spark._jvm.org.apache.hadoop.fs.Path(pattern)
-    found = target.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(target)
-    return [f.getPath().toString() for f in found or []]
-
-
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a table of this library in the shared folder, if it is there."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)

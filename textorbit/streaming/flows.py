@@ -2,9 +2,9 @@
 
 The narrow encoders (embed, embed_sparse, embed_all, predict, predict_pair,
 tokenize, decode) take a streaming DataFrame as they are.  What needs memory
-between micro-batches keeps it in tables: every batch writes its own directory
-under its batch id, so a repeated batch replaces its first attempt, and state
-of any size stays distributed.
+between micro-batches keeps it in Spark's keyed state (``streaming.state``), checkpointed
+with the stream.  Every batch writes its output below its batch id, so a repeated batch
+replaces its first attempt.
 """
 
 from __future__ import annotations
@@ -17,15 +17,16 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from textorbit.functions.formats import micros
-from textorbit.operators import encode, fleet
+from textorbit.operators import encode
 from textorbit.operators.metrics import LABELS, failure_rate, series
-from textorbit.session import cut, exists, fresh_dir, matching, passing_cuts, remove
+from textorbit.session import fresh_dir, passing_cuts, remove
+from textorbit.streaming import state
 
 
 def file_stream(
     spark: SparkSession, path: str, schema: T.StructType | str, glob: str | None = None, max_files: int = 1000
 ) -> DataFrame:
-    """Parquet files as a stream; ``max_files`` per trigger is the back-pressure."""
+    """Parquet files as a stream, oldest first; ``max_files`` per trigger is the back-pressure."""
     reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files)
     return (reader.option("pathGlobFilter", glob) if glob else reader).parquet(path)
 
@@ -65,85 +66,28 @@ def read_batches(spark: SparkSession, root: str, schema: T.StructType | str, nam
         if "PATH_NOT_FOUND" not in str(exc):
             raise
         parsed = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
-        return spark.createDataFrame([], parsed.add("batch", "int"))
+        return spark.createDataFrame([], parsed.add("batch", T.IntegerType()))
     return found
 
 
-#: After so many batches the changes since the last full state are folded into one.
-FOLD_BATCHES = 16
-
-
-def _folded(batch_id: int) -> int:
-    """First batch whose changes are not in the full state that batch ``batch_id`` starts from."""
-    return batch_id // FOLD_BATCHES * FOLD_BATCHES
-
-
-def _latest(rows: DataFrame, key: str) -> DataFrame:
-    """The row of the newest batch for each key."""
-    return rows.groupBy(key).agg(F.max_by(F.struct(*rows.columns), "batch").alias("_row")).select("_row.*").drop("batch")
-
-
-def _state_before(spark: SparkSession, root: str, schema: str, key: str, batch_id: int, start: int) -> DataFrame:
-    """State that the batches below ``batch_id`` left: a full one below ``start`` and the changes since."""
-    at = lambda path, n: spark.read.schema(schema).parquet(path).withColumn("batch", F.lit(n))
-    rows = at(f"{root}/state/full={start - 1}", start - 1) if start else None
-    for n in range(start, batch_id):  # FOLD_BATCHES at most
-        changes = at(f"{root}/state/batch={n}", n)
-        rows = changes if rows is None else rows.unionByName(changes)
-    return spark.createDataFrame([], schema) if rows is None else _latest(rows, key)
-
-
-def read_state(spark: SparkSession, root: str, schema: str, key: str) -> DataFrame:
-    """State of a flow after all batches that have ended."""
-    done = [int(p.rpartition("batch=")[2].partition("/")[0]) for p in matching(spark, f"{root}/state/batch=*/_SUCCESS")]
-    if not done:
-        return spark.createDataFrame([], schema)
-    newest = max(done)
-    return _state_before(spark, root, schema, key, newest + 1, _folded(newest))
+# --- flows with memory ---------------------------------------------------------------
 
+HEALTH_STATE = "instance long, status string, failures long, last_ok_seq long"
 
-def fold_stream(
-    stream: DataFrame,
-    step: Callable[[DataFrame, DataFrame], tuple[DataFrame, DataFrame]],
-    state_schema: str,
-    key: str,
-    root: str,
-    trigger: dict | None = None,
-    keep: Callable[[DataFrame], DataFrame] = lambda state: state,
-) -> StreamingQuery:
-    """Run ``step(batch, state) -> (rows out, changed state rows)`` on every micro-batch.
 
-    A batch writes its output and the state of the keys that it changed, one row each.  Each
-    ``FOLD_BATCHES`` batches all changes are folded into one full state, ``keep`` drops what
-    has expired, and the folded tables are removed.  Only batches that have ended are
-    folded, so a batch that is repeated finds the state that it began with.
-    """
+def _write_batches(rows: DataFrame, root: str, trigger: dict | None) -> StreamingQuery:
+    def each(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{root}/out/batch={batch_id}")
 
-    def fold(spark: SparkSession, batch_id: int) -> None:
-        whole = keep(_state_before(spark, root, state_schema, key, batch_id, batch_id - FOLD_BATCHES))
-        whole.write.mode("overwrite").parquet(f"{root}/state/full={batch_id - 1}")
+    return _each_batch(rows, each, f"{root}/checkpoint", trigger)
 
-    def each(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        start = _folded(batch_id)
-        if batch_id and batch_id == start and not exists(spark, f"{root}/state/full={batch_id - 1}/_SUCCESS"):
-            fold(spark, batch_id)
-        if batch_id and batch_id == start:
-            for n in range(batch_id - FOLD_BATCHES, batch_id):
-                remove(spark, f"{root}/state/batch={n}")
-            remove(spark, f"{root}/state/full={batch_id - FOLD_BATCHES - 1}")
-        with passing_cuts(spark):
-            state = _state_before(spark, root, state_schema, key, batch_id, start)
-            out, changed = step(batch, state)
-            changed.write.mode("overwrite").parquet(f"{root}/state/batch={batch_id}")
-            out.write.mode("overwrite").parquet(f"{root}/out/batch={batch_id}")
-
-    return _each_batch(stream, each, f"{root}/checkpoint", trigger)
 
+def _field(df: DataFrame, column: str) -> str:
+    return f"`{column}` {df.schema[column].dataType.simpleString()}"
 
-# --- flows with memory ---------------------------------------------------------------
 
-HEALTH_STATE = "instance long, status string, failures long, last_ok_seq long"
+def _stepped(rows: DataFrame, key: str, step: state.Step, out: str, kept: str, timeout: str = "NoTimeout") -> DataFrame:
+    return rows.groupBy(key).applyInPandasWithState(step, out, kept, "append", timeout)
 
 
 def health_monitor(
@@ -152,88 +96,146 @@ def health_monitor(
     max_failures: int = 3,
     auto_restart: bool = True,
     initial_status: Column | None = None,
-    state_schema: str = HEALTH_STATE,
-    step: int | None = None,
     trigger: dict | None = None,
 ) -> StreamingQuery:
-    """Health replay over a stream of (instance, seq, healthy, restart_ok).
+    """Health replay over a stream of (instance, seq, healthy, restart_ok), a row for each check.
 
-    Each micro-batch is one batch replay that starts from the instances' last
-    states, so a single busy instance is spread over tasks here as well.
+    An instance's state after its last check is kept: status, failures, last success and number.
+    A check that comes after one with the same or a higher number is ``late``: it is given out
+    with the state that holds, and changes nothing.  Within a batch an instance's checks are
+    sorted by number; the trigger bounds how many they are.
     """
     start = initial_status if initial_status is not None else F.lit("stopped")
+    rows = checks.select("instance", "seq", "healthy", "restart_ok", start.alias("start_status"))
+    replay = state.health("instance", max_failures, auto_restart)
+    schema = f"{_field(checks, 'instance')}, {state.HEALTH_OUT}"
+    return _write_batches(_stepped(rows, "instance", replay, schema, state.HEALTH), root, trigger)
 
-    def advance(batch: DataFrame, state: DataFrame) -> tuple[DataFrame, DataFrame]:
-        known = state.select(
-            "instance", F.col("status").alias("_status"), F.col("failures").alias("_failures"),
-            F.col("last_ok_seq").alias("_ok"),
-        )
-        rows = batch.join(known, "instance", "left").select(
-            "instance", "seq", "healthy", "restart_ok",
-            F.coalesce("_status", start).alias("start_status"),
-            F.coalesce("_failures", F.lit(0).cast("long")).alias("start_failures"),
-        )
-        out = cut(fleet.health_reduce(rows, max_failures, auto_restart, step=step))  # output and new state
-        last = fleet.final_health(out).select("instance", "status", "failures", "last_ok_seq")
-        merged = last.join(known.select("instance", "_ok"), "instance", "left")
-        return out, merged.withColumn("last_ok_seq", F.coalesce("last_ok_seq", "_ok")).drop("_ok")
 
-    return fold_stream(checks, advance, state_schema, "instance", root, trigger)
+def _clock(*seconds: int | None) -> str:
+    """Whether timeouts by the clock are wanted.  Spark then goes on making batches until it is stopped."""
+    return "ProcessingTimeTimeout" if any(seconds) else "NoTimeout"
 
 
-MEMBERS = "name string, seq long, member boolean"
+def _millis(seconds: int | None) -> int | None:
+    return None if seconds is None else seconds * 1000
 
 
 def lifecycle_apply(
-    events: DataFrame, root: str, trigger: dict | None = None, lateness: int = 1_000_000
+    events: DataFrame, root: str, trigger: dict | None = None, remember_secs: int | None = None
 ) -> StreamingQuery:
     """Keep the current membership from added / removed / stopped events (name, seq, kind).
 
     The checkpointed source replays what a crash interrupted, so no event is lost.
-    A name that left is remembered until the newest event is more than ``lateness``
-    numbers ahead, so an older ``added`` that comes late does not bring it back.
-    State: (name, seq, member).  Out: the names that left in this batch.
+    A name that left is remembered, so an older ``added`` that comes late does not bring it
+    back; with ``remember_secs`` it is forgotten after that, and the query runs until it is stopped.
+    Out: each leave of a member, (name, seq); ``read_members`` has the members.
     """
+    rows = events.filter(F.col("kind").isin("added", "removed", "stopped")).select("name", "seq", "kind")
+    keep = state.membership(_millis(remember_secs))
+    applied = _stepped(rows, "name", keep, "name string, seq long", state.MEMBERSHIP, _clock(remember_secs))
+    return _write_batches(applied, root, trigger)
 
-    def advance(batch: DataFrame, state: DataFrame) -> tuple[DataFrame, DataFrame]:
-        last = batch.filter(F.col("kind").isin("added", "removed", "stopped")).groupBy("name").agg(
-            F.max_by("kind", "seq").alias("kind"), F.max("seq").alias("seq")
-        )
-        known = state.withColumnsRenamed({"seq": "_seq", "member": "_member"})
-        newer = last.join(known, "name", "left").filter(F.col("_seq").isNull() | (F.col("seq") > F.col("_seq")))
-        now = cut(newer.select("name", "seq", (F.col("kind") == "added").alias("member"), F.col("_member").alias("was")))
-        return now.filter("was and not member").select("name", "seq"), now.drop("was")
 
-    def keep(state: DataFrame) -> DataFrame:
-        newest = state.agg(F.max("seq").alias("s")).first()["s"] or 0
-        return state.filter(F.col("member") | (F.col("seq") >= newest - lateness))
+def read_members(spark: SparkSession, root: str) -> DataFrame:
+    """(name, seq) of the members that ``lifecycle_apply`` knows after its last batch."""
+    known = spark.read.format("statestore").load(f"{root}/checkpoint")
+    known = known.select("key.*", "value.groupState.*")
+    return known.filter("member").select("name", "seq")
+
 
-    return fold_stream(events, advance, MEMBERS, "name", root, trigger, keep)
+_EXACT = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
 
 
-def bind_targets(messages: DataFrame, root: str, trigger: dict | None = None) -> StreamingQuery:
+def bind_targets(
+    messages: DataFrame, root: str, trigger: dict | None = None, remember_secs: int | None = None
+) -> StreamingQuery:
     """Give every message of a stream the target of the stream's first message.
 
-    Messages are (stream_id, seq, target string, ...); one state row per stream.
+    Messages are (stream_id, seq, target string, ...).  The first batch that has a message of a
+    stream settles its target, by the lowest seq; ``remember_secs`` after that it is forgotten
+    (the query then runs until it is stopped), without it never.
     """
+    # As JSON a message passes through Python as it is; pandas would make floats of nullable numbers.
+    rows = messages.select("stream_id", "seq", "target", F.to_json(F.struct("*"), _EXACT).alias("message"))
+    schema = f"{_field(messages, 'stream_id')}, message string, bound_target string"
+    memory = state.first_target(_millis(remember_secs))
+    bound = _stepped(rows, "stream_id", memory, schema, state.TARGET, _clock(remember_secs))
+    message = F.from_json("message", messages.schema, _EXACT).alias("message")
+    return _write_batches(bound.select(message, "bound_target").select("message.*", "bound_target"), root, trigger)
 
-    def advance(batch: DataFrame, state: DataFrame) -> tuple[DataFrame, DataFrame]:
-        known = state.select("stream_id", F.struct("target").alias("_old"))
-        first = batch.groupBy("stream_id").agg(F.min_by(F.struct("target"), "seq").alias("_new"))
-        bound = first.join(known, "stream_id", "left").select(
-            "stream_id", F.coalesce("_old", "_new").getField("target").alias("target")
-        )
-        out = batch.join(bound.withColumnRenamed("target", "bound_target"), "stream_id")
-        return out, bound
 
-    return fold_stream(messages, advance, "stream_id long, target string", "stream_id", root, trigger)
+def start_timeouts(
+    events: DataFrame,
+    root: str,
+    default_secs: int = 300,
+    watermark: str | None = "10 minutes",
+    trigger: dict | None = None,
+) -> StreamingQuery:
+    """Instances that were still starting after their timeout, from a stream of (instance, ts, kind).
+
+    Kinds ``start`` and ``restart`` begin to wait, ``check_ok``, ``stop``, ``stopped`` and
+    ``restart_failed`` end it; others don't matter.  ``startup_timeout_secs``, if there, is an
+    instance's own limit.  Out: (instance, started_at, failed_at).
+
+    A timer fires when the watermark has passed the limit; without a ``watermark``, when the
+    clock has, counted from the batch that has the start, and the query runs until it is stopped.  What comes more than the limit
+    after the start never undoes the timeout.
+    """
+    limit = F.lit(default_secs)
+    if "startup_timeout_secs" in events.columns:
+        limit = F.coalesce("startup_timeout_secs", limit)
+    starts = F.col("kind").isin("start", "restart")
+    ends = F.col("kind").isin("check_ok", "stop", "stopped", "restart_failed")
+    rows = events.filter(starts | ends)
+    rows = rows.withWatermark("ts", watermark) if watermark else rows
+    rows = rows.select(
+        "instance", "ts", micros("ts").alias("at"), (limit.cast("long") * 1_000_000).alias("limit"),
+        starts.alias("starts"), ends.alias("ends"),
+    )
+    late = _stepped(
+        rows,
+        "instance",
+        state.start_timeout("instance", watermark is not None),
+        f"{_field(events, 'instance')}, started long, failed long",
+        state.STARTING,
+        "EventTimeTimeout" if watermark else "ProcessingTimeTimeout",
+    )
+    late = late.select(
+        "instance", F.timestamp_micros("started").alias("started_at"), F.timestamp_micros("failed").alias("failed_at")
+    )
+    return _write_batches(late, root, trigger)
 
 
 RANKS = "query_id long, rank long, index long, score double, text string"
+LATE_TEXTS = "query_id long, seq long, text string"
+
+
+def _ranks(texts: DataFrame) -> DataFrame:
+    """Ranks of the texts of each query, by the options of its first one."""
+    if texts.isEmpty():
+        return texts.sparkSession.createDataFrame([], RANKS)
+    options = texts.groupBy("query_id").agg(F.min_by(F.struct("raw_scores", "return_text"), "seq").alias("_o"))
+    placed = encode.ranked(texts.select("query_id", "seq", "text", "score"), ["query_id"], [F.col("seq")], "index")
+    placed = placed.withColumn("_down", -F.col("score"))
+    ranked = encode.ranked(placed, ["query_id"], [F.col("_down"), F.col("index")], "rank")
+    return ranked.join(options, "query_id").select(
+        "query_id",
+        (F.col("rank") + 1).alias("rank"),
+        "index",
+        F.when(F.col("_o.raw_scores"), F.col("score")).otherwise((F.col("score") + 1) / 2).alias("score"),
+        F.when(F.col("_o.return_text"), F.col("text")).alias("text"),
+    )
 
 
 def rerank_stream(
-    rows: DataFrame, root: str, raw_scores_column: str = "raw_scores", trigger: dict | None = None
+    rows: DataFrame,
+    root: str,
+    raw_scores_column: str = "raw_scores",
+    trigger: dict | None = None,
+    delay_secs: int = 0,
+    idle_secs: int | None = None,
+    remember_secs: int | None = None,
 ) -> StreamingQuery:
     """One ranking per query, once its stream of texts has ended.
 
@@ -241,57 +243,35 @@ def rerank_stream(
     options of the first message (lowest seq) hold for the whole query.  Scores
     that are not raw are moved from [-1, 1] to [0, 1].
 
-    Every batch appends its scored rows; a query that ends in this batch is ranked from
-    all of its rows.  Each ``FOLD_BATCHES`` batches the rows of open queries move to one
-    table and those of ended ones are removed, so no row is read for ever.
+    A query ends ``delay_secs`` after the message that is its last, or with its batch if that is
+    0, and after ``idle_secs`` without a message, if given; texts that come until then are ranked.
+    Those that come later are written to ``errors``; with ``remember_secs`` an id may be used again
+    after that.  With any of the three, the query runs until it is stopped.  Texts wait in Spark's
+    state, those of one query in one value; the ranking of what has ended in a batch is spread
+    over the tasks.
     """
-    kept = "query_id long, seq long, text string, score double, raw_scores boolean, return_text boolean"
-
-    def rows_before(spark: SparkSession, start: int, stop: int, name: str = "rows", schema: str = kept) -> DataFrame:
-        paths = [f"{root}/{name}/batch={n}" for n in range(start, stop)]
-        if start and name == "rows":  # what open queries had before
-            paths.append(f"{root}/open/batch={start - 1}")
-        return spark.read.schema(schema).parquet(*paths)
-
-    def fold(spark: SparkSession, batch_id: int) -> None:
-        start = batch_id - FOLD_BATCHES
-        if not exists(spark, f"{root}/open/batch={batch_id - 1}/_SUCCESS"):
-            ended = rows_before(spark, start, batch_id, "ended", "query_id long")
-            left = rows_before(spark, start, batch_id).join(ended, "query_id", "left_anti")
-            left.write.mode("overwrite").parquet(f"{root}/open/batch={batch_id - 1}")
-        for n in range(start, batch_id):
-            remove(spark, f"{root}/rows/batch={n}")
-            remove(spark, f"{root}/ended/batch={n}")
-        remove(spark, f"{root}/open/batch={start - 1}")
+    score = F.floor(encode.pair_score(F.col("query"), F.col("text")) * 1e6 + 0.5) / F.lit(1e6)
+    scored = rows.select(
+        "query_id", "seq", "text", score.alias("score"), F.col(raw_scores_column).alias("raw_scores"), "return_text", "is_last"
+    )
+    schema = (
+        f"{_field(rows, 'query_id')}, seq long, text string, score double, raw_scores boolean, return_text boolean,"
+        " late boolean"
+    )
+    wait = state.open_texts(delay_secs * 1000, _millis(idle_secs), _millis(remember_secs))
+    given = _stepped(scored, "query_id", wait, schema, state.TEXTS, _clock(delay_secs, idle_secs, remember_secs))
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        start = _folded(batch_id)
-        if batch_id and batch_id == start:
-            fold(spark, batch_id)
-        score = F.floor(encode.pair_score(F.col("query"), F.col("text")) * 1e6 + 0.5) / F.lit(1e6)
-        scored = batch.select(
-            "query_id", "seq", "text", score.alias("score"), F.col(raw_scores_column).alias("raw_scores"), "return_text"
-        )
-        scored.write.mode("overwrite").parquet(f"{root}/rows/batch={batch_id}")
-        batch.filter("is_last").select("query_id").distinct().write.mode("overwrite").parquet(f"{root}/ended/batch={batch_id}")
-        with passing_cuts(spark):
-            ended = rows_before(spark, batch_id, batch_id + 1, "ended", "query_id long")
-            mine = rows_before(spark, start, batch_id + 1).join(ended, "query_id", "left_semi")
-            options = mine.groupBy("query_id").agg(F.min_by(F.struct("raw_scores", "return_text"), "seq").alias("_o"))
-            placed = encode.ranked(mine.select("query_id", "seq", "text", "score"), ["query_id"], [F.col("seq")], "index")
-            placed = placed.withColumn("_down", -F.col("score"))
-            ranked = encode.ranked(placed, ["query_id"], [F.col("_down"), F.col("index")], "rank")
-            final = ranked.join(options, "query_id").select(
-                "query_id",
-                (F.col("rank") + 1).alias("rank"),
-                "index",
-                F.when(F.col("_o.raw_scores"), F.col("score")).otherwise((F.col("score") + 1) / 2).alias("score"),
-                F.when(F.col("_o.return_text"), F.col("text")).alias("text"),
-            )
-            final.write.mode("overwrite").parquet(f"{root}/out/batch={batch_id}")
-
-    return _each_batch(rows, each, f"{root}/checkpoint", trigger)
+        found = f"{root}/ended/batch={batch_id}"
+        batch.write.mode("overwrite").parquet(found)
+        ended = batch.sparkSession.read.schema(schema).parquet(found)
+        late = ended.filter("late").select("query_id", "seq", "text")
+        late.write.mode("overwrite").parquet(f"{root}/errors/batch={batch_id}")
+        with passing_cuts(batch.sparkSession):
+            _ranks(ended.filter("not late")).write.mode("overwrite").parquet(f"{root}/out/batch={batch_id}")
+        remove(batch.sparkSession, found)
+
+    return _each_batch(given, each, f"{root}/checkpoint", trigger)
 
 
 # --- Spark's own streaming aggregations --------------------------------------------------
