@@ -334,6 +334,7 @@ def drop_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     owners = owners.where("last > o.doc_id").select(
         "seed", F.col("o.doc_id").alias("owner_id"), F.col("o.row").alias("owner"), F.col("o.place").alias("owner_place")
     )
+    owners = cut(owners)  # so that Spark may split the rows of a seed that very many texts have
     links = anchors.join(owners, "seed").where("row != owner or place != owner_place")
     links = links.withColumn("block", F.expr(f"int(owner_place div {BLOCK})"))
     stretches = links.groupBy("row", "owner", "block", "owner_id").agg(F.collect_list("place").alias("places"))
