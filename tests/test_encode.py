@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from textorbit.operators import encode, retrieval
+from textorbit.operators import calls, encode, retrieval
 
 
 def test_noop(spark):
@@ -55,7 +55,8 @@ def test_two_models_of_one_name_do_not_mix(spark):
 
 def test_limits_of_a_model(spark):
     model = encode.CallableEncoder(
-        "echo", 2, "dense", lambda: lambda ts: [[float(len(t)), float(len(ts))] for t in ts], max_input_length=3, max_batch_tokens=4
+        "echo", 2, "dense", lambda: lambda ts: [[float(len(t)), float(len(ts))] for t in ts], max_input_length=3, max_batch_tokens=4,
+        truncate=True,
     )
     texts = ["one two three four", "a b", "c d", "e", ""]
     df = spark.createDataFrame(list(enumerate(texts)), "id int, text string").coalesce(1)
@@ -63,6 +64,91 @@ def test_limits_of_a_model(spark):
     assert got == [(13.0, 1.0), (3.0, 2.0), (3.0, 2.0), (1.0, 2.0), (0.0, 2.0)]
 
 
+def error_of(df):
+    with pytest.raises(Exception) as found:
+        df.collect()
+    return str(found.value)
+
+
+def test_long_texts_are_errors_unless_they_may_be_cut(spark):
+    model = encode.CallableEncoder("strict", 1, "dense", lambda: lambda ts: [[1.0]] * len(ts), max_input_length=3)
+    df = spark.createDataFrame([(0, "one two three"), (1, "one two three four")], "id int, text string")
+    assert encode.embed(df.filter("id = 0"), encoder=model).count() == 1
+    assert "INPUT_TOO_LONG" in error_of(encode.embed(df, encoder=model))
+
+
+@pytest.mark.parametrize("shift", [1, -1])
+def test_a_wrong_number_of_results_is_an_error(spark, shift):
+    """Of two batches the first has one result too many or too few; rows must not shift."""
+    many = lambda ts: [[float(len(t))] for t in ts] + [[0.0]] * shift if shift > 0 else [[float(len(t))] for t in ts][:shift]
+    model = encode.CallableEncoder(f"odd{shift}", 1, "dense", lambda: many, max_batch_tokens=2)
+    df = spark.createDataFrame(list(enumerate(["a b", "c d", "e f"])), "id int, text string").coalesce(1)
+    assert "results for" in error_of(encode.embed(df, encoder=model))
+
+    class Plain:
+        name, dim, kind, max_input_length = "plain", 1, "dense", 9
+
+        def columns(self, text):
+            return None
+
+        def encode_batch(self, texts):
+            return many(texts)
+
+    assert "results for" in error_of(encode.embed(df, encoder=Plain()))
+
+
+def test_cut_text_keeps_the_wanted_end():
+    text = "One, two; three four!"
+    assert calls.cut_text(text, 2, False) == "One, two"
+    assert calls.cut_text(text, 2, True) == "three four!"
+    assert calls.cut_text(text, 4, True) == text
+    assert calls.cut_text(text, 0, True) == calls.cut_text(text, 0, False) == ""
+
+
+def test_requests_with_a_model(spark):
+    """Each request cut, refused or scaled by its own options; the model sees the cut texts."""
+    rows = [(0, "one two three", None, None), (1, "one two three", True, "left"), (2, "one two three", True, "right"), (3, "one", None, None), (4, None, None, None)]
+    df = spark.createDataFrame(rows, "id int, text string, truncate boolean, direction string")
+    sizes = encode.CallableEncoder("sizes", 2, "dense", lambda: lambda ts: [[float(len(t)), 3.0] for t in ts], max_input_length=2)
+    found = {r["id"]: r for r in calls.embed_requests(df, {}, 512, sizes, normalize=False).collect()}
+    assert [found[i]["error_code"] for i in range(5)] == ["INPUT_TOO_LONG", None, None, None, None]
+    assert [found[i]["embedding"] for i in range(5)] == [None, [9.0, 3.0], [7.0, 3.0], [3.0, 3.0], None]
+    assert found[0]["metadata"]["compute_tokens"] == 3 and found[4]["metadata"] is None
+    scaled = calls.embed_requests(df.filter("id = 3"), {}, 512, sizes, dimensions=1).first()
+    assert scaled["embedding"] == [1.0]
+    labels = encode.CallableEncoder(
+        "labels", 2, "classifier", lambda: lambda ts: [[{"score": 0.0, "label": "a"}, {"score": float(len(t)), "label": "b"}] for t in ts]
+    )
+    raw = calls.predict_requests(df.filter("id = 3"), labels, 5, raw_scores=True).first()["predictions"]
+    soft = calls.predict_requests(df.filter("id = 3"), labels, 5).first()["predictions"]
+    assert [p["score"] for p in raw] == [0.0, 3.0] and sum(p["score"] for p in soft) == pytest.approx(1)
+    assert soft[1]["score"] == pytest.approx(np.exp(3) / (1 + np.exp(3)))
+
+
+def test_pairs_share_the_limit(spark):
+    rows = [(0, ["a b c d", "e"]), (1, ["a", "b c d e"]), (2, ["a b c", "d e f"]), (3, ["a", None]), (4, ["a"]), (5, None)]
+    df = spark.createDataFrame(rows, "id int, texts array<string>")
+    echo = encode.CallableEncoder("echo-pair", 0, "classifier", lambda: lambda ts: [[{"score": 0.0, "label": "|".join(t)}] for t in ts])
+    got = {r["id"]: r for r in calls.predict_pair_requests(df, echo, 4, truncate=True).collect()}
+    assert [got[i]["predictions"][0]["label"] for i in range(3)] == ["a b c|e", "a|b c d", "a b|d e"]
+    assert [got[i]["error_code"] for i in range(6)] == [None] * 3 + ["INVALID_ARGUMENT"] * 3
+    strict = {r["id"]: r["error_code"] for r in calls.predict_pair_requests(df, echo, 4).collect()}
+    assert [strict[i] for i in range(3)] == ["INPUT_TOO_LONG"] * 3
+
+
+def test_rerank_requests_of_a_model(spark):
+    rows = [(1, 0, "q", "aa"), (1, 1, "q", "aaaa"), (1, 2, "q", "aa"), (2, 0, "q", "b c d"), (2, 1, "q", "b"), (3, 0, "q", None)]
+    df = spark.createDataFrame(rows, "query_id long, index long, query string, text string")
+    model = encode.CallableEncoder("size-rank", 1, "reranker", lambda: lambda ts: [float(len(t)) for _, t in ts])
+    got = sorted(map(tuple, calls.rerank_requests(df, 3, model, raw_scores=True, return_text=True).collect()), key=str)
+    assert got == [
+        (1, 1, 1, 4.0, "aaaa", None), (1, 2, 0, 2.0, "aa", None), (1, 3, 2, 2.0, "aa", None),
+        (2, None, None, None, None, "INPUT_TOO_LONG"), (3, None, None, None, None, "INVALID_ARGUMENT"),
+    ]
+    cut = calls.rerank_requests(df.filter("query_id = 2"), 3, model, truncate=True).orderBy("rank").collect()
+    assert [(r["index"], round(r["score"], 6)) for r in cut] == [(0, round(1 / (1 + np.exp(-3)), 6)), (1, round(1 / (1 + np.exp(-1)), 6))]
+
+
 def test_vectors_are_unit_and_equally_wide_and_related_texts_closer(spark):
     texts = ["the red boat on the bay", "a red boat in the bay", "tax law of the province"]
     df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")

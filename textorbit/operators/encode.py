@@ -24,7 +24,6 @@ from pyspark.sql import types as T
 from textorbit import schemas
 from textorbit.functions import text as tx
 from textorbit.functions import vectors as vec
-from textorbit.operators import requests
 from textorbit.operators.batch import number_rows
 from textorbit.operators.scan import ranked
 from textorbit.session import cut
@@ -99,9 +98,9 @@ class LexicalTokens(_Expression):
 class CallableEncoder:
     """A user's model.  ``load`` runs once per Python worker and returns list -> list.
 
-    A text of more than ``max_input_length`` tokens is cut after so many, and the
-    model gets lists of at most ``max_batch_tokens`` tokens, or one text; ``tokens``
-    is the pattern of one.
+    A text of more than ``max_input_length`` tokens is an error, unless ``truncate`` says to cut it
+    after so many.  The model gets lists of at most ``max_batch_tokens`` tokens, or one text, and
+    must give as many results; ``tokens`` is the pattern of a token.
     """
 
     name: str
@@ -111,6 +110,7 @@ class CallableEncoder:
     max_input_length: int = 512
     max_batch_tokens: int = 16384
     tokens: str = tx.TOKEN
+    truncate: bool = False
     identity: str = field(default="", repr=False)
 
     def __post_init__(self):
@@ -135,6 +135,8 @@ class CallableEncoder:
         count, end = 0, 0
         for found in re.finditer(self.tokens, text, re.IGNORECASE):
             if count == self.max_input_length:
+                if not self.truncate:
+                    raise ValueError(f"INPUT_TOO_LONG: a text has more than {count} tokens, and {self.name} may not cut it")
                 return text[:end], count
             count, end = count + 1, found.end()
         return text, count
@@ -144,12 +146,20 @@ class CallableEncoder:
         held, used = [], 0
         for text, n in map(self.fit, texts):
             if held and used + n > self.max_batch_tokens:
-                yield from self.encode_batch(held)
+                yield from checked(self, held)
                 held, used = [], 0
             held.append(text)
             used += n
         if held:
-            yield from self.encode_batch(held)
+            yield from checked(self, held)
+
+
+def checked(encoder: Encoder, inputs: list[Any]) -> list[Any]:
+    """One result for each input; another number would shift results between rows."""
+    results = list(encoder.encode_batch(inputs))
+    if len(results) != len(inputs):
+        raise ValueError(f"{encoder.name} gave {len(results)} results for {len(inputs)} inputs")
+    return results
 
 
 _LOADED: dict[str, tuple[str, Callable]] = {}  # per Python worker, by name: identity and model
@@ -171,7 +181,7 @@ def _apply(
 
     @F.pandas_udf(out_type)
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        run = getattr(encoder, "encode_all", encoder.encode_batch)
+        run = getattr(encoder, "encode_all", lambda texts: checked(encoder, texts))
         for column in batches:
             present = column.notna()
             texts = [v if isinstance(v, str) else list(v) for v in column[present]]
@@ -259,7 +269,7 @@ class LinearClassifier(_Expression):
         super().__init__("lexical-linear", len(next(iter(weights.values()))), "classifier")
         self.weights, self.bias, self.raw_scores = weights, bias or {}, raw_scores
 
-    def score(self, features: Column) -> Column:
+    def raw_score(self, features: Column) -> Column:
         def scores(v: Column) -> Column:
             raw = [
                 (vec.dot(v, F.array(*[F.lit(float(x)) for x in w])) + self.bias.get(label, 0.0), label)
@@ -267,7 +277,10 @@ class LinearClassifier(_Expression):
             ]
             return F.array(*[F.struct(s.alias("score"), F.lit(n).alias("label")) for s, n in raw])
 
-        scored = tx.let(features, scores)
+        return tx.let(features, scores)
+
+    def score(self, features: Column) -> Column:
+        scored = self.raw_score(features)
         return F.transform(
             scored if self.raw_scores else softmax(scored),
             lambda s: F.struct(s["score"].cast("float").alias("score"), s["label"].alias("label")),
@@ -281,10 +294,19 @@ class LinearClassifier(_Expression):
         """
         return self.score(vec.l2_normalize(tx.signed_weights(text, self.dim)))
 
-    def pair(self, texts: Column) -> Column:
+    def _product(self, texts: Column) -> Column:
         unit = lambda t: vec.l2_normalize(tx.signed_weights(t, self.dim))
-        product = F.zip_with(unit(F.get(texts, F.lit(0))), unit(F.get(texts, F.lit(1))), lambda a, b: a * b)
-        return F.when(F.size(texts) == 2, self.score(product))
+        return F.zip_with(unit(F.get(texts, F.lit(0))), unit(F.get(texts, F.lit(1))), lambda a, b: a * b)
+
+    def pair(self, texts: Column) -> Column:
+        return F.when(F.size(texts) == 2, self.score(self._product(texts)))
+
+    def raw(self, text: Column) -> Column:
+        """Scores before any softmax."""
+        return self.raw_score(vec.l2_normalize(tx.signed_weights(text, self.dim)))
+
+    def raw_pair(self, texts: Column) -> Column:
+        return F.when(F.size(texts) == 2, self.raw_score(self._product(texts)))
 
 
 def softmax(scored: Column) -> Column:
@@ -531,55 +553,6 @@ def decode(
     )
 
 
-def embed_requests(
-    df: DataFrame,
-    prompts: dict[str, str],
-    max_len: int,
-    encoder: LexicalDense | None = None,
-    text_col: str = "text",
-    **defaults: Any,
-) -> DataFrame:
-    """Dense vectors with each request's own options.
-
-    Options are the columns of ``request_params`` where the row has them, else
-    ``defaults``: ``prompt_name``, ``truncate``, ``direction``, ``dimensions``, ``normalize``.
-    Adds ``embedding``, ``error_code`` (UNKNOWN_PROMPT; INPUT_TOO_LONG for more than
-    ``max_len`` tokens that may not be cut; INVALID_ARGUMENT for a width the encoder
-    does not have) and ``metadata`` (characters, bytes and tokens of the prompted text).
-    A row with an error, or without a text, has no vector.
-    """
-    encoder = encoder or LexicalDense()
-    asked = requests.apply_prompt(requests.request_params(df, **defaults), prompts, text_col)
-    rows = asked.withColumn("_tokens", tx.tokens(F.col(text_col)))
-    long = F.size("_tokens") > max_len
-    wide = F.col("dimensions").isNotNull() & ~F.col("dimensions").between(1, encoder.dim)
-    error = F.coalesce(
-        F.col("error_code"),
-        F.when(long & ~F.col("truncate"), "INPUT_TOO_LONG").when(wide, "INVALID_ARGUMENT"),
-    )
-    shorter = F.when(F.col("direction") == "left", tx.truncate_tokens(F.col("_tokens"), max_len, "left")).otherwise(
-        tx.truncate_tokens(F.col("_tokens"), max_len, "right")
-    )
-    kept = F.when(long, F.array_join(shorter, " ")).otherwise(F.col(text_col))
-    rows = rows.withColumn("error_code", error)
-    rows = rows.withColumn("_kept", F.when(F.col("error_code").isNull(), kept))
-
-    def vector(weights: Column) -> Column:
-        head = F.slice(weights, F.lit(1), F.coalesce("dimensions", F.lit(encoder.dim)))
-        plain = F.transform(head, lambda w: w.cast("float"))
-        return F.when(F.col("normalize"), vec.l2_normalize(head)).otherwise(plain)
-
-    costs = F.struct(
-        F.length(text_col).cast("long").alias("compute_chars"),
-        F.octet_length(text_col).cast("long").alias("request_bytes"),
-        F.size("_tokens").cast("long").alias("compute_tokens"),
-    )
-    found = F.when(F.col("_kept").isNotNull(), tx.let(encoder.weights(F.col("_kept")), vector))
-    return rows.withColumn("embedding", found).withColumn(
-        "metadata", F.when(F.col(text_col).isNotNull(), costs)
-    ).drop("_tokens", "_kept")
-
-
 def encoder_info(spark, encoders: Sequence[Encoder], version: str = "1") -> DataFrame:
     """Model card per encoder."""
     kinds = {"classifier": "classifier", "reranker": "reranker"}
@@ -594,21 +567,36 @@ def encoder_info(spark, encoders: Sequence[Encoder], version: str = "1") -> Data
 
 
 def encoder_smoke(spark, encoders: Sequence[Encoder], text: str = "smoke test") -> DataFrame:
-    """Load every encoder once in a worker; failures become rows with their reason."""
-    by_name = {e.name: e for e in encoders}
+    """Try every encoder once on a text; failures become rows with their reason.
+
+    Models are loaded and run in workers, and must give one result; expressions are planned
+    and run by Spark.
+    """
+    reason = lambda exc: f"{type(exc).__name__}: {exc}"
+    by_name, rows = {}, []
+    for encoder in encoders:
+        expression = encoder.columns(F.lit(text))
+        if expression is None:
+            by_name[encoder.name] = encoder
+            continue
+        try:
+            spark.range(1).select(expression).first()
+            rows.append((encoder.name, "verified", None))
+        except Exception as exc:  # the reason is the result
+            rows.append((encoder.name, "failed", reason(exc)))
+    schema = "name string, status string, error string"
     names = spark.createDataFrame([(n,) for n in by_name], "name string")
 
     def attempt(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            rows = []
+            found = []
             for name in frame["name"]:
                 try:
-                    by_name[name].encode_batch([text])
-                    rows.append((name, "verified", None))
+                    checked(by_name[name], [text])
+                    found.append((name, "verified", None))
                 except Exception as exc:  # the reason is the result
-                    rows.append((name, "failed", f"{type(exc).__name__}: {exc}"))
-            yield pd.DataFrame(rows, columns=["name", "status", "error"])
+                    found.append((name, "failed", reason(exc)))
+            yield pd.DataFrame(found, columns=["name", "status", "error"])
 
-    return names.repartition(max(len(by_name), 1)).mapInPandas(
-        attempt, "name string, status string, error string"
-    )
+    tried = names.repartition(max(len(by_name), 1)).mapInPandas(attempt, schema)
+    return tried.unionByName(spark.createDataFrame(rows, schema))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from textorbit.functions import text as tx
 from textorbit.functions import vectors as vec
 from textorbit.functions.formats import round6
-from textorbit.operators import batch, encode, requests, retrieval
+from textorbit.operators import batch, calls, encode, requests, retrieval
 from textorbit.plans.registry import Tables, query
 from textorbit.session import cut
 
@@ -549,7 +549,7 @@ def embed_request_options(t: Tables):
         F.when(i % 11 == 0, 65).when(i % 4 == 0, 16).alias("dimensions"),
     )
     prompts = {"query": "query: ", "passage": "passage: "}
-    found = encode.embed_requests(rows, prompts, 200, truncate=True, direction="right", normalize=True)
+    found = calls.embed_requests(rows, prompts, 200, truncate=True, direction="right", normalize=True)
     entries = F.transform("embedding", lambda x, d: F.struct(d.cast("long").alias("d"), x.alias("x")))
     return found.select(
         "doc_id", "error_code", F.col("metadata.compute_tokens").alias("compute_tokens"), F.explode_outer(entries).alias("e")
