@@ -31,14 +31,15 @@ def plain(rows, weights, budget, epochs, seed=7):
         return weights.get("/".join(path), weights.get("*/" + path[-1], 1))
 
     granted = {(): budget}
+    alive = {leaf: tokens for leaf, tokens in total.items() if all(weight(leaf[:d]) > 0 for d in range(1, 4))}
     for depth in range(1, 4):
         below = defaultdict(dict)
-        for leaf, tokens in total.items():
+        for leaf, tokens in alive.items():
             path = leaf[:depth]
             w, c = below[path[:-1]].get(path, (weight(path), 0))
             below[path[:-1]][path] = (w, c + tokens * epochs)
         for parent, children in below.items():
-            granted |= shares({p: x for p, x in children.items() if x[0] > 0}, granted.get(parent, 0))
+            granted |= shares(children, granted.get(parent, 0))
     out = []
     for leaf in total:
         own = [(d, t) for d, place, t in rows if place == leaf]
@@ -93,3 +94,18 @@ def test_odd_rows(spark):
     result = mixing.mix(docs, {"out": 0}, epochs=3)
     assert got(result) == plain(plain_rows, {"out": 0}, sum(t for *_, t in plain_rows), 3)
     assert mixing.mix(docs.where("false"), {}).count() == 0
+
+
+def test_nothing_is_granted_for_what_is_left_out(spark):
+    """Web has 100 live tokens and 900 that weigh nothing; forum makes up for what web lacks."""
+    leaves = {"web/en": 100, "web/de": 900, "forum/en": 1_000}
+    rows = [(i, *place.split("/"), "s", 10) for i, place in enumerate(p for p, n in leaves.items() for _ in range(n // 10))]
+    docs = spark.createDataFrame(rows, "doc_id long, domain string, lang string, source string, tokens long")
+    weights = {"web/de": 0}
+    taken = mixing.mix(docs, weights, budget=F.lit(1_000), epochs=1)
+    by_leaf = {(r.domain, r.lang): r.n for r in taken.groupBy("domain", "lang").agg(F.sum(F.expr("tokens * copies")).alias("n")).collect()}
+    assert by_leaf == {("web", "en"): 100, ("web", "de"): 0, ("forum", "en"): 900}
+    plain_rows = [(i, (d, lang, s), t) for i, d, lang, s, t in rows]
+    assert got(taken) == plain(plain_rows, weights, 1_000, 1)
+    for left_out in ({"web": 0}, {"*/de": 0, "forum": 3}, {"web/de/s": 0}, {"*/s": 0}):
+        assert got(mixing.mix(docs, left_out, budget=F.lit(1_500), epochs=1)) == plain(plain_rows, left_out, 1_500, 1)

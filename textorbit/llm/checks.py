@@ -83,7 +83,8 @@ WITH docs AS (
     (strlen(coalesce(text, '')) + 3) // 4 AS tokens
   FROM documents
 ), leaves AS (
-  SELECT domain, lang, source, sum(tokens)::HUGEINT AS total, 2 * sum(tokens)::HUGEINT AS capacity,
+  SELECT domain, lang, source, sum(tokens)::HUGEINT AS total,
+    sum(CASE WHEN domain = 'books' AND lang = 'fr' THEN 0 ELSE 2 * tokens END)::HUGEINT AS capacity,
     CASE WHEN domain = 'web' AND lang = 'en' AND source = 'src0' THEN 3 ELSE 1 END AS weight
   FROM docs GROUP BY ALL
 ), domains AS (

@@ -52,11 +52,14 @@ def leaf_budgets(leaves: DataFrame, levels: Sequence[str], weights: dict[str, in
     leaves can give, so what a leaf lacks is made up by its siblings first, and only what
     they can't give by the siblings of its ancestors.
     """
+    # What lies below a weight of 0 has nothing to give, so its ancestors don't count it.
+    for depth in range(len(levels)):
+        leaves = leaves.where(_weight(levels[: depth + 1], weights) > 0)
     rows = leaves.withColumn("budget", F.lit(budget).cast("long"))
     for depth, name in enumerate(levels):
         parents, path = list(levels[:depth]), list(levels[: depth + 1])
         nodes = rows.groupBy(*path).agg(F.sum("capacity").alias("capacity"), F.first("budget").alias("budget"))
-        nodes = nodes.withColumn("weight", _weight(path, weights)).where("weight > 0")
+        nodes = nodes.withColumn("weight", _weight(path, weights))
         granted = share_budget(nodes, parents, name).select(*path, "granted")
         rows = rows.join(granted, path).drop("budget").withColumnRenamed("granted", "budget")
     return rows
@@ -76,7 +79,8 @@ def mix(
     """How often each document is taken so that token weights follow the tree.
 
     ``weights`` holds whole numbers by path ("web", "web/en", "web/en/src3") or by name on
-    any path ("*/en"); other nodes weigh 1, and a weight of 0 leaves a node out.  The root
+    any path ("*/en"); other nodes weigh 1, and a weight of 0 leaves out a node and all below it,
+    whose tokens are no reason to grant its parents more.  The root
     gets as many tokens as the aggregate ``budget`` over the leaves' ``total`` says (default:
     all), and a leaf gives at most ``epochs`` times what it has.  A leaf takes all its documents as many times as its budget holds them, then, in the next
     epoch's order (seed, epoch and id hashed), the longest prefix within the rest.
