@@ -50,3 +50,18 @@ def test_forgetting_changes_nothing(library, monkeypatch):
 
 def test_empty_table(no_docs):
     assert tokens.token_counts(no_docs, PATH).count() == 0
+
+
+def test_memory_is_bounded_by_characters(monkeypatch):
+    """Texts without spaces are long pre-tokens, which are never remembered; short ones are, up to a size."""
+    monkeypatch.setattr(tokens, "REMEMBERED", 50_000)
+    tokens._memory.cache_clear()
+    path = PATH
+    whole = sentencepiece.SentencePieceProcessor(model_file=path)
+    for k in range(30):
+        column = [chr(0x4E00 + (7 * k + i) % 900) * 5 + "\u6f22\u5b57\u3042" * 700 + str(i) for i in range(5)]
+        column += [" ".join(f"w{k}x{j}" for j in range(80)), "a b " + "long" * 40 + " a b"]
+        assert tokens.count_tokens(column, path) == [len(whole.encode(t)) for t in column]
+        memory = tokens._memory(path)
+        assert memory.size == sum(map(len, memory)) + tokens.ENTRY * len(memory)
+        assert memory.size < 50_000 + 100 * 120 and max(map(len, memory)) <= tokens.WORD

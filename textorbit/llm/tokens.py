@@ -22,8 +22,12 @@ from pyspark.sql import functions as F
 from textorbit.llm.arrow import texts
 
 SPACE = "▁"
-#: Counts of this many pre-tokens are remembered by a worker; then it starts afresh.
-REMEMBERED = 600_000
+#: Counts of pre-tokens are remembered by a worker until those have so many characters, each with
+#: ``ENTRY`` more for its place in the table; then it starts afresh.  Longer ones than ``WORD`` are
+#: never remembered: a text without spaces is one.
+REMEMBERED = 60_000_000
+ENTRY = 100
+WORD = 64
 #: So many characters are merged at a time, and texts counted together.
 CHARACTERS = 1_000_000
 _NONE = np.int32(np.iinfo(np.int32).max)
@@ -168,9 +172,25 @@ def load(path: str) -> PairModel:
     return PairModel(path)
 
 
+class Memory(dict):
+    """Counts by pre-token, and what they take."""
+
+    size = 0
+
+    def learn(self, counts: dict[str, int]) -> None:
+        short = {u: n for u, n in counts.items() if len(u) <= WORD}
+        self.update(short)
+        self.size += sum(map(len, short)) + ENTRY * len(short)
+
+    def make_room(self) -> None:
+        if self.size > REMEMBERED:
+            self.clear()
+            self.size = 0
+
+
 @lru_cache(maxsize=4)
-def _memory(path: str) -> dict[str, int]:
-    return {}
+def _memory(path: str) -> Memory:
+    return Memory()
 
 
 def units(text: str) -> list[str]:
@@ -211,13 +231,19 @@ def count_tokens(column: list[str], path: str) -> list[int]:
     out: list[int] = []
     for part in _slices(column):
         cut = [units(t) for t in part]
-        if len(memory) > REMEMBERED:
-            memory.clear()
-        new = list(set().union(*cut).difference(memory))
+        memory.make_room()
+        distinct = set().union(*cut)
+        new = list(distinct.difference(memory))
+        found = {}
         for some in _slices(new):
             whole = [SPACE + u.replace(" ", SPACE) for u in some]
-            memory.update(zip(some, model.counts(whole).tolist(), strict=True))
-        out += [sum(map(memory.__getitem__, u)) for u in cut]
+            found.update(zip(some, model.counts(whole).tolist(), strict=True))
+        memory.learn(found)
+        if any(len(u) > WORD for u in new):
+            here = {u: memory[u] for u in distinct if u in memory} | found
+            out += [sum(map(here.__getitem__, u)) for u in cut]
+        else:
+            out += [sum(map(memory.__getitem__, u)) for u in cut]
     return out
 
 
