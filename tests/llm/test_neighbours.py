@@ -70,3 +70,19 @@ def test_walk_is_in_order_and_stops():
     sums = [left[i] + right[j] for i, j in cells]
     assert sums == sorted(sums) and len(cells) == (counts > 0).sum()
     assert sum(counts[c] for c in neighbours.walk(left, right, counts, 4)) in (4, 5)
+
+
+@pytest.mark.parametrize("block", [neighbours.BLOCK, 5])
+def test_an_id_on_two_vectors_asks_with_both(spark, monkeypatch, block):
+    monkeypatch.setattr(neighbours, "BLOCK", block)
+    rng = np.random.default_rng(8)
+    rows = [(i, rng.normal(size=4).tolist()) for i in range(1, 60)] + [(0, [9.0, 9.0, 9.0, 9.0]), (0, [-9.0, -9.0, -9.0, -9.0])]
+    rows += [(70, [9.0, 9.0, 9.0, 8.9]), (71, [-9.0, -9.0, -9.0, -8.8])] * 2
+    for turn in (rows, rows[::-1]):
+        table = spark.createDataFrame(turn, "vec_id long, embedding array<double>").repartition(3)
+        hits = by_query(neighbours.search(table, table.where("vec_id = 0"), k=60, share=1.0))[0]
+        assert [i for i, _ in hits[:2]] == [70, 71]
+        assert [s for _, s in hits[:2]] == pytest.approx([0.1, 0.2])
+        far = {i: min(np.linalg.norm(np.array(v) - np.array(w)) for j, w in rows if j == 0) for i, v in rows if i}
+        assert [i for i, _ in hits] == sorted(far, key=lambda i: (far[i], i))[:60]
+        assert [s for _, s in hits] == pytest.approx(sorted(far.values())[:60])

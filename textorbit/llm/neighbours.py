@@ -25,9 +25,8 @@ ROUNDS = 12
 #: Part of all vectors that a query is compared with.  Where vectors show no clusters,
 #: as in random directions, fewer lose neighbours; where they do, a few hundredths will do.
 SHARE = 0.6
-#: Vectors of a block, and queries of a chunk, that one task compares.
+#: Vectors of a block, which one task holds while the queries are read past it.
 BLOCK = 16_384
-CHUNK = 2_048
 
 
 def _squares(points: np.ndarray, centres: np.ndarray) -> np.ndarray:
@@ -69,6 +68,25 @@ def _vectors(column: pa.Array, width: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), "<f8").reshape(-1, width)
 
 
+def _runs(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of rows with equal keys."""
+    new = np.ones(len(keys[0]), bool)
+    new[1:] = np.any([k[1:] != k[:-1] for k in keys], axis=0)
+    starts = np.flatnonzero(new)
+    return starts, np.append(starts[1:], len(new))
+
+
+def _best(ids: np.ndarray, other: np.ndarray, vectors: np.ndarray, q: int, others: list[int], point: np.ndarray, k: int):
+    """Ids and distances of the ``k`` nearest vectors of a block in the wanted cells, each id once."""
+    mine = np.flatnonzero(np.isin(other, others) & (ids != q))
+    gap = vectors[mine] - point
+    score = np.sqrt(np.einsum("ij,ij->i", gap, gap))
+    order = np.lexsort((ids[mine], score))
+    _, first = np.unique(ids[mine][order], return_index=True)
+    order = order[np.sort(first)[:k]]
+    return ids[mine][order], score[order]
+
+
 def _usable(rows: DataFrame, vec_id: str, embedding: str) -> DataFrame:
     vector = F.col(embedding).cast("array<double>")
     odd = F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
@@ -91,16 +109,18 @@ def search(
     Returns ``query_id``, ``rank`` (from 1), ``vec_id`` and ``score``, nearest first and equal
     ones by id.  A row with the query's own id is no answer.  Vectors that are null, zero,
     or hold null or non-finite components, and rows without an id, take no part; rows
-    that repeat an id count once, with their nearest vector.  Vectors of two widths are an
+    that repeat an id count once, with their nearest vector, and a query id on several vectors
+    asks with each of them: the least distance to any counts.  Vectors of two widths are an
     error.  Other columns don't matter; no queries or no vectors give no row.
 
     Every vector is indexed.  Centroids come from a bounded sample; the counts of cells
     (codes x codes) and the centroids go to the tasks.  A block of vectors holds part of
-    the cells of one left centroid, split by hash where it has many; queries are dealt to
-    the blocks they walk through, in chunks.  Each query and block give at most ``k`` rows.
+    the cells of one left centroid, split by hash where it has many.  A vector is shuffled
+    once, to its block, which one task holds; each query is sent to the blocks it walks
+    through and read past them.  Each query and block give at most ``k`` rows.
     """
     rows = _usable(index, vec_id, embedding)
-    asked = _usable(queries, vec_id, embedding).dropDuplicates(["vec_id"])
+    asked = _usable(queries, vec_id, embedding).distinct()
     widths = rows.agg(F.min(F.size("v")).alias("low"), F.max(F.size("v")).alias("high")).first()
     schema = "query_id long, rank int, vec_id long, score double"
     if widths.low is None:
@@ -131,7 +151,6 @@ def search(
         counts[r.cell, r.other] = r["count"]
     wanted = max(int(np.ceil(share * counts.sum())), k + 1)
     parts = [max(1, int(n) // BLOCK) for n in counts.sum(1)]
-    chunks = max(1, asked.count() // CHUNK)
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -150,33 +169,40 @@ def search(
                 yield pa.RecordBatch.from_arrays(columns, ["query_id", "cell", "part", "others", "q"])
 
     probes = asked.mapInArrow(probe, "query_id long, cell int, part int, others array<int>, q binary")
-    probes = probes.withColumn("chunk", F.pmod(F.xxhash64("query_id"), F.lit(chunks)).cast("int"))
     split = F.element_at(F.array(*[F.lit(p) for p in parts]), F.col("cell") + 1)
     blocks = placed.withColumn("part", F.pmod(F.xxhash64("vec_id"), split).cast("int"))
-    blocks = blocks.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
-
-    def compare(block: pa.Table, asked: pa.Table) -> pa.Table:
-        out = [[], [], []]
-        if block.num_rows and asked.num_rows:
-            ids, other = block.column("vec_id").to_numpy(), block.column("other").to_numpy()
-            vectors = _vectors(block.column("v"), width)
-            for q, others, data in zip(*(asked.column(c).to_pylist() for c in ("query_id", "others", "q")), strict=True):
-                mine = np.flatnonzero(np.isin(other, others) & (ids != q))
-                gap = vectors[mine] - np.frombuffer(data, "<f8")
-                score = np.sqrt(np.einsum("ij,ij->i", gap, gap))
-                order = np.lexsort((ids[mine], score))
-                _, first = np.unique(ids[mine][order], return_index=True)
-                order = order[np.sort(first)[:k]]
-                out[0].append(np.full(len(order), q))
-                out[1].append(ids[mine][order])
-                out[2].append(score[order])
-        columns = [np.concatenate(c) if c else np.empty(0) for c in out]
-        kinds = pa.int64(), pa.int64(), pa.float64()
-        return pa.table([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["query_id", "vec_id", "score"])
-
-    keys = ["cell", "part", "chunk"]
-    pairs = blocks.groupBy(*keys).cogroup(probes.groupBy(*keys))
-    best = pairs.applyInArrow(compare, "query_id long, vec_id long, score double")
+    none = F.lit(None).cast("array<int>").alias("others")
+    vectors = blocks.select("cell", "part", F.lit(0).alias("kind"), F.col("vec_id").alias("id"), "other", none, F.col("v").alias("data"))
+    queries = probes.select(
+        "cell", "part", F.lit(1).alias("kind"), F.col("query_id").alias("id"), F.lit(0).alias("other"), "others", F.col("q").alias("data")
+    )
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of rows sorted by block, the vectors of a block are gathered before its queries come."""
+        now, parts, held = None, [], None
+        for batch in batches:
+            out = []
+            cells, pieces, kinds, ids, other = (batch.column(c).to_numpy() for c in range(5))
+            for start, end in zip(*_runs(cells, pieces, kinds), strict=True):
+                some = batch.slice(start, end - start)
+                if (cells[start], pieces[start]) != now:
+                    now, parts, held = (cells[start], pieces[start]), [], None
+                if kinds[start] == 0:
+                    parts.append((ids[start:end], other[start:end], _vectors(some.column(6), width)))
+                    continue
+                if not parts:
+                    continue  # no vector in this block
+                held = held or [np.concatenate(c) for c in zip(*parts, strict=True)]
+                for q, others, point in zip(ids[start:end], some.column(5).to_pylist(), _vectors(some.column(6), width), strict=True):
+                    out.append((q, *_best(*held, q, others, point, k)))
+            if out:
+                counts = [len(x[1]) for x in out]
+                query = np.repeat(np.array([x[0] for x in out], np.int64), counts)
+                found = [np.concatenate([x[c] for x in out]) for c in (1, 2)]
+                yield pa.RecordBatch.from_arrays([pa.array(query), *map(pa.array, found)], ["query_id", "vec_id", "score"])
+
+    met = vectors.unionByName(queries).repartition("cell", "part").sortWithinPartitions("cell", "part", "kind")
+    best = met.mapInArrow(compare, "query_id long, vec_id long, score double")
     best = best.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
