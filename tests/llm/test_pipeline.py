@@ -1,6 +1,9 @@
 """All stages against plain Python, and the queries against their SQL."""
 
+import subprocess
+import sys
 from collections import Counter
+from pathlib import Path
 
 import pytest
 
@@ -15,6 +18,7 @@ from .test_neardup import plain_components
 from .test_quality import plain_kept
 
 SF = "/root/testdata/sf0.001"
+ROOT = Path(__file__).resolve().parents[2]
 
 
 @pytest.fixture(scope="module")
@@ -30,7 +34,7 @@ def test_query_equals_sql(spark, con, name):
 
 def test_every_operator_is_registered():
     names = list(entry.queries())
-    assert all(sum(n.startswith(f"op{i}_") for n in names) == 1 for i in range(1, 11))
+    assert all(sum(n.startswith(f"op{i}_") for n in names) == 1 for i in range(1, 14))
     assert "pipeline" in names
 
 
@@ -60,7 +64,7 @@ def test_stages_one_by_one(spark, documents, tmp_path):
     assert whole == {r.doc_id for r in pieces}
 
 
-@pytest.mark.parametrize("name", ["op2_packing", "op5_quality", "op6_token_counts", "op7_token_output"])
+@pytest.mark.parametrize("name", ["op2_packing", "op5_quality", "op6_token_counts", "op7_token_output", "op13_periodic_runs"])
 def test_query_without_sql_has_rows(spark, name):
     assert entry.queries()[name](spark, SF).count() > 0
 
@@ -112,3 +116,32 @@ def test_rows_without_ids_reach_the_windows(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, SF)
     assert {r.doc_id for r in docs.collect()} == {None, 4}
+
+
+def test_stages_keep_columns_named_like_their_own(spark):
+    rows = [(i, words_from(200 * i), "en", "src0") for i in range(4)] + [(9, words_from(0), "en", "src0")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    names = ["pipeline_row", "Mixed_Copies", "mixed_copy", "mixed_copies_", "tokens", "domain", "copies", "row"]
+    docs = docs.selectExpr("*", *[f"concat('{n}', doc_id) as {n}" for n in names])
+    for _, stage in corpus_pipeline.STAGES[1:-1]:
+        columns, docs = docs.columns, stage(spark, docs, SF)
+        assert docs.columns == columns
+    for r in docs.collect():
+        assert [r[n] for n in names] == [f"{n}{r.doc_id}" for n in names]
+    assert {r.doc_id for r in docs.collect()} == {0, 1, 2, 3}
+
+
+def test_near_dedup_at_another_similarity(spark):
+    """Of 96 shingles each, two documents share 88 (of 104 in all: 84.6 per cent)."""
+    rows = [(1, words_from(0)), (2, words_from(8)), (3, words_from(500))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = lambda **k: sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, SF, **k).collect())
+    assert kept() == [1, 2, 3]
+    assert kept(percent=80) == [1, 3]
+
+
+@pytest.mark.parametrize("missing", ["sentencepiece", "public_tokenizers", "corpus_pipeline", "textorbit.llm"])
+def test_the_rest_imports_without_this_part(missing):
+    code = f"import sys; sys.modules[{missing!r}] = None; import __spark_entry__ as e; print('embed' in e.queries(), 'pipeline' in e.queries())"
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=ROOT)
+    assert done.stdout.split() == ["True", "False"], done.stderr
