@@ -12,8 +12,14 @@ from textorbit.session import cut
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
-#: Stages decide by row; this column numbers the rows within a stage.
-ROW = "pipeline_row"
+
+
+def _free(docs: DataFrame, name: str) -> str:
+    """``name``, or one like it that no column of the documents has, in whatever case."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,34 +27,38 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.keep_quality(docs)
 
 
-def _numbered(docs: DataFrame) -> DataFrame:
-    """The rows with a number each, written once, so that every reader sees the same numbers."""
-    return cut(docs.withColumn(ROW, F.monotonically_increasing_id()))
+def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """The rows with a number each, and that column's name; written once, so that every reader sees the same.
+
+    Stages decide by row, whatever columns the documents have.
+    """
+    row = _free(docs, "pipeline_row")
+    return cut(docs.withColumn(row, F.monotonically_increasing_id())), row
 
 
-def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str, percent: int = neardup.PERCENT) -> DataFrame:
     """One row of each group of near duplicates, the one with the smallest id.
 
-    Links are those of op10_near_duplicates, from 85 per cent; copies less alike stay.  Each
+    Links are those of op10_near_duplicates, from ``percent`` per cent; copies less alike stay.  Each
     row is judged by its own text, whatever rows share its id.  A row without an id is linked
     like others and is kept if no row of its group has one.  Of rows equal in id and text one
     stays.  Texts without words have no links.
     """
-    rows = _numbered(docs)
-    found = neardup.near_duplicates(rows, doc_id=ROW).select(F.col("doc_id").alias(ROW), "component_id")
+    rows, row = _numbered(docs)
+    found = neardup.near_duplicates(rows, doc_id=row, percent=percent).select(F.col("doc_id").alias(row), "component_id")
     blank = ~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    known = rows.select(ROW, "doc_id", blank.alias("blank"), F.when(blank, F.md5("text")).alias("blank_md5"))
+    known = rows.select(row, "doc_id", blank.alias("blank"), F.when(blank, F.md5("text")).alias("blank_md5"))
     group = {
         "linked": F.when(~F.col("blank"), F.col("component_id")),
         "blank_id": F.when(F.col("blank"), F.col("doc_id")),
     }
-    judged = cut(known.join(found, ROW).withColumns(group).select(ROW, "doc_id", "blank_md5", *group))
+    judged = cut(known.join(found, row).withColumns(group).select(row, "doc_id", "blank_md5", *group))
     by = ["linked", "blank_id", "blank_md5"]
-    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", ROW))[ROW]
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", row))[row]
     many = judged.groupBy(*by).agg(first.alias("first"), F.count("*").alias("members")).where("members > 1")
     same = [judged[c].eqNullSafe(many[c]) for c in by]
-    dropped = judged.join(many, same).where(F.col(ROW) != F.col("first")).select(ROW)
-    return rows.join(dropped, ROW, "left_anti").select(docs.columns)
+    dropped = judged.join(many, same).where(F.col(row) != F.col("first")).select(row)
+    return rows.join(dropped, row, "left_anti").select(docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,10 +67,11 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A document that is taken twice has two rows.  Each row is taken by itself, also where
     rows share an id; rows without an id are ordered by their numbers.
     """
-    rows = _numbered(docs)
-    taken = mixing.mix(plans.with_leaves(rows, ROW), plans.TREE, row=ROW).where("copies > 0")
-    rows = rows.join(taken.select(ROW, F.col("copies").alias("mixed_copies")), ROW)
-    again = F.explode(F.sequence(F.lit(1), F.col("mixed_copies").cast("int"))).alias("mixed_copy")
+    rows, row = _numbered(docs)
+    copies, copy = _free(docs, "mixed_copies"), _free(docs, "mixed_copy")
+    taken = mixing.mix(plans.with_leaves(rows, row), plans.TREE, row=row).where("copies > 0")
+    rows = rows.join(taken.select(row, F.col("copies").alias(copies)), row)
+    again = F.explode(F.sequence(F.lit(1), F.col(copies).cast("int"))).alias(copy)
     return rows.select("*", again).select(docs.columns)
 
 
