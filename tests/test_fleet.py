@@ -292,6 +292,32 @@ def test_admit(spark):
     assert got == ["accepted", "duplicate_name", "port_conflict", "accepted", "capacity"]
 
 
+def test_a_chain_of_requests_takes_few_rounds(spark, monkeypatch):
+    """Each request shares its name or its port with the one before."""
+    rows = [(0, n, f"n{(n + 1) // 2}", n // 2) for n in range(1_000)]
+    rounds = []
+    settled = fleet._settled
+    monkeypatch.setattr(fleet, "_settled", lambda *args: rounds.append(1) or settled(*args))
+    got = fleet.admit(spark.createDataFrame(rows, "fleet long, seq long, name string, port int")).collect()
+    assert {r["seq"]: r["verdict"] == "accepted" for r in got} == {n: n % 2 == 0 for n in range(1_000)}
+    assert len(rounds) <= 2
+
+
+@pytest.mark.parametrize("step", [1, 3, 7, 50])
+def test_chunks_put_together_replay_as_one(spark, step):
+    """Every start, rule and number of failures, cut into chunks of few checks."""
+    rng = random.Random(step)
+    for rules in ((1, True), (3, True), (5, True), (2, False)):
+        rows = []
+        for i in range(24):
+            start, failures, luck = rng.choice(["starting", "running", "stopped", "failed"]), rng.randrange(7), rng.random()
+            rows += [(i, n, rng.random() < luck / 2, rng.random() < 0.5, start, failures) for n in sorted(rng.sample(range(60), 40))]
+        got = replay(spark, rows, step=step, max_failures=rules[0], auto_restart=rules[1])
+        for i in range(24):
+            want = fold([r for r in rows if r[0] == i], *rules)
+            assert [(n, f, s) for n, *_, f, s in got[i]] == [(n, f, s) for n, *_, f, s in want]
+
+
 def test_admit_against_a_loop(spark):
     rng = random.Random(2)
     rows = [(rng.randrange(2), seq, f"n{rng.randrange(40)}", rng.randrange(30)) for seq in range(400)]

@@ -54,6 +54,23 @@ def test_even_chunks_hold_few_rows_of_any_order(rows, monkeypatch, timed, keys):
         assert got[seq] == totals[name]
 
 
+@pytest.mark.parametrize("keys", [["k"], []])
+def test_bunched_values_are_cut_by_their_rows(spark, keys):
+    """A burst of values beside one far away, and many rows of one value."""
+    values = [*range(2_000), 10**15, *(10**9 + 7 * i for i in range(500))]
+    data = [("hot", v) for v in values] + [("few", v) for v in range(0, 10**12, 10**11)]
+    df = spark.createDataFrame(data, "k string, at long").repartition(4)
+    cut = scan.even_chunks(df, "at", keys, rows=100)
+    sizes = {tuple(r[c] for c in (*keys, scan.CHUNK)): r["count"] for r in cut.groupBy(*keys, scan.CHUNK).count().collect()}
+    assert max(sizes.values()) <= 200 and len(sizes) <= 2 * len(data) / 100 + 2
+    got = cut.groupBy(*keys, scan.CHUNK).agg(F.min("at").alias("a"), F.max("at").alias("b")).orderBy(*keys, scan.CHUNK).collect()
+    for one, two in zip(got, got[1:]):
+        assert one["b"] <= two["a"] or (keys and one["k"] != two["k"])
+    same = spark.createDataFrame([("hot", 5)] * 300 + [("hot", 6)] * 300 + [("hot", 7)], "k string, at long")
+    parts = scan.even_chunks(same, "at", keys, rows=100).groupBy(scan.CHUNK).agg(F.count_distinct("at"), F.count("*")).collect()
+    assert sorted(r[2] for r in parts) == [1, 300, 300]
+
+
 def test_positions_by_any_order(rows):
     data, df = rows
     got = {r["seq"]: r["position"] for r in scan.ranked(df, ["k"], [F.col("v"), F.col("seq")]).collect()}

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textorbit.functions.formats import micros
+from textorbit.operators.replay import Rules
 from textorbit.operators.scan import CHUNK, chunks, running
 from textorbit.session import cut
 
@@ -75,76 +76,52 @@ def health_reduce(
     ``max_failures`` on it triggers a restart, which leads to starting or to
     failed and keeps the counter.
 
-    Between two successes the counter only depends on the position, until a
-    restart succeeds and the rest is ignored.  So three segmented scans replace
-    a per-instance loop, and an instance with most of the rows is spread out.
+    A chunk of an instance's checks acts on the state before it like a small table: what
+    becomes of ``starting``, and of any other status for each number of failures that are
+    missing to a restart.  Such tables can be put together, so an instance of many chunks
+    is summed up chunk by chunk first, and then all chunks are replayed at once, each from
+    its own first state.  An instance of one chunk is replayed in one pass.
     """
-    good = F.col("healthy")
-    zero = F.lit(0).cast("long")
-    fail = F.when(good, zero).otherwise(F.lit(1).cast("long"))
-    first = chunks(checks, seq, [instance], step)
-    counted = cut(
-        running(
-            first,
-            [instance],
-            [seq],
-            sums={"_successes": F.when(good, F.lit(1)).otherwise(0)},
-            since={"_nth": (good, fail)},
-        ).withColumn("_opening", F.col("_successes") == 0)
-    )
-    # Before the first success the given state counts on.
-    nth = F.col("_nth") + F.when(F.col("_opening"), F.col("start_failures")).otherwise(0)
-    idle = F.col("_opening") & (F.col("start_status") == "starting")
-    due = ~good & ~idle & F.lit(auto_restart) & (nth >= max_failures)
-    revived = cut(
-        running(
-            counted.withColumns({"_count": nth, "_due": due, "_idle": idle}),
-            [instance],
-            [seq],
-            since={
-                "_revivals": (good, F.when(due & F.col("restart_ok"), F.lit(1)).otherwise(F.lit(0)))
-            },
+    if max_failures < 1:
+        raise ValueError("max_failures must be 1 or more")
+    rules = Rules(max_failures, auto_restart)
+    rows = chunks(
+        checks.select(instance, seq, "healthy", "restart_ok", "start_status", F.col("start_failures").cast("long")),
+        seq, [instance], step,
+    )
+    rows = rows.select(instance, CHUNK, seq, "healthy", "restart_ok", "start_status", "start_failures")
+    kind = {c: checks.schema[c].dataType.simpleString() for c in (instance, seq)}
+    here = f"`{instance}` {kind[instance]}, {CHUNK} long"
+
+    def sorted_by_chunk(df: DataFrame) -> DataFrame:
+        return df.repartition(instance, CHUNK).sortWithinPartitions(instance, CHUNK, seq)
+
+    spans = rows.groupBy(instance).agg(F.min(CHUNK).alias("_first"), F.max(CHUNK).alias("_last")).filter("_first < _last")
+    several = cut(spans.select(instance))
+    begin = None
+    if not several.isEmpty():
+        split = sorted_by_chunk(rows.join(several, instance, "left_semi"))
+        summed = split.mapInArrow(
+            rules.summarise, f"{here}, start_status string, start_failures long, ends string, last_ok {kind[seq]}"
         )
-    )
-    this = F.when(F.col("_due") & F.col("restart_ok"), 1).otherwise(0)
-    ignored = ~good & (F.col("_idle") | (F.col("_revivals") - this > 0))
-    triggered = F.col("_due") & ~ignored
-    flagged = revived.withColumns(
-        {
-            "check_failed": ~good & ~ignored,
-            "restarted": triggered & F.col("restart_ok"),
-            "restart_failed": triggered & ~F.col("restart_ok"),
-        }
-    )
-    setter = F.when(F.col("restarted"), "starting").when(F.col("restart_failed"), "failed")
-    marked = running(
-        flagged,
-        [instance],
-        [seq],
-        lasts={
-            "_restart": setter,
-            "_restart_seq": F.when(setter.isNotNull(), F.col(seq)),
-            "_good_seq": F.when(good, F.col(seq)),
-            "_counted": F.when(F.col("check_failed"), F.col("_count")).when(good, zero),
-        },
-    )
-    # starting ends at the first success after it; failed and the others stay.
-    last_set = F.coalesce("_restart", "start_status")
-    passed = F.col("_good_seq").isNotNull() & (
-        F.col("_restart_seq").isNull() | (F.col("_good_seq") > F.col("_restart_seq"))
-    )
-    status = F.when((last_set == "starting") & passed, F.lit("running")).otherwise(last_set)
-    final = marked.withColumns(
-        {
-            "status": status,
-            "failures": F.coalesce("_counted", "start_failures").cast("long"),
-            "last_ok_seq": F.col("_good_seq"),
-        }
-    )
-    return final.select(
-        instance, seq, "healthy", "check_failed", "restarted", "restart_failed",
-        "failures", "status", "last_ok_seq",
+        begin = summed.groupBy(instance).applyInPandas(
+            rules.compose(instance, CHUNK), f"{here}, _status string, _failures long, _ok {kind[seq]}"
+        )
+    if begin is None:
+        none = F.lit(None)
+        started = rows.withColumns({"_status": none.cast("string"), "_failures": none.cast("long"), "_ok": none.cast(kind[seq])})
+    else:
+        started = rows.join(cut(begin), [instance, CHUNK], "left")
+    started = started.select(
+        instance, CHUNK, seq, "healthy", "restart_ok",
+        F.coalesce("_status", "start_status").alias("start_status"),
+        F.coalesce("_failures", "start_failures").alias("start_failures"), "_ok",
     )
+    return sorted_by_chunk(started).mapInArrow(
+        rules.replay,
+        f"`{instance}` {kind[instance]}, `{seq}` {kind[seq]}, healthy boolean, check_failed boolean, restarted boolean,"
+        f" restart_failed boolean, failures long, status string, last_ok_seq {kind[seq]}",
+    )
 
 
 def health_events(reduced: DataFrame, instance: str = "instance", seq: str = "seq") -> DataFrame:
@@ -304,25 +281,21 @@ def admit(
 
     A request that is the earliest candidate for both its name and its port is
     certainly accepted (as long as the fleet has room), and takes the other
-    candidates for that name or port out.  Rounds of this reach the sequential
-    result; a fleet's requests are never folded in one task.  Only the first
-    request of each (name, port) can be accepted.
+    candidates for that name or port out.  One with a single earlier rival is accepted if
+    that is not, so along a chain of rivals verdicts alternate, and a chain is settled
+    by doubling the distance to its head.  Rounds of this reach the sequential result;
+    a fleet's requests are never folded in one task.  Only the first request of each
+    (name, port) can be accepted.
     """
     keys = [fleet, "name", "port"]
     left = cut(requests.groupBy(*keys).agg(F.min(seq).alias(seq)))
     accepted = None
     while not left.isEmpty():
-        by_name = left.groupBy(fleet, "name").agg(F.min(seq).alias("_n"))
-        by_port = left.groupBy(fleet, "port").agg(F.min(seq).alias("_p"))
-        marked = left.join(by_name, [fleet, "name"]).join(by_port, [fleet, "port"])
-        won = cut(marked.filter((F.col(seq) == F.col("_n")) & (F.col(seq) == F.col("_p"))).select(*keys, seq))
+        won = cut(_settled(left, keys, seq))
         accepted = won if accepted is None else accepted.unionByName(won)
         # Later requests for a won name or port are out; earlier ones stay candidates.
-        names = won.select(fleet, "name", F.col(seq).alias("_wn"))
-        ports = won.select(fleet, "port", F.col(seq).alias("_wp"))
-        left = cut(
-            left.join(names, [fleet, "name"], "left_anti").join(ports, [fleet, "port"], "left_anti")
-        )
+        names, ports = won.select(fleet, "name"), won.select(fleet, "port")
+        left = cut(left.join(names, [fleet, "name"], "left_anti").join(ports, [fleet, "port"], "left_anti"))
     if accepted is None:
         return requests.withColumn("verdict", F.lit(None).cast("string"))
     if max_instances is not None:
@@ -346,6 +319,37 @@ def admit(
     return joined.select(*requests.columns, verdict.alias("verdict"))
 
 
+def _settled(left: DataFrame, keys: list[str], seq: str) -> DataFrame:
+    """Accepted ones of the candidates at the head of a chain of single rivals, or on it."""
+    fleet = keys[0]
+    marked = left
+    for column, first in (("name", "_n1"), ("port", "_p1")):
+        marked = marked.join(left.groupBy(fleet, column).agg(F.min(seq).alias(first)), [fleet, column])
+    marked = cut(marked)
+    rivals = marked
+    for column, first, second in (("name", "_n1", "_n2"), ("port", "_p1", "_p2")):
+        later = marked.filter(F.col(seq) > F.col(first)).groupBy(fleet, column).agg(F.min(seq).alias(second))
+        rivals = rivals.join(later, [fleet, column], "left")
+    at = F.col(seq)
+    first_name, first_port = at == F.col("_n1"), at == F.col("_p1")
+    up = (
+        F.when(first_name & first_port, at)
+        .when((at == F.col("_n2")) & first_port, F.col("_n1"))
+        .when(first_name & (at == F.col("_p2")), F.col("_p1"))
+    )
+    # Requests with more rivals, and those behind them, wait for the next round.
+    chain = rivals.select(*keys, seq, up.alias("_up"), (up != at).cast("int").alias("_odd")).filter(F.col("_up").isNotNull())
+    moving = True
+    while moving:
+        chain = cut(chain)
+        ahead = chain.select(fleet, F.col(seq).alias("_up"), F.col("_up").alias("_next"), F.col("_odd").alias("_more"))
+        step = chain.join(ahead, [fleet, "_up"])
+        moving = not step.filter(F.col("_next") != F.col("_up")).isEmpty()
+        odd = (F.col("_odd") + F.col("_more")) % 2
+        chain = step.select(*keys, seq, F.col("_next").alias("_up"), odd.alias("_odd"))
+    return chain.filter(F.col("_odd") == 0).select(*keys, seq)
+
+
 def _first_per_fleet(accepted: DataFrame, n: int, fleet: str, seq: str) -> DataFrame:
     """The first ``n`` accepted rows of each fleet, ports bound a fleet to 65,536 rows."""
     place = F.row_number().over(Window.partitionBy(fleet).orderBy(seq))

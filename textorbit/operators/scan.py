@@ -11,8 +11,8 @@ where ``chunk`` cuts the order of a key into bounded pieces:
    partitioning the rows already have.
 
 Keys and orders must not be null.  Chunks are ranges of a known step of the order
-column (``step_chunks``: no extra job), ranges as wide as each key's own rows need
-(``even_chunks``: one aggregation, any integer or time order), or pieces of a range
+column (``step_chunks``: no extra job), ranges with about as many rows each
+(``even_chunks``: one aggregation, and a few where keys are hot; any integer or time order), or pieces of a range
 partitioning (``range_chunks``: any order).
 """
 
@@ -29,6 +29,8 @@ from textorbit.session import cut
 CHUNK = "_chunk"
 #: Rows of one key that a chunk should hold.
 CHUNK_ROWS = 1 << 20
+#: Cells into which a range of too many rows is cut to count them.
+CELLS = 256
 
 
 def step_chunks(df: DataFrame, column: str, step: int = 1 << 20) -> DataFrame:
@@ -37,21 +39,57 @@ def step_chunks(df: DataFrame, column: str, step: int = 1 << 20) -> DataFrame:
 
 
 def even_chunks(df: DataFrame, column: str, keys: Sequence[str] = (), rows: int | None = None) -> DataFrame:
-    """Cut an integer or time order into ranges with about ``rows`` rows of a key each.
+    """Cut an integer or time order into ranges with at most twice ``rows`` rows of a key each.
 
-    The width of a key's ranges comes from its own first and last value and its
-    number of rows, so it holds for dense numbers and for microseconds alike; where the
-    values of a key bunch up, a range holds more.  Few rows make one chunk.
+    A key of no more than ``rows`` rows is one chunk.  The range of another is cut into ``CELLS``
+    equal cells whose rows are counted; a cell that holds too many is cut and counted again, so
+    bunched values are looked at as finely as they need.  Cells in order, ``rows`` rows
+    together, make a chunk.  Only rows of equal order are never parted.
     """
+    most, names = rows or CHUNK_ROWS, list(keys)
     timed = df.schema[column].dataType.typeName().startswith("timestamp")
     at = micros(column) if timed else F.col(column).cast("long")
-    spans = df.groupBy(*keys).agg(F.min(at).alias("_low"), F.max(at).alias("_high"), F.count("*").alias("_rows"))
-    pieces = F.ceil(F.col("_rows") / (rows or CHUNK_ROWS))
-    width = F.greatest(F.lit(1), F.ceil((F.col("_high") - F.col("_low") + 1) / pieces)).cast("long")
-    spans = spans.select(*keys, "_low", width.alias("_width"))
-    joined = df.join(spans, list(keys)) if keys else df.join(F.broadcast(spans))  # without a key, one row
-    chunked = joined.withColumns({"_at": at - F.col("_low")}).withColumn(CHUNK, F.expr("_at div _width"))
-    return chunked.select(*[F.col(f"`{c}`") for c in df.columns], CHUNK)
+    spans = df.groupBy(*names).agg(F.min(at).alias("_low"), F.max(at).alias("_high"), F.count("*").alias("_rows"))
+    hot = cut(spans.filter(F.col("_rows") > most).select(*names, "_low", (F.col("_high") - F.col("_low") + 1).alias("_w0")))
+    kept = [F.col(f"`{c}`") for c in df.columns]
+    if hot.isEmpty():
+        return df.withColumn(CHUNK, F.lit(0).cast("long"))
+
+    def placed(how: str) -> DataFrame:
+        """Rows with the place ``_r0`` in their key's range."""
+        known = df.join(hot, names, how) if names else df.crossJoin(F.broadcast(hot))  # without a key, one row
+        return known.withColumn("_r0", at - F.col("_low"))
+
+    def cells(level: int, rows: DataFrame) -> DataFrame:
+        """Width ``_w``, start ``_s`` and place within, ``_r``, of a row's cell at a level."""
+        w, r = f"_w{level - 1}", f"_r{level - 1}"
+        rows = rows.withColumn(f"_w{level}", F.expr(f"({w} + {CELLS - 1}) div {CELLS}"))
+        rows = rows.withColumn(f"_r{level}", F.expr(f"{r} % _w{level}"))
+        return rows.withColumn(f"_s{level}", F.expr(f"_r0 - _r{level}"))
+
+    counted, inside, level, fine = [], placed("inner"), 1, False
+    while not fine:
+        inside = cells(level, inside)
+        found = inside.groupBy(*names, f"_s{level}").agg(F.count("*").alias("_n"), F.first(f"_w{level}").alias("_w"))
+        found = cut(found.withColumn("_more", (F.col("_n") > most) & (F.col("_w") > 1)))
+        counted.append(found.filter(~F.col("_more")).select(*names, F.col(f"_s{level}").alias("_s"), "_n", F.lit(level).alias("_level")))
+        wide = found.filter("_more").select(*names, f"_s{level}")
+        fine = wide.isEmpty()
+        if not fine:
+            inside = inside.join(wide, [*names, f"_s{level}"], "left_semi")
+            level += 1
+    leaves = counted[0]
+    for more in counted[1:]:
+        leaves = leaves.unionByName(more)
+    before = Window.partitionBy(*names).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
+    leaves = leaves.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    leaves = cut(leaves.withColumn(CHUNK, F.expr(f"_before div {most}")).select(*names, "_s", "_level", CHUNK))
+    out = placed("left")
+    for n in range(1, level + 1):
+        own = leaves.filter(F.col("_level") == n).select(*names, F.col("_s").alias(f"_s{n}"), F.col(CHUNK).alias(f"_c{n}"))
+        out = cells(n, out).join(own, [*names, f"_s{n}"], "left")
+    chunk = F.coalesce(*[F.col(f"_c{n}") for n in range(1, level + 1)], F.lit(0))
+    return out.select(*kept, chunk.cast("long").alias(CHUNK))
 
 
 def chunks(df: DataFrame, column: str, keys: Sequence[str], step: int | None) -> DataFrame:

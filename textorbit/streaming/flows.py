@@ -19,6 +19,7 @@ from pyspark.sql.streaming import StreamingQuery
 from textorbit.functions.formats import micros
 from textorbit.operators import encode
 from textorbit.operators.metrics import LABELS, failure_rate, series
+from textorbit.operators.replay import Rules
 from textorbit.session import fresh_dir, passing_cuts, remove
 from textorbit.streaming import state
 
@@ -107,7 +108,7 @@ def health_monitor(
     """
     start = initial_status if initial_status is not None else F.lit("stopped")
     rows = checks.select("instance", "seq", "healthy", "restart_ok", start.alias("start_status"))
-    replay = state.health("instance", max_failures, auto_restart)
+    replay = state.health("instance", Rules(max_failures, auto_restart))
     schema = f"{_field(checks, 'instance')}, {state.HEALTH_OUT}"
     return _write_batches(_stepped(rows, "instance", replay, schema, state.HEALTH), root, trigger)
 

@@ -12,6 +12,8 @@ from typing import Any
 
 import pandas as pd
 
+from textorbit.operators.replay import Rules
+
 Step = Callable[[Any, Iterator[pd.DataFrame], Any], Iterator[pd.DataFrame]]
 
 HEALTH = "status string, failures long, last_ok_seq long, seq long"
@@ -33,7 +35,7 @@ def _ordered(frames: Iterator[pd.DataFrame], by: list[str]) -> pd.DataFrame:
     return rows.sort_values(by, kind="stable", ignore_index=True)
 
 
-def health(instance: str, max_failures: int, auto_restart: bool) -> Step:
+def health(instance: str, rules: Rules) -> Step:
     """Replays health checks (instance, seq, healthy, restart_ok, start_status) from the last one's state.
 
     A check whose number isn't above the last one's is late: it is given out with ``late`` and
@@ -47,19 +49,11 @@ def health(instance: str, max_failures: int, auto_restart: bool) -> Step:
         status, failures, last_ok, last = known
         out = []
         for seq, healthy, restart_ok in zip(rows["seq"].tolist(), rows["healthy"], rows["restart_ok"], strict=True):
-            failed = restarted = restart_failed = False
-            late = last is not None and seq <= last
+            event, late = 0, last is not None and seq <= last
             if not late:
-                last = seq
-                if healthy:
-                    failures, last_ok = 0, seq
-                    status = "running" if status == "starting" else status
-                elif status != "starting":
-                    failed, failures = True, failures + 1
-                    if auto_restart and failures >= max_failures:
-                        restarted, restart_failed = bool(restart_ok), not restart_ok
-                        status = "starting" if restarted else "failed"
-            out.append((seq, healthy, failed, restarted, restart_failed, failures, status, last_ok, late))
+                last, last_ok = seq, seq if healthy else last_ok
+                status, failures, event = rules.after(status, failures, bool(healthy), bool(restart_ok))
+            out.append((seq, healthy, event > 0, event == 2, event == 3, failures, status, last_ok, late))
         state.update((status, failures, last_ok, last))
         yield _frame(key, instance, out, columns)
 
