@@ -267,6 +267,21 @@ def test_top_k_sent_and_in_blocks(spark, query_bytes, monkeypatch):
         assert [got[(i, r + 1)][0] for r in range(4)] == order
 
 
+@pytest.mark.parametrize("pivots, block", [(1, 10_000), (20, 30), (256, 7)])
+def test_top_k_of_all_rows_among_clusters(spark, monkeypatch, pivots, block):
+    """Cells that are skipped hold nothing; rows of clusters, copies, zeros and nulls among them."""
+    monkeypatch.setattr(retrieval, "PIVOTS", pivots)
+    monkeypatch.setattr(retrieval, "BLOCK_ROWS", block)
+    rng = np.random.default_rng(4)
+    centres = vectors(12, seed=5)
+    v = np.vstack([centres[rng.integers(0, 12, 240)] + rng.normal(scale=0.05, size=(240, 8)), np.zeros((2, 8)), centres, centres]).astype(np.float32)
+    both = [frame(spark, v, n).unionByName(spark.createDataFrame([(999, None)], f"{n} long, embedding array<float>")) for n in ("query_id", "corpus_id")]
+    hits = [sorted(map(tuple, retrieval.top_k(*both, 5, 8, query_bytes=size).collect())) for size in (1 << 30, 1)]
+    assert hits[0] == hits[1] and len(hits[0]) == 5 * (len(v) - 2)
+    empty = both[1].filter("corpus_id = 999")
+    assert retrieval.top_k(both[0], empty, 5, 8, query_bytes=1).count() == 0
+
+
 def test_top_k_refuses_another_width_and_can_leave_out_itself(spark):
     v = vectors(20, seed=9)
     df = frame(spark, v, "query_id")

@@ -19,8 +19,10 @@ from textorbit.session import cut
 QUERY_BYTES = 16 << 20
 # Scores of queries x corpus rows that a task holds at once.
 TILE_CELLS = 4 << 20
-# Rows per block where a grid of blocks replaces the sent queries, and in J6.
+# Rows per block where blocks replace the sent queries, and in J6.
 BLOCK_ROWS = 4096
+# Cells of blocks that queries are sent to.
+PIVOTS = 256
 
 
 def check_width(df: DataFrame, col: str = "embedding") -> tuple[DataFrame, DataFrame]:
@@ -143,8 +145,8 @@ def top_k(
     (query_id, corpus_id, score, rank), ties by corpus id.  Each task keeps its
     own k best per query, so only k rows per query and task are shuffled, and
     scores a tile of fixed size at a time.  Queries are counted first: above
-    ``query_bytes`` they are not sent to the tasks; both sides are then cut into
-    blocks of bounded size and compared block by block.
+    ``query_bytes`` they are not sent to the tasks; corpus rows then lie in blocks of
+    bounded size, and each query is sent to the blocks that may hold one of its k best.
     """
     # Width is tested in the tasks: a filter here would be pushed below a
     # computed vector column and compute it a second time.
@@ -155,7 +157,7 @@ def top_k(
     if n_queries * 8 * dim <= query_bytes:
         partial = _top_k_sent(q.toArrow(), c, wanted, dim)
     else:
-        partial = _top_k_grid(q, c, n_queries, wanted, dim)
+        partial = _top_k_blocks(q, c, wanted, dim)
     if exclude_self:
         partial = partial.filter("qid != cid")
     best = Window.partitionBy("qid").orderBy(F.desc("score"), F.asc("cid"))
@@ -191,24 +193,106 @@ def _top_k_sent(queries: pa.Table, corpus: DataFrame, k: int, dim: int) -> DataF
     return corpus.mapInArrow(search, _HITS)
 
 
-def _top_k_grid(queries: DataFrame, corpus: DataFrame, n_queries: int, k: int, dim: int) -> DataFrame:
-    nq = -(-n_queries // BLOCK_ROWS)
-    nc = -(-corpus.count() // BLOCK_ROWS)
-    left = queries.withColumn("qb", F.pmod(F.xxhash64("qid"), F.lit(nq))).withColumn(
-        "cb", F.explode(F.sequence(F.lit(0), F.lit(max(nc - 1, 0))).cast("array<bigint>"))
-    )
-    right = corpus.withColumn("cb", F.pmod(F.xxhash64("cid"), F.lit(max(nc, 1)))).withColumn(
-        "qb", F.explode(F.sequence(F.lit(0), F.lit(max(nq - 1, 0))).cast("array<bigint>"))
-    )
+def _units(vectors: np.ndarray) -> np.ndarray:
+    norms = np.sqrt((vectors**2).sum(1, keepdims=True))
+    return np.divide(vectors, norms, out=np.zeros_like(vectors), where=norms > 0)
+
+
+def _angles(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(a @ b.T, -1, 1))
+
+
+def _past_blocks(blocks: DataFrame, asked: DataFrame, k: int, dim: int) -> DataFrame:
+    """The k best of each block for the queries (cell, part, id, vec) that were sent to it.
+
+    One task holds a block and reads its queries past it, in the batches that they come in.
+    """
+    keys = ["cell", "part", "kind"]
+    columns = [*keys, "id", "vec"]
+    both = blocks.withColumn("kind", F.lit(0)).select(columns).unionByName(asked.withColumn("kind", F.lit(1)).select(columns))
 
-    def block(qs: pa.Table, cs: pa.Table) -> pa.Table:
-        qs, cs = _present(qs, dim), _present(cs, dim)
-        if qs.num_rows == 0 or cs.num_rows == 0:
-            return pa.table({"qid": pa.array([], pa.int64()), "cid": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-        q, i, s = _best(_matrix(qs["vec"], dim), _matrix(cs["vec"], dim), cs["cid"].to_numpy(), k)
-        return pa.table({"qid": qs["qid"].to_numpy()[q], "cid": i, "score": s})
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, parts, held = None, [], None
+        for batch in batches:
+            marks = [batch.column(c).to_numpy() for c in range(3)]
+            starts = np.flatnonzero(np.append(True, np.any([m[1:] != m[:-1] for m in marks], axis=0)))
+            for start, end in zip(starts, np.append(starts[1:], batch.num_rows), strict=True):
+                some = batch.slice(start, end - start)
+                if (marks[0][start], marks[1][start]) != now:
+                    now, parts, held = (marks[0][start], marks[1][start]), [], None
+                ids, vectors = some.column(3).to_numpy(), _matrix(some.column(4), dim)
+                if marks[2][start] == 0:
+                    parts.append((ids, vectors))
+                elif parts:
+                    held = held or [np.concatenate(c) for c in zip(*parts, strict=True)]
+                    q, i, score = _best(vectors, held[1], held[0], k)
+                    yield pa.RecordBatch.from_pydict({"qid": ids[q], "cid": i, "score": score})
+
+    return both.repartition("cell", "part").sortWithinPartitions(*keys).mapInArrow(compare, _HITS)
+
+
+def _top_k_blocks(queries: DataFrame, corpus: DataFrame, k: int, dim: int) -> DataFrame:
+    """Top k through cells around pivots; a corpus row is shuffled to its block once a round.
+
+    A query is first compared with the cell of its nearest pivot.  Its k-th best score there
+    bounds what it still needs: by the triangle inequality of angles a cell whose pivot is farther
+    than its radius allows can't hold a better row, and the query isn't sent there.
+    """
+    spark = corpus.sparkSession
+    found = corpus.filter(F.col("vec").isNotNull()).orderBy(F.xxhash64("cid"), "cid").limit(PIVOTS).toArrow()
+    pivots = _units(_matrix(_present(found, dim)["vec"], dim)) if found.num_rows else np.empty((0, dim))
+    pivots = pivots[pivots.any(axis=1)]
+    if not len(pivots):
+        check = lambda batches: (_present(b, dim).slice(0, 0).select(["qid"]) for b in batches)
+        none = F.lit(None)
+        return queries.mapInArrow(check, "qid long").select("qid", none.cast("long").alias("cid"), none.cast("double").alias("score"))
+    kind = corpus.schema["vec"].dataType.simpleString()
 
-    return left.groupBy("qb", "cb").cogroup(right.groupBy("qb", "cb")).applyInArrow(block, _HITS)
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            batch = _present(batch, dim)
+            if batch.num_rows:
+                angles = _angles(_units(_matrix(batch["vec"], dim)), pivots)
+                cell = angles.argmin(1)
+                near = angles[np.arange(len(cell)), cell]
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell, pa.int32()), pa.array(near)], [*batch.schema.names, "cell", "angle"])
+
+    placed = cut(corpus.mapInArrow(place, f"cid long, vec {kind}, cell int, angle double"))
+    radius, parts = np.full(len(pivots), -1.0), [0] * len(pivots)
+    for row in placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("angle").alias("r")).collect():  # PIVOTS at most
+        radius[row.cell], parts[row.cell] = row.r, -(-row.n // BLOCK_ROWS)
+    lived = np.flatnonzero(radius >= 0)
+    split = lambda: F.element_at(F.array(*[F.lit(n) for n in parts]), F.col("cell") + 1)
+    blocks = placed.select("cell", F.pmod(F.xxhash64("cid"), split()).cast("int").alias("part"), F.col("cid").alias("id"), "vec")
+    vec_kind = queries.schema["vec"].dataType.simpleString()
+
+    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Cells that a query may have hits in: the nearest without a ``floor``, else the others within reach."""
+        for batch in batches:
+            batch = _present(batch, dim)
+            if not batch.num_rows:
+                continue
+            angles = _angles(_units(_matrix(batch["vec"], dim)), pivots[lived])
+            nearest = angles.argmin(1)
+            floor = batch["floor"].to_numpy(zero_copy_only=False)
+            best = np.cos(np.maximum(angles - radius[lived], 0))
+            first = np.arange(len(lived)) == nearest[:, None]
+            with np.errstate(invalid="ignore"):
+                wanted = np.where(np.isnan(floor)[:, None], first, ~first & (best >= floor[:, None] - 2e-6))
+            lists = [lived[w].tolist() for w in wanted]
+            yield pa.RecordBatch.from_arrays([batch["qid"], batch["vec"], pa.array(lists, pa.list_(pa.int32()))], ["qid", "vec", "cells"])
+
+    def sent(rows: DataFrame) -> DataFrame:
+        rows = rows.select("qid", "vec", "floor").mapInArrow(cells, f"qid long, vec {vec_kind}, cells array<int>")
+        rows = rows.select(F.col("qid").alias("id"), "vec", F.explode("cells").alias("cell"))
+        return rows.select("id", "vec", "cell", F.explode(F.sequence(F.lit(0), split() - 1)).alias("part"))
+
+    queries = queries.filter(F.col("vec").isNotNull())
+    near = cut(_past_blocks(blocks, sent(queries.withColumn("floor", F.lit(float("nan")))), k, dim))
+    order = Window.partitionBy("qid").orderBy(F.desc("score"), "cid")
+    kth = near.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") == k).select("qid", F.col("score").alias("floor"))
+    rest = queries.join(kth, "qid", "left").withColumn("floor", F.coalesce("floor", F.lit(-2.0)))
+    return near.unionByName(_past_blocks(blocks, sent(rest), k, dim))
 
 
 def nearest_labelled(

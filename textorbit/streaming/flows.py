@@ -310,11 +310,11 @@ def idle_sessions(
     On tables, uses within one gap-wide slot belong to one session whatever
     lies around them, so each slot is folded first (map-side) to its first and
     last use.  Merging then sees at most one row per key and slot, however
-    busy the key; the slot's own length rides along in the session's gap.
+    busy the key; the slot's own length rides along in the session's gap.  On
+    streams Spark folds sessions before the shuffle if the caller's session sets
+    ``spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition``.
     """
     if events.isStreaming:
-        # Fold sessions before the shuffle, for keys with most of the rows.
-        events.sparkSession.conf.set("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
         window = F.session_window(ts, f"{gap_secs} seconds")
         sessions = events.withWatermark(ts, watermark).groupBy(key, window.alias("s")).agg(F.count("*").alias("uses"))
     else:
