@@ -160,3 +160,16 @@ def test_matrices_round_trip(table, request, library, spark, monkeypatch, tmp_pa
             for _, ids in many:
                 got[doc, tuple(ids)] += 1
     assert got == want
+
+
+def test_rests_of_a_shard_are_bounded(spark, library, monkeypatch):
+    """Rows equal in id and text fall into one shard; it never holds more than a few of their rests."""
+    monkeypatch.setattr(token_output, "RESTS", 10)
+    held = []
+    close = token_output._Shard.close
+    monkeypatch.setattr(token_output._Shard, "close", lambda self: held.append(len(self.rests)) or close(self))
+    shard = token_output._Shard(0, 64, b"\0\0", 2)
+    rows = [row for i in range(95) for row in shard.add(7, bytes(2 * (3 + i % 50)))] + list(shard.close())
+    assert max(held) <= 10 and sum(held) == 95
+    assert [r[1] for r in rows] == list(range(len(rows)))
+    assert sum(r[3] for r in rows) == sum(3 + i % 50 for i in range(95))

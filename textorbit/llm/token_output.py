@@ -16,6 +16,8 @@ from textorbit.llm.vocabulary import load
 WINDOW = 2_048
 #: A shard packs about so many documents; the rest of each is at most a window.
 SHARD_DOCS = 8_192
+#: Rests that a shard holds at most.
+RESTS = 4 * SHARD_DOCS
 
 SCHEMA = (
     "shard long, row long, ids binary, n_tokens int, cu_seqlens array<int>, position_resets array<int>,"
@@ -67,10 +69,13 @@ class _Shard:
             yield self._row([(doc, at // self.width, data[at : at + size])])
         if full < len(data):
             self.rests.append((doc, full // self.width, data[full:]))
+        if len(self.rests) >= RESTS:
+            yield from self.close()
 
     def close(self) -> Iterator[tuple]:
         for indexes in _best_fit([len(p[2]) // self.width for p in self.rests], self.window):
             yield self._row([self.rests[i] for i in indexes])
+        self.rests = []
 
 
 def packed_matrices(
@@ -87,7 +92,9 @@ def packed_matrices(
     Documents are dealt to shards by hash, about ``SHARD_DOCS`` to each.  A shard's
     documents are tokenized one by one; full windows of long ones leave at once, the rests
     (shorter than a window) are packed best-fit-decreasing when the shard ends, with a
-    segment tree over remaining capacities.  One shuffle of texts, no second copy of ids.
+    segment tree over remaining capacities, and as often before as ``RESTS`` of them wait, as
+    rows equal in id and text are in one shard however many they are.  One shuffle of texts, no
+    second copy of ids.
 
     ``ids`` is a matrix row of ``window`` little-endian ids (16 bits wide if the vocabulary
     allows, else 32), padded by ``pad_id``; ``cu_seqlens`` are the cumulative segment lengths
