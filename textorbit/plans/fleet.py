@@ -138,7 +138,7 @@ def status_transitions_by_time(t: Tables):
 START = ["stopped", "starting", "running", "failed"]
 
 
-def replayed(t: Tables):
+def replayed(t: Tables, step: int | None = 4096):
     start = F.array(*[F.lit(s) for s in START])
     rows = checks(t).drop("status").withColumns(
         {
@@ -147,7 +147,7 @@ def replayed(t: Tables):
             "start_failures": F.col("instance") % 3,
         }
     )
-    return fleet.health_reduce(rows, max_failures=3, step=4096)
+    return fleet.health_reduce(rows, max_failures=3, step=step)
 
 
 _REPLAY = f"""
@@ -175,7 +175,8 @@ _REPLAY = f"""
 
 @query(f"{_REPLAY} SELECT * EXCLUDE (rn) FROM st WHERE rn > 0")
 def health_reduce(t: Tables):
-    return replayed(t)
+    """Chunks as the rows need them; the queries below put many small chunks together."""
+    return replayed(t, None)
 
 
 @query(
