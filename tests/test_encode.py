@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from textorbit.operators import calls, encode, retrieval
+from textorbit.operators import calls, cells, encode, retrieval
 
 
 def test_noop(spark):
@@ -321,6 +321,53 @@ def test_similarity_join_is_exact_with_copies(spark, pivots, block, threshold):
     assert all((r["copies_a"], r["copies_b"]) == (51 if r["id_a"] == 0 else 1, 1) for r in got)
 
 
+def _clustered(seed: int = 11) -> np.ndarray:
+    """120 bunches of 20 near copies, spread at random, and 100 directions that are alone."""
+    rng = np.random.default_rng(seed)
+    centres = np.repeat(rng.normal(size=(120, 6)), 20, 0)
+    v = np.vstack([centres + rng.normal(size=centres.shape) * 0.03, rng.normal(size=(100, 6))])
+    return (v / np.linalg.norm(v, axis=1, keepdims=True)).astype(np.float32)
+
+
+@pytest.mark.parametrize("sent_bytes", [0, 16 << 20])
+@pytest.mark.parametrize("threshold", [0.9, 0.99])
+def test_similarity_join_by_split_cells(spark, sent_bytes, threshold):
+    v = _clustered()
+    df = frame(spark, v, "id")
+    got = retrieval.similarity_join(df, threshold, "id", pivots=8, block_rows=60, sent_bytes=sent_bytes).collect()
+    dots = v.astype(float) @ v.astype(float).T
+    i, j = np.nonzero(np.triu(dots >= threshold, 1))
+    assert sorted((r["id_a"], r["id_b"]) for r in got) == sorted(zip(i.tolist(), j.tolist(), strict=True))
+
+
+@pytest.mark.parametrize("sent_bytes", [0, 16 << 20])
+def test_cells_are_split_until_small_or_of_no_use(spark, sent_bytes):
+    v = _clustered()
+    rows = frame(spark, v, "id").select("id", F.col("embedding").alias("vec"), F.lit(1).cast("long").alias("copies"))
+    for angle, largest in ((0.05, 120), (3.2, len(v))):
+        placed = cells.metric_cells(rows, 6, angle, 60, 8, sent_bytes)
+        sizes = [r["count"] for r in placed.groupBy("cell").count().collect()]
+        assert max(sizes) <= largest
+        assert placed.where("home").select("id").distinct().count() == placed.where("home").count() == len(v)
+    assert len(sizes) == 1  # all within reach of all: no split saves anything
+
+
+def test_similarity_links_are_the_pairs_counted(spark):
+    v = np.vstack([_clustered(), _clustered()[:5]])
+    df = frame(spark, v, "id")
+    pairs = [r.asDict() for r in retrieval.similarity_join(df, 0.95, "id", pivots=8, block_rows=60).collect()]
+    want = {}
+    for r in pairs:
+        for a, b in (("a", "b"), ("b", "a")):
+            want.setdefault((r[f"id_{a}"], r[f"copies_{a}"]), []).append((-r["score"], r[f"id_{b}"], r[f"copies_{b}"]))
+    got = retrieval.similarity_links(df, 0.95, "id", pivots=8, block_rows=60).collect()
+    assert {(r["id"], r["copies"]): (r["links"], r["linked_copies"], r["best_id"], r["score"]) for r in got} == {
+        k: (len(x), sum(c for *_, c in x), min(x)[1], -min(x)[0]) for k, x in want.items()
+    }
+    assert len(got) == len(want)
+    assert retrieval.similarity_links(df.limit(0), 0.95, "id").count() == 0
+
+
 def test_nearest_labelled_breaks_ties_by_label(spark):
     v = vectors(3, seed=6)
     df = frame(spark, np.vstack([v[:1], v[:1], v[1:2]]), "corpus_id").withColumn("label", F.lit(3) - F.col("corpus_id").cast("int"))

@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 
 from textorbit.functions import vectors as vec
 from textorbit.functions.formats import round6
+from textorbit.operators.cells import FANOUT, SENT_BYTES, metric_cells
+from textorbit.operators.cells import angles as _angles
+from textorbit.operators.cells import matrix as _matrix
 from textorbit.session import cut
 
 # Queries up to this many bytes (rows x width x 8) are sent to every task.
@@ -77,13 +80,6 @@ def sparse_pairs(pairs: DataFrame, a: DataFrame, b: DataFrame, id_col: str, spar
     )
 
 
-def _matrix(column: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    return flat.reshape(-1, dim)
-
-
 def _present(rows: pa.RecordBatch | pa.Table, dim: int) -> pa.RecordBatch | pa.Table:
     """Rows with a vector; a vector of another width than ``dim`` is an error."""
     rows = rows.filter(pc.is_valid(rows["vec"]))
@@ -198,10 +194,6 @@ def _units(vectors: np.ndarray) -> np.ndarray:
     return np.divide(vectors, norms, out=np.zeros_like(vectors), where=norms > 0)
 
 
-def _angles(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.arccos(np.clip(a @ b.T, -1, 1))
-
-
 def _past_blocks(blocks: DataFrame, asked: DataFrame, k: int, dim: int) -> DataFrame:
     """The k best of each block for the queries (cell, part, id, vec) that were sent to it.
 
@@ -335,61 +327,28 @@ def vector_groups(df: DataFrame, id_col: str, vector_col: str = "embedding") ->
     )
 
 
-def similarity_join(
-    df: DataFrame,
-    threshold: float,
-    id_col: str,
-    vector_col: str = "embedding",
-    pivots: int | None = None,
-    block_rows: int = BLOCK_ROWS,
-) -> DataFrame:
-    """All pairs of distinct unit vectors with dot product >= ``threshold``, exactly.
+_PAIRS = "id_a long, id_b long, copies_a long, copies_b long, score double"
+_LINKS = "id long, copies long, links long, linked_copies long, score double, best_id long"
 
-    Copies are folded first and counted, so a large group of copies gives one
-    row, not all its pairs: (id_a, id_b, copies_a, copies_b, score), id_a < id_b.
 
-    A vector belongs to the cell of its nearest pivot.  By the triangle
-    inequality on angles, a vector within angle r of a cell's member is at most
-    2r farther from that cell's pivot than from its own, so it is copied to
-    those cells only.  Cells are cut into blocks of ``block_rows``; a task
-    compares two blocks, however large the cell.
-    """
-    spark = df.sparkSession
+def _meetings(
+    df: DataFrame, threshold: float, id_col: str, vector_col: str, pivots: int, block_rows: int, sent_bytes: int, links: bool
+) -> DataFrame:
+    """Pairs of distinct vectors with dot product >= ``threshold``, or what each block says of its rows' links."""
     distinct = cut(vector_groups(df.filter(F.col(vector_col).isNotNull()), id_col, vector_col))
-    if pivots is None:
-        pivots = int(min(max(math.isqrt(distinct.count()) // 4, 1), 1024))
-    chosen = distinct.orderBy(F.xxhash64("id"), "id").limit(pivots).select("vec").toArrow()
-    if chosen.num_rows == 0:
-        return spark.createDataFrame([], "id_a long, id_b long, copies_a long, copies_b long, score double")
-    centres = np.array(chosen["vec"].to_pylist(), dtype=np.float64)
-    dim = centres.shape[1]
-    sent = spark.sparkContext.broadcast(centres)
-    reach = 2 * math.acos(max(-1.0, min(1.0, threshold))) + 1e-6
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            vectors = _matrix(batch.column("vec"), dim)
-            angles = np.arccos(np.clip(vectors @ sent.value.T, -1, 1))
-            home = angles.argmin(1)
-            near = angles <= angles.min(1, keepdims=True) + reach
-            # A pair from two cells is found in the lower-numbered one.
-            near &= np.arange(near.shape[1])[None, :] <= home[:, None]
-            row, cell = np.nonzero(near)
-            out = batch.take(pa.array(row))
-            yield out.append_column("cell", pa.array(cell, pa.int64())).append_column(
-                "home", pa.array(cell == home[row])
-            )
-
-    placed = distinct.select("id", "vec", "copies").mapInArrow(
-        place, "id long, vec array<float>, copies long, cell long, home boolean"
-    )
-    sizes = placed.groupBy("cell").agg(
-        F.ceil(F.count_if("home") / block_rows).alias("n_home"),
-        F.ceil(F.count("*") / block_rows).alias("n_all"),
+    distinct = distinct.select(F.col("id").cast("long").alias("id"), "vec", "copies")
+    one = distinct.select(F.size("vec").alias("dim")).first()
+    if one is None:
+        return df.sparkSession.createDataFrame([], _LINKS if links else _PAIRS)
+    dim, angle = one["dim"], math.acos(max(-1.0, min(1.0, threshold)))
+    placed = metric_cells(distinct, dim, angle, block_rows, pivots, sent_bytes)
+    sizes = cut(
+        placed.groupBy("cell").agg(
+            F.ceil(F.count_if("home") / block_rows).alias("n_home"),
+            F.ceil(F.count("*") / block_rows).alias("n_all"),
+        )
     )
-    blocked = placed.join(F.broadcast(sizes), "cell")  # at most `pivots` rows
+    blocked = placed.join(sizes, "cell")
     member = F.xxhash64("id")
     homes = blocked.filter("home").select(
         "id", "vec", "copies", "cell",
@@ -402,33 +361,87 @@ def similarity_join(
         F.pmod(member, "n_all").alias("ab"),
     )
 
-    def compare(left: pa.Table, right: pa.Table) -> pa.Table:
-        names = ["id_a", "id_b", "copies_a", "copies_b", "score"]
-        if left.num_rows == 0 or right.num_rows == 0:
-            empty = [pa.array([], pa.int64())] * 4 + [pa.array([], pa.float64())]
-            return pa.Table.from_arrays(empty, names)
-        ids_l, ids_r = left["id"].to_numpy(), right["id"].to_numpy()
+    def hits(left: pa.Table, right: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         dots = _matrix(left["vec"], dim) @ _matrix(right["vec"], dim).T
         hit = dots >= threshold
         # Two home members meet twice; the ordered meeting counts.
         both = right["home"].to_numpy(zero_copy_only=False)
-        hit &= ~both[None, :] | (ids_l[:, None] < ids_r[None, :])
+        hit &= ~both[None, :] | (left["id"].to_numpy()[:, None] < right["id"].to_numpy()[None, :])
         i, j = np.nonzero(hit)
-        a, b = ids_l[i], ids_r[j]
+        return i, j, np.floor(dots[i, j] * 1e6 + 0.5) / 1e6
+
+    def pairs(left: pa.Table, right: pa.Table) -> pa.Table:
+        i, j, score = hits(left, right) if left.num_rows and right.num_rows else (np.empty(0, int),) * 3
+        a, b = left["id"].to_numpy()[i], right["id"].to_numpy()[j]
         ca, cb = left["copies"].to_numpy()[i], right["copies"].to_numpy()[j]
         swap = a > b
-        score = np.floor(dots[i, j] * 1e6 + 0.5) / 1e6
-        return pa.table(
-            {
-                "id_a": np.where(swap, b, a), "id_b": np.where(swap, a, b),
-                "copies_a": np.where(swap, cb, ca), "copies_b": np.where(swap, ca, cb),
-                "score": score,
-            }
-        ).select(names)
+        columns = np.where(swap, b, a), np.where(swap, a, b), np.where(swap, cb, ca), np.where(swap, ca, cb)
+        numbers = [pa.array(c, pa.int64()) for c in columns]
+        return pa.Table.from_arrays([*numbers, pa.array(score, pa.float64())], ["id_a", "id_b", "copies_a", "copies_b", "score"])
+
+    def counts(left: pa.Table, right: pa.Table) -> pa.Table:
+        i, j, score = hits(left, right) if left.num_rows and right.num_rows else (np.empty(0, int),) * 3
+        out = []
+        for mine, at, theirs, to in ((left, i, right, j), (right, j, left, i)):
+            ids, copies = theirs["id"].to_numpy()[to], theirs["copies"].to_numpy()[to]
+            order = np.lexsort((ids, -score, at))
+            rows, first = np.unique(at[order], return_index=True)
+            best = order[first]
+            links = np.bincount(at, minlength=mine.num_rows)[rows]
+            linked = np.bincount(at, copies, minlength=mine.num_rows)[rows]
+            columns = mine["id"].to_numpy()[rows], mine["copies"].to_numpy()[rows], links, linked.astype(np.int64)
+            numbers = [pa.array(c, pa.int64()) for c in columns]
+            last = [pa.array(score[best], pa.float64()), pa.array(ids[best], pa.int64())]
+            out.append(pa.Table.from_arrays([*numbers, *last], ["id", "copies", "links", "linked_copies", "score", "best_id"]))
+        return pa.concat_tables(out)
 
     keys = ["cell", "hb", "ab"]
-    return homes.groupBy(*keys).cogroup(others.groupBy(*keys)).applyInArrow(
-        compare, "id_a long, id_b long, copies_a long, copies_b long, score double"
+    met = homes.groupBy(*keys).cogroup(others.groupBy(*keys))
+    return met.applyInArrow(counts, _LINKS) if links else met.applyInArrow(pairs, _PAIRS)
+
+
+def similarity_join(
+    df: DataFrame,
+    threshold: float,
+    id_col: str,
+    vector_col: str = "embedding",
+    pivots: int = FANOUT,
+    block_rows: int = BLOCK_ROWS,
+    sent_bytes: int = SENT_BYTES,
+) -> DataFrame:
+    """All pairs of distinct unit vectors with dot product >= ``threshold``, exactly.
+
+    Copies are folded first and counted, so a large group of copies gives one
+    row, not all its pairs: (id_a, id_b, copies_a, copies_b, score), id_a < id_b.
+
+    Vectors are dealt to cells around pivots (``metric_cells``), which are split ``pivots`` ways as
+    long as they have more than ``block_rows`` rows and a split saves comparisons.  What is
+    left is cut into blocks of ``block_rows``; a task compares two blocks, however large the cell.
+    """
+    return _meetings(df, threshold, id_col, vector_col, pivots, block_rows, sent_bytes, links=False)
+
+
+def similarity_links(
+    df: DataFrame,
+    threshold: float,
+    id_col: str,
+    vector_col: str = "embedding",
+    pivots: int = FANOUT,
+    block_rows: int = BLOCK_ROWS,
+    sent_bytes: int = SENT_BYTES,
+) -> DataFrame:
+    """Each distinct unit vector that has a partner in ``similarity_join``, without the pairs.
+
+    Out: (id, copies, links, linked_copies, best_id, score): the number of other distinct vectors
+    at ``threshold`` or more, the rows they stand for, and the best of them, ties by the smallest id.
+    A class of n near copies costs n rows here, where the join has n * n / 2.
+    """
+    found = _meetings(df, threshold, id_col, vector_col, pivots, block_rows, sent_bytes, links=True)
+    best = F.max_by(F.struct("best_id", "score"), F.struct("score", (-F.col("best_id")).alias("low")))
+    return (
+        found.groupBy("id", "copies")
+        .agg(F.sum("links").alias("links"), F.sum("linked_copies").alias("linked_copies"), best.alias("best"))
+        .select("id", "copies", "links", "linked_copies", "best.best_id", "best.score")
     )
 
 

@@ -165,6 +165,21 @@ def similarity_join_documents(t: Tables):
     return retrieval.similarity_join(encode.embed(t.documents.select("doc_id", "text")), 0.95, "doc_id")
 
 
+@query(
+    f"""
+    WITH p AS ({_DOC_PAIRS}), e AS (
+      SELECT id_a AS id, copies_a AS copies, id_b AS other, copies_b AS theirs, score FROM p UNION ALL
+      SELECT id_b, copies_b, id_a, copies_a, score FROM p)
+    SELECT id, copies, count(*) AS links, sum(theirs)::BIGINT AS linked_copies,
+           arg_min(other, (-score, other)) AS best_id, max(score) AS score
+    FROM e GROUP BY id, copies
+    """
+)
+def similarity_links(t: Tables):
+    """How many near copies each document has, and the nearest one."""
+    return retrieval.similarity_links(encode.embed(t.documents.select("doc_id", "text")), 0.95, "doc_id")
+
+
 @query()
 def similarity_candidates(t: Tables):
     """The same pairs from random planes; some far ones are missed."""
