@@ -8,7 +8,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textorbit.session import cut
@@ -19,7 +19,7 @@ FANOUT = 64
 SENT_BYTES = 16 << 20
 #: Rows of a cell on which a split is tried.
 TRIED_ROWS = 1024
-#: A cell is split if that leaves at most this share of its comparisons.
+#: A cell is split if that leaves at most this share of its work.
 GAIN = 0.5
 _SLICE = 1024
 
@@ -35,6 +35,12 @@ def angles(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.arccos(np.clip(a @ b.T, -1, 1))
 
 
+def _work(h: Column, a: Column, leaf_rows: int) -> Column:
+    """Comparisons of ``h`` own rows with all ``a`` of a cell; a row sent to a block counts as half a block's."""
+    copies = h * F.ceil(a / leaf_rows) + a * F.ceil(h / leaf_rows)
+    return h * a + copies * (leaf_rows / 2)
+
+
 def _pivots(rows: DataFrame, level: int, fanout: int) -> DataFrame:
     """``cell, slot, vec``: of each cell's own rows the one with the least hash in each of ``fanout`` slots."""
     mark = F.xxhash64("id", F.lit(level))
@@ -127,10 +133,10 @@ def metric_cells(
 
     Out: id, vec, copies, cell, home.  A row is at home in one cell and visits others; two rows
     within ``angle`` are together in exactly one cell in which at least one is at home, counting
-    each pair of rows at home in it once.  Cells of more than ``leaf_rows`` rows are split around
-    ``fanout`` of their own rows, and so on, level by level, as long as there is something to
-    gain: a split is tried on about ``TRIED_ROWS`` rows of a cell and made if it leaves at most
-    ``GAIN`` of the comparisons.  Rows that lie within each other's reach stay one cell,
+    each pair of rows at home in it once.  Cells with more comparisons than ``leaf_rows`` rows at home
+    have are split around ``fanout`` of their own rows, and so on, level by level, as long as there
+    is something to gain: a split is tried on about ``TRIED_ROWS`` rows of a cell and made if it
+    leaves at most ``GAIN`` of the work, copies of rows included.  Rows that lie within each other's reach stay one cell,
     which its reader cuts into blocks.  The trial steers the work, never the pairs.
 
     The number of cells grows with the rows.  Visitors farther from a cell's pivot than its
@@ -142,7 +148,7 @@ def metric_cells(
     leaves = []
     for level in range(int(62 / math.log2(max(fanout, 2)))):
         sizes = state.groupBy("cell").agg(F.count_if("home").alias("n_home"), F.count("*").alias("n_all"))
-        large = cut(sizes.where(F.col("n_all") > leaf_rows))
+        large = cut(sizes.where(F.col("n_home") * F.col("n_all") > leaf_rows**2))
         if large.isEmpty():
             break
         inside = state.join(large.select("cell"), "cell", "left_semi")
@@ -152,13 +158,17 @@ def metric_cells(
             place = lambda r, s: splitter.sent(r, found)  # noqa: B023, E731
         else:
             place = lambda r, s: splitter.shuffled(r, pivots, s, leaf_rows)  # noqa: B023, E731
-        turn = F.pmod(F.xxhash64("id", F.lit(-1 - level)), F.ceil(F.col("n_all") / TRIED_ROWS))
+        scale = F.ceil(F.col("n_all") / TRIED_ROWS)
+        turn = F.pmod(F.xxhash64("id", F.lit(-1 - level)), scale)
         tried = cut(state.join(large, "cell").where(turn == 0).select(state.columns))
-        cost = F.sum(F.col("h") * F.col("a")).alias("cost")
-        counts = [F.count_if("home").alias("h"), F.count("*").alias("a")]
-        after = place(tried, large).groupBy("cell").agg(*counts).groupBy(F.expr(f"cell div {fanout}L").alias("cell")).agg(cost)
-        before = tried.groupBy("cell").agg(*counts)
-        split = cut(before.join(after, "cell").where(F.col("cost") <= GAIN * F.col("h") * F.col("a")).select("cell"))
+        tally = place(tried, large).groupBy(F.expr(f"cell div {fanout}L").alias("parent"), "cell")
+        tally = tally.agg(F.count_if("home").alias("h"), F.count("*").alias("a"))
+        tally = tally.join(large.select(F.col("cell").alias("parent"), scale.alias("s")), "parent")
+        after = tally.groupBy(F.col("parent").alias("cell")).agg(
+            F.sum(_work(F.col("h") * F.col("s"), F.col("a") * F.col("s"), leaf_rows)).alias("work")
+        )
+        before = _work(F.col("n_home"), F.col("n_all"), leaf_rows)
+        split = cut(large.join(after, "cell").where(F.col("work") <= GAIN * before).select("cell"))
         if split.isEmpty():
             break
         leaves.append(state.join(split, "cell", "left_anti"))
