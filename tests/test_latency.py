@@ -123,3 +123,22 @@ def test_two_devices_of_one_run(spark):
     rows = [("m", "small", "short", d, 1, v) for d, v in (("cpu", 9.0), ("cuda", 1.0), ("mps", 2.0))]
     for some in (rows, rows[::-1]):
         assert comparison(spark, some).first()["gpu_mean_ms"] == 2.0
+
+
+def test_sketches_merge_and_leave_nulls_out(spark):
+    rows = spark.range(3000).select(
+        (F.col("id") % 3).alias("part"),
+        F.when(F.col("id") % 10 == 0, F.lit(None)).when(F.col("id") % 10 == 1, F.lit(float("nan"))).otherwise(F.col("id").cast("double")).alias("value"),
+    )
+    kept = sorted(i for i in range(3000) if i % 10 > 1)
+    parts = metrics.sketches(rows, ["part"])
+    whole = metrics.sketch_percentiles(metrics.merge_sketches(parts, [])).first()
+    assert (whole["n"], whole["total"], whole["min"], whole["max"]) == (2400, float(sum(kept)), 2.0, 2999.0)
+    for p in (50, 95, 99):
+        assert abs(kept.index(int(whole[f"p{p}"])) + 1 - p / 100 * 2400) <= 0.02 * 2400
+    exact = metrics.sketch_percentiles(metrics.sketches(rows.where("value < 200"), [], k=4096)).first()
+    few = [v for v in kept if v < 200]
+    assert [exact[f"p{p}"] for p in (50, 95, 99)] == [few[-(-p * len(few) // 100) - 1] for p in (50, 95, 99)]
+    assert metrics.merge_sketches(metrics.sketches(rows.limit(0), ["part"]), ["part"]).count() == 0
+    nulls = metrics.sketches(spark.range(2).select("id", F.lit(None).cast("double").alias("value")), ["id"])
+    assert nulls.count() == 0

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +11,8 @@ from textorbit.functions.formats import micros
 from textorbit.operators.latency import timing_stats
 
 LABELS = ["l1", "l2"]
+#: Size of a quantile sketch; about 12 KB a key at most.
+SKETCH_K = 400
 
 
 def two_labels(labels: Column) -> list[Column]:
@@ -50,6 +54,41 @@ def histograms(events: DataFrame) -> DataFrame:
     return totals.join(stats, keys)
 
 
+def sketches(events: DataFrame, keys: Sequence[str | Column], value: str = "value", k: int = SKETCH_K) -> DataFrame:
+    """Count, sum, extremes and a quantile sketch per key, in one scan combined map-side.
+
+    Null and NaN values are left out.  A sketch holds some multiple of ``k`` numbers however many
+    rows it has seen; ranks are off by about 1.3 / k ** 0.9 of the count, and not at all up to ``k`` rows.
+    Works on streams.
+    """
+    number = F.col(value).cast("double")
+    rows = events.filter(number.isNotNull() & ~F.isnan(number))
+    return rows.groupBy(*keys).agg(
+        F.count("*").alias("n"),
+        F.sum(number).alias("total"),
+        F.min(number).alias("min"),
+        F.max(number).alias("max"),
+        F.kll_sketch_agg_double(number, k).alias("sketch"),
+    )
+
+
+def merge_sketches(parts: DataFrame, keys: Sequence[str | Column], k: int = SKETCH_K) -> DataFrame:
+    """Sketches of coarser keys out of finer ones, such as days out of hours, without their rows."""
+    return parts.groupBy(*keys).agg(
+        F.sum("n").alias("n"),
+        F.sum("total").alias("total"),
+        F.min("min").alias("min"),
+        F.max("max").alias("max"),
+        F.kll_merge_agg_double("sketch", k).alias("sketch"),
+    )
+
+
+def sketch_percentiles(parts: DataFrame, percents: Sequence[int] = (50, 95, 99)) -> DataFrame:
+    """Replace each sketch by columns ``p50`` and so on: the least value with so many per cent at or below it."""
+    found = {f"p{p}": F.kll_sketch_get_quantile_double("sketch", F.lit(p / 100)) for p in percents}
+    return parts.withColumns(found).drop("sketch")
+
+
 def failure_rate(events: DataFrame, window: str = "5 minutes", slide: str = "1 minute", ts: str = "ts") -> DataFrame:
     """Failures per second in sliding windows per instance; on streams use a watermark."""
     seconds = (micros("w.end") - micros("w.start")) / 1_000_000

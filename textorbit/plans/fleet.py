@@ -446,6 +446,26 @@ def histograms(t: Tables):
     return out.withColumns({c: round6(F.col(c)) for c in ("total", "p50", "p95", "p99")})
 
 
+@query(
+    f"""
+    SELECT event_type AS metric, count(*) AS n, {r6("sum(value)")} AS total, min(value) AS min, max(value) AS max,
+           true AS p50_near, true AS p95_near, true AS p99_near
+    FROM events WHERE value IS NOT NULL GROUP BY 1
+    """
+)
+def histogram_sketches(t: Tables):
+    """Hourly sketches merged per metric; whether each percentile's rank is within two per cent of the rows."""
+    rows = metric_events(t)
+    hours = metrics.sketches(rows, ["metric", F.date_trunc("hour", "ts").alias("hour")])
+    found = metrics.sketch_percentiles(metrics.merge_sketches(hours, ["metric"]))
+    stats = ["metric", "n", "total", "min", "max", "p50", "p95", "p99"]
+    met = rows.join(found.select(*stats), "metric").groupBy(*stats)  # a row per metric beside the events
+    marks = {p: F.col(f"p{p}") for p in (50, 95, 99)}
+    ranks = met.agg(*[F.struct(F.count_if(F.col("value") < x).alias("below"), F.count_if(F.col("value") <= x).alias("upto")).alias(f"_{p}") for p, x in marks.items()])
+    near = [((F.col(f"_{p}.below") <= (p / 100 + 0.02) * F.col("n")) & (F.col(f"_{p}.upto") >= (p / 100 - 0.02) * F.col("n"))).alias(f"p{p}_near") for p in marks]
+    return ranks.select("metric", "n", round6(F.col("total")).alias("total"), "min", "max", *near)
+
+
 @query(
     f"""
     WITH w AS (

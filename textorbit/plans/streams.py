@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from textorbit.functions import text as tx
 from textorbit.functions import vectors as vec
 from textorbit.functions.formats import round6
-from textorbit.operators import encode
+from textorbit.operators import encode, metrics
 from textorbit.plans import fleet as fleet_queries
 from textorbit.plans import text as text_queries
 from textorbit.plans.registry import ORACLE, Tables, query
@@ -313,6 +313,28 @@ def stream_failure_rate(t: Tables):
     return table(t, flows.failure_rate_stream(rows)).withColumn("rate", round6(F.col("rate")))
 
 
+_DAYS = """
+    WITH r AS (
+      SELECT event_type AS metric, date_trunc('day', ts)::TIMESTAMP AS window_start, value,
+             row_number() OVER (PARTITION BY event_type, date_trunc('day', ts) ORDER BY value) AS i,
+             count(*) OVER (PARTITION BY event_type, date_trunc('day', ts)) AS n
+      FROM events WHERE value IS NOT NULL)
+    SELECT metric, window_start, window_start + INTERVAL 1 DAY AS window_end, max(n) AS n,
+           min(CASE WHEN i >= 0.5::DOUBLE * n THEN value END) AS p50,
+           min(CASE WHEN i >= 0.95::DOUBLE * n THEN value END) AS p95,
+           min(CASE WHEN i >= 0.99::DOUBLE * n THEN value END) AS p99
+    FROM r GROUP BY 1, 2
+"""
+
+
+@query(_closed(_DAYS, "window_end", "events"))
+def stream_sketches(t: Tables):
+    """Percentiles of the days that the watermark has closed; a day has fewer rows than the sketch size, so they are exact."""
+    rows = stream(t, "events").select(F.col("event_type").alias("metric"), F.col("ts").cast("timestamp").alias("ts"), "value")
+    days = table(t, flows.sketch_stream(rows, ["metric"], "1 day", k=32768))
+    return metrics.sketch_percentiles(days).select("metric", "window_start", "window_end", "n", "p50", "p95", "p99")
+
+
 @query(ORACLE["fleet_state"].replace("SELECT name, since_seq", "SELECT name, since_seq AS seq"))
 def stream_lifecycle(t: Tables):
     """Members after all runs; events that come late change nothing if a later one of the name is known."""

@@ -18,7 +18,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from textorbit.functions.formats import micros
 from textorbit.operators import encode
-from textorbit.operators.metrics import LABELS, failure_rate, series
+from textorbit.operators.metrics import LABELS, SKETCH_K, failure_rate, series, sketches
 from textorbit.operators.replay import Rules
 from textorbit.session import fresh_dir, passing_cuts, remove
 from textorbit.streaming import state
@@ -299,6 +299,18 @@ def failure_rate_stream(events: DataFrame, watermark: str = "10 minutes", **wind
     return failure_rate(events.withWatermark("ts", watermark), **window)
 
 
+def sketch_stream(
+    events: DataFrame, keys: list[str], width: str, watermark: str = "10 minutes", value: str = "value", ts: str = "ts", k: int = SKETCH_K
+) -> DataFrame:
+    """Quantile sketches per key and window, given out when the watermark closes the window.
+
+    The state holds one sketch per key and open window.  Written to a table, windows can be merged
+    to longer ones by ``metrics.merge_sketches``, also those of several runs.
+    """
+    rows = sketches(events.withWatermark(ts, watermark), [*keys, F.window(ts, width).alias("w")], value, k)
+    return rows.withColumns({"window_start": F.col("w.start"), "window_end": F.col("w.end")}).drop("w")
+
+
 def idle_sessions(
     events: DataFrame, key: str = "instance", gap_secs: int = 600, watermark: str = "10 minutes", ts: str = "ts"
 ) -> DataFrame:
