@@ -58,7 +58,8 @@ def sketches(events: DataFrame, keys: Sequence[str | Column], value: str = "valu
     """Count, sum, extremes and a quantile sketch per key, in one scan combined map-side.
 
     Null and NaN values are left out.  A sketch holds some multiple of ``k`` numbers however many
-    rows it has seen; ranks are off by about 1.3 / k ** 0.9 of the count, and not at all up to ``k`` rows.
+    rows it has seen; ranks are off by about 2.3 / k ** 0.97 of the count at
+    99 per cent confidence (0.7 per cent for 400), and not at all up to ``k`` rows.
     Works on streams.
     """
     number = F.col(value).cast("double")
