@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from textorbit import schemas
 from textorbit.operators import catalog, encode
 from textorbit.operators import latency as lt
+from textorbit.plans import streams
+from textorbit.plans.registry import Tables
 from textorbit.sources import payload, report, snapshot, store, texts
 
 
@@ -279,3 +281,12 @@ def test_run_records(spark, tmp_path):
         report.append_run_records(runs, f"file://{tmp_path}/runs", "arrow", "inst", 64)
     rows = spark.read.schema(schemas.RUN_RECORD).json(f"file://{tmp_path}/runs")
     assert rows.count() == 2 and rows.first()["batch_size"] == 64 and len(rows.columns) == 9
+
+
+def test_tables_as_streams_are_files_or_folders(spark, tmp_path):
+    rows = spark.range(10).select(F.col("id").alias("doc_id"), F.col("id").cast("string").alias("text"))
+    rows.repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    rows.toPandas().to_parquet(tmp_path / "labels.parquet")
+    t = Tables(spark, str(tmp_path))
+    for name in ("documents", "labels"):
+        assert streams.table(t, streams.stream(t, name)).count() == 10

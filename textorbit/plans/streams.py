@@ -16,13 +16,16 @@ from textorbit.plans import fleet as fleet_queries
 from textorbit.plans import text as text_queries
 from textorbit.plans.registry import ORACLE, Tables, query
 from textorbit.plans.text import exploded, label_weights, r6, weights
-from textorbit.session import fresh_dir
+from textorbit.session import fresh_dir, is_folder
 from textorbit.streaming import flows
 
 
 def stream(t: Tables, name: str):
-    """A given table as a stream; the schema is the table's own."""
-    return flows.file_stream(t.spark, t.dir, getattr(t, name).schema, f"{name}.parquet")
+    """A given table, one file or a folder of them, as a stream; the schema is the table's own."""
+    path, schema = f"{t.dir}/{name}.parquet", getattr(t, name).schema
+    if is_folder(t.spark, path):
+        return flows.file_stream(t.spark, path, schema)
+    return flows.file_stream(t.spark, t.dir, schema, f"{name}.parquet")  # a stream's path is a folder
 
 
 def documents(t: Tables):

@@ -45,6 +45,11 @@ def exists(spark: SparkSession, path: str) -> bool:
     return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
 
 
+def is_folder(spark: SparkSession, path: str) -> bool:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(target).isDirectory()
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a table of this library in the shared folder, if it is there."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
