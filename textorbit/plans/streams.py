@@ -81,13 +81,14 @@ def stream_embed_sparse(t: Tables):
 
 @query(ORACLE["embed_all_mean_pool"])
 def stream_embed_all(t: Tables):
-    rows = table(t, encode.embed_all(documents(t)).drop("text"))
+    """Pooled as they stream: a table of token vectors is read thousands of texts at once, too large for a task."""
+    rows = encode.embed_all(documents(t)).drop("text")
     pooled = rows.select(
         "doc_id",
         F.size("token_embeddings").cast("long").alias("n_tokens"),
         vec.mean_pool(F.col("token_embeddings")).alias("v"),
     )
-    return tx.unroll(pooled, ["doc_id", "n_tokens"], "v", "x", "d").withColumn("x", round6(F.col("x")))
+    return tx.unroll(table(t, pooled), ["doc_id", "n_tokens"], "v", "x", "d").withColumn("x", round6(F.col("x")))
 
 
 @query(ORACLE["predict"])
