@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from textorbit import schemas
 from textorbit.operators import catalog, encode
 from textorbit.operators import latency as lt
-from textorbit.plans import streams
+from textorbit.plans import files, streams
 from textorbit.plans.registry import Tables
 from textorbit.sources import payload, report, snapshot, store, texts
 
@@ -143,6 +143,27 @@ def test_store(spark, model_store):
     assert [r["shard"] for r in catalog.missing_shards(shards, files).collect()] == ["s2"]
 
 
+def test_store_is_listed_in_tasks(spark, tmp_path, model_store):
+    pathlib.Path(tmp_path, "models--solo/.hidden").write_text("x")
+    pathlib.Path(tmp_path, "top").write_text("abc")
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    for root in (model_store, str(tmp_path)):
+        found = store.scan_model_store(spark, root)
+        assert "FileScan" not in found._jdf.queryExecution().executedPlan().toString()
+        assert sorted(found.collect()) == sorted(reader.load(root).select("path", "length").collect())
+
+
+def test_stores_on_disk_one_at_a_time(spark, tmp_path, monkeypatch):
+    parts = spark.range(40).selectExpr("id AS p_partkey", "int(id % 20 + 1) AS p_size", "'b' AS p_brand")
+    parts.write.parquet(str(tmp_path / "part.parquet"))
+    roots = []
+    monkeypatch.setattr(files, "STORE_MODELS", 15)
+    monkeypatch.setattr(files, "fresh_dir", lambda spark, label: roots.append(f"{tmp_path}/{label}-{len(roots)}") or roots[-1])
+    found = files.in_stores(Tables(spark, str(tmp_path)), store.read_store)
+    assert found.select("model_id").distinct().count() == found.count() == 40
+    assert len(roots) == 3 and not any(pathlib.Path(r).exists() for r in roots)
+
+
 @pytest.mark.parametrize(
     "text, hidden, longest",
     [

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textorbit import schemas
@@ -14,7 +15,7 @@ from textorbit.functions.formats import round6
 from textorbit.operators import latency as lt
 from textorbit.plans.latency import _THROUGHPUT, r6, request_log
 from textorbit.plans.registry import Tables, query
-from textorbit.session import fresh_dir
+from textorbit.session import cut, fresh_dir, remove
 from textorbit.sources import payload, report, snapshot, store
 
 
@@ -35,7 +36,44 @@ def write_files(files: DataFrame, root: str) -> None:
     files.select("path", "content").mapInArrow(write, "n long").agg(F.sum("n")).collect()  # one row
 
 
-def part_store(t: Tables) -> str:
+def remove_folders(folders: DataFrame, root: str) -> None:
+    """Delete the folders ``path`` below ``root``, each by the task that it falls to, then ``root``."""
+    scheme, _, folder = root.rpartition(":")
+    uri = root if "://" in root else f"{scheme or 'file'}:///{folder.lstrip('/')}"
+
+    def delete(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, base = fs.FileSystem.from_uri(uri)
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                if system.get_file_info(f"{base}/{path}").type == fs.FileType.Directory:  # not by an earlier attempt
+                    system.delete_dir(f"{base}/{path}")
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], ["n"])
+
+    folders.select("path").mapInArrow(delete, "n long").agg(F.sum("n")).collect()  # one row
+    remove(folders.sparkSession, root)
+
+
+#: Models of a store that is on disk at a time; a model's files and folders take nine blocks or more.
+STORE_MODELS = 100_000
+
+
+def in_stores(t: Tables, read: Callable[[SparkSession, str], DataFrame]) -> DataFrame:
+    """What ``read`` finds in the stores that hold the parts' models, one after the other.
+
+    A store takes many times the disk of the table it is made of, so it goes when it has been read.
+    """
+    stores = max(1, -(-t.part.count() // STORE_MODELS))
+    found = []
+    for n in range(stores):
+        parts = t.part.filter(F.pmod(F.xxhash64("p_partkey"), F.lit(stores)) == n)
+        root = part_store(t, parts)
+        found.append(cut(read(t.spark, root)))
+        names = parts.select(F.concat(F.lit("models--org--m"), F.col("p_partkey").cast("string")).alias("path")).distinct()
+        remove_folders(names.repartition(t.spark.sparkContext.defaultParallelism, "path"), root)
+    return reduce(DataFrame.unionByName, found)
+
+
+def part_store(t: Tables, parts: DataFrame) -> str:
     """A model store with a model for each part; some have a reference, some a broken record."""
     key, size = F.col("p_partkey").cast("string"), F.col("p_size").cast("string")
     model = F.concat(F.lit("models--org--m"), key)
@@ -50,7 +88,7 @@ def part_store(t: Tables) -> str:
         F.when(F.col("p_size") > 10, file("/refs/main", F.lit("r2\n"))),
     ]
     root = fresh_dir(t.spark, "store")
-    rows = t.part.select(F.explode(F.array_compact(F.array(*files))).alias("f")).select("f.*")
+    rows = parts.select(F.explode(F.array_compact(F.array(*files))).alias("f")).select("f.*")
     write_files(rows.repartition(t.spark.sparkContext.defaultParallelism), root)
     return root
 
@@ -73,7 +111,7 @@ _STORE = """
     """
 )
 def scan_model_store(t: Tables):
-    files = store.scan_model_store(t.spark, part_store(t))
+    files = in_stores(t, store.scan_model_store)
     return files.select(F.regexp_extract("path", r"(models--.*)$", 1).alias("path"), "length")
 
 
@@ -87,7 +125,7 @@ def scan_model_store(t: Tables):
     """
 )
 def read_model_configs(t: Tables):
-    configs = store.read_model_configs(t.spark, part_store(t))
+    configs = in_stores(t, store.read_model_configs)
     return configs.select(
         "model_id",
         F.regexp_extract("snapshot", r"([^/]+)/?$", 1).alias("revision"),
@@ -107,7 +145,7 @@ def read_model_configs(t: Tables):
     """
 )
 def read_store(t: Tables):
-    rows = store.read_store(t.spark, part_store(t))
+    rows = in_stores(t, store.read_store)
     revision = F.regexp_extract("path", r"([^/]+)/?$", 1).alias("revision")
     return rows.select("model_id", revision, "size_bytes", "metadata.hidden_size")
 

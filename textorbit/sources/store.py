@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Iterator
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,19 +15,91 @@ from textorbit.operators.catalog import latest_snapshot, listing, parse_metadata
 from textorbit.operators.scan import CHUNK, positions
 
 
-def _files(spark: SparkSession, root: str, name: str | None = None) -> DataFrame:
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-    return (reader.option("pathGlobFilter", name) if name else reader).load(root)
+#: Rows of a listing, and bytes of contents, that a task holds at once.
+_ROWS, _BYTES = 4096, 8 << 20
+
+
+def _hidden(name: str) -> bool:
+    """Names that Spark's own readers pass over."""
+    left_out = (name.startswith("_") and "=" not in name) or name.startswith(".") or name.endswith("._COPYING_")
+    return left_out and not name.startswith(("_common_metadata", "_metadata"))
+
+
+def _system(uri: str) -> tuple[fs.FileSystem, str]:
+    """File system and folder of a path as Hadoop writes it."""
+    return (fs.LocalFileSystem(), uri[5:]) if uri.startswith("file:/") else fs.FileSystem.from_uri(uri)
+
+
+def _files(spark: SparkSession, root: str, name: str | None = None, content: bool = False) -> DataFrame:
+    """(path, length) of the files below a folder, or of those of a ``name``, with their ``content`` if wanted.
+
+    One task lists the folder itself, and each folder in it is listed, and read, by the task that it
+    falls to, so neither the driver nor a task ever holds all files.  A store that only Hadoop
+    can open is listed by Spark's own reader, on the driver.
+    """
+    target = spark._jvm.org.apache.hadoop.fs.Path(root)
+    top = target.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(target).toString().rstrip("/")
+    top = re.sub("^file:/+", "file:/", top)
+    try:
+        _system(top)
+    except (pa.ArrowException, OSError):
+        reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+        found = (reader.option("pathGlobFilter", name) if name else reader).load(root)
+        return found.select("path", "length", *(["content"] if content else []))
+
+    def listed(system: fs.FileSystem, below: str, deep: bool) -> Iterator[tuple[str, fs.FileInfo]]:
+        for info in system.get_file_info(fs.FileSelector(below, recursive=deep)):
+            path = info.path[len(below) :].lstrip("/")
+            if not any(map(_hidden, path.split("/"))):
+                yield path, info
+
+    def folder(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                system, base = _system(top)
+                found = [(p, i.size if i.type == fs.FileType.File else None) for p, i in listed(system, base.rstrip("/"), False)]
+                for at in range(0, len(found), _ROWS):
+                    names, sizes = zip(*found[at : at + _ROWS], strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(sizes, pa.int64())], ["name", "size"])
+
+    def files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, base = _system(top)
+        rows, held = [], 0
+        for batch in batches:
+            for entry, size in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                below = f"{base.rstrip('/')}/{entry}"
+                inside = [("", size)] if size is not None else [
+                    (f"/{p}", i.size) for p, i in listed(system, below, True) if i.type == fs.FileType.File
+                ]
+                for path, length in inside:
+                    if name is None or f"{entry}{path}".rpartition("/")[2] == name:
+                        text = system.open_input_stream(below + path).read() if content else None
+                        rows.append((f"{top}/{entry}{path}", length, text))
+                        held += len(text or b"")
+                    if len(rows) >= _ROWS or held >= _BYTES:
+                        yield table(rows)
+                        rows, held = [], 0
+        if rows:
+            yield table(rows)
+
+    def table(rows: list[tuple]) -> pa.RecordBatch:
+        paths, lengths, texts = zip(*rows, strict=True)
+        columns = {"path": pa.array(paths, pa.string()), "length": pa.array(lengths, pa.int64())}
+        return pa.RecordBatch.from_pydict(columns | ({"content": pa.array(texts, pa.binary())} if content else {}))
+
+    names = spark.range(0, 1, 1, 1).mapInArrow(folder, "name string, size long")
+    dealt = names.repartition(4 * spark.sparkContext.defaultParallelism, "name")
+    return dealt.mapInArrow(files, "path string, length long" + (", content binary" if content else ""))
 
 
 def scan_model_store(spark: SparkSession, root: str) -> DataFrame:
-    """(path, length) of every file; the contents are pruned, so nothing is opened."""
-    return _files(spark, root).select("path", "length")
+    """(path, length) of every file; nothing is opened."""
+    return _files(spark, root)
 
 
 def read_refs(spark: SparkSession, root: str) -> DataFrame:
     """(model_id, revision) from each model's refs/main."""
-    refs = _files(spark, root, "main").filter(F.col("path").rlike("/models--[^/]+/refs/main$"))
+    refs = _files(spark, root, "main", content=True).filter(F.col("path").rlike("/models--[^/]+/refs/main$"))
     return listing(refs).select("model_id", F.trim(F.regexp_replace(_text(), "\\s+$", "")).alias("revision"))
 
 
@@ -34,7 +109,7 @@ def _text() -> Column:
 
 def read_model_configs(spark: SparkSession, root: str) -> DataFrame:
     """(model_id, snapshot, metadata) of every snapshot's config.json."""
-    configs = listing(_files(spark, root, "config.json")).filter(F.col("file") == "config.json")
+    configs = listing(_files(spark, root, "config.json", content=True)).filter(F.col("file") == "config.json")
     rows = configs.select("model_id", "snapshot", _text().alias("content"))
     return parse_metadata(rows).drop("content")
 
