@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from textorbit.operators import scan
+from textorbit.operators import batch, scan
 
 
 @pytest.fixture(scope="module")
@@ -83,3 +83,22 @@ def test_hot_key_is_split_over_partitions(rows):
     _, df = rows
     chunks = scan.range_chunks(df, [F.col("seq")], ["k"], 8).filter("k = 'hot'")
     assert chunks.select(scan.CHUNK).distinct().count() >= 3
+
+
+@pytest.mark.parametrize("keys", [[], ["k"]])
+def test_pieces_of_a_range_are_numbered_apart(spark, keys):
+    rows = spark.range(-9000, 30_000, 2).withColumn("k", F.col("id") % 3)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        got = batch.number_rows(rows, ["id"], keys, step=1 << 20)
+        tasks = got.groupBy(F.spark_partition_id()).count().count()
+        found = {r["id"]: r["position"] for r in got.collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    seen, want = {}, {}
+    for i in range(-9000, 30_000, 2):
+        k = i % 3 - (3 if i % 3 and i < 0 else 0) if keys else 0
+        want[i] = seen.get(k, 0)
+        seen[k] = want[i] + 1
+    assert found == want
+    assert tasks > (3 if keys else 1)

@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 from textorbit.operators.scan import CHUNK, positions, range_chunks, step_chunks
 
+#: Values of a range whose rows one task numbers: rows may be wide, and the pieces of a range are counted apart.
+PIECE = 1 << 12
+
 
 def number_rows(
     df: DataFrame,
@@ -20,14 +23,15 @@ def number_rows(
 ) -> DataFrame:
     """0-based position in ``order``, global or per key.
 
-    With ``step`` the first order column must be an integer; its ranges of
+    With ``step`` the first order column must be an integer; pieces of its ranges of
     ``step`` values are numbered independently and shifted by the rows before
     them, without a sort across the table.  Otherwise a range partitioning
     does the cutting.  No window ever spans more than one piece.
     """
     cols = [F.col(c) for c in order]
     if step is not None:
-        return positions(step_chunks(df, order[0], step), partition_by, cols, name).drop(CHUNK)
+        pieces = max(1, step // PIECE)
+        return positions(step_chunks(df, order[0], -(-step // pieces)), partition_by, cols, name, pieces).drop(CHUNK)
     return positions(range_chunks(df, cols, partition_by), partition_by, cols, name).drop(CHUNK)
 
 

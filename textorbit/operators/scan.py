@@ -201,19 +201,27 @@ def running(
 
 
 def positions(
-    df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str = "position"
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str = "position", together: int = 1
 ) -> DataFrame:
-    """0-based position of each chunked row inside its key, in ``order``."""
+    """0-based position of each chunked row inside its key, in ``order``.
+
+    The counts of ``together`` neighbouring chunks are added up first, so chunks may be small
+    without their counts being many rows of one window.
+    """
     here = Window.partitionBy(*_group(keys)).orderBy(*order)
-    before = (
-        Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
-    )
-    offsets = (
-        df.groupBy(*_group(keys))
-        .agg(F.count("*").alias("_rows"))
-        .withColumn("_offset", F.coalesce(F.sum("_rows").over(before), F.lit(0)))
-        .drop("_rows")
-    )
+    ahead = lambda by, at: Window.partitionBy(*by).orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
+    before = lambda by, at: F.coalesce(F.sum("_rows").over(ahead(by, at)), F.lit(0))
+    counts = df.groupBy(*_group(keys)).agg(F.count("*").alias("_rows"))
+    if together == 1:
+        offsets = counts.withColumn("_offset", before(keys, CHUNK)).drop("_rows")
+    else:
+        counts = counts.withColumn("_range", F.expr(f"{CHUNK} div {together}"))
+        whole = counts.groupBy(*keys, "_range").agg(F.sum("_rows").alias("_rows"))
+        whole = whole.withColumn("_first", before(keys, "_range")).drop("_rows")
+        inside = counts.withColumn("_inside", before([*keys, "_range"], CHUNK))
+        offsets = inside.join(whole, [*keys, "_range"]).select(
+            *_group(keys), (F.col("_first") + F.col("_inside")).alias("_offset")
+        )
     placed = df.withColumn("_local", F.row_number().over(here))
     joined = _attach(placed, offsets, keys)
     kept = [F.col(f"`{c}`") for c in df.columns]
