@@ -16,6 +16,7 @@ from typing import Any, Protocol
 
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -393,6 +394,23 @@ def rerank(
 SPECIAL_TOKENS = ("<s>", "</s>")
 
 
+#: Bytes of text whose tokens a task holds at once, and tokens whose ids it remembers.
+TOKENIZED_BYTES, KNOWN_IDS = 1 << 20, 1 << 18
+
+
+def _pieces(batch: pa.RecordBatch, text_col: str) -> Iterator[pa.RecordBatch]:
+    """Neighbouring rows of up to ``TOKENIZED_BYTES`` of text together, or one longer text."""
+    sizes = pc.fill_null(pc.binary_length(batch[text_col]), 0).to_pylist()
+    start = held = 0
+    for at, size in enumerate(sizes):
+        if at > start and held + size > TOKENIZED_BYTES:
+            yield batch.slice(start, at - start)
+            start, held = at, 0
+        held += size
+    if start < batch.num_rows:
+        yield batch.slice(start)
+
+
 def tokenize(
     df: DataFrame,
     text_col: str = "text",
@@ -425,13 +443,13 @@ def tokenize(
         def token_id(t: str) -> int:
             i = ids.get(t)
             if i is None:
-                if len(ids) > 1_000_000:  # bounded memory of a long-lived worker
+                if len(ids) > KNOWN_IDS:  # bounded memory of a long-lived worker
                     ids.clear()
                     ids.update({first: dim, last: dim + 1})
                 i = ids[t] = int(md5(t.encode()).hexdigest()[:8], 16) % dim
             return i
 
-        for batch in batches:
+        for batch in (piece for whole in batches for piece in _pieces(whole, text_col)):
             offsets, words, starts, stops = [0], [], [], []
             empty = []
             for text in batch.column(batch.schema.get_field_index(text_col)).to_pylist():
