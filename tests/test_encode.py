@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -386,3 +387,39 @@ def test_random_pairs_of_sparse_vectors(spark):
         a, b = by_id[r["id_a"]], by_id[r["id_b"]]
         assert r["overlap"] == len(a.keys() & b.keys())
         assert r["dot"] == pytest.approx(sum(a[t] * b[t] for t in a.keys() & b.keys()))
+
+
+def test_tokens_of_few_texts_at_a_time(spark, monkeypatch):
+    texts = ["ä b", None, "", "c" * 50, "d e", "f"] * 3
+    whole = pa.RecordBatch.from_pydict({"text": pa.array(texts)}).slice(1)
+    monkeypatch.setattr(encode, "TOKENIZED_BYTES", 8)
+    pieces = list(encode._pieces(whole, "text"))
+    assert [t for p in pieces for t in p["text"].to_pylist()] == texts[1:]
+    assert len(pieces) > 6 and all(p.num_rows == 1 or sum(len((t or "").encode()) for t in p["text"].to_pylist()) <= 8 for p in pieces)
+    df = spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1)
+    got = [None if r["tokens"] is None else [t["text"] for t in r["tokens"]] for r in encode.tokenize(df).collect()]
+    assert got[:6] == [["<s>", "ä", "b", "</s>"], None, ["<s>", "</s>"], ["<s>", "c" * 50, "</s>"], ["<s>", "d", "e", "</s>"], ["<s>", "f", "</s>"]]
+
+
+def test_similarity_join_in_tiles(spark, monkeypatch):
+    df = frame(spark, vectors(90, dim=4, seed=6), "id")
+    whole = sorted(map(tuple, retrieval.similarity_join(df, 0.5, "id").collect()))
+    monkeypatch.setattr(retrieval, "MET_CELLS", 200)
+    assert sorted(map(tuple, retrieval.similarity_join(df, 0.5, "id").collect())) == whole and len(whole) > 100
+
+
+@pytest.mark.parametrize("held", [7, 40, 1 << 16])
+def test_top_k_sends_a_query_once_to_the_rows_a_task_holds(spark, monkeypatch, held):
+    v = vectors(300, dim=8, seed=13)
+    v[7] = v[8] = v[9]
+    both = [frame(spark, v, n) for n in ("query_id", "corpus_id")]
+    want = sorted(map(tuple, retrieval.top_k(*both, 4, 8, exclude_self=True).collect()))
+    monkeypatch.setattr(retrieval, "HELD_ROWS", held)
+    monkeypatch.setattr(retrieval, "PIVOTS", 30)
+    assert sorted(map(tuple, retrieval.top_k(*both, 4, 8, query_bytes=1, exclude_self=True).collect())) == want
+
+
+def test_cells_share_bins():
+    firsts, parts = retrieval._bins([0, 3, 4, 2, 25, 0, 5, 5, 1], 10)
+    assert parts == [0, 1, 1, 1, 3, 0, 1, 1, 1]
+    assert firsts[1:5] == [0, 0, 0, 1] and firsts[6:] == [4, 4, 5]

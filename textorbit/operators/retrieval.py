@@ -22,10 +22,15 @@ from textorbit.session import cut
 QUERY_BYTES = 16 << 20
 # Scores of queries x corpus rows that a task holds at once.
 TILE_CELLS = 4 << 20
+# Dot products of two blocks that a task of the similarity join holds at once.
+MET_CELLS = 1 << 20
 # Rows per block where blocks replace the sent queries, and in J6.
 BLOCK_ROWS = 4096
-# Cells of blocks that queries are sent to.
+# Cells that queries are compared with.
 PIVOTS = 256
+# Corpus rows of neighbouring cells that a task holds, and tasks that there should be at least: a query is
+# sent to each held set of rows once, a corpus row to each share of the queries.
+HELD_ROWS, TASKS = 1 << 16, 64
 
 
 def check_width(df: DataFrame, col: str = "embedding") -> tuple[DataFrame, DataFrame]:
@@ -194,14 +199,31 @@ def _units(vectors: np.ndarray) -> np.ndarray:
     return np.divide(vectors, norms, out=np.zeros_like(vectors), where=norms > 0)
 
 
-def _past_blocks(blocks: DataFrame, asked: DataFrame, k: int, dim: int) -> DataFrame:
-    """The k best of each block for the queries (cell, part, id, vec) that were sent to it.
+def _past_blocks(blocks: DataFrame, asked: DataFrame, k: int, dim: int, n_cells: int) -> DataFrame:
+    """The k best of each block for the queries (bin, share, id, vec, mask, floor) that were sent to it.
 
-    One task holds a block and reads its queries past it, in the batches that they come in.
+    One task holds a block (bin, share, id, vec, cell) and reads its queries past it, in the batches
+    that they come in.  A query meets the cells in its ``mask``, or more if most queries
+    want most of the block, and answers below its ``floor`` are left out.
     """
-    keys = ["cell", "part", "kind"]
-    columns = [*keys, "id", "vec"]
-    both = blocks.withColumn("kind", F.lit(0)).select(columns).unionByName(asked.withColumn("kind", F.lit(1)).select(columns))
+    keys, none = ["bin", "share", "kind"], F.lit(None)
+    columns = [*keys, "id", "vec", "cell", "mask", "floor"]
+    rows = blocks.withColumns({"kind": F.lit(0), "mask": none.cast("binary"), "floor": none.cast("double")})
+    both = rows.select(columns).unionByName(asked.withColumns({"kind": F.lit(1), "cell": none.cast("int")}).select(columns))
+
+    def met(vectors: np.ndarray, masks: list[bytes], held: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        ids, corpus, cells, starts = held
+        bits = np.unpackbits(np.frombuffer(b"".join(masks), np.uint8).reshape(len(masks), -1), axis=1)[:, :n_cells]
+        wanted, sizes = bits[:, cells].astype(bool), np.diff(starts)
+        if wanted @ sizes @ np.ones(len(masks)) > 0.5 * len(masks) * len(ids):
+            return _best(vectors, corpus, ids, k)
+        best = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+        for n, (start, end) in enumerate(zip(starts[:-1], starts[1:], strict=True)):
+            some = np.flatnonzero(wanted[:, n])
+            if some.size:
+                q, i, score = _best(vectors[some], corpus[start:end], ids[start:end], k)
+                best = _leading(*(np.append(a, b) for a, b in zip(best, (some[q], i, score), strict=True)), k)
+        return best
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, parts, held = None, [], None
@@ -212,15 +234,36 @@ def _past_blocks(blocks: DataFrame, asked: DataFrame, k: int, dim: int) -> DataF
                 some = batch.slice(start, end - start)
                 if (marks[0][start], marks[1][start]) != now:
                     now, parts, held = (marks[0][start], marks[1][start]), [], None
-                ids, vectors = some.column(3).to_numpy(), _matrix(some.column(4), dim)
+                ids, vectors = some["id"].to_numpy(), _matrix(some["vec"], dim)
                 if marks[2][start] == 0:
-                    parts.append((ids, vectors))
-                elif parts:
-                    held = held or [np.concatenate(c) for c in zip(*parts, strict=True)]
-                    q, i, score = _best(vectors, held[1], held[0], k)
-                    yield pa.RecordBatch.from_pydict({"qid": ids[q], "cid": i, "score": score})
-
-    return both.repartition("cell", "part").sortWithinPartitions(*keys).mapInArrow(compare, _HITS)
+                    parts.append((ids, vectors, some["cell"].to_numpy()))
+                elif parts or held:
+                    if held is None:
+                        i, v, c = (np.concatenate(x) for x in zip(*parts, strict=True))
+                        order, parts = np.argsort(c, kind="stable"), []
+                        cells, first = np.unique(c[order], return_index=True)
+                        held = i[order], v[order], cells, np.append(first, len(c))
+                    q, i, score = met(vectors, some["mask"].to_pylist(), held)
+                    floor = some["floor"].to_numpy(zero_copy_only=False)[q]
+                    near = np.isnan(floor) | (score >= floor)
+                    yield pa.RecordBatch.from_pydict({"qid": ids[q[near]], "cid": i[near], "score": score[near]})
+
+    return both.repartition("bin", "share").sortWithinPartitions(*keys).mapInArrow(compare, _HITS)
+
+
+def _bins(sizes: list[int], most: int) -> tuple[list[int], list[int]]:
+    """First bin of each cell, and the bins it takes: small cells share one of up to ``most`` rows, large ones are cut."""
+    firsts, parts, used, filled = [], [], -1, most
+    for n in sizes:
+        wanted = -(-n // most)
+        if wanted == 1 and filled + n <= most:
+            filled += n
+        elif wanted:
+            used, filled = used + 1, n if wanted == 1 else most
+        firsts.append(max(used, 0))
+        parts.append(wanted)
+        used += max(wanted - 1, 0)
+    return firsts, parts
 
 
 def _top_k_blocks(queries: DataFrame, corpus: DataFrame, k: int, dim: int) -> DataFrame:
@@ -250,16 +293,23 @@ def _top_k_blocks(queries: DataFrame, corpus: DataFrame, k: int, dim: int) -> Da
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell, pa.int32()), pa.array(near)], [*batch.schema.names, "cell", "angle"])
 
     placed = cut(corpus.mapInArrow(place, f"cid long, vec {kind}, cell int, angle double"))
-    radius, parts = np.full(len(pivots), -1.0), [0] * len(pivots)
+    radius, sizes = np.full(len(pivots), -1.0), [0] * len(pivots)
     for row in placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("angle").alias("r")).collect():  # PIVOTS at most
-        radius[row.cell], parts[row.cell] = row.r, -(-row.n // BLOCK_ROWS)
+        radius[row.cell], sizes[row.cell] = row.r, row.n
     lived = np.flatnonzero(radius >= 0)
-    split = lambda: F.element_at(F.array(*[F.lit(n) for n in parts]), F.col("cell") + 1)
-    blocks = placed.select("cell", F.pmod(F.xxhash64("cid"), split()).cast("int").alias("part"), F.col("cid").alias("id"), "vec")
+    # About as many bins of cells as shares of the queries, as long as a task can hold the bin.
+    firsts, parts = _bins(sizes, min(HELD_ROWS, max(BLOCK_ROWS, math.ceil(sum(sizes) / math.sqrt(TASKS)))))
+    shares = max(1, -(-TASKS // (max(a + n for a, n in zip(firsts, parts, strict=True)))))
+    of = lambda held: F.element_at(F.array(*[F.lit(n) for n in held]), F.col("cell") + 1)
+    blocks = placed.select(
+        (of(firsts) + F.pmod(F.xxhash64("cid"), of(parts))).cast("int").alias("bin"), "cell", F.col("cid").alias("id"), "vec"
+    )
+    shared = blocks.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))))
     vec_kind = queries.schema["vec"].dataType.simpleString()
+    reached = [np.arange(a, a + n) for a, n in zip(firsts, parts, strict=True)]
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Cells that a query may have hits in: the nearest without a ``floor``, else the others within reach."""
+        """Cells that a query may have hits in, and their bins: the nearest without a ``floor``, else all within reach."""
         for batch in batches:
             batch = _present(batch, dim)
             if not batch.num_rows:
@@ -270,21 +320,27 @@ def _top_k_blocks(queries: DataFrame, corpus: DataFrame, k: int, dim: int) -> Da
             best = np.cos(np.maximum(angles - radius[lived], 0))
             first = np.arange(len(lived)) == nearest[:, None]
             with np.errstate(invalid="ignore"):
-                wanted = np.where(np.isnan(floor)[:, None], first, ~first & (best >= floor[:, None] - 2e-6))
-            lists = [lived[w].tolist() for w in wanted]
-            yield pa.RecordBatch.from_arrays([batch["qid"], batch["vec"], pa.array(lists, pa.list_(pa.int32()))], ["qid", "vec", "cells"])
-
-    def sent(rows: DataFrame) -> DataFrame:
-        rows = rows.select("qid", "vec", "floor").mapInArrow(cells, f"qid long, vec {vec_kind}, cells array<int>")
-        rows = rows.select(F.col("qid").alias("id"), "vec", F.explode("cells").alias("cell"))
-        return rows.select("id", "vec", "cell", F.explode(F.sequence(F.lit(0), split() - 1)).alias("part"))
+                wanted = np.where(np.isnan(floor)[:, None], first, best >= floor[:, None] - 2e-6)
+            mask = np.zeros((batch.num_rows, len(pivots)), np.uint8)
+            mask[:, lived] = wanted
+            bins = [np.unique(np.concatenate([reached[c] for c in lived[w]])).tolist() if w.any() else [] for w in wanted]
+            bits = pa.array([m.tobytes() for m in np.packbits(mask, axis=1)], pa.binary())
+            yield pa.RecordBatch.from_arrays(
+                [batch["qid"], batch["vec"], batch["floor"], bits, pa.array(bins, pa.list_(pa.int32()))], ["qid", "vec", "floor", "mask", "bins"]
+            )
+
+    def sent(rows: DataFrame, shares: int) -> DataFrame:
+        rows = rows.select("qid", "vec", "floor").mapInArrow(cells, f"qid long, vec {vec_kind}, floor double, mask binary, bins array<int>")
+        share = F.pmod(F.xxhash64("qid"), F.lit(shares)).cast("int").alias("share")
+        return rows.select(F.col("qid").alias("id"), "vec", "floor", "mask", share, F.explode("bins").alias("bin"))
 
     queries = queries.filter(F.col("vec").isNotNull())
-    near = cut(_past_blocks(blocks, sent(queries.withColumn("floor", F.lit(float("nan")))), k, dim))
+    first = sent(queries.withColumn("floor", F.lit(float("nan"))), 1)
+    near = _past_blocks(blocks.withColumn("share", F.lit(0)), first, k, dim, len(pivots))
     order = Window.partitionBy("qid").orderBy(F.desc("score"), "cid")
     kth = near.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") == k).select("qid", F.col("score").alias("floor"))
     rest = queries.join(kth, "qid", "left").withColumn("floor", F.coalesce("floor", F.lit(-2.0)))
-    return near.unionByName(_past_blocks(blocks, sent(rest), k, dim))
+    return _past_blocks(shared, sent(rest, shares), k, dim, len(pivots))
 
 
 def nearest_labelled(
@@ -362,13 +418,18 @@ def _meetings(
     )
 
     def hits(left: pa.Table, right: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        dots = _matrix(left["vec"], dim) @ _matrix(right["vec"], dim).T
-        hit = dots >= threshold
+        ours, theirs = _matrix(left["vec"], dim), _matrix(right["vec"], dim).T
         # Two home members meet twice; the ordered meeting counts.
-        both = right["home"].to_numpy(zero_copy_only=False)
-        hit &= ~both[None, :] | (left["id"].to_numpy()[:, None] < right["id"].to_numpy()[None, :])
-        i, j = np.nonzero(hit)
-        return i, j, np.floor(dots[i, j] * 1e6 + 0.5) / 1e6
+        alone = ~right["home"].to_numpy(zero_copy_only=False).astype(bool)
+        ids, others = left["id"].to_numpy(), right["id"].to_numpy()
+        tile, found = max(1, MET_CELLS // len(others)), []
+        for at in range(0, len(ids), tile):
+            dots = ours[at : at + tile] @ theirs
+            i, j = np.nonzero(dots >= threshold)
+            kept = alone[j] | (ids[at + i] < others[j])
+            i, j = i[kept], j[kept]
+            found.append((at + i, j, np.floor(dots[i, j] * 1e6 + 0.5) / 1e6))
+        return tuple(np.concatenate(c) for c in zip(*found, strict=True))
 
     def pairs(left: pa.Table, right: pa.Table) -> pa.Table:
         i, j, score = hits(left, right) if left.num_rows and right.num_rows else (np.empty(0, int),) * 3
