@@ -423,3 +423,39 @@ def test_cells_share_bins():
     firsts, parts = retrieval._bins([0, 3, 4, 2, 25, 0, 5, 5, 1], 10)
     assert parts == [0, 1, 1, 1, 3, 0, 1, 1, 1]
     assert firsts[1:5] == [0, 0, 0, 1] and firsts[6:] == [4, 4, 5]
+
+
+def test_blocks_meet_once(spark):
+    """A row is sent out once for each block that its own meets, also to its own block."""
+    rows = spark.createDataFrame([(n, n, 3, 2) for n in range(5)], "id long, block int, own int, others int")
+    met = retrieval._to_blocks(rows.withColumn("cell", F.lit(7)), ["cell"], "own", "others").collect()
+    pairs = {(lo, hi) for lo in range(3) for hi in range(lo, 5)}
+    assert sorted((r["lo"], r["hi"], r["block"]) for r in met) == sorted((*p, b) for p in pairs for b in set(p))
+
+
+@pytest.mark.parametrize("name", ["similarity_candidates", "similarity_join"])
+def test_vectors_are_dealt_once_and_pairs_not_again(spark, name):
+    """The comparison is the last step: a pair found in many buckets is given out by the first of them."""
+    v = np.vstack([_clustered()[:400], _clustered()[:3]])
+    df = frame(spark, v, "id")
+    found = getattr(retrieval, name)(df, 0.95, "id", block_rows=5)
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    assert plan.startswith("FlatMapGroupsInArrow")
+    pairs = [(r["id_a"], r["id_b"]) for r in found.collect()]
+    assert len(pairs) == len(set(pairs)) > 1000
+    dots = v[:400].astype(float) @ v[:400].astype(float).T
+    want = set(zip(*(x.tolist() for x in np.nonzero(np.triu(dots >= 0.95, 1))), strict=True))
+    assert set(pairs) <= want and len(pairs) >= 0.9 * len(want)
+
+
+def test_pairs_near_the_threshold_are_decided_in_double_precision():
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(300, 16))
+    v = (v / np.linalg.norm(v, axis=1, keepdims=True)).astype(np.float32)
+    rows = pa.table({"id": np.arange(300), "vec": pa.array(v.tolist(), pa.list_(pa.float32()))})
+    dots = np.einsum("nd,md->nm", v.astype(float), v.astype(float))
+    for threshold in np.sort(dots[np.triu_indices(300, 1)])[[40000, 44000, 44800]].tolist():
+        found = list(retrieval._met(rows, rows, True, 16, threshold))
+        got = {(i, j) for a, b, _ in found for i, j in zip(a.tolist(), b.tolist(), strict=True)}
+        sure = {(i, j) for i, j in zip(*(x.tolist() for x in np.nonzero(np.triu(dots >= threshold + 1e-14, 1))), strict=True)}
+        assert sure <= got and len(got) <= len(sure) + 1

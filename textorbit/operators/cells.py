@@ -21,6 +21,8 @@ SENT_BYTES = 16 << 20
 TRIED_ROWS = 1024
 #: A cell is split if that leaves at most this share of its work.
 GAIN = 0.5
+#: Blocks that a cell is cut into, as long as one has at least ``leaf_rows`` rows and at most ``WIDE`` times as many.
+SHARES, WIDE = 8, 8
 _SLICE = 1024
 
 
@@ -35,10 +37,17 @@ def angles(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.arccos(np.clip(a @ b.T, -1, 1))
 
 
+def blocks(h: Column, a: Column, leaf_rows: int) -> tuple[Column, Column]:
+    """Blocks of a cell's ``h`` own rows and blocks of its visitors, ``a`` rows in all."""
+    rows = F.greatest(F.lit(leaf_rows), F.least(F.lit(WIDE * leaf_rows), F.ceil(a / SHARES)))
+    return F.ceil(h / rows), F.ceil((a - h) / rows)
+
+
 def _work(h: Column, a: Column, leaf_rows: int) -> Column:
-    """Comparisons of ``h`` own rows with all ``a`` of a cell; a row sent to a block counts as half a block's."""
-    copies = h * F.ceil(a / leaf_rows) + a * F.ceil(h / leaf_rows)
-    return h * a + copies * (leaf_rows / 2)
+    """Comparisons of ``h`` own rows with each other and all visitors of a cell; a row sent to a block counts as half a leaf's."""
+    own, others = blocks(h, a, leaf_rows)
+    copies = h * (own + others) + (a - h) * own
+    return h * (a - h / 2) + copies * (leaf_rows / 2)
 
 
 def _pivots(rows: DataFrame, level: int, fanout: int) -> DataFrame:
@@ -53,21 +62,26 @@ class _Splitter:
     """Deals rows to the cells below theirs.
 
     A row's own cell is that of its nearest pivot.  Rows within ``angle`` of a member of another cell
-    are at most twice ``angle`` farther from its pivot than from their nearest one, and go
+    are at most twice ``angle`` farther from its pivot than from their nearest one, and within ``angle``
+    of the half of the sphere that is nearer to its pivot; they go
     there as visitors.  Of two cells' own rows only those of the later cell visit, so a pair meets once.
     """
 
     def __init__(self, kind: str, dim: int, angle: float, fanout: int):
         self.schema = f"id long, vec {kind}, copies long, cell long, home boolean, angle double"
         self.dim, self.reach, self.fanout = dim, 2 * angle + 1e-6, fanout
+        self.sine = math.sin(angle) if angle < math.pi / 2 else math.inf
 
     def below(self, rows: pa.RecordBatch, cell: int, slots: np.ndarray, centres: np.ndarray) -> Iterator[pa.RecordBatch]:
+        squares = (centres**2).sum(1)
+        apart = np.sqrt(np.maximum(squares[:, None] + squares - 2 * centres @ centres.T, 1e-12))
         for at in range(0, rows.num_rows, _SLICE):
             some = rows.slice(at, _SLICE)
             far = angles(matrix(some["vec"], self.dim), centres)
             nearest, number = far.argmin(1)[:, None], np.arange(len(centres))
             home = some["home"].to_numpy(zero_copy_only=False).astype(bool)
             near = far <= far.min(1, keepdims=True) + self.reach
+            near &= np.cos(far.min(1, keepdims=True)) - np.cos(far) <= self.sine * apart[nearest[:, 0]] + 1e-6
             near &= ~home[:, None] | (number <= nearest)
             row, col = np.nonzero(near)
             out = some.select(["id", "vec", "copies"]).take(pa.array(row))
@@ -139,7 +153,7 @@ def metric_cells(
     leaves at most ``GAIN`` of the work, copies of rows included.  Rows that lie within each other's reach stay one cell,
     which its reader cuts into blocks.  The trial steers the work, never the pairs.
 
-    The number of cells grows with the rows.  Visitors farther from a cell's pivot than its
+    The number of cells grows with the rows; ``blocks`` says how its reader cuts one.  Visitors farther from a cell's pivot than its
     farthest own row and ``angle`` are left out.  A level is written, so the next one starts from a table.
     """
     kind = rows.schema["vec"].dataType.simpleString()

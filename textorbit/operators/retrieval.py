@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from textorbit.functions import vectors as vec
 from textorbit.functions.formats import round6
-from textorbit.operators.cells import FANOUT, SENT_BYTES, metric_cells
+from textorbit.operators.cells import FANOUT, SENT_BYTES, WIDE, blocks, metric_cells
 from textorbit.operators.cells import angles as _angles
 from textorbit.operators.cells import matrix as _matrix
 from textorbit.session import cut
@@ -385,12 +385,93 @@ def vector_groups(df: DataFrame, id_col: str, vector_col: str = "embedding") ->
 
 _PAIRS = "id_a long, id_b long, copies_a long, copies_b long, score double"
 _LINKS = "id long, copies long, links long, linked_copies long, score double, best_id long"
+_CHOSEN = 1 << 14
+
+
+def _to_blocks(rows: DataFrame, keys: list[str], lone: str, others: str) -> DataFrame:
+    """Rows with their ``block`` once for each pair of blocks (lo, hi) that they are part of.
+
+    Of the blocks of a cell the first ``lone`` meet themselves and each other, and each of the ``others`` after them.
+    """
+    meets = f"transform(sequence(0, if(block < {lone}, {lone} + {others}, {lone}) - 1), k -> struct(least(k, block) AS lo, greatest(k, block) AS hi))"
+    return rows.withColumn("met", F.explode(F.expr(meets))).select(*keys, "met.lo", "met.hi", "block", *[c for c in rows.columns if c not in (*keys, "block", lone, others)])
+
+
+def _sides(batches: Iterator[pa.RecordBatch]) -> tuple[pa.Table, pa.Table, bool]:
+    """Rows of the one and the other block of a pair, and whether it is the same."""
+    rows = pa.Table.from_batches(list(batches))
+    lo, hi, block = rows["lo"][0].as_py(), rows["hi"][0].as_py(), rows["block"]
+    rows = rows.drop_columns(["lo", "hi", "block"])
+    if lo == hi:
+        return rows, rows, True
+    return rows.filter(pc.equal(block, lo)), rows.filter(pc.equal(block, hi)), False
+
+
+def _met(left: pa.Table, right: pa.Table, same: bool, dim: int, threshold: float, keep=None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(row of left, row of right, score) of the pairs with dot product >= ``threshold``, a tile at a time.
+
+    In single precision most pairs are clearly too far apart; the others are decided in double precision,
+    after ``keep`` if given.  Two rows of the same block meet twice; the ordered meeting counts.
+    """
+    if not left.num_rows or not right.num_rows:
+        return
+    ours, theirs = _matrix(left["vec"], dim), _matrix(right["vec"], dim)
+    ids, others = left["id"].to_numpy(), right["id"].to_numpy()
+    lengths = [math.sqrt((v**2).sum(1).max()) for v in (ours, theirs)]
+    floor = np.float32(threshold - (dim + 4) * 2.0**-23 * lengths[0] * lengths[1] - 1e-7 * abs(threshold))
+    single, across = ours.astype(np.float32), theirs.astype(np.float32).T
+    tile = max(1, MET_CELLS // len(others))
+    for at in range(0, len(ids), tile):
+        near = np.flatnonzero(single[at : at + tile] @ across >= floor)  # several times faster than nonzero of two axes
+        for start in range(0, len(near), _CHOSEN):
+            a, b = np.divmod(near[start : start + _CHOSEN], len(others))
+            a += at
+            if same:
+                ordered = ids[a] < others[b]
+                a, b = a[ordered], b[ordered]
+            if keep is not None:
+                kept = keep(a, b)
+                a, b = a[kept], b[kept]
+            dots = np.einsum("nd,nd->n", ours[a], theirs[b])
+            hit = dots >= threshold
+            if hit.any():
+                yield a[hit], b[hit], np.floor(dots[hit] * 1e6 + 0.5) / 1e6
+
+
+def _pairs(left: pa.Table, right: pa.Table, found: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    ids, copies = [[t[c].to_numpy() for t in (left, right)] for c in ("id", "copies")]
+    for i, j, score in found:
+        a, b, ca, cb = ids[0][i], ids[1][j], copies[0][i], copies[1][j]
+        swap = a > b
+        columns = np.where(swap, b, a), np.where(swap, a, b), np.where(swap, cb, ca), np.where(swap, ca, cb)
+        numbers = [pa.array(c, pa.int64()) for c in columns]
+        yield pa.RecordBatch.from_arrays([*numbers, pa.array(score, pa.float64())], ["id_a", "id_b", "copies_a", "copies_b", "score"])
+
+
+def _counts(left: pa.Table, right: pa.Table, found: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    """What a pair of blocks says of the links of its rows, a row for each that has one."""
+    sides = [(t["id"].to_numpy(), t["copies"].to_numpy()) for t in (left, right)]
+    totals = [[np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64), np.full(len(ids), -np.inf), np.zeros(len(ids), np.int64)] for ids, _ in sides]
+    for i, j, score in found:
+        for at, to, (links, linked, high, best), (ids, copies) in ((i, j, totals[0], sides[1]), (j, i, totals[1], sides[0])):
+            np.add.at(links, at, 1)
+            np.add.at(linked, at, copies[to])
+            order = np.lexsort((ids[to], -score, at))
+            rows, first = np.unique(at[order], return_index=True)
+            top, who = score[order[first]], ids[to][order[first]]
+            better = (top > high[rows]) | ((top == high[rows]) & (who < best[rows]))
+            high[rows[better]], best[rows[better]] = top[better], who[better]
+    for (ids, copies), (links, linked, high, best) in zip(sides, totals, strict=True):
+        some = np.flatnonzero(links)
+        numbers = [pa.array(c[some], pa.int64()) for c in (ids, copies, links, linked)]
+        last = [pa.array(high[some], pa.float64()), pa.array(best[some], pa.int64())]
+        yield pa.RecordBatch.from_arrays([*numbers, *last], ["id", "copies", "links", "linked_copies", "score", "best_id"])
 
 
 def _meetings(
     df: DataFrame, threshold: float, id_col: str, vector_col: str, pivots: int, block_rows: int, sent_bytes: int, links: bool
 ) -> DataFrame:
-    """Pairs of distinct vectors with dot product >= ``threshold``, or what each block says of its rows' links."""
+    """Pairs of distinct vectors with dot product >= ``threshold``, or what each pair of blocks says of its rows' links."""
     distinct = cut(vector_groups(df.filter(F.col(vector_col).isNotNull()), id_col, vector_col))
     distinct = distinct.select(F.col("id").cast("long").alias("id"), "vec", "copies")
     one = distinct.select(F.size("vec").alias("dim")).first()
@@ -398,67 +479,19 @@ def _meetings(
         return df.sparkSession.createDataFrame([], _LINKS if links else _PAIRS)
     dim, angle = one["dim"], math.acos(max(-1.0, min(1.0, threshold)))
     placed = metric_cells(distinct, dim, angle, block_rows, pivots, sent_bytes)
-    sizes = cut(
-        placed.groupBy("cell").agg(
-            F.ceil(F.count_if("home") / block_rows).alias("n_home"),
-            F.ceil(F.count("*") / block_rows).alias("n_all"),
-        )
-    )
-    blocked = placed.join(sizes, "cell")
+    sizes = placed.groupBy("cell").agg(F.count_if("home").alias("n_home"), F.count("*").alias("n_all"))
+    own, others = blocks(F.col("n_home"), F.col("n_all"), block_rows)
+    sizes = cut(sizes.filter("n_home > 0").select("cell", own.cast("int").alias("own"), others.cast("int").alias("others")))
     member = F.xxhash64("id")
-    homes = blocked.filter("home").select(
-        "id", "vec", "copies", "cell",
-        F.pmod(member, "n_home").alias("hb"),
-        F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_all") - 1)).alias("ab"),
-    )
-    others = blocked.select(
-        *[F.col(c).alias(c) for c in ("id", "vec", "copies", "cell", "home")],
-        F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_home") - 1)).alias("hb"),
-        F.pmod(member, "n_all").alias("ab"),
-    )
+    block = F.when(F.col("home"), F.pmod(member, "own")).otherwise(F.col("own") + F.pmod(member, "others"))
+    blocked = placed.join(sizes, "cell").withColumn("block", block.cast("int")).drop("home")
 
-    def hits(left: pa.Table, right: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        ours, theirs = _matrix(left["vec"], dim), _matrix(right["vec"], dim).T
-        # Two home members meet twice; the ordered meeting counts.
-        alone = ~right["home"].to_numpy(zero_copy_only=False).astype(bool)
-        ids, others = left["id"].to_numpy(), right["id"].to_numpy()
-        tile, found = max(1, MET_CELLS // len(others)), []
-        for at in range(0, len(ids), tile):
-            dots = ours[at : at + tile] @ theirs
-            i, j = np.nonzero(dots >= threshold)
-            kept = alone[j] | (ids[at + i] < others[j])
-            i, j = i[kept], j[kept]
-            found.append((at + i, j, np.floor(dots[i, j] * 1e6 + 0.5) / 1e6))
-        return tuple(np.concatenate(c) for c in zip(*found, strict=True))
-
-    def pairs(left: pa.Table, right: pa.Table) -> pa.Table:
-        i, j, score = hits(left, right) if left.num_rows and right.num_rows else (np.empty(0, int),) * 3
-        a, b = left["id"].to_numpy()[i], right["id"].to_numpy()[j]
-        ca, cb = left["copies"].to_numpy()[i], right["copies"].to_numpy()[j]
-        swap = a > b
-        columns = np.where(swap, b, a), np.where(swap, a, b), np.where(swap, cb, ca), np.where(swap, ca, cb)
-        numbers = [pa.array(c, pa.int64()) for c in columns]
-        return pa.Table.from_arrays([*numbers, pa.array(score, pa.float64())], ["id_a", "id_b", "copies_a", "copies_b", "score"])
-
-    def counts(left: pa.Table, right: pa.Table) -> pa.Table:
-        i, j, score = hits(left, right) if left.num_rows and right.num_rows else (np.empty(0, int),) * 3
-        out = []
-        for mine, at, theirs, to in ((left, i, right, j), (right, j, left, i)):
-            ids, copies = theirs["id"].to_numpy()[to], theirs["copies"].to_numpy()[to]
-            order = np.lexsort((ids, -score, at))
-            rows, first = np.unique(at[order], return_index=True)
-            best = order[first]
-            links = np.bincount(at, minlength=mine.num_rows)[rows]
-            linked = np.bincount(at, copies, minlength=mine.num_rows)[rows]
-            columns = mine["id"].to_numpy()[rows], mine["copies"].to_numpy()[rows], links, linked.astype(np.int64)
-            numbers = [pa.array(c, pa.int64()) for c in columns]
-            last = [pa.array(score[best], pa.float64()), pa.array(ids[best], pa.int64())]
-            out.append(pa.Table.from_arrays([*numbers, *last], ["id", "copies", "links", "linked_copies", "score", "best_id"]))
-        return pa.concat_tables(out)
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left, right, same = _sides(batches)
+        yield from (_counts if links else _pairs)(left, right, _met(left, right, same, dim, threshold))
 
-    keys = ["cell", "hb", "ab"]
-    met = homes.groupBy(*keys).cogroup(others.groupBy(*keys))
-    return met.applyInArrow(counts, _LINKS) if links else met.applyInArrow(pairs, _PAIRS)
+    met = _to_blocks(blocked, ["cell"], "own", "others").groupBy("cell", "lo", "hi")
+    return met.applyInArrow(compare, _LINKS if links else _PAIRS)
 
 
 def similarity_join(
@@ -477,7 +510,8 @@ def similarity_join(
 
     Vectors are dealt to cells around pivots (``metric_cells``), which are split ``pivots`` ways as
     long as they have more than ``block_rows`` rows and a split saves comparisons.  What is
-    left is cut into blocks of ``block_rows``; a task compares two blocks, however large the cell.
+    left is cut into blocks (``cells.blocks``); a task compares two blocks, however large the cell, and
+    two blocks meet in one task, so a row is sent out once for each block that its own one meets.
     """
     return _meetings(df, threshold, id_col, vector_col, pivots, block_rows, sent_bytes, links=False)
 
@@ -520,54 +554,51 @@ def similarity_candidates(
 
     Copies are folded first.  Each vector is listed in ``tables`` buckets by the sides of
     random planes, as many as give about ``bucket_rows`` vectors a bucket if directions
-    are even.  Vectors of a bucket are compared in blocks, so a crowded bucket is
-    spread over tasks.  At angle a one table keeps a pair with (1 - a / pi) ** planes.
+    are even.  Vectors of a bucket are compared in blocks, so a crowded bucket of more than ``WIDE`` times
+    ``block_rows`` is spread over tasks.  A vector carries its place in all tables, and a pair counts in the first table
+    that it meets in, so no pair is given out twice.  At angle a one table keeps a pair with (1 - a / pi) ** planes.
     """
     distinct = cut(vector_groups(df.filter(F.col(vector_col).isNotNull()), id_col, vector_col))
     found = distinct.agg(F.count("*").alias("n"), F.max(F.size("vec")).alias("dim")).first()
-    schema = "id_a long, id_b long, copies_a long, copies_b long, score double"
     if not found["n"]:
-        return df.sparkSession.createDataFrame([], schema)
+        return df.sparkSession.createDataFrame([], _PAIRS)
     dim, planes = found["dim"], max(1, math.ceil(math.log2(max(found["n"] / bucket_rows, 2))))
     normals = np.random.default_rng(seed).normal(size=(dim, tables * planes))
     powers = 1 << np.arange(planes, dtype=np.int64)
+    mark = np.uint16 if planes <= 16 else np.uint32
+    kind = distinct.schema["vec"].dataType.simpleString()
 
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
         for whole in batches:
             for at in range(0, whole.num_rows, 2048):
                 batch = _present(whole.slice(at, 2048), dim)
                 if batch.num_rows:
-                    sides = (_matrix(batch.column("vec"), dim) @ normals > 0).reshape(-1, tables, planes)
-                    keys = sides @ powers * tables + np.arange(tables)
-                    out = batch.take(pa.array(np.repeat(np.arange(batch.num_rows), tables)))
-                    yield out.append_column("bucket", pa.array(keys.ravel(), pa.int64()))
+                    yield batch, (_matrix(batch.column("vec"), dim) @ normals > 0).reshape(-1, tables, planes) @ powers
 
-    placed = distinct.select("id", "vec", "copies").mapInArrow(
-        place, "id long, vec array<float>, copies long, bucket long"
-    )
-    sizes = placed.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
-    sizes = sizes.select("bucket", F.ceil(F.col("n") / block_rows).alias("blocks"))
-    rows = placed.join(sizes, "bucket").withColumn("block", F.pmod(F.xxhash64("id"), "blocks"))
-    left = rows.withColumn("other", F.expr("explode(sequence(block, blocks - 1))"))
-    own = [F.col(c).alias(c) for c in ("id", "vec", "copies", "bucket")]  # columns of its own for the second side
-    right = rows.select(*own, F.col("block").alias("other"), F.expr("explode(sequence(0L, block))").alias("block"))
-
-    def compare(a: pa.Table, b: pa.Table) -> pa.Table:
-        names = ["id_a", "id_b", "copies_a", "copies_b", "score"]
-        if a.num_rows == 0 or b.num_rows == 0:
-            return pa.Table.from_arrays([pa.array([], pa.int64())] * 4 + [pa.array([], pa.float64())], names)
-        dots = _matrix(a["vec"], dim) @ _matrix(b["vec"], dim).T
-        ids_a, ids_b = a["id"].to_numpy(), b["id"].to_numpy()
-        hit = dots >= threshold
-        if a["block"][0].as_py() == b["other"][0].as_py():
-            hit &= ids_a[:, None] < ids_b[None, :]
-        i, j = np.nonzero(hit)
-        swap = ids_a[i] > ids_b[j]
-        x, y = ids_a[i], ids_b[j]
-        cx, cy = a["copies"].to_numpy()[i], b["copies"].to_numpy()[j]
-        columns = np.where(swap, y, x), np.where(swap, x, y), np.where(swap, cy, cx), np.where(swap, cx, cy)
-        return pa.Table.from_arrays([*map(pa.array, columns), pa.array(np.floor(dots[i, j] * 1e6 + 0.5) / 1e6)], names)
-
-    keys = ["bucket", "block", "other"]
-    pairs = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(compare, schema)
-    return pairs.groupBy("id_a", "id_b").agg(*[F.max(c).alias(c) for c in ("copies_a", "copies_b", "score")])
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, sides in places(batches):
+            marks = batch.append_column("marks", pa.array([m.tobytes() for m in sides.astype(mark)], pa.binary()))
+            out = marks.take(pa.array(np.repeat(np.arange(batch.num_rows), tables)))
+            yield out.append_column("bucket", pa.array((sides * tables + np.arange(tables)).ravel(), pa.int64()))
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, sides in places(batches):
+            bucket, n = np.unique(sides * tables + np.arange(tables), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(bucket, pa.int64()), pa.array(n, pa.int64())], ["bucket", "n"])
+
+    rows = distinct.select("id", "vec", "copies")
+    sizes = rows.mapInArrow(tally, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    crowded = cut(sizes.filter(F.col("n") > WIDE * block_rows).select("bucket", F.ceil(F.col("n") / (WIDE * block_rows)).cast("int").alias("own")))
+    placed = rows.mapInArrow(place, f"id long, vec {kind}, copies long, marks binary, bucket long")
+    # A crowded bucket has thousands of rows, so they are few.
+    placed = placed.join(F.broadcast(crowded), "bucket", "left").withColumns({"own": F.coalesce("own", F.lit(1)), "others": F.lit(0)})
+    blocked = placed.withColumn("block", F.pmod(F.xxhash64("id"), "own").cast("int"))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left, right, same = _sides(batches)
+        table = left["bucket"][0].as_py() % tables if left.num_rows else 0
+        a, b = (np.frombuffer(b"".join(t["marks"].to_pylist()), mark).reshape(-1, tables) for t in (left, right))
+        first = lambda i, j: ~(a[i, :table] == b[j, :table]).any(1)
+        yield from _pairs(left, right, _met(left, right, same, dim, threshold, first))
+
+    return _to_blocks(blocked, ["bucket"], "own", "others").groupBy("bucket", "lo", "hi").applyInArrow(compare, _PAIRS)
