@@ -2,11 +2,12 @@ import datetime as dt
 import random
 import time
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from textorbit.operators import fleet, logs
-from textorbit.streaming import flows
+from textorbit.streaming import flows, state
 
 CHECK = "instance long, seq long, healthy boolean, restart_ok boolean, start_status string, start_failures long"
 
@@ -397,3 +398,41 @@ def test_log_verdicts(spark, lines, verdict, detail):
     df = spark.createDataFrame([("i", n, line) for n, line in enumerate(lines)], "instance string, line_no long, line string")
     r = logs.log_verdict(df).first()
     assert (r["verdict"], r["detail"]) == (verdict, detail)
+
+
+class _Memory:
+    """The state of a key as a step sees it."""
+
+    hasTimedOut, exists, get = False, False, None
+
+    def update(self, value):
+        self.exists, self.get = True, value
+
+    def remove(self):
+        self.exists, self.get = False, None
+
+    def setTimeoutTimestamp(self, at):
+        self.at = at
+
+    def getCurrentWatermarkMs(self):
+        return 0
+
+
+def test_steps_of_many_keys_put_no_pandas_frames_together(monkeypatch):
+    """A key's rows may come in several frames, in any order; rows with nulls are sorted as pandas does."""
+    frames = [pd.DataFrame({"name": "a", "seq": s, "kind": k}) for s, k in (([5, 2], ["removed", "added"]), ([2, 9], ["removed", "added"]))]
+    timed = [pd.DataFrame({"at": [30, 0], "limit": 10, "starts": [False, True], "ends": [True, False]}), pd.DataFrame({"at": [50], "limit": 10, "starts": [True], "ends": [False]})]
+    odd = [pd.DataFrame({"seq": [None, 3.0], "kind": ["added", "added"]}), pd.DataFrame({"seq": [1], "kind": ["removed"]})]
+    assert [r[0] for r in state._sorted_rows(odd, ["seq", "kind"], ["seq", "kind"])][:2] == [1, 3]
+
+    def refused(*_, **__):
+        raise AssertionError("frames put together for one key")
+
+    monkeypatch.setattr(state.pd, "concat", refused)
+    known, waiting = _Memory(), _Memory()
+    left = list(state.membership(None)(("a",), iter(frames), known))
+    assert left[0].to_dict("list") == {"name": ["a"], "seq": [5]} and known.get == (9, True)
+    left = list(state.membership(None)(("a",), iter([pd.DataFrame({"seq": [11, 10], "kind": ["stopped", "added"]})]), known))
+    assert left[0].to_dict("list") == {"name": ["a"], "seq": [11]} and known.get == (11, False)
+    late = list(state.start_timeout("instance", True)(("i",), iter(timed), waiting))
+    assert late[0].to_dict("list") == {"instance": ["i"], "started": [0], "failed": [10]} and waiting.get == (50, 60)

@@ -35,6 +35,25 @@ def _ordered(frames: Iterator[pd.DataFrame], by: list[str]) -> pd.DataFrame:
     return rows.sort_values(by, kind="stable", ignore_index=True)
 
 
+def _sorted_rows(frames: Iterator[pd.DataFrame], by: list[str], columns: list[str]) -> list[tuple]:
+    """The ``columns`` of ``_ordered`` rows.
+
+    A key has few rows in a batch and there are many keys, so putting pandas frames together would take longer than
+    the step itself.  Only columns with nulls, which pandas holds otherwise, need its order.
+    """
+    frames = list(frames)
+    names = [*by, *(c for c in columns if c not in by)]
+    lists = [[frame[c] for c in names] for frame in frames]
+    plain = all(c.dtype.kind in "ib" or (c.dtype.kind not in "fM" and None not in (v := c.tolist()) and all(isinstance(x, str) for x in v)) for f in lists for c in f)
+    if not plain:
+        rows = _ordered(iter(frames), by)
+        return list(zip(*(rows[c].tolist() for c in columns), strict=True))
+    rows = [row for f in lists for row in zip(*(c.tolist() for c in f), strict=True)]
+    rows.sort(key=lambda row: row[: len(by)])
+    at = [names.index(c) for c in columns]
+    return [tuple(row[i] for i in at) for row in rows]
+
+
 def health(instance: str, rules: Rules) -> Step:
     """Replays health checks (instance, seq, healthy, restart_ok, start_status) from the last one's state.
 
@@ -75,8 +94,8 @@ def membership(remember_ms: int | None) -> Step:
             state.remove()
             return
         last, member = state.get if state.exists else (None, False)
-        rows, left = _ordered(frames, ["seq", "kind"]), []
-        for seq, kind in zip(rows["seq"].tolist(), rows["kind"], strict=True):
+        left = []
+        for seq, kind in _sorted_rows(frames, ["seq", "kind"], ["seq", "kind"]):
             if last is not None and seq <= last:
                 continue
             if member and kind != "added":
@@ -86,7 +105,7 @@ def membership(remember_ms: int | None) -> Step:
         if not member and remember_ms is not None:
             state.setTimeoutDuration(remember_ms)
         if left:
-            yield _frame(key, "name", left, ["seq"])
+            yield pd.DataFrame({"name": [key[0]] * len(left), "seq": [seq for (seq,) in left]})
 
     return step
 
@@ -137,8 +156,7 @@ def start_timeout(instance: str, event_time: bool) -> Step:
             state.remove()
             yield _frame(key, instance, [pending], ["started", "failed"])
             return
-        rows = _ordered(frames, ["at", "ends", "starts"])
-        for at, limit, starts, ends in zip(*(rows[c].tolist() for c in ("at", "limit", "starts", "ends")), strict=True):
+        for at, limit, starts, ends in _sorted_rows(frames, ["at", "ends", "starts"], ["at", "limit", "starts", "ends"]):
             if pending and at > pending[1]:
                 out.append(pending)
                 pending = None
