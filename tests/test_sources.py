@@ -164,6 +164,49 @@ def test_stores_on_disk_one_at_a_time(spark, tmp_path, monkeypatch):
     assert len(roots) == 3 and not any(pathlib.Path(r).exists() for r in roots)
 
 
+def test_a_store_takes_over_the_folders_of_the_one_before(spark, tmp_path, monkeypatch):
+    parts = spark.range(60).selectExpr("id AS p_partkey", "int(id * 7 % 20 + 1) AS p_size", "'b' AS p_brand")
+    parts.union(parts.limit(5)).write.parquet(str(tmp_path / "part.parquet"))  # rows of one part share a folder
+    removed, seen, remove = [], {}, files.remove_folders
+    monkeypatch.setattr(files, "STORE_MODELS", 15)
+    monkeypatch.setattr(files, "fresh_dir", lambda spark, label: f"{tmp_path}/{label}-{len(seen)}-{len(removed)}")
+    monkeypatch.setattr(files, "remove_folders", lambda folders, root: removed.append(folders.count()) or remove(folders, root))
+
+    def read(spark, root):
+        base = pathlib.Path(root)
+        for model in base.iterdir():
+            assert model.name not in seen
+            seen[model.name] = {str(p.relative_to(model)): p.read_text() if p.is_file() else None for p in model.rglob("*")}
+        return store.scan_model_store(spark, root)
+
+    assert files.in_stores(Tables(spark, str(tmp_path)), read).count() == sum(v is not None for m in seen.values() for v in m.values())
+    assert sum(removed) < 60 and len(removed) == 5
+    for i in range(60):
+        size = i * 7 % 20 + 1
+        config = f'{{"model_type": {size}}}' if i % 5 == 0 else f'{{"model_type": "b", "hidden_size": {size}}}'
+        wanted = {"snapshots": None, "snapshots/r1": None, "snapshots/r1/config.json": '{"d_model": 7}', "snapshots/r2": None}
+        wanted |= {"snapshots/r2/config.json": config, "snapshots/r2/weights.bin": "w" * size}
+        assert seen.pop(f"models--org--m{i}") == wanted | ({"refs": None, "refs/main": "r2\n"} if size > 10 else {})
+    assert not seen
+
+
+def test_a_repeated_task_writes_the_same_store(spark, tmp_path):
+    at = lambda folder: {str(p.relative_to(folder)): p.read_text() for p in folder.rglob("*") if p.is_file()}
+    rows = lambda name, before, files: spark.createDataFrame([(name, files, before)], "path string, files array<struct<path string, content string>>, before string")
+    first, second = tmp_path / "first", tmp_path / "second"
+    files.write_models(rows("m", None, [("/a/x", "long text"), ("/b/c/y", "1")]), str(first), None)
+    for _ in range(2):
+        files.write_models(rows("n", "m", [("/a/x", "text"), ("/d/z", "2")]), str(second), str(first))
+        assert at(first) == {} and at(second) == {"n/a/x": "text", "n/d/z": "2"} and not (second / "n/b").exists()
+
+
+def test_read_store_lists_it_once(spark, model_store, monkeypatch):
+    listed, find = [], store._files
+    monkeypatch.setattr(store, "_files", lambda *a, **k: listed.append(a) or find(*a, **k))
+    assert {r["model_id"] for r in store.read_store(spark, model_store).collect()} == {"BAAI/small", "solo"}
+    assert len(listed) == 1
+
+
 @pytest.mark.parametrize(
     "text, hidden, longest",
     [

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textorbit import schemas
@@ -19,35 +20,84 @@ from textorbit.session import cut, fresh_dir, remove
 from textorbit.sources import payload, report, snapshot, store
 
 
-def write_files(files: DataFrame, root: str) -> None:
-    """Each row's ``content`` as the file ``path`` below ``root``; a repeated task writes the same."""
+def _opened(root: str) -> tuple[fs.FileSystem, str]:
     scheme, _, folder = root.rpartition(":")
-    uri = root if "://" in root else f"{scheme or 'file'}:///{folder.lstrip('/')}"
+    return fs.FileSystem.from_uri(root if "://" in root else f"{scheme or 'file'}:///{folder.lstrip('/')}")
+
+
+def _fill(system: fs.FileSystem, path: str, content: bytes, there: bool) -> None:
+    """Write a file; one that is there keeps its blocks on a local disk, as freeing them takes longer."""
+    if there and isinstance(system, fs.LocalFileSystem):
+        with open(path, "r+b") as out:
+            out.write(content)
+            out.truncate()
+    else:
+        with system.open_output_stream(path) as out:
+            out.write(content)
+
+
+def _folder(system: fs.FileSystem, folder: str, files: dict[str, bytes], old: str | None) -> None:
+    """``folder`` with just these ``files``, made of the folder ``old`` if that can be moved."""
+    known = {}
+    if old is not None:
+        if system.get_file_info(old).type == fs.FileType.Directory:  # not by an earlier attempt
+            try:
+                system.move(old, folder)
+            except (OSError, NotImplementedError):  # an object store has no folders to move
+                system.delete_dir(old)
+        inside = system.get_file_info(fs.FileSelector(folder, allow_not_found=True, recursive=True))
+        known = {i.path: i.type for i in inside}
+    made, kept = {path.rpartition("/")[0] for path in files}, {folder}
+    for below in made:
+        while below not in kept:
+            kept.add(below)
+            below = below.rpartition("/")[0]
+    for path, kind in sorted(known.items(), reverse=True):  # a folder after what it holds
+        if kind == fs.FileType.Directory and path not in kept:
+            system.delete_dir(path)
+        elif kind == fs.FileType.File and path not in files:
+            system.delete_file(path)
+    for below in made:
+        if known.get(below) != fs.FileType.Directory:
+            system.create_dir(below, recursive=True)
+    for path, content in files.items():
+        _fill(system, path, content, known.get(path) == fs.FileType.File)
+
+
+def write_models(models: DataFrame, root: str, old: str | None) -> None:
+    """Each row's ``files`` as the folder ``path`` below ``root``; a repeated task writes the same.
+
+    A row with a folder ``before`` below ``old`` takes that over: its name is changed, its files are
+    written over, and those that the model lacks are deleted.
+    """
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        system, base = fs.FileSystem.from_uri(uri)
+        system, base = _opened(root)
+        system.create_dir(base, recursive=True)
+        was = _opened(old)[1] if old else None
         for batch in batches:
-            for path, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                system.create_dir(f"{base}/{path.rpartition('/')[0]}", recursive=True)
-                with system.open_output_stream(f"{base}/{path}") as out:
-                    out.write(content.encode())
+            for path, files, before in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                contents = {f"{base}/{path}{f['path']}": f["content"].encode() for f in files}
+                _folder(system, base + "/" + path, contents, f"{was}/{before}" if was and before else None)
             yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], ["n"])
 
-    files.select("path", "content").mapInArrow(write, "n long").agg(F.sum("n")).collect()  # one row
+    models.select("path", "files", "before").mapInArrow(write, "n long").agg(F.sum("n")).collect()  # one row
 
 
 def remove_folders(folders: DataFrame, root: str) -> None:
     """Delete the folders ``path`` below ``root``, each by the task that it falls to, then ``root``."""
-    scheme, _, folder = root.rpartition(":")
-    uri = root if "://" in root else f"{scheme or 'file'}:///{folder.lstrip('/')}"
 
     def delete(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        system, base = fs.FileSystem.from_uri(uri)
-        for batch in batches:
-            for path in batch.column(0).to_pylist():
-                if system.get_file_info(f"{base}/{path}").type == fs.FileType.Directory:  # not by an earlier attempt
-                    system.delete_dir(f"{base}/{path}")
-            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], ["n"])
+        system, base = _opened(root)
+
+        def drop(path: str) -> None:
+            if system.get_file_info(f"{base}/{path}").type == fs.FileType.Directory:  # not by an earlier attempt
+                system.delete_dir(f"{base}/{path}")
+
+        with ThreadPoolExecutor(4) as pool:  # deleting is waiting
+            for batch in batches:
+                list(pool.map(drop, batch.column(0).to_pylist()))
+                yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], ["n"])
 
     folders.select("path").mapInArrow(delete, "n long").agg(F.sum("n")).collect()  # one row
     remove(folders.sparkSession, root)
@@ -60,37 +110,53 @@ STORE_MODELS = 100_000
 def in_stores(t: Tables, read: Callable[[SparkSession, str], DataFrame]) -> DataFrame:
     """What ``read`` finds in the stores that hold the parts' models, one after the other.
 
-    A store takes many times the disk of the table it is made of, so it goes when it has been read.
+    A store takes many times the disk of the table it is made of, so there is one at a time.  Making and
+    deleting folders takes far longer than filling them, so a store takes over the folders of the one before.
     """
-    stores = max(1, -(-t.part.count() // STORE_MODELS))
-    found = []
+    spark = t.spark
+    tasks, stores = spark.sparkContext.defaultParallelism, max(1, -(-t.part.count() // STORE_MODELS))
+    models, found, old, gone = cut(in_turn(part_models(t), stores, 4 * tasks)), [], None, None
     for n in range(stores):
-        parts = t.part.filter(F.pmod(F.xxhash64("p_partkey"), F.lit(stores)) == n)
-        root = part_store(t, parts)
-        found.append(cut(read(t.spark, root)))
-        names = parts.select(F.concat(F.lit("models--org--m"), F.col("p_partkey").cast("string")).alias("path")).distinct()
-        remove_folders(names.repartition(t.spark.sparkContext.defaultParallelism, "path"), root)
+        here, root = models.filter(F.col("store") == n).repartition(tasks, "path"), fresh_dir(spark, "store")
+        write_models(here, root, old)
+        if old:
+            remove_folders(gone, old)
+        found.append(cut(read(spark, root)))
+        old, gone = root, here.filter("last")
+    remove_folders(gone, old)
     return reduce(DataFrame.unionByName, found)
 
 
-def part_store(t: Tables, parts: DataFrame) -> str:
-    """A model store with a model for each part; some have a reference, some a broken record."""
+def in_turn(models: DataFrame, stores: int, shares: int) -> DataFrame:
+    """Models with the ``store`` that each is part of, the folder ``before`` it in the store before, and whether it is the ``last``.
+
+    Models of a share follow each other, one for each store, so all stores have about as many.
+    """
+    dealt = models.withColumn("share", F.pmod(F.xxhash64("path"), F.lit(shares)))
+    line = Window.partitionBy("share").orderBy("path")
+    turn = F.pmod(F.row_number().over(line) + F.col("share"), F.lit(stores)).cast("int")
+    dealt = dealt.withColumns({"store": turn, "before": F.lag("path").over(line), "after": F.lead("path").over(line)})
+    before = F.when(F.col("store") > 0, F.col("before")).alias("before")
+    last = (F.col("store") == stores - 1) | F.col("after").isNull()
+    return dealt.select("path", "files", "store", before, last.alias("last"))
+
+
+def part_models(t: Tables) -> DataFrame:
+    """The folder ``path`` of a model for each part, and its ``files``; some have a reference, some a broken record."""
     key, size = F.col("p_partkey").cast("string"), F.col("p_size").cast("string")
     model = F.concat(F.lit("models--org--m"), key)
     config = F.when(F.col("p_partkey") % 5 == 0, F.concat(F.lit('{"model_type": '), size, F.lit("}"))).otherwise(
         F.concat(F.lit('{"model_type": "'), F.col("p_brand"), F.lit('", "hidden_size": '), size, F.lit("}"))
     )
-    file = lambda path, content: F.struct(F.concat(model, F.lit(path)).alias("path"), content.alias("content"))
+    file = lambda path, content: F.struct(F.lit(path).alias("path"), content.alias("content"))
     files = [
         file("/snapshots/r1/config.json", F.lit('{"d_model": 7}')),
         file("/snapshots/r2/config.json", config),
         file("/snapshots/r2/weights.bin", F.repeat(F.lit("w"), F.col("p_size"))),
         F.when(F.col("p_size") > 10, file("/refs/main", F.lit("r2\n"))),
     ]
-    root = fresh_dir(t.spark, "store")
-    rows = parts.select(F.explode(F.array_compact(F.array(*files))).alias("f")).select("f.*")
-    write_files(rows.repartition(t.spark.sparkContext.defaultParallelism), root)
-    return root
+    rows = t.part.select(model.alias("path"), F.array_compact(F.array(*files)).alias("files"))
+    return rows.groupBy("path").agg(F.flatten(F.collect_list("files")).alias("files"))  # rows of one part share a folder
 
 
 _STORE = """

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from textorbit.operators.catalog import latest_snapshot, listing, parse_metadata, store_size
 from textorbit.operators.scan import CHUNK, positions
+from textorbit.session import cut
 
 
 #: Rows of a listing, and bytes of contents, that a task holds at once.
@@ -30,6 +31,21 @@ def _system(uri: str) -> tuple[fs.FileSystem, str]:
     return (fs.LocalFileSystem(), uri[5:]) if uri.startswith("file:/") else fs.FileSystem.from_uri(uri)
 
 
+def _top(spark: SparkSession, root: str) -> str:
+    """A folder's path as Hadoop writes it."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(root)
+    top = target.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(target).toString().rstrip("/")
+    return re.sub("^file:/+", "file:/", top)
+
+
+def _opens(top: str) -> bool:
+    try:
+        _system(top)
+    except (pa.ArrowException, OSError):
+        return False
+    return True
+
+
 def _files(spark: SparkSession, root: str, name: str | None = None, content: bool = False) -> DataFrame:
     """(path, length) of the files below a folder, or of those of a ``name``, with their ``content`` if wanted.
 
@@ -37,12 +53,8 @@ def _files(spark: SparkSession, root: str, name: str | None = None, content: boo
     falls to, so neither the driver nor a task ever holds all files.  A store that only Hadoop
     can open is listed by Spark's own reader, on the driver.
     """
-    target = spark._jvm.org.apache.hadoop.fs.Path(root)
-    top = target.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(target).toString().rstrip("/")
-    top = re.sub("^file:/+", "file:/", top)
-    try:
-        _system(top)
-    except (pa.ArrowException, OSError):
+    top = _top(spark, root)
+    if not _opens(top):
         reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
         found = (reader.option("pathGlobFilter", name) if name else reader).load(root)
         return found.select("path", "length", *(["content"] if content else []))
@@ -92,14 +104,36 @@ def _files(spark: SparkSession, root: str, name: str | None = None, content: boo
     return dealt.mapInArrow(files, "path string, length long" + (", content binary" if content else ""))
 
 
+def _contents(spark: SparkSession, root: str, name: str, files: DataFrame | None) -> DataFrame:
+    """(path, length, content) of the files of a ``name``; those of a listing ``files``, if given, are not looked up again."""
+    top = _top(spark, root)
+    if files is None or not _opens(top):
+        return _files(spark, root, name, content=True)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, base = _system(top)
+        for batch in batches:
+            texts, held, start = [], 0, 0
+            for n, path in enumerate(batch.column("path").to_pylist(), 1):
+                texts.append(system.open_input_stream(base.rstrip("/") + path[len(top) :]).read())
+                held += len(texts[-1])
+                if held >= _BYTES or n == batch.num_rows:
+                    yield batch.slice(start, n - start).append_column("content", pa.array(texts, pa.binary()))
+                    texts, held, start = [], 0, n
+
+    named = files.filter(F.substring_index("path", "/", -1) == name).select("path", "length")
+    dealt = named.repartition(4 * spark.sparkContext.defaultParallelism, "path")
+    return dealt.mapInArrow(read, "path string, length long, content binary")
+
+
 def scan_model_store(spark: SparkSession, root: str) -> DataFrame:
     """(path, length) of every file; nothing is opened."""
     return _files(spark, root)
 
 
-def read_refs(spark: SparkSession, root: str) -> DataFrame:
-    """(model_id, revision) from each model's refs/main."""
-    refs = _files(spark, root, "main", content=True).filter(F.col("path").rlike("/models--[^/]+/refs/main$"))
+def read_refs(spark: SparkSession, root: str, files: DataFrame | None = None) -> DataFrame:
+    """(model_id, revision) from each model's refs/main, of the listing ``files`` if given."""
+    refs = _contents(spark, root, "main", files).filter(F.col("path").rlike("/models--[^/]+/refs/main$"))
     return listing(refs).select("model_id", F.trim(F.regexp_replace(_text(), "\\s+$", "")).alias("revision"))
 
 
@@ -107,18 +141,18 @@ def _text() -> Column:
     return F.decode(F.col("content"), "UTF-8")
 
 
-def read_model_configs(spark: SparkSession, root: str) -> DataFrame:
-    """(model_id, snapshot, metadata) of every snapshot's config.json."""
-    configs = listing(_files(spark, root, "config.json", content=True)).filter(F.col("file") == "config.json")
+def read_model_configs(spark: SparkSession, root: str, files: DataFrame | None = None) -> DataFrame:
+    """(model_id, snapshot, metadata) of every snapshot's config.json, of the listing ``files`` if given."""
+    configs = listing(_contents(spark, root, "config.json", files)).filter(F.col("file") == "config.json")
     rows = configs.select("model_id", "snapshot", _text().alias("content"))
     return parse_metadata(rows).drop("content")
 
 
 def read_store(spark: SparkSession, root: str) -> DataFrame:
     """Stored models as the catalog wants them: (model_id, path, size_bytes, metadata)."""
-    files = scan_model_store(spark, root)
-    snapshots = latest_snapshot(files, read_refs(spark, root)).withColumnRenamed("snapshot", "path")
-    configs = read_model_configs(spark, root).withColumnRenamed("snapshot", "path")
+    files = cut(scan_model_store(spark, root))  # listed once
+    snapshots = latest_snapshot(files, read_refs(spark, root, files)).withColumnRenamed("snapshot", "path")
+    configs = read_model_configs(spark, root, files).withColumnRenamed("snapshot", "path")
     return snapshots.join(store_size(files), "model_id").join(configs, ["model_id", "path"], "left")
 
 
