@@ -408,6 +408,32 @@ def test_similarity_join_in_tiles(spark, monkeypatch):
     assert sorted(map(tuple, retrieval.similarity_join(df, 0.5, "id").collect())) == whole and len(whole) > 100
 
 
+@pytest.mark.parametrize("lengths", [(1, 1), (0.2, 3)])
+@pytest.mark.parametrize("threshold", [0.95, 0.4, -0.1])
+def test_blocks_are_compared_where_rows_are_in_reach(monkeypatch, lengths, threshold):
+    rng = np.random.default_rng(3)
+    middles = rng.normal(size=(12, 8))
+    v = middles[rng.integers(0, 12, 1500)] + 0.2 * rng.normal(size=(1500, 8))
+    v *= rng.uniform(*lengths, (1500, 1)) / np.sqrt((v**2).sum(1))[:, None]
+    v[700], v[701:703] = 0, v[703]
+    monkeypatch.setattr(retrieval, "_SIDE", 37)
+    shares = list(retrieval._reached(v[:1000], v[500:], threshold))
+    assert sorted(np.concatenate([a for a, _ in shares])) == list(range(1000))
+    if (threshold, lengths) == (0.95, (1, 1)):
+        assert sum(len(a) * len(b) for a, b in shares) < 1000 * 1000 / 3
+    table = lambda rows, first: pa.table({"id": np.arange(first, first + len(rows)), "vec": pa.array(list(rows))})
+    for theirs, first, same in ((v[500:], 2000, False), (v[:1000], 0, True)):
+        found = retrieval._met(table(v[:1000], 0), table(theirs, first), same, 8, threshold)
+        dots = np.einsum("ad,bd->ab", v[:1000], theirs)
+        near = dots >= threshold
+        sure = np.abs(dots - threshold) > 1e-12
+        got = np.zeros_like(near)
+        for a, b, score in found:
+            assert not got[a, b].any() and np.abs(score - dots[a, b]).max() < 1e-6
+            got[a, b] = True
+        assert ((got == (np.triu(near, 1) if same else near)) | ~sure).all() and got.any()
+
+
 @pytest.mark.parametrize("held", [7, 40, 1 << 16])
 def test_top_k_sends_a_query_once_to_the_rows_a_task_holds(spark, monkeypatch, held):
     v = vectors(300, dim=8, seed=13)

@@ -386,6 +386,10 @@ def vector_groups(df: DataFrame, id_col: str, vector_col: str = "embedding") ->
 _PAIRS = "id_a long, id_b long, copies_a long, copies_b long, score double"
 _LINKS = "id long, copies long, links long, linked_copies long, score double, best_id long"
 _CHOSEN = 1 << 14
+# Rows of the one and the other side of a tile, which then stays in a core's cache.
+_SIDE = 512
+# Centres that the rows of a block are dealt to, and rows for each that there are at least.
+_CENTRES = 64
 
 
 def _to_blocks(rows: DataFrame, keys: list[str], lone: str, others: str) -> DataFrame:
@@ -407,8 +411,31 @@ def _sides(batches: Iterator[pa.RecordBatch]) -> tuple[pa.Table, pa.Table, bool]
     return rows.filter(pc.equal(block, lo)), rows.filter(pc.equal(block, hi)), False
 
 
+def _reached(ours: np.ndarray, theirs: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Shares of our rows, each with the rows of theirs that may have a dot product >= ``threshold`` with one of them.
+
+    Such rows are apart by sqrt(|a|^2 + |b|^2 - 2 * threshold) at most.  A share's rows are nearer to its centre than to
+    any other, so a row of theirs that lies farther than that beyond the plane between two centres is left out.
+    """
+    count = min(_CENTRES, len(ours) // _CENTRES)
+    if count < 2:
+        yield np.arange(len(ours)), np.arange(len(theirs))
+        return
+    centres = ours[np.linspace(0, len(ours) - 1, count).astype(np.int64)]
+    apart = np.array([np.sqrt(((centres - c) ** 2).sum(1)) for c in centres])
+    half, (square, squares) = (centres**2).sum(1) / 2, [(v**2).sum(1) for v in (ours, theirs)]
+    home, near = (ours @ centres.T - half).argmax(1), theirs @ centres.T - half
+    nearest, best = near.argmax(1), near.max(1)
+    slack = 1e-12 * (1 + square.max() + squares.max())
+    for centre in np.unique(home):
+        some = np.flatnonzero(home == centre)
+        reach = np.sqrt(np.maximum(square[some].max() + squares - 2 * threshold, 0) + slack)
+        beyond = best - near[:, centre] > reach * apart[centre, nearest] + slack
+        yield some, np.flatnonzero(~beyond)
+
+
 def _met(left: pa.Table, right: pa.Table, same: bool, dim: int, threshold: float, keep=None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(row of left, row of right, score) of the pairs with dot product >= ``threshold``, a tile at a time.
+    """(row of left, row of right, score) of the pairs with dot product >= ``threshold``, a square tile at a time.
 
     In single precision most pairs are clearly too far apart; the others are decided in double precision,
     after ``keep`` if given.  Two rows of the same block meet twice; the ordered meeting counts.
@@ -419,23 +446,38 @@ def _met(left: pa.Table, right: pa.Table, same: bool, dim: int, threshold: float
     ids, others = left["id"].to_numpy(), right["id"].to_numpy()
     lengths = [math.sqrt((v**2).sum(1).max()) for v in (ours, theirs)]
     floor = np.float32(threshold - (dim + 4) * 2.0**-23 * lengths[0] * lengths[1] - 1e-7 * abs(threshold))
-    single, across = ours.astype(np.float32), theirs.astype(np.float32).T
-    tile = max(1, MET_CELLS // len(others))
-    for at in range(0, len(ids), tile):
-        near = np.flatnonzero(single[at : at + tile] @ across >= floor)  # several times faster than nonzero of two axes
-        for start in range(0, len(near), _CHOSEN):
-            a, b = np.divmod(near[start : start + _CHOSEN], len(others))
-            a += at
-            if same:
-                ordered = ids[a] < others[b]
-                a, b = a[ordered], b[ordered]
-            if keep is not None:
-                kept = keep(a, b)
-                a, b = a[kept], b[kept]
-            dots = np.einsum("nd,nd->n", ours[a], theirs[b])
-            hit = dots >= threshold
-            if hit.any():
-                yield a[hit], b[hit], np.floor(dots[hit] * 1e6 + 0.5) / 1e6
+    single, across = ours.astype(np.float32), theirs.astype(np.float32)
+    side = max(1, min(_SIDE, math.isqrt(MET_CELLS)))
+
+    def decided(chosen: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        a, b = (np.concatenate(c) for c in zip(*chosen, strict=True))
+        if same:
+            ordered = ids[a] < others[b]
+            a, b = a[ordered], b[ordered]
+        if keep is not None:
+            kept = keep(a, b)
+            a, b = a[kept], b[kept]
+        dots = np.einsum("nd,nd->n", ours[a], theirs[b])
+        hit = dots >= threshold
+        if hit.any():
+            yield a[hit], b[hit], np.floor(dots[hit] * 1e6 + 0.5) / 1e6
+
+    held, chosen = 0, []
+    for mine, reached in _reached(ours, theirs, threshold):
+        some, met = single[mine], across[reached]
+        for low in range(0, len(reached), side):
+            tile = met[low : low + side].T
+            for at in range(0, len(mine), side):
+                near = np.flatnonzero(some[at : at + side] @ tile >= floor)  # several times faster than nonzero of two axes
+                for start in range(0, len(near), _CHOSEN):
+                    a, b = np.divmod(near[start : start + _CHOSEN], tile.shape[1])
+                    chosen.append((mine[at + a], reached[low + b]))
+                    held += len(a)
+                    if held >= _CHOSEN:
+                        yield from decided(chosen)
+                        held, chosen = 0, []
+    if chosen:
+        yield from decided(chosen)
 
 
 def _pairs(left: pa.Table, right: pa.Table, found: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
